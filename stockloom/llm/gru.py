@@ -72,10 +72,64 @@ def states(p: dict[str, np.ndarray], windows: np.ndarray, lengths: np.ndarray, k
     return out
 
 
-def predict(p: dict[str, np.ndarray], windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Class probabilities [width, rows, classes] of every position."""
-    logits = states(p, windows, lengths) @ p["out"]
-    logits += p["out_bias"]
+def prepare(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights laid out for ``predict``: gates apart from candidates, both tables in one, halves of the sigmoids folded in."""
+    hidden = p["rec"].shape[1]
+    table = p["table"].copy()
+    table[:, :, : 2 * hidden] += p["bias"][:, :, : 2 * hidden]
+    table = table.reshape(-1, 3 * hidden)
+    f = np.float32
+    return {
+        "gate_table": np.ascontiguousarray(table[:, : 2 * hidden] * 0.5, f),
+        "new_table": np.ascontiguousarray(table[:, 2 * hidden :], f),
+        "gate_rec": np.ascontiguousarray(p["rec"][:, :, : 2 * hidden] * 0.5, f),
+        "new_rec": np.ascontiguousarray(p["rec"][:, :, 2 * hidden :] * 0.5, f),
+        "new_bias": np.ascontiguousarray(p["bias"][:, :, 2 * hidden :] * 0.5, f),
+        "out": np.ascontiguousarray(p["out"].reshape(2, hidden, -1), f),
+        "out_bias": p["out_bias"],
+    }
+
+
+def predict(w: dict[str, np.ndarray], windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Class probabilities [width, rows, classes] of every position, with weights from ``prepare``."""
+    rows, width = windows.shape
+    hidden = w["new_rec"].shape[1]
+    classes = len(w["out_bias"])
+    columns = np.ascontiguousarray(windows.T).astype(np.intp)
+    logits = np.empty((width, rows, classes), np.float32)
+    logits[:] = w["out_bias"]
+    h = np.zeros((2, rows, hidden), np.float32)
+    at = np.empty((2, rows), np.intp)
+    gates, part = np.empty((2, rows, 2 * hidden), np.float32), np.empty((2, rows, 2 * hidden), np.float32)
+    update, reset = np.empty_like(h), np.empty_like(h)
+    new, inner = np.empty_like(h), np.empty_like(h)
+    short = int(lengths.min())
+    for t in range(width):
+        back = width - 1 - t
+        at[0] = columns[t]
+        np.add(columns[back], 256, out=at[1])
+        np.take(w["gate_table"], at, axis=0, out=gates, mode="clip")
+        np.take(w["new_table"], at, axis=0, out=new, mode="clip")
+        np.matmul(h, w["gate_rec"], out=part)
+        gates += part
+        np.tanh(gates, out=gates)
+        gates += 1
+        np.matmul(h, w["new_rec"], out=inner)
+        inner += w["new_bias"]
+        np.copyto(reset, gates[:, :, hidden:])
+        inner *= reset
+        new += inner
+        np.tanh(new, out=new)
+        np.copyto(update, gates[:, :, :hidden])
+        update *= 0.5
+        h -= new
+        h *= update
+        h += new
+        if t >= short or back >= short:
+            h *= np.stack([t < lengths, back < lengths])[:, :, None]
+        scores = np.matmul(h, w["out"])
+        logits[t] += scores[0]
+        logits[back] += scores[1]
     logits -= logits.max(axis=2, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=2, keepdims=True)

@@ -27,7 +27,7 @@ from .text import buffers
 
 #: Training rows per language (the classifier is fitted on this bounded sample), windows of each, and the longest text that is sampled.
 PER_LANGUAGE, WINDOWS_OF_TEXT, LONGEST = 400, 64, 200_000
-TRAIN_WINDOW, HIDDEN, STEPS, ROWS = 64, 12, 300, 128
+TRAIN_WINDOW, HIDDEN, STEPS, ROWS = 64, 8, 300, 128
 WINDOW, WINDOWS_AT_ONCE = 96, 2048
 UNDETERMINED = "und"
 
@@ -71,7 +71,7 @@ def fit(docs: DataFrame, seed: int = 7) -> Model | None:
     draws = np.random.default_rng(seed + 1)
     pick, label = zip(*[(w := pick[label == k][draws.integers(0, n, 4000)], np.full(len(w), k)) for k in range(len(languages)) if (n := int((label == k).sum()))], strict=True)
     pick, label = np.concatenate(pick), np.concatenate(label)
-    return Model(languages, gru.train(windows[pick], lengths[pick], label, len(languages), HIDDEN, STEPS, ROWS, seed))
+    return Model(languages, gru.prepare(gru.train(windows[pick], lengths[pick], label, len(languages), HIDDEN, STEPS, ROWS, seed)))
 
 
 def position_labels(model: Model, text: str) -> list[str]:

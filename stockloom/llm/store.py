@@ -50,10 +50,12 @@ def drop(df: DataFrame) -> None:
 
 
 _shipped: set[str] = set()
+#: Rows and bytes of a batch that goes to Python: texts are long, and both sides hold a batch in memory.
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this library's Python files, once a session.
+    """Give the executors this library's Python files and set the size of Arrow batches, once a session.
 
     Their workers import the operators by name; a cluster has no copy.
     """
@@ -61,6 +63,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
+    for setting, value in ARROW_BATCHES.items():
+        spark.conf.set(setting, value)
     top = Path(__file__).resolve().parent.parent
     target = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
     with zipfile.ZipFile(target, "w") as archive:
