@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, toxicity
+from . import fingerprint, langid, mixing, tokenstore, toxicity
 from .common import fold
 from .store import ship
 
@@ -43,11 +43,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    path = tokenstore.default_path(spark)
+    tokenstore.write(docs, path, tokenizer or tokenstore.default_tokenizer())
+    return tokenstore.read(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_fingerprint": op3_fingerprint,
     "op4_toxicity": op4_toxicity,
+    "op9_token_store": op9_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -60,6 +60,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    prefixes: tuple[np.ndarray, ...] = ()
 
     @property
     def counts(self) -> np.ndarray:
@@ -96,12 +97,15 @@ def slices(batches, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tup
             at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, lower: bool = True) -> Words:
-    """Words of ``kind`` and their 64-bit hashes; A-Z counts as a-z if ``lower``."""
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, lower: bool = True, prefixes: tuple[int, ...] = ()) -> Words:
+    """Words of ``kind`` and their 64-bit hashes; A-Z counts as a-z if ``lower``.
+
+    ``prefixes`` asks for hashes of the words' first so many bytes, too.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(len(offsets), np.int64), none.astype(np.uint64))
+        return Words(none, none, np.zeros(len(offsets), np.int64), none.astype(np.uint64), tuple(none.astype(np.uint64) for _ in prefixes))
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = kind[data]
     cut = np.zeros(n + 1, bool)
@@ -114,8 +118,8 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, l
     value += np.uint64(1)
     value *= up[:n]
     np.cumsum(value, out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start])
-    return Words(start, end, np.searchsorted(start, offsets), hashed)
+    hashed = [mix((total[np.minimum(end, start + size)] - total[start]) * down[start] + np.uint64(size)) for size in prefixes]
+    return Words(start, end, np.searchsorted(start, offsets), mix((total[end] - total[start]) * down[start]), tuple(hashed))
 
 
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -313,3 +313,9 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
 
 def default_path(spark: SparkSession) -> str:
     return new_path(spark, "token-store")
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
