@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, tokenstore, toxicity
+from . import decontam, fingerprint, hmm, jaccard, langid, mixing, pii, tokenstore, toxicity
 from .common import fold
 from .store import ship
 
@@ -50,12 +50,32 @@ def op9_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return tokenstore.read(spark, path)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(read(spark, sf_dir, "documents"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(read(spark, sf_dir, "documents"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_fingerprint": op3_fingerprint,
     "op4_toxicity": op4_toxicity,
     "op9_token_store": op9_token_store,
+    "op10_decontamination": op10_decontamination,
+    "op5_pii": op5_pii,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_lm_score": op7_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
