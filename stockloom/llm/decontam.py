@@ -253,3 +253,22 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_id
         found = docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The documents in which no item is found, with all their columns."""
+    out = docs
+    for index in _index_blocks(items, item_id, text):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        @F.arrow_udf("boolean")
+        def free(texts: pa.Array, sent=sent) -> pa.Array:
+            keep = np.ones(len(texts), bool)
+            at = 0
+            for part, data, offsets in slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+                keep[[at + doc for doc, _, _ in search(sent.value, data, offsets)]] = False
+                at += len(part)
+            return pa.array(keep)
+
+        out = out.where(free(F.col(text)))
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, hmm, jaccard, langid, mixing, pii, tokenstore, toxicity
+from . import decontam, fingerprint, hmm, jaccard, langid, license, mixing, pii, tokenstore, toxicity
 from .common import fold
 from .store import ship
 
@@ -66,6 +66,11 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(read(spark, sf_dir, "documents"), fold(7) == 2)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return license.scan(docs, license.fit(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op5_pii": op5_pii,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_lm_score": op7_lm_score,
+    "op8_license_scan": op8_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -112,14 +112,22 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, l
     cut[offsets] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+    stops = [end, *[np.minimum(end, start + size) for size in prefixes]]
+    hashed = span_hashes(data, start, stops, lower)
+    return Words(start, end, np.searchsorted(start, offsets), hashed[0], tuple(h + np.uint64(size) for h, size in zip(hashed[1:], prefixes, strict=True)))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, ends: list[np.ndarray], lower: bool) -> list[np.ndarray]:
+    """64-bit hashes of spans of bytes that begin at ``start``, for several ends."""
+    n = len(data)
     up, down = _power_tables(n)
     total = np.zeros(n + 1, np.uint64)
     value = (_LOWER[data] if lower else data).astype(np.uint64)
     value += np.uint64(1)
     value *= up[:n]
     np.cumsum(value, out=total[1:])
-    hashed = [mix((total[np.minimum(end, start + size)] - total[start]) * down[start] + np.uint64(size)) for size in prefixes]
-    return Words(start, end, np.searchsorted(start, offsets), mix((total[end] - total[start]) * down[start]), tuple(hashed))
+    before, scale = total[start], down[start]
+    return [mix((total[end] - before) * scale) for end in ends]
 
 
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,8 +22,9 @@ does by default.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -34,96 +35,181 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import drop, materialize, new_path
-from .text import mix
+from .text import mix, slices, span_hashes
 
 END = 2
-#: Ids that the rolling hash sees, the mean distance of cuts, and a chunk's least and most ids.
-SEEN, MEAN, LEAST, MOST = 8, 256, 64, 2048
+#: Ids that the rolling hash sees, the mean distance of cuts (a power of two), and a chunk's least and most ids.
+SEEN, MEAN, LEAST, MOST = 8, 512, 128, 4096
 #: Units whose ids a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 1_500_000
 ROWS_OF_PART = 20_000
-_MIXED = re.compile(r" \s|\s ")
+
+
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[*range(9, 14), *range(28, 33)]] = True
+#: Other white space in UTF-8: first two bytes, and the lowest and highest third byte (None: there is no third).
+_WIDE_SPACE = ((0xC2, 0x85, None), (0xC2, 0xA0, None), (0xE1, 0x9A, (0x80, 0x80)), (0xE2, 0x80, (0x80, 0x8A)), (0xE2, 0x80, (0xA8, 0xA9)), (0xE2, 0x80, (0xAF, 0xAF)), (0xE2, 0x81, (0x9F, 0x9F)), (0xE3, 0x80, (0x80, 0x80)))
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    out = _ASCII_SPACE[data]
+    for one, two, third in _WIDE_SPACE:
+        at = np.flatnonzero(data[:-1] == one)
+        at = at[data[at + 1] == two]
+        if third and len(at):
+            at = at[at + 2 < len(data)]
+            at = at[(data[at + 2] >= third[0]) & (data[at + 2] <= third[1])]
+        for k in range(3 if third else 2):
+            out[at + k] = True
+    return out
 
 
 class Encoder:
-    """Ids of texts, where each text is split before single spaces and each distinct unit encoded once.
+    """Ids of texts by a byte-level BPE tokenizer, each distinct unit of text encoded once.
 
-    The tokenizer's own rules always cut between a character and a single
-    space that another character follows, so units can be encoded apart. A
-    text where a space touches other white space is encoded as a whole.
+    The tokenizer's rules always cut before a single space between two other
+    characters, so what lies between such spaces are units that can be encoded
+    apart. Units are remembered by a 64-bit hash and their length. New ones are
+    encoded in one text, which their bytes tell apart again: a token stands for
+    as many bytes as it has letters.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        spec = json.loads(definition)
+        step = spec.get("pre_tokenizer") or {}
+        self.units = step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True) and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.bytes = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)], np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _learn(self, units: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, len(self.pool)) + total, np.uint32)])
-        self.pool[self.used : self.used + total] = [i for ids in found for i in ids]
-        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.used += total
-        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(len(self.pool) + len(ids), np.uint32)])
+        at = self.used
+        self.pool[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _ids_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of new units lie, and how many they are."""
+        at, size = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        many = np.flatnonzero(joinable)
+        if len(many):
+            sizes = end[many] - start[many]
+            ends = np.cumsum(sizes)
+            text = data[np.repeat(start[many] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes().decode("utf-8")
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            reached = np.cumsum(self.bytes[ids])
+            stop = np.searchsorted(reached, ends)
+            if not (reached[np.minimum(stop, len(reached) - 1)] == ends).all():
+                raise RuntimeError("the tokenizer has joined units of text")
+            stop += 1
+            begin = np.concatenate([[0], stop[:-1]])
+            at[many], size[many] = self._keep(ids) + begin, stop - begin
+        for k in np.flatnonzero(~joinable).tolist():
+            ids = self.tokenizer.encode(data[start[k] : end[k]].tobytes().decode("utf-8"), add_special_tokens=False).ids
+            at[k], size[k] = self._keep(np.array(ids, np.uint32)), len(ids)
+        return at, size
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin."""
+        texts = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(texts + 1, np.int64)
+        if not self.units:
+            found = [self.tokenizer.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8"), add_special_tokens=False).ids for k in range(texts)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])])
         if len(self.known) > REMEMBERED:
             self._forget()
-        units: list[str] = []
-        counts = []
-        whole: dict[int, np.ndarray] = {}
-        for k, text in enumerate(texts):
-            if _MIXED.search(text):
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                counts.append(0)
-            else:
-                parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-                units += parts
-                counts.append(len(parts))
-        new = list(set(units).difference(self.known))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        white = _white(data)
+        border = np.zeros(len(data) + 1, bool)
+        border[offsets] = True
+        apart = np.zeros(len(data), bool)
+        apart[1:-1] = (data[1:-1] == 32) & ~white[:-2] & ~white[2:] & ~border[1:-2] & ~border[2:-1]
+        begins = apart.copy()
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data))
+        hashed = span_hashes(data, start, [end], lower=False)[0]
+        distinct, place, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        length = (end - start)[place]
+        inside = np.minimum(at, max(len(self.known) - 1, 0))
+        new = np.ones(len(distinct), bool) if not len(self.known) else self.known[inside] != distinct
+        if len(self.known) and (self.length[inside] != length)[~new].any():
+            raise RuntimeError("two units of text have the same hash")
+        if new.any():
+            where = place[new]
+            joinable = apart[start[where]] & ~white[end[where] - 1]
+            pool_at, pool_size = self._ids_of(data, start[where], end[where], joinable)
+            slots = at[new]
+            self.known = np.insert(self.known, slots, distinct[new])
+            self.length = np.insert(self.length, slots, length[new])
+            self.start = np.insert(self.start, slots, pool_at)
+            self.size = np.insert(self.size, slots, pool_size)
+            at = np.searchsorted(self.known, distinct)
+        at = at[inverse]
         sizes = self.size[at]
         ends = np.cumsum(sizes)
-        flat = self.pool[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        borders = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
-        return [whole[k] if k in whole else flat[borders[k] : borders[k + 1]] for k in range(len(texts))]
+        flat = self.pool[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        first = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
+        return flat, first
+
+
+_encoders: dict[int, Encoder] = {}
+
 
+def _encoder(definition: str) -> Encoder:
+    """This worker's encoder, which later tasks find again with what it remembers."""
+    key = hash(definition)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(definition)
+    return _encoders[key]
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream: a function of the ids around each cut alone, within LEAST and MOST."""
+
+def cuts(ids: np.ndarray, first: np.ndarray) -> list[list[int]]:
+    """For each id stream the ends of its chunks, counted over all streams.
+
+    A cut is a function of the SEEN ids before it, where a chunk then has LEAST ids at least; no chunk has over MOST.
+    """
     n = len(ids)
-    ends: list[int] = []
-    begin = 0
-    if n >= LEAST + SEEN:
+    marks = np.zeros(0, np.int64)
+    if n >= SEEN:
         v = mix(ids.astype(np.uint64) + np.uint64(1))
         rolled = np.zeros(n - SEEN + 1, np.uint64)
         for k in range(SEEN):
-            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + v[k : n - SEEN + 1 + k]
-        for end in (np.flatnonzero((mix(rolled) & np.uint64(MEAN - 1)) == 0) + SEEN).tolist():
+            rolled *= np.uint64(0x9E3779B97F4A7C15)
+            rolled += v[k : n - SEEN + 1 + k]
+        marks = np.flatnonzero((mix(rolled) & np.uint64(MEAN - 1)) == 0) + SEEN
+    lows, highs = np.searchsorted(marks, first[:-1] + SEEN).tolist(), np.searchsorted(marks, first[1:]).tolist()
+    marks, first = marks.tolist(), first.tolist()
+    out = []
+    for k in range(len(first) - 1):
+        begin, stop, ends = first[k], first[k + 1], []
+        for end in marks[lows[k] : highs[k]]:
             while end - begin > MOST:
                 begin += MOST
                 ends.append(begin)
             if end - begin >= LEAST:
                 ends.append(end)
                 begin = end
-    while n - begin > MOST:
-        begin += MOST
-        ends.append(begin)
-    if begin < n:
-        ends.append(n)
-    return ends
+        while stop - begin > MOST:
+            begin += MOST
+            ends.append(begin)
+        if begin < stop:
+            ends.append(stop)
+        out.append(ends)
+    return out
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -161,37 +247,62 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shift_table(most: int) -> np.ndarray:
-    """x**(32 n) for n up to ``most``: what a crc is multiplied by when n more ids of 4 bytes follow."""
-    one = np.array([1 << 31], np.uint32)
+@functools.cache
+def _shift_tables() -> tuple[np.ndarray, np.ndarray]:
+    """x**(32 n) for n below 2**12, and for multiples of that below 2**24: what a crc is multiplied by when n more ids of 4 bytes follow."""
+    tables = []
     step = np.array([1 << (31 - 16)], np.uint32)
     step = _times(step, step)  # x**32
-    out = one
-    while len(out) <= most:
-        out = np.concatenate([out, _times(out, np.full(len(out), step[0], np.uint32))])
-        step = _times(step, step)
-    return out
+    for _ in range(2):
+        out = np.array([1 << 31], np.uint32)
+        for _ in range(12):
+            out = np.concatenate([out, _times(out, np.full(len(out), step[0], np.uint32))])
+            step = _times(step, step)
+        tables.append(out)
+    return tables[0], tables[1]
+
 
+def joined_crc(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """crc32 of each document from all chunks' crc32s and sizes in ids, and where each document's begin.
 
-def joined_crc(crcs: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
-    """crc32 of each document from its chunks' crc32s and sizes in ids."""
-    counts = np.array([len(c) for c in crcs])
-    if not counts.sum():
-        return np.zeros(len(crcs), np.int64)
-    table = _shift_table(int(max(s.max() for s in sizes if len(s))))
-    flat, size = np.concatenate(crcs).astype(np.uint32), np.concatenate(sizes)
-    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    out = np.zeros(len(crcs), np.uint32)
-    for k in range(int(counts.max())):
-        live = np.flatnonzero(counts > k)
-        at = first[live] + k
-        out[live] = _times(out[live], table[size[at]]) ^ flat[at]
-    return out.astype(np.int64)
+    A crc of a whole is the sum of its parts', each moved on by the ids behind it.
+    """
+    through = np.cumsum(sizes)
+    counts = np.diff(first)
+    behind = np.repeat(through[np.maximum(first[1:] - 1, 0)], counts) - through
+    low, high = _shift_tables()
+    moved = _times(crcs.astype(np.uint32), low[behind & 4095])
+    far = np.flatnonzero(behind >> 12)
+    while len(far):
+        moved[far] = _times(moved[far], high[np.minimum(behind[far] >> 12, 4095)])
+        behind = behind - (np.minimum(behind >> 12, 4095) << 12)
+        far = far[behind[far] >> 12 > 0]
+    out = np.zeros(len(counts), np.int64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.bitwise_xor.reduceat(moved, first[:-1][some])
+    return out
 
 
 # --- writing and reading ----------------------------------------------------
 
-_CHUNK = pa.struct([("hash", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())])
+def _chunked(flat: np.ndarray, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Roots and chunks of id streams."""
+    ends = cuts(flat, first)
+    hashes, packs, sizes, roots, counts = [], [], [], [], [0]
+    narrow = flat.astype("<u2").tobytes() if not len(flat) or int(flat.max()) < 1 << 16 else None
+    for k, own in enumerate(ends):
+        begin = int(first[k])
+        for end in own:
+            packed = b"\2" + narrow[2 * begin : 2 * end] if narrow is not None else pack(flat[begin:end])
+            packs.append(packed)
+            hashes.append(content_hash(packed))
+            sizes.append(end - begin)
+            begin = end
+        roots.append(merkle_root(hashes[counts[-1] :]))
+        counts.append(len(hashes))
+    chunk = pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(packs, pa.binary())], ["hash", "n_ids", "ids"])
+    return pa.array(roots, pa.binary()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), chunk)
 
 
 def _encoded(docs: DataFrame, definition: str, text: str) -> DataFrame:
@@ -199,26 +310,19 @@ def _encoded(docs: DataFrame, definition: str, text: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(definition)  # the tokenizer's file, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                chunks, roots, sizes = [], [], []
-                for ids in encoder.encode([t or "" for t in part.column(1).to_pylist()]):
-                    ids = np.append(ids, np.uint32(END))
-                    begin, own = 0, []
-                    for end in cuts(ids):
-                        packed = pack(ids[begin:end])
-                        own.append({"hash": content_hash(packed), "n_ids": end - begin, "ids": packed})
-                        begin = end
-                    chunks.append(own)
-                    roots.append(merkle_root([c["hash"] for c in own]))
-                    sizes.append(len(ids))
-                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), pa.array(chunks, pa.list_(_CHUNK))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "root", "chunks"])
+        encoder = _encoder(sent.value)
+        for part, data, offsets in slices(batches):
+            ids, first = encoder.encode(data, offsets)
+            closed = first + np.arange(len(first))
+            flat = np.full(closed[-1], END, np.uint32)
+            inside = np.ones(len(flat), bool)
+            inside[closed[1:] - 1] = False
+            flat[inside] = ids
+            roots, chunks = _chunked(flat, closed)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(closed)), roots, chunks], ["doc_id", "n_tokens", "root", "chunks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col(text).cast("string"))
+    rows = docs.select("doc_id", F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, root binary, chunks array<struct<hash binary, n_ids int, ids binary>>")
 
 
@@ -298,7 +402,8 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
 
     @F.arrow_udf("long")
     def crc_of(crcs: pa.Array, sizes: pa.Array) -> pa.Array:
-        return pa.array(joined_crc([np.array(c, np.int64) for c in crcs.to_pylist()], [np.array(s, np.int64) for s in sizes.to_pylist()]))
+        first = np.concatenate([[0], np.cumsum(np.asarray(crcs.value_lengths()))])
+        return pa.array(joined_crc(np.asarray(crcs.flatten()), np.asarray(sizes.flatten()).astype(np.int64), first))
 
     rows = recipes.join(parts, "part")
     rows = rows.withColumn("recipe_intact", _require(root_holds("root", F.col("chunks.hash")) & F.col("part_intact"), "a recipe doesn't match its root"))
