@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,8 @@ END = 2
 SEEN, MEAN, LEAST, MOST = 8, 512, 128, 4096
 #: Units whose ids a worker remembers before it starts afresh.
 REMEMBERED = 1_500_000
+#: Units of one text that goes to the tokenizer; it is fastest on short ones.
+JOINED = 100
 ROWS_OF_PART = 20_000
 
 
@@ -71,7 +74,7 @@ class Encoder:
     The tokenizer's rules always cut before a single space between two other
     characters, so what lies between such spaces are units that can be encoded
     apart. Units are remembered by a 64-bit hash and their length. New ones are
-    encoded in one text, which their bytes tell apart again: a token stands for
+    encoded some to a text, which their bytes tell apart again: a token stands for
     as many bytes as it has letters.
     """
 
@@ -79,6 +82,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # no unit comes twice
         spec = json.loads(definition)
         step = spec.get("pre_tokenizer") or {}
         self.units = step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True) and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
@@ -106,8 +111,11 @@ class Encoder:
         if len(many):
             sizes = end[many] - start[many]
             ends = np.cumsum(sizes)
-            text = data[np.repeat(start[many] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes().decode("utf-8")
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            joined = data[np.repeat(start[many] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
+            borders = [0, *ends[JOINED - 1 : -1 : JOINED].tolist(), int(ends[-1])]
+            texts = [joined[a:b].decode("utf-8") for a, b in zip(borders, borders[1:], strict=False)]
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32)
             reached = np.cumsum(self.bytes[ids])
             stop = np.searchsorted(reached, ends)
             if not (reached[np.minimum(stop, len(reached) - 1)] == ends).all():
