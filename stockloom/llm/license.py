@@ -179,9 +179,11 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
 
 def _table(docs: DataFrame, **columns: list) -> DataFrame:
-    """A small table from values, made by SQL expressions alone."""
-    zipped = F.arrays_zip(*[F.array(*[F.lit(v) for v in values]).alias(name) for name, values in columns.items()])
-    return docs.sparkSession.range(1).select(F.inline(zipped)).toDF(*columns)
+    """A small table of texts and numbers from one literal that SQL functions take apart."""
+    lines = "\n".join("\t".join(v if isinstance(v, str) else repr(v) for v in row) for row in zip(*columns.values(), strict=True))
+    cells = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(lines), "\n")).alias("line")).select(F.split("line", "\t").alias("cells"))
+    numbers = {name: bool(values) and not isinstance(values[0], str) for name, values in columns.items()}
+    return cells.select(*[(F.col("cells")[k].cast("double") if numbers[name] else F.col("cells")[k]).alias(name) for k, name in enumerate(columns)])
 
 
 def paragraphs(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
