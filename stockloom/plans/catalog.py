@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import folds
-from ..operators import forecast, monitoring, policy, reliability, timeseries
+from ..operators import forecast, learning, monitoring, policy, reliability, remediation, replay, timeseries
 from ..operators.timeseries import ITEM
 from . import oracle
 from .warehouse import Warehouse
@@ -489,6 +489,83 @@ _add(
     lambda w: monitoring.training_rows_known(w.weekly_frame.where("target is not null"), w.weekly_frame.where("t % 13 = 0").select(F.col("t").alias("origin")).distinct()),
 )
 
+# --- remediation -----------------------------------------------------------------------
+
+_add("rem_dead_dispositions", lambda w: remediation.dead_dispositions(w.stg("item_master"), w.stg("inventory_transactions"), w.params))
+_add("rem_duplicate_decisions", lambda w: remediation.duplicate_decisions(w.crosswalk))
+_add(
+    "rem_supplier_aliases",
+    lambda w: remediation.supplier_aliases(w.stg("supplier_master")),
+    "select supplier_id as alias_supplier_id, least_id as canonical_supplier_id from (select supplier_id, min(supplier_id) over (partition by supplier_name_norm) as least_id from stg_supplier_master) where supplier_id > least_id",
+)
+_add("rem_uom_conversions", lambda w: remediation.missing_conversions(w.rule(5), {"BOX": 12.0}), "select distinct item_number, purchase_uom, stock_uom, 12::double as conversion from dq_05")
+_add(
+    "rem_lead_times",
+    lambda w: remediation.lead_times(w.stg("purchase_orders"), w.stg("item_master")),
+    """
+select item_number, median(actual_lead_days)::double as median_actual_lead_days, quantile_cont(actual_lead_days, 0.8) as p80_actual_lead_days, count(*) as sample_size, any_value(master_lead_time_days) as master_lead_time_days,
+  round_even(median(actual_lead_days), 0)::int as recommended_lead_days
+from stg_purchase_orders join stg_item_master using (item_number) where received_date is not null and not is_rush group by 1 having count(*) >= 3""",
+    ("p80_actual_lead_days",),
+)
+_add(
+    "rem_chronic_adjustments",
+    lambda w: remediation.chronic_adjustments(w.stg("inventory_transactions"), w.stg("bill_of_materials"), w.stg("bom_change_log"), w.params),
+    f"""
+select item_number, count(*) as adj_count_12m, sum(qty) as net_qty, -sum(qty) / 12 as implied_monthly, item_number in (select component_item from stg_bill_of_materials) as on_bom,
+  if(item_number in (select component_item from stg_bom_change_log), 'BOM omission', 'Keying') as root_cause
+from stg_inventory_transactions where txn_type = 'ADJUST' and qty < 0 and txn_date > {oracle._END} - {oracle.P.chronic_days} and txn_date <= {oracle._END} and ifnull(reason_code, '') not in ('COUNT', 'CYCLE')
+group by 1 having count(*) >= {oracle.P.chronic_adjustments}""",
+    ("implied_monthly",),
+)
+_add(
+    "rem_closures",
+    lambda w: remediation.closures(w.stg("purchase_orders"), w.stg("production_orders"), w.params.history_end, w.params),
+    f"""
+select 'PO' as document_type, po_id as document_id, line from stg_purchase_orders where status = 'OPEN' and {oracle._END} - order_date > {oracle.P.phantom_days}
+union all by name select 'JOB' as document_type, order_id as document_id from raw_production_orders where status = 'OPEN' and completed_date is not null""",
+)
+_add(
+    "rem_spreadsheet",
+    lambda w: remediation.spreadsheet_reconciliation(w.stg("buyer_spreadsheet"), w.position, w.crosswalk),
+    """
+select b.item_ref as item_number, b.on_hand_estimate, i.on_hand_units, case when abs(on_hand_estimate - on_hand_units) is null then 'no figure' when abs(on_hand_estimate - on_hand_units) <= 0.2 * greatest(on_hand_units, 1) then 'agrees' else 'differs' end as verdict
+from stg_buyer_spreadsheet b left join crosswalk x on x.item_number = b.item_ref left join inventory i on i.canonical_item_number = ifnull(x.canonical_item_number, b.item_ref)""",
+)
+
+# --- replay and learning ---------------------------------------------------------------
+
+
+def _replayed(w: Warehouse) -> DataFrame:
+    needs = _origin_needs(w)
+    level = F.col("daily") * F.col("corrected_lead_days") + 2 * F.col("sigma")
+    return replay.replay(w.weekly_grid, needs.select(ITEM, F.col("corrected_lead_days").alias("lead"), level.alias("level"), "lot"))
+
+
+_add("sim_replay", lambda w: _replayed(w).groupBy(ITEM).agg(*[F.round(F.sum(c), 6).alias(c) for c in ("demand", "shipped", "ordered")], F.round(F.max("backlog"), 6).alias("worst_backlog")))
+_add("sim_window_metrics", lambda w: replay.window_metrics(_replayed(w), 1800, 2100))
+
+TEST_FROM = 300
+
+
+def _learning_frame(w: Warehouse) -> DataFrame:
+    return learning.with_attributes(w.weekly_frame, w.attributes)
+
+
+_add("ml_candidates", lambda w: learning.candidates(w.attributes.sparkSession, _learning_frame(w), TEST_FROM))
+_add("ml_learning_curve", lambda w: learning.learning_curve(w.attributes.sparkSession, _learning_frame(w), TEST_FROM))
+_add("ml_importance", lambda w: learning.importance(w.attributes.sparkSession, _learning_frame(w), TEST_FROM))
+
+
+def _tiers(w: Warehouse) -> DataFrame:
+    series = {"recorded": w.usage.where(F.col("item_number") == F.col(ITEM)), "merged": w.usage}
+    grids = {k: timeseries.dense(u.groupBy(ITEM, "week").agg(F.sum("units").alias("consumption")), w.attributes, "week") for k, u in series.items()} | {"clean": w.weekly_grid}
+    frames = {k: learning.with_attributes(timeseries.weekly_frame(g, w.attributes), w.attributes) for k, g in grids.items()}
+    return learning.cleaning_tiers(w.attributes.sparkSession, frames, TEST_FROM)
+
+
+_add("ml_cleaning_tiers", _tiers)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, folder, n=name: run(n, spark, folder)) for name in CATALOG}

@@ -90,9 +90,9 @@ from crosswalk x qualify count(*) over (partition by x.canonical_item_number) >
     "dq_05": "select item_number, x.item_id, item_class, purchase_uom, stock_uom, standard_cost from live join crosswalk x using (item_number) where purchase_uom is distinct from stock_uom and uom_conversion is null",
     "dq_06": """
 select item_number, item_class, isnull(standard_cost) as missing_standard_cost, isnull(reorder_point) as missing_reorder_point, isnull(primary_supplier_id) as missing_supplier
-from (select *, standard_cost + reorder_point as both from live) where both is null or primary_supplier_id is null""".replace("isnull(standard_cost)", "standard_cost is null").replace("isnull(reorder_point)", "reorder_point is null").replace("isnull(primary_supplier_id)", "primary_supplier_id is null"),
+from (select *, standard_cost + reorder_point as filled from live) where filled is null or primary_supplier_id is null""".replace("isnull(standard_cost)", "standard_cost is null").replace("isnull(reorder_point)", "reorder_point is null").replace("isnull(primary_supplier_id)", "primary_supplier_id is null"),
     "dq_07": "select product_number, component_item, qty_per, change_date from stg_bom_change_log l where not exists (from stg_bill_of_materials b where (b.product_number, b.component_item) = (l.product_number, l.component_item))",
-    "dq_08": "select supplier_id, supplier_name, supplier_name_norm, count(*) over same as n_records from stg_supplier_master qualify count(*) over same > 1 window same as (partition by supplier_name_norm)",
+    "dq_08": "select supplier_id, supplier_name, supplier_name_norm, count(*) over same as n_records from stg_supplier_master window same as (partition by supplier_name_norm) qualify count(*) over same > 1",
     "dq_09": """
 select t.txn_id, t.item_number, t.txn_date, t.qty, t.reason_code from stg_inventory_transactions t
 where t.txn_type = 'ADJUST' and t.qty < 0 and (t.reason_code is null or not t.reason_code in ('COUNT', 'CYCLE')) and t.item_number in (select item_number from raw_chronic_adjustment_list where root_cause like 'BOM%')""",
@@ -219,5 +219,5 @@ def query(sql: str, doubles: tuple[str, ...] = (), digits: int = 6) -> str:
     collect(sql, ())
     # a text literal may hold a view's name; an unused view costs nothing
     views = ",\n".join(f"{n} as materialized ({_definition(n)})" for n in order)
-    rounded = f"select * replace ({', '.join(f'round({c}, {digits}) as {c}' for c in doubles)}) from ({sql})" if doubles else sql
-    return f"with {views}\n{rounded}" if order else rounded
+    columns = f"* replace ({', '.join(f'round({c}, {digits}) as {c}' for c in doubles)})" if doubles else "*"
+    return f"with {views}\nselect {columns} from ({sql})"
