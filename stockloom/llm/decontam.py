@@ -38,34 +38,40 @@ from .text import ALNUM, buffers, mix, slices, words
 
 #: Edits allowed, as a share of an item's words.
 EDITS = 0.2
-RECALL, SAMPLED, MOST_REPETITIONS = 0.995, 3, 64
+RECALL, SAMPLED, MOST_REPETITIONS = 0.995, 4, 96
 #: Sizes of one class differ by less than this factor; windows of a class have its least size.
 CLASS = 1.3
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is searched in blocks of this size.
 BLOCK_BYTES = 8 << 20
 
 
-def _bit(hashes: np.ndarray, step: int, seed: int) -> np.ndarray:
-    """A random bit of the step for every word."""
-    return mix(hashes + np.uint64((seed * 0x9E3779B97F4A7C15 + step * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)
+def walks(r: np.random.Generator, repetitions: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every repetition: a random odd factor a step, whose product with a word decides whether the pointer moves on, and which steps are sampled."""
+    factors = (r.integers(0, 1 << 63, (repetitions, size), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    sampled = np.zeros((repetitions, size), bool)
+    for row in sampled:
+        row[r.choice(size, min(SAMPLED, size), replace=False)] = True
+    return factors, sampled
 
 
-def embed(hashes: np.ndarray, at: np.ndarray, stop: np.ndarray, size: int, seed: int, sample: np.ndarray) -> np.ndarray:
-    """Key of every window: what the walk of ``seed`` reads at the sampled steps.
+def embed(hashes: np.ndarray, at: np.ndarray, stop: np.ndarray, factors: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+    """Keys [repetitions, windows]: what each walk reads of each window at its sampled steps.
 
-    A window begins at word ``at`` and has up to ``size`` words, all before
-    ``stop``; beyond its end the walk reads a filler.
+    A window begins at word ``at`` and ends before ``stop``; beyond its end the walk reads a filler.
     """
-    pointer = at.copy()
-    end = np.minimum(stop, at + size)
-    key = np.zeros(len(at), np.uint64)
-    wanted = set(sample.tolist())
-    for step in range(int(sample[-1]) + 1):
-        inside = pointer < end
-        symbol = np.where(inside, hashes[np.minimum(pointer, len(hashes) - 1)], np.uint64(1))
-        if step in wanted:
-            key = mix(key * np.uint64(31) + symbol + np.uint64(step))
-        pointer += (_bit(symbol, step, seed).astype(bool) & inside).astype(np.int64)
+    repetitions, steps = factors.shape
+    pointer = np.repeat(at[None, :], repetitions, axis=0)
+    key = np.zeros(pointer.shape, np.uint64)
+    filled = np.append(hashes, np.uint64(1))
+    filler = len(hashes)
+    for step in range(steps):
+        symbol = filled[np.where(pointer < stop, pointer, filler)]
+        rows = np.flatnonzero(sampled[:, step])
+        if len(rows):
+            key[rows] = mix(key[rows] * np.uint64(31) + symbol[rows] + np.uint64(step))
+        symbol *= factors[:, step, None]
+        symbol >>= np.uint64(63)
+        pointer += symbol.astype(np.int64)
     return key
 
 
@@ -97,8 +103,8 @@ class Class:
     """Items of about one size: their tables for candidate search."""
 
     size: int
-    items: np.ndarray
-    samples: list[tuple[int, np.ndarray]]
+    factors: np.ndarray
+    sampled: np.ndarray
     keys: list[tuple[np.ndarray, np.ndarray]]  # by repetition: sorted keys, item of each
     vocabulary: np.ndarray  # bitmap over the words' low bits
     known_least: int
@@ -108,13 +114,20 @@ class Class:
 class Index:
     ids: list
     hashes: list[np.ndarray]
-    edits: list[int]
+    sizes: np.ndarray
+    edits: np.ndarray
     classes: list[Class]
+    members: np.ndarray  # bitmap over pairs of an item and one of its words
 
 
 BITS = 20
 
 
+def _pair_bits(words_of: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Place of a word and an item in a bitmap of 2 ** (BITS + 2)."""
+    return (mix(words_of + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62 - BITS)).astype(np.int64)
+
+
 def _edited(r: np.random.Generator, item: np.ndarray, edits: int) -> np.ndarray:
     """``item`` after so many random substitutions, deletions and insertions of words."""
     out = item.tolist()
@@ -134,80 +147,88 @@ def build(ids: list, texts: list[str], recall: float = RECALL, seed: int = 3) ->
     data, offsets = buffers(pa.array([t or "" for t in texts], pa.large_string()))
     found = words(data, offsets, ALNUM)
     hashes = [found.hash[found.first[k] : found.first[k + 1]] for k in range(len(texts))]
-    edits = [int(EDITS * len(h)) for h in hashes]
-    some = sorted((k for k in range(len(texts)) if len(hashes[k])), key=lambda k: (len(hashes[k]), k))
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    edits = (EDITS * sizes).astype(np.int64)
+    some = sorted((k for k in range(len(texts)) if sizes[k]), key=lambda k: (sizes[k], k))
     classes, at = [], 0
     r = np.random.default_rng(seed)
     while at < len(some):
-        size = len(hashes[some[at]])
-        members = [k for k in some[at:] if len(hashes[k]) < max(size + 1, size * CLASS)]
+        size = int(sizes[some[at]])
+        members = [k for k in some[at:] if sizes[k] < max(size + 1, size * CLASS)]
         at += len(members)
         flat = np.concatenate([hashes[k] for k in members])
-        first = np.concatenate([[0], np.cumsum([len(hashes[k]) for k in members])])
+        first = np.concatenate([[0], np.cumsum(sizes[members])])
+        factors, sampled = walks(r, MOST_REPETITIONS, size)
         # how often members with the edits allowed still agree with themselves on a sample
-        tries = [(k, _edited(r, hashes[k], edits[k])) for k in (members * (1 + 256 // len(members)))[:256]]
-        changed = np.concatenate([t for _, t in tries])
+        tries = [(k, _edited(r, hashes[members[k]], int(edits[members[k]]))) for k in (list(range(len(members))) * (1 + 256 // len(members)))[:256]]
         starts = np.concatenate([[0], np.cumsum([len(t) for _, t in tries])])
-        own = np.array([first[members.index(k)] for k, _ in tries])
-        own_stop = np.array([first[members.index(k) + 1] for k, _ in tries])
-        steps = np.arange(2 * size)
-        samples, missed = [], np.ones(len(tries))
-        for repetition in range(MOST_REPETITIONS):
-            walk = seed * 1000 + repetition
-            sample = np.sort(r.choice(steps, min(SAMPLED, len(steps)), replace=False))
-            samples.append((walk, sample))
-            agree = embed(flat, own, own_stop, size, walk, sample) == embed(changed, starts[:-1], starts[1:], size, walk, sample)
-            missed *= ~agree
-            if missed.mean() <= 1 - recall:
-                break
-        keys = []
-        for walk, sample in samples:
-            key = embed(flat, first[:-1], first[1:], size, walk, sample)
+        keys = embed(flat, first[:-1], first[1:], factors, sampled)
+        changed = embed(np.concatenate([t for _, t in tries]), starts[:-1], starts[1:], factors, sampled)
+        agree = keys[:, [k for k, _ in tries]] == changed
+        found_by = np.maximum.accumulate(agree, axis=0).mean(axis=1)
+        enough = int(np.argmax(found_by >= recall)) + 1 if (found_by >= recall).any() else MOST_REPETITIONS
+        table = []
+        for key in keys[:enough]:
             order = np.argsort(key, kind="stable")
-            keys.append((key[order], np.array(members)[order]))
+            table.append((key[order], np.array(members)[order]))
         vocabulary = np.zeros(1 << BITS, bool)
         vocabulary[(flat & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
         # a window of the class's size holds at least this many of an item's words
-        known = min(size - edits[k] for k in members)
-        classes.append(Class(size, np.array(members), samples, keys, vocabulary, known))
-    return Index(list(ids), hashes, edits, classes)
+        known = min(size - int(edits[k]) for k in members)
+        classes.append(Class(size, factors[:enough], sampled[:enough], table, vocabulary, known))
+    members = np.zeros(1 << (BITS + 2), bool)
+    for k, h in enumerate(hashes):
+        members[_pair_bits(h, np.full(len(h), k))] = True
+    return Index(list(ids), hashes, sizes, edits, classes, members)
+
+
+def _candidates(index: Index, found, c: Class) -> tuple[np.ndarray, np.ndarray]:
+    """Windows' first words and items that agree on some sample."""
+    n = len(found.hash)
+    low = (found.hash & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    stop_of = np.repeat(found.first[1:], found.counts)
+    known = np.concatenate([[0], np.cumsum(c.vocabulary[low])])
+    at = np.flatnonzero(known[np.minimum(np.arange(n) + c.size, stop_of)] - known[:-1] >= c.known_least)
+    begins, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(at):
+        keys = embed(found.hash, at, np.minimum(stop_of[at], at + c.size), c.factors, c.sampled)
+        for key, (known_keys, known_items) in zip(keys, c.keys, strict=True):
+            lo, hi = np.searchsorted(known_keys, key, "left"), np.searchsorted(known_keys, key, "right")
+            hit = np.flatnonzero(hi > lo)
+            many = (hi - lo)[hit]
+            begins.append(np.repeat(at[hit], many))
+            items.append(known_items[np.repeat(lo[hit], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)])
+    pairs = np.unique(np.concatenate(begins) * len(index.ids) + np.concatenate(items))
+    return pairs // max(1, len(index.ids)), pairs % max(1, len(index.ids))
 
 
 def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(document, item, edits) of all items found in a slice of documents."""
     found = words(data, offsets, ALNUM)
-    n = len(found.hash)
-    if not n:
+    if not len(found.hash):
         return []
-    stop_of = np.repeat(found.first[1:], found.counts)
-    low = (found.hash & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    candidates: set[tuple[int, int]] = set()
-    for c in index.classes:
-        known = np.concatenate([[0], np.cumsum(c.vocabulary[low])])
-        at = np.flatnonzero(known[np.minimum(np.arange(n) + c.size, stop_of)] - known[:-1] >= c.known_least)
-        if not len(at):
-            continue
-        for (walk, sample), (keys, items) in zip(c.samples, c.keys, strict=True):
-            key = embed(found.hash, at, stop_of[at], c.size, walk, sample)
-            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            for w in np.flatnonzero(hi > lo).tolist():
-                begin = int(at[w])
-                candidates.update((begin, int(items[k])) for k in range(lo[w], hi[w]))
     best: dict[tuple[int, int], int] = {}
-    seen: dict[tuple[int, int], int] = {}
-    doc_of = np.searchsorted(found.first, np.arange(n), "right") - 1 if candidates else None
-    for begin, item in sorted(candidates):
-        doc = int(doc_of[begin])
-        if best.get((doc, item)) == 0 or seen.get((doc, item), -1) >= begin:
+    for c in index.classes:
+        begins, items = _candidates(index, found, c)
+        if not len(begins):
             continue
-        size, most = len(index.hashes[item]), index.edits[item]
-        a, b = max(int(found.first[doc]), begin - most), min(int(found.first[doc + 1]), begin + size + 2 * most)
-        edits = edits_within(index.hashes[item].tolist(), found.hash[a:b].tolist(), most)
-        seen[doc, item] = begin + most // 2  # windows that begin nearby see nearly the same text
-        if edits is not None:
-            best[doc, item] = min(edits, best.get((doc, item), edits))
-        else:
-            seen[doc, item] = begin
+        docs = np.searchsorted(found.first, begins, "right") - 1
+        most, size = index.edits[items], index.sizes[items]
+        low, high = np.maximum(found.first[docs], begins - most), np.minimum(found.first[docs + 1], begins + size + 2 * most)
+        # all but the edits of an item's words must be around the window
+        many = high - low
+        near = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        held = index.members[_pair_bits(found.hash[near], np.repeat(items, many))]
+        enough = np.add.reduceat(held.astype(np.int64), np.cumsum(many) - many) >= size - most
+        seen: dict[tuple[int, int], int] = {}
+        for doc, item, begin, a, b, e in zip(*(x[enough].tolist() for x in (docs, items, begins, low, high, most)), strict=True):
+            # windows that begin nearby see nearly the same text
+            if best.get((doc, item)) == 0 or seen.get((doc, item), -1) >= begin:
+                continue
+            edits = edits_within(index.hashes[item].tolist(), found.hash[a:b].tolist(), e)
+            seen[doc, item] = begin if edits is None else begin + e // 2
+            if edits is not None:
+                best[doc, item] = min(edits, best.get((doc, item), edits))
     return [(doc, item, edits) for (doc, item), edits in sorted(best.items())]
 
 
@@ -255,20 +276,24 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_id
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def _without(sent):
+    """Whether a text holds no item of a broadcast index."""
+
+    @F.arrow_udf("boolean")
+    def free(texts: pa.Array) -> pa.Array:
+        keep = np.ones(len(texts), bool)
+        at = 0
+        for part, data, offsets in slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+            keep[[at + doc for doc, _, _ in search(sent.value, data, offsets)]] = False
+            at += len(part)
+        return pa.array(keep)
+
+    return free
+
+
 def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     out = docs
     for index in _index_blocks(items, item_id, text):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.arrow_udf("boolean")
-        def free(texts: pa.Array, sent=sent) -> pa.Array:
-            keep = np.ones(len(texts), bool)
-            at = 0
-            for part, data, offsets in slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
-                keep[[at + doc for doc, _, _ in search(sent.value, data, offsets)]] = False
-                at += len(part)
-            return pa.array(keep)
-
-        out = out.where(free(F.col(text)))
+        out = out.where(_without(docs.sparkSession.sparkContext.broadcast(index))(F.col(text)))
     return out
