@@ -181,6 +181,10 @@ def _listed(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _is(kind: int):
+    return lambda span: span["kind"] == kind
+
+
 def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, spans and n_added of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -195,7 +199,7 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     added = hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     added = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     out = scanned.select("row", "doc_id", "base").join(added, "row", "left")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     extra = F.coalesce("added", F.array().cast(span))
     return out.select(
         "doc_id", *counts,

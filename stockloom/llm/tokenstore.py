@@ -275,8 +275,10 @@ def joined_crc(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.nda
 
     A crc of a whole is the sum of its parts', each moved on by the ids behind it.
     """
-    through = np.cumsum(sizes)
     counts = np.diff(first)
+    if not len(crcs):
+        return np.zeros(len(counts), np.int64)
+    through = np.cumsum(sizes)
     behind = np.repeat(through[np.maximum(first[1:] - 1, 0)], counts) - through
     low, high = _shift_tables()
     moved = _times(crcs.astype(np.uint32), low[behind & 4095])
