@@ -203,7 +203,7 @@ select corr(a, b) as spearman from (select rank() over (order by annual_consumpt
 )
 _add(
     "agg_segment_crosstab",
-    lambda w: w.attributes.groupBy("segment").pivot("abc", ["A", "B", "C"]).agg(F.count("*")).na.fill(0),
+    lambda w: w.attributes.groupBy("segment").pivot("abc", ["A", "B", "C"]).agg(F.count(F.lit(1))).na.fill(0),
     "select segment, count(*) filter (abc = 'A') as \"A\", count(*) filter (abc = 'B') as \"B\", count(*) filter (abc = 'C') as \"C\" from attributes group by segment",
 )
 _add(
