@@ -198,14 +198,12 @@ def paragraphs(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = [f"w{k}" for k in range(len(FAMILIES))]
     weights = _table(docs, gram=model.grams, **{n: [float(v) for v in model.weights[:, k]] for k, n in enumerate(names)})
     summed = grams.join(F.broadcast(weights), "gram").groupBy("doc_id", "text_hash", "line").agg(*[F.sum(n).alias(n) for n in names], F.collect_set("gram").alias("grams"))
-    scores = [(F.col(n) + float(model.bias[k])) / model.temperature for k, n in enumerate(names)]
-    top = F.greatest(*scores)
-    parts = [F.exp(s - top) for s in scores]
-    total = sum(parts[1:], parts[0])
-    best = F.array_max(F.array(*[F.struct((p / total).alias("probability"), F.lit(-k).alias("place")) for k, p in enumerate(parts)]))
-    found = summed.select("doc_id", "text_hash", "line", "grams", best.alias("best"))
-    family = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), 1 - F.col("best.place"))
-    found = found.select("doc_id", "text_hash", "line", "grams", family.alias("family"), F.col("best.probability").alias("probability"))
+    scores = F.array(*[(F.col(n) + float(model.bias[k])) / model.temperature for k, n in enumerate(names)])
+    found = summed.select("doc_id", "text_hash", "line", "grams", scores.alias("scores")).withColumn("top", F.array_max("scores"))
+    # the softmax of the best score, and the first family that has it
+    probability = 1 / F.aggregate("scores", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("top")))
+    family = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position("scores", F.col("top")).cast("int"))
+    found = found.select("doc_id", "text_hash", "line", "grams", family.alias("family"), probability.alias("probability"))
     found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))
     # the predicted paragraphs' pairs of words against those of their family's templates
     listed = [(f, sorted({g for g in _grams(_words(t)) if " " in g})) for f, ts in TEMPLATES.items() for t in ts]
