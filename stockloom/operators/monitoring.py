@@ -19,28 +19,29 @@ def _js(shares: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.sqrt(F.greatest(terms / 2, F.lit(0.0))).alias("distance"))
 
 
-def drift(reference: DataFrame, recent: DataFrame, bins: int = 20) -> DataFrame:
-    """Distance between two samples of each feature (long tables of feature, value), on quantile bins of the reference.
+def drift(values: DataFrame, bins: int = 20) -> DataFrame:
+    """Distance between two samples of each feature, on quantile bins of the reference.
 
-    Values are log1p'd; edges are exact quantiles, equal ones taken together,
-    and the outer bins are open. With fewer than three edges bins are of equal
-    width between the reference's least and greatest value.
+    ``values`` is long: feature, value and is_reference. Values are log1p'd;
+    edges are exact quantiles, equal ones taken together, and the outer bins
+    are open. With fewer than three edges bins are of equal width between the
+    reference's least and greatest value.
     """
-    scaled = lambda df: df.where(F.col("value").isNotNull()).select("feature", F.log1p(F.greatest("value", F.lit(0.0))).alias("v"))
-    a, b = scaled(reference), scaled(recent)
+    scaled = values.where(F.col("value").isNotNull()).select("feature", "is_reference", F.log1p(F.greatest("value", F.lit(0.0))).alias("v"))
+    # equal values are counted once, so what meets per feature is its distinct values
+    counted = scaled.groupBy("feature", "v").agg(F.count(F.when(F.col("is_reference"), 1)).alias("n_p"), F.count(F.when(~F.col("is_reference"), 1)).alias("n_q"))
     points = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = a.groupBy("feature").agg(F.array_distinct(F.percentile("v", points)).alias("quantiles"), F.min("v").alias("low"), F.max("v").alias("high"))
+    edges = counted.where("n_p > 0").groupBy("feature").agg(F.array_distinct(F.percentile("v", points, F.col("n_p"))).alias("quantiles"), F.min("v").alias("low"), F.max("v").alias("high"))
     even = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda k: F.col("low") + (F.col("high") - F.col("low")) * k / bins)
     edges = edges.select("feature", F.when(F.size("quantiles") < 3, even).otherwise(F.col("quantiles")).alias("edges"))
-    inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    edges = F.broadcast(edges.select("feature", inner.alias("inner")))  # one row a feature
-
-    def binned(df: DataFrame, name: str) -> DataFrame:
-        cell = F.size(F.filter("inner", lambda e: e <= F.col("v")))
-        return df.join(edges, "feature").groupBy("feature", cell.alias("bin")).agg(F.count("*").alias(name))
-
-    every = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("bin"))
-    counts = every.join(binned(a, "n_p"), ["feature", "bin"], "left").join(binned(b, "n_q"), ["feature", "bin"], "left").na.fill(0, ["n_p", "n_q"])
+    edges = edges.select("feature", F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))).alias("inner"))
+    cell = F.size(F.filter("inner", lambda e: e <= F.col("v")))
+    # one row a feature is joined
+    found = counted.join(F.broadcast(edges), "feature").groupBy("feature", "inner", cell.alias("bin")).agg(F.sum("n_p").alias("n_p"), F.sum("n_q").alias("n_q"))
+    whole = found.groupBy("feature", "inner").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("n_p", "n_q")))).alias("by_bin"))
+    every = whole.select("feature", "by_bin", F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("bin"))
+    none = F.lit(0).cast("bigint")
+    counts = every.select("feature", "bin", *[F.coalesce(F.col("by_bin")[F.col("bin")][n], none).alias(n) for n in ("n_p", "n_q")])
     return _js(counts, ["feature"])
 
 
@@ -51,9 +52,9 @@ def category_drift(reference: DataFrame, recent: DataFrame, column: str) -> Data
     return _js(counts.withColumn("feature", F.lit(column)), ["feature"])
 
 
-def long_features(frame: DataFrame, features: list[str]) -> DataFrame:
+def long_features(frame: DataFrame, features: list[str], keep: list[Column]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
-    return frame.select(F.inline(pairs))
+    return frame.select(*keep, F.inline(pairs))
 
 
 def accuracy_by(scored: DataFrame, by: list[str], least: int = 0) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 ITEM = "canonical_item_number"
 SCHEMA = f"{ITEM} string, day int, demand double, shipped double, on_hand double, on_order double, backlog double, ordered double"
 
@@ -48,6 +50,7 @@ def replay(grid: DataFrame, policy: DataFrame) -> DataFrame:
 
     ``grid`` has weekly demand, ``policy`` lead (days), level and lot of each item.
     """
+    ship(grid.sparkSession)
     return grid.select(ITEM, "t", "s").join(policy, ITEM).groupBy(ITEM).applyInPandas(_replay, SCHEMA)
 
 

@@ -51,30 +51,28 @@ def weekly_frame(grid: DataFrame, attributes: DataFrame, period: str = "week", s
     """One row per item and origin: features of the weeks before it, the target from it on.
 
     The horizon is the item's own lead time in weeks. Sums over it, now and a
-    year before, are differences of running totals, looked up by position; a
-    target whose horizon isn't closed is null.
+    year before, are differences of the item's running totals, looked up by
+    position within the one window partition; a target whose horizon isn't
+    closed is null.
     """
     horizon = attributes.select(ITEM, periods_of_lead(F.col("corrected_lead_days"), 7).alias("h"))
     rows = grid.join(horizon, ITEM)
+    order = Window.partitionBy(ITEM).orderBy("t")
     rows = rows.select(
         ITEM, "t", period, "h", "s",
-        F.coalesce(F.sum("s").over(_before()), F.lit(0.0)).alias("total"),
+        F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("through"),
         *[trailing_sum(k).alias(f"s{k}") for k in (4, 13, 26, 52)],
         *[trailing_nonzero(k).alias(f"nz{k}") for k in (13, 52)],
         since_nonzero().alias("since_nz"), trailing_variation(13).alias("cv13"),
     )
-    totals = rows.select(ITEM, F.col("t").alias("at"), F.col("total").alias("then"))
-    # the total after the last week, too
-    last = rows.groupBy(ITEM).agg(F.max_by(F.struct((F.col("t") + 1).alias("at"), (F.col("total") + F.col("s")).alias("then")), "t").alias("x")).select(ITEM, "x.at", "x.then")
-    totals = totals.unionByName(last)
-    look = lambda df, name, at: df.join(totals.select(ITEM, F.col("at").alias(f"__{name}_at"), F.col("then").alias(name)).withColumnRenamed(ITEM, f"__{name}_item"), (F.col(ITEM) == F.col(f"__{name}_item")) & (at == F.col(f"__{name}_at")), "left").drop(f"__{name}_at", f"__{name}_item")
-    out = rows.where(F.col("t") >= start)
-    out = look(out, "ahead", F.col("t") + F.col("h"))
-    out = look(out, "year_ago", F.col("t") - start)
-    out = look(out, "year_ago_end", F.least(F.col("t") - start + F.col("h"), F.col("t")))
-    return out.select(
-        ITEM, "t", period, "h", (F.col("ahead") - F.col("total")).alias("target"), "s4", "s13", "s26", "s52", "nz13", "nz52", "since_nz", "cv13",
-        (F.col("s4") / 4 - F.col("s13") / 13).alias("trend"), (F.col("year_ago_end") - F.col("year_ago")).alias("ly"), (F.col("total") / F.col("t")).alias("mean_all"),
+    # element t of the running totals is the sum before week t
+    totals = F.collect_list("through").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("totals", totals).where(F.col("t") >= start)
+    before = lambda t: F.when(t < 1, 0.0).otherwise(F.try_element_at("totals", F.greatest(t, F.lit(1)).cast("int")))
+    t, h = F.col("t"), F.col("h")
+    return rows.select(
+        ITEM, "t", period, "h", (before(t + h) - before(t)).alias("target"), "s4", "s13", "s26", "s52", "nz13", "nz52", "since_nz", "cv13",
+        (F.col("s4") / 4 - F.col("s13") / 13).alias("trend"), (before(F.least(t - start + h, t)) - before(t - start)).alias("ly"), (before(t) / t).alias("mean_all"),
         F.weekofyear(period).alias("woy"), F.month(period).alias("month"),
     )
 

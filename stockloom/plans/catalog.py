@@ -445,7 +445,7 @@ _add("fin_excess_stock", lambda w: reliability.excess_stock(w.position, policy.r
 # --- monitoring ------------------------------------------------------------------------
 
 _FEATURES = ["s4", "s13", "s26", "s52", "nz13", "nz52", "since_nz", "cv13", "ly", "mean_all"]
-_add("mon_feature_drift", lambda w: monitoring.drift_flags(monitoring.drift(*[monitoring.long_features(w.weekly_frame.where(c), _FEATURES) for c in ("t < 260", "t >= 260")]), w.params), None, ("distance",))
+_add("mon_feature_drift", lambda w: monitoring.drift_flags(monitoring.drift(monitoring.long_features(w.weekly_frame, _FEATURES, [(F.col("t") < 260).alias("is_reference")])), w.params), None, ("distance",))
 _add(
     "mon_class_drift",
     lambda w: monitoring.category_drift(w.stg("inventory_transactions").where("txn_date < '2000-01-01'"), w.stg("inventory_transactions").where("txn_date >= '2000-01-01'"), "txn_type"),

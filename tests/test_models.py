@@ -106,7 +106,7 @@ def test_smoothing(spark):
 
 
 def test_sticky_values(spark):
-    assert one(spark, folds.sticky(F.col("v"), 0.2), v=[100.0, 120.0, 120.01, 97.0, 0.0, 5.0]) == [100.0, 100.0, 120.01, 97.0, 0.0, 5.0]
+    assert one(spark, folds.sticky(F.col("v"), 0.2), v=[100.0, 120.0, 120.01, 97.0, 96.0, 0.0, 5.0]) == [100.0, 100.0, 120.01, 120.01, 96.0, 0.0, 5.0]
     assert one(spark, folds.share_changed(F.col("v"), 0.2), v=[100.0, 120.0, 150.0, 0.0, 7.0]) == 2
 
 
@@ -177,9 +177,9 @@ def test_backtest_origins(spark):
 
 def test_drift(spark):
     r = np.random.default_rng(2)
-    make = lambda v, f: spark.createDataFrame([(f, float(x)) for x in v], "feature string, value double")
+    both = lambda v, w: spark.createDataFrame([("x", float(x), ref) for ref, z in ((True, v), (False, w)) for x in z], "feature string, value double, is_reference boolean")
     a = r.gamma(2.0, 10.0, 400)
-    same = monitoring.drift(make(a, "x"), make(a, "x")).first().distance
+    same = monitoring.drift(both(a, a)).first().distance
     b = a + 40
     v, w = np.log1p(a), np.log1p(b)
     edges = np.unique(np.quantile(v, np.linspace(0, 1, 21)))[1:-1]
@@ -188,9 +188,9 @@ def test_drift(spark):
     m = (p + q) / 2
     want = np.sqrt((p * np.log2(p / m) + q * np.log2(q / m)).sum() / 2)
     assert same == pytest.approx(0, abs=1e-7)
-    assert monitoring.drift(make(a, "x"), make(b, "x")).first().distance == pytest.approx(want, abs=1e-9)
-    constant = make([3.0] * 10, "c")
-    assert monitoring.drift(constant, constant).first().distance == pytest.approx(0, abs=1e-6)
+    assert monitoring.drift(both(a, b)).first().distance == pytest.approx(want, abs=1e-9)
+    constant = [3.0] * 10
+    assert monitoring.drift(both(constant, constant)).first().distance == pytest.approx(0, abs=1e-6)
 
 
 def test_loss_table_and_fill_factor(spark):
