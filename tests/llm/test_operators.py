@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stockloom.llm import cnn, decontam, fingerprint, gru, hmm, jaccard, langid, license, mixing, pii, queries, tokenstore, toxicity
 from stockloom.llm.common import fold
-from stockloom.llm.text import ALNUM, NOT_SPACE, buffers, shingles, words
+from stockloom.llm.text import NOT_SPACE, buffers, shingles, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
