@@ -175,3 +175,20 @@ def error_register(flagged: list[DataFrame], scopes: dict[str, DataFrame]) -> Da
     # the bill of materials in scope has the omitted lines as well
     total = F.when(F.col("error_no") == 7, F.col("rows_in_scope") + F.col("rows_flagged")).otherwise(F.col("rows_in_scope"))
     return out.select("error_no", "error", "erp_table", "rows_flagged", total.alias("rows_in_scope"))
+
+
+def rows_with_errors(scopes: list[tuple[str, DataFrame, list[str], list[DataFrame]]]) -> DataFrame:
+    """For each table the rows that carry at least one error, and the rows in scope.
+
+    ``scopes`` has a name, the table, its key and the flagged rows of its errors.
+    """
+    out = None
+    for name, table, key, flagged in scopes:
+        bad = None
+        for rows in flagged:
+            keys = rows.select(*key)
+            bad = keys if bad is None else bad.unionByName(keys)
+        found = table.join(bad.distinct().withColumn("__bad", F.lit(1)), key, "left").agg(F.count("__bad").alias("rows_with_error"), F.count("*").alias("rows_in_scope"))
+        found = found.select(F.lit(name).alias("erp_table"), "rows_with_error", "rows_in_scope")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -186,3 +186,25 @@ def weekday_share(rows: DataFrame, day: str) -> DataFrame:
     """Rows by weekday and their share of all."""
     counted = rows.where(F.col(day).isNotNull()).groupBy(F.date_format(day, "EEEE").alias("weekday")).agg(F.count("*").alias("n"))
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def trust_measures(resolved: DataFrame, orders: DataFrame, jobs: DataFrame, ledger: DataFrame, p: Params) -> DataFrame:
+    """Shares by which records can be trusted, one row a measure."""
+    live = resolved.where(~F.col("is_dead"))
+    vague = F.col("reason_code").isNull() | F.col("reason_code").isin("ADJ", "VAR", "MISC", "COUNT")
+    old = (F.col("status") == "OPEN") & (F.datediff(F.lit(p.history_end).cast("date"), "order_date") > p.phantom_days)
+    part = lambda condition: F.avg(F.when(condition, 1.0).otherwise(0.0)).alias("share")
+    measures = {
+        "items without a cost": live.agg(part(F.col("standard_cost").isNull())),
+        "items without a reorder point": live.agg(part(F.col("reorder_point").isNull())),
+        "records that another one replaces": live.agg(part(~F.col("is_survivor"))),
+        "adjustments without a clear reason": ledger.where(F.col("txn_type") == "ADJUST").agg(part(vague)),
+        "order lines open too long": orders.agg(part(old)),
+        "order lines under generic codes": orders.agg(part(F.col("is_generic_item"))),
+        "finished jobs left open": jobs.agg(part((F.col("status") == "OPEN") & F.col("completed_date").isNotNull())),
+    }
+    out = None
+    for name, df in measures.items():
+        row = df.select(F.lit(name).alias("measure"), "share")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -162,3 +162,28 @@ def spearman(values: DataFrame, a: str, b: str) -> DataFrame:
         return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
 
     return values.select(ranks(a).alias("ra"), ranks(b).alias("rb")).agg(F.corr("ra", "rb").alias("spearman"))
+
+
+def visible_demand(jobs: DataFrame, key: str, qty: str, ahead: int = 30) -> DataFrame:
+    """Demand due within ``ahead`` days after each month's first day that was released by then.
+
+    A job counts at the few month starts that lie between its bounds, so it is
+    exploded to them and nothing is joined by range.
+    """
+    earliest = F.greatest(F.col("release_date"), F.date_sub("due_date", ahead))
+    first = F.when(F.trunc(earliest, "month") == earliest, earliest).otherwise(F.add_months(F.trunc(earliest, "month"), 1))
+    last = F.date_sub("due_date", 1)
+    rows = jobs.withColumn("first", first).where(F.col("first") <= last)
+    rows = rows.withColumn("origin", F.explode(F.sequence(F.col("first"), last, F.expr("interval 1 month"))))
+    return rows.groupBy(key, "origin").agg(F.sum(qty).cast("bigint").alias("visible"))
+
+
+def trailing_mean(k: int, least: int) -> Column:
+    """Mean of the k periods before the origin, null until ``least`` have passed."""
+    return F.when(F.col("t") >= least, F.avg("s").over(_before(k)))
+
+
+def growth(grid: DataFrame, periods_a_year: int = 12) -> DataFrame:
+    """Linear trend of each item as a share of its mean a year; null without demand."""
+    out = grid.groupBy(ITEM).agg(F.regr_slope("s", F.col("t").cast("double")).alias("slope"), F.avg("s").alias("mean"))
+    return out.select(ITEM, F.try_divide(F.col("slope") * periods_a_year, "mean").alias("growth"))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import folds
-from ..operators import forecast, learning, monitoring, policy, reliability, remediation, replay, timeseries
+from ..functions.measures import periods_of_lead
+from ..operators import forecast, learning, monitoring, policy, quality, reliability, remediation, replay, timeseries
 from ..operators.timeseries import ITEM
 from . import oracle
 from .warehouse import Warehouse
@@ -185,6 +186,51 @@ _add(
     "select b.product_number, count(s.item_number) > 0 as has_stale_part, count(s.item_number) as stale_parts from stg_bill_of_materials b left join dq_03 s on s.item_number = b.component_item group by 1",
 )
 
+_add(
+    "join_visible_demand",
+    lambda w: timeseries.visible_demand(w.stg("production_orders"), "product_number", "qty_ordered"),
+    """
+select product_number, m.origin, sum(qty_ordered)::bigint as visible from raw_production_orders j
+join (select unnest(generate_series(date '1994-01-01', date '2003-12-01', interval 1 month))::date as origin) m on j.release_date <= m.origin and j.due_date > m.origin and j.due_date <= m.origin + 30
+group by all""",
+)
+_add(
+    "win_trailing_year",
+    lambda w: w.weekly_grid.select(ITEM, "t", timeseries.trailing_mean(52, 13).alias("mean52")),
+    "select canonical_item_number, t, if(t >= 13, avg(s) over past, null) as mean52 from grid " + _PAST.format(52),
+    ("mean52",),
+)
+_add(
+    "agg_growth",
+    lambda w: timeseries.growth(w.monthly_grid),
+    "select canonical_item_number, if(avg(s) = 0, null, regr_slope(s, t) * 12 / avg(s)) as growth from monthly group by 1",
+    ("growth",),
+)
+_add(
+    "dq_rows_with_errors",
+    lambda w: quality.rows_with_errors([
+        ("Item master", w.stg("item_master"), ["item_number"], [w.rule(n) for n in (1, 2, 3, 4, 5, 6)]),
+        ("Inventory ledger", w.stg("inventory_transactions"), ["txn_id"], [w.rule(n) for n in (9, 10, 11, 12, 13)]),
+        ("Purchase orders", w.stg("purchase_orders"), ["po_id", "line"], [w.rule(14), w.rule(15), w.rule(16).where("document_type = 'PO'").withColumnRenamed("document_id", "po_id")]),
+    ]),
+    "select 'Item master' as erp_table, count(*) filter (item_number in (" + " union ".join(f"select item_number from dq_{n:02d}" for n in range(1, 7)) + """)) as rows_with_error, count(*) as rows_in_scope from stg_item_master
+union all select 'Inventory ledger', count(*) filter (txn_id in (""" + " union ".join(f"select txn_id from dq_{n:02d}" for n in range(9, 14)) + """)), count(*) from stg_inventory_transactions
+union all select 'Purchase orders', count(*) filter ((po_id, line) in (select (po_id, line) from dq_14 union select (po_id, line) from dq_15 union select (document_id, line) from dq_16 where document_type = 'PO')), count(*) from stg_purchase_orders""",
+)
+_add(
+    "fin_trust",
+    lambda w: reliability.trust_measures(w.resolved, w.stg("purchase_orders"), w.stg("production_orders"), w.stg("inventory_transactions"), w.params),
+    f"""
+select 'items without a cost' as measure, count(*) filter (standard_cost is null) / count(*) as share from live
+union all select 'items without a reorder point', count(*) filter (reorder_point is null) / count(*) from live
+union all select 'records that another one replaces', count(*) filter (not is_survivor) / count(*) from live
+union all select 'adjustments without a clear reason', (select count(*) from dq_13) / count(*) from stg_inventory_transactions where txn_type = 'ADJUST'
+union all select 'order lines open too long', count(*) filter (status = 'OPEN' and {oracle._END} - order_date > {oracle.P.phantom_days}) / count(*) from stg_purchase_orders
+union all select 'order lines under generic codes', count(*) filter (is_generic_item) / count(*) from stg_purchase_orders
+union all select 'finished jobs left open', count(*) filter (status = 'OPEN' and completed_date is not null) / count(*) from raw_production_orders""",
+    ("share",),
+)
+
 # --- aggregates ------------------------------------------------------------------------
 
 _add(
@@ -226,13 +272,7 @@ _add(
 
 # --- forecasts -------------------------------------------------------------------------
 
-_horizons = lambda w: w.attributes.select(ITEM, forecast_horizon().alias("h"))
-
-
-def forecast_horizon():
-    from ..functions.measures import periods_of_lead
-
-    return periods_of_lead(F.col("corrected_lead_days"), 30)
+_horizons = lambda w: w.attributes.select(ITEM, periods_of_lead(F.col("corrected_lead_days"), 30).alias("h"))
 
 
 def _forecast(method: str) -> Build:
