@@ -37,7 +37,7 @@ from .text import NOT_SPACE, buffers, mix, shingles, slices, words
 SIZE, THRESHOLD = 5, 0.8
 #: MinHash values of a class; BANDS bands of ROWS of them make buckets; compared STEP at a time.
 VALUES, BANDS, ROWS, STEP = 128, 25, 4, 32
-TOLERANCE = 1e-4
+TOLERANCE = 1e-9
 #: Classes of a block.
 BLOCK = 512
 
