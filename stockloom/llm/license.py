@@ -5,14 +5,18 @@ families and an unknown class apart. It is trained here from notice templates,
 from parts of them too small to mean anything, and from a bounded sample of
 the corpus's own paragraphs; its temperature is calibrated on examples kept
 apart. Scoring uses DataFrame functions only: n-grams are joined with the
-model's weights, which most n-grams don't have, and summed by paragraph. A
-prediction is confirmed where the paragraph holds enough of the word pairs of
-one of its family's templates.
+model's weights, which most n-grams don't have, and summed by stretch: counts
+have no bound, so a paragraph is scored in overlapping stretches of
+``STRETCH`` words, and a notice inside a long one isn't outvoted. A prediction
+is confirmed where the stretch holds enough of the word pairs of one of its
+family's templates. A stretch whose pairs all belong to the notice that an
+overlapping stretch holds more of is a part of that notice and not reported.
 
 Paragraphs are lines. Edge cases: a null or empty text has no paragraph with a
-weight and no licence. Repeated rows are each reported. Of several licensed
-paragraphs the surest confirmed one names the document's licence, ties go to
-the first family by name. An empty table gives an empty result.
+weight and no licence. Repeated rows are each reported. A paragraph counts once
+for every family found in it. Of several licensed paragraphs the surest
+confirmed one names the document's licence, ties go to the first family by
+name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Notices of public licences, by SPDX identifier.
@@ -85,6 +89,8 @@ UNKNOWN = "unknown"
 FAMILIES = (*sorted(TEMPLATES), UNKNOWN)
 #: A word: letters and digits, with points, hyphens or underscores between them; the same in Java and in Python.
 WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
+#: Words of a stretch and from one stretch's begin to the next; a notice of up to STRETCH - STEP + 1 words is whole in one of them.
+STRETCH, STEP = 64, 30
 #: Corpus texts and paragraphs for the unknown class (the classifier is fitted on this bounded sample).
 TEXTS, PARAGRAPHS, LONGEST = 300, 3000, 20_000
 #: Examples of a family, passes, step, weight of the penalty on the weights' absolute values.
@@ -107,6 +113,11 @@ def _words(paragraph: str) -> list[str]:
     return regex.findall(WORD, paragraph.lower())
 
 
+def _stretches(words: list[str]) -> list[list[str]]:
+    """Overlapping stretches of a paragraph's words; the last one ends with it."""
+    return [words[k : k + STRETCH] for k in range(0, max(1, len(words) - STRETCH + STEP), STEP)]
+
+
 def _grams(words: list[str]) -> list[str]:
     return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]
 
@@ -121,8 +132,9 @@ def _examples(r: np.random.Generator, background: list[list[str]]) -> tuple[list
         for k in range(EXAMPLES):
             words = _words(templates[k % len(templates)])
             kept = [w for w in words if r.random() > 0.05 * (k % 3)]
-            # a notice may stand in a line of prose
-            out.append(([*some()[: int(r.integers(0, 30))], *kept, *some()[: int(r.integers(0, 30))]], FAMILIES.index(family)))
+            # a notice may stand anywhere in a stretch of prose
+            before = int(r.integers(0, max(1, STRETCH - len(kept))))
+            out.append(([*some()[:before], *kept, *some()[: int(r.integers(0, max(1, STRETCH - len(kept) - before)))]], FAMILIES.index(family)))
             # too little of one grants nothing
             size = max(1, len(words) // 3)
             at = int(r.integers(0, len(words) - size + 1))
@@ -139,7 +151,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(background: list[str], seed: int = 9) -> Model:
     r = np.random.default_rng(seed)
     notices = [set(_words(t)) for ts in TEMPLATES.values() for t in ts]
-    paragraphs = [w for w in map(_words, background) if not any(len(n & set(w)) >= CONFIRMED * len(n) for n in notices)]
+    paragraphs = [w for p in background for w in _stretches(_words(p)) if not any(len(n & set(w)) >= CONFIRMED * len(n) for n in notices)]
     texts, label = _examples(r, paragraphs)
     # only n-grams of templates can speak for a family, so others need no weight
     known = sorted({g for ts in TEMPLATES.values() for t in ts for g in _grams(_words(t))})
@@ -187,36 +199,55 @@ def _table(docs: DataFrame, **columns: list) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """key columns, line, family, probability, confirmed of every paragraph that the classifier takes for a licence."""
+    """key columns, line, stretch, family, probability, confirmed, template_share and the template's pairs held, of every stretch that the classifier takes for a licence."""
     lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.col(text), "\n")).alias("line", "paragraph"))
     words = lines.select("doc_id", "text_hash", "line", F.regexp_extract_all(F.lower("paragraph"), F.lit(WORD), F.lit(0)).alias("words"))
-    pairs = words.select("doc_id", "text_hash", "line", F.inline(F.arrays_zip(F.col("words").alias("word"), F.slice("words", F.lit(2), F.size("words")).alias("after"))))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - STRETCH) / STEP)).cast("int"))
+    parts = words.select("doc_id", "text_hash", "line", F.posexplode(F.transform(starts, lambda k: F.slice("words", k * STEP + 1, STRETCH))).alias("stretch", "words"))
+    pairs = parts.select("doc_id", "text_hash", "line", "stretch", F.inline(F.arrays_zip(F.col("words").alias("word"), F.slice("words", F.lit(2), F.size("words")).alias("after"))))
     # both tables have at most as many rows as templates have n-grams
     firsts = sorted({g.split(" ")[0] for g in model.grams})
     pairs = pairs.join(F.broadcast(_table(docs, word=firsts)), "word")
-    grams = pairs.select("doc_id", "text_hash", "line", F.explode(F.array(F.col("word"), F.concat("word", F.lit(" "), "after"))).alias("gram"))
+    grams = pairs.select("doc_id", "text_hash", "line", "stretch", F.explode(F.array(F.col("word"), F.concat("word", F.lit(" "), "after"))).alias("gram"))
     names = [f"w{k}" for k in range(len(FAMILIES))]
     weights = _table(docs, gram=model.grams, **{n: [float(v) for v in model.weights[:, k]] for k, n in enumerate(names)})
-    summed = grams.join(F.broadcast(weights), "gram").groupBy("doc_id", "text_hash", "line").agg(*[F.sum(n).alias(n) for n in names], F.collect_set("gram").alias("grams"))
+    summed = grams.join(F.broadcast(weights), "gram").groupBy("doc_id", "text_hash", "line", "stretch").agg(*[F.sum(n).alias(n) for n in names], F.collect_set("gram").alias("grams"))
     scores = F.array(*[(F.col(n) + float(model.bias[k])) / model.temperature for k, n in enumerate(names)])
-    found = summed.select("doc_id", "text_hash", "line", "grams", scores.alias("scores")).withColumn("top", F.array_max("scores"))
+    found = summed.select("doc_id", "text_hash", "line", "stretch", "grams", scores.alias("scores")).withColumn("top", F.array_max("scores"))
     # the softmax of the best score, and the first family that has it
     probability = 1 / F.aggregate("scores", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("top")))
     family = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position("scores", F.col("top")).cast("int"))
-    found = found.select("doc_id", "text_hash", "line", "grams", family.alias("family"), probability.alias("probability"))
+    found = found.select("doc_id", "text_hash", "line", "stretch", "grams", family.alias("family"), probability.alias("probability"))
     found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))
     # the predicted paragraphs' pairs of words against those of their family's templates
     listed = [(f, sorted({g for g in _grams(_words(t)) if " " in g})) for f, ts in TEMPLATES.items() for t in ts]
     templates = _table(docs, family=[f for f, _ in listed], template=[";".join(g) for _, g in listed])
     held = found.join(F.broadcast(templates), "family")
-    share = F.size(F.array_intersect(F.split("template", ";"), "grams")) / F.size(F.split("template", ";"))
-    return held.groupBy("doc_id", "text_hash", "line", "family", "probability").agg((F.max(share) >= CONFIRMED).alias("confirmed"), F.max(share).alias("template_share"))
+    both = held.withColumn("held", F.array_sort(F.array_intersect(F.split("template", ";"), "grams")))
+    best = F.max(F.struct((F.size("held") / F.size(F.split("template", ";"))).alias("share"), "held"))
+    found = both.groupBy("doc_id", "text_hash", "line", "stretch", "family", "probability").agg(best.alias("best"))
+    return found.select(
+        "doc_id", "text_hash", "line", "stretch", "family", "probability", (F.col("best.share") >= CONFIRMED).alias("confirmed"), F.col("best.share").alias("template_share"), "best.held"
+    )
+
+
+def notices(found: DataFrame) -> DataFrame:
+    """One row for every paragraph and family of ``found``, without stretches that hold just a part of what an overlapping one holds."""
+    along = Window.partitionBy("doc_id", "text_hash", "line").orderBy("stretch")
+    part = F.lit(False)
+    for other in (F.lag, F.lead):
+        near = other(F.struct("stretch", "family", "held")).over(along)
+        within = (F.size(F.array_except("held", near["held"])) == 0) & (F.size("held") < F.size(near["held"]))
+        part = part | F.coalesce((F.abs(near["stretch"] - F.col("stretch")) == 1) & (near["family"] != F.col("family")) & within, F.lit(False))
+    kept = found.withColumn("part", part).where(~F.col("part"))
+    best = F.max(F.struct("confirmed", "probability", "template_share"))
+    return kept.groupBy("doc_id", "text_hash", "line", "family").agg(best.alias("best")).select("doc_id", "text_hash", "line", "family", "best.*")
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, license (null: none), probability, n_confirmed, n_unconfirmed and families of every document."""
     keyed = docs.select("doc_id", F.col(text).cast("string").alias(text), F.xxhash64(text).alias("text_hash"))
-    found = paragraphs(keyed, model, text).groupBy("doc_id", "text_hash").agg(
+    found = notices(paragraphs(keyed, model, text)).groupBy("doc_id", "text_hash").agg(
         F.max_by(F.struct("family", "probability"), F.when(F.col("confirmed"), F.struct("probability", "template_share", -F.xxhash64("family")))).alias("best"),
         F.count(F.when(F.col("confirmed"), 1)).alias("n_confirmed"),
         F.count(F.when(~F.col("confirmed"), 1)).alias("n_unconfirmed"),

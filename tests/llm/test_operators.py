@@ -402,6 +402,26 @@ def test_license_scan(spark, edges, nothing):
     assert license.scan(edges, model).count() == len(edge_rows()) and license.scan(nothing, model).count() == 0
 
 
+@pytest.mark.parametrize("size", [300, 1000, 10_000])
+def test_license_notice_inside_one_long_line(spark, size):
+    r = random.Random(size)
+    common = ["the", "in", "of", "is", "with", "to", "and", "a", "this", "for", "use", "by"]
+    say = lambda n: " ".join(r.choice(common) if r.random() < 0.45 else prose(r, 1) for _ in range(n))
+    notices = [(f, t) for f, ts in license.TEMPLATES.items() for t in ts]
+    rows = []
+    for k, (_, notice) in enumerate(notices):
+        before = r.randint(0, size)
+        rows.append((k, f"{say(before)} {notice} {say(size - before)}", "en", "s"))
+    plain = [(1000 + k, say(size), "en", "s") for k in range(30)]
+    both = [(2000, f"{notices[0][1]} {say(size)} {license.TEMPLATES['MIT'][2]} {say(size)}", "en", "s")]
+    docs = table(spark, rows + plain + both)
+    out = {x.doc_id: x for x in license.scan(docs, license.fit(docs)).collect()}
+    assert sum(out[k].license == f for k, (f, _) in enumerate(notices)) >= len(notices) - 1
+    assert sum((out[k].families, out[k].n_confirmed) == (f, 1) for k, (f, _) in enumerate(notices)) >= len(notices) - 1
+    assert all(out[i].license is None for i, _, _, _ in plain)
+    assert out[2000].families == "AGPL-3.0,MIT" and out[2000].n_confirmed == 2
+
+
 # --- 9 token store ----------------------------------------------------------------------------
 
 
