@@ -12,7 +12,8 @@ is confirmed where the stretch holds enough of the word pairs of one of its
 family's templates. A stretch whose pairs all belong to the notice that an
 overlapping stretch holds more of is a part of that notice and not reported.
 
-Paragraphs are lines. Edge cases: a null or empty text has no paragraph with a
+Paragraphs end at blank lines and at lines without a letter or digit, so that
+wrapped notices stay whole. Edge cases: a null or empty text has no paragraph with a
 weight and no licence. Repeated rows are each reported. A paragraph counts once
 for every family found in it. Of several licensed paragraphs the surest
 confirmed one names the document's licence, ties go to the first family by
@@ -89,6 +90,10 @@ UNKNOWN = "unknown"
 FAMILIES = (*sorted(TEMPLATES), UNKNOWN)
 #: A word: letters and digits, with points, hyphens or underscores between them; the same in Java and in Python.
 WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
+#: What parts paragraphs; the same in Java and in Python.
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+#: The end of a line inside a hyphenated word.
+BROKEN = r"(?<=[\p{L}\p{N}])-[ \t\r]*\n[^\p{L}\p{N}\n]*"
 #: Words of a stretch and from one stretch's begin to the next; a notice of up to STRETCH - STEP + 1 words is whole in one of them.
 STRETCH, STEP = 64, 30
 #: Corpus texts and paragraphs for the unknown class (the classifier is fitted on this bounded sample).
@@ -113,6 +118,12 @@ def _words(paragraph: str) -> list[str]:
     return regex.findall(WORD, paragraph.lower())
 
 
+def _paragraphs(text: str) -> list[str]:
+    import regex
+
+    return [regex.sub(BROKEN, "-", p) for p in regex.split(BLANK, text)]
+
+
 def _stretches(words: list[str]) -> list[list[str]]:
     """Overlapping stretches of a paragraph's words; the last one ends with it."""
     return [words[k : k + STRETCH] for k in range(0, max(1, len(words) - STRETCH + STEP), STEP)]
@@ -186,7 +197,8 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     share = TEXTS / max(TEXTS, docs.count())
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(23)), F.lit(1 << 30)) < int(share * (1 << 30))
     rows = docs.where(draw & F.col(text).isNotNull() & (F.length(text) <= LONGEST)).select(F.col(text).cast("string").alias("t")).limit(2 * TEXTS).collect()
-    found = sorted(p for r in rows for p in r.t.split("\n") if p)
+    # stretches, so that the sample holds as much text whatever the paragraphs' sizes
+    found = sorted(" ".join(w) for r in rows for p in _paragraphs(r.t) for w in _stretches(_words(p)) if w)
     return train(found[:: max(1, len(found) // PARAGRAPHS)])
 
 
@@ -200,8 +212,8 @@ def _table(docs: DataFrame, **columns: list) -> DataFrame:
 
 def paragraphs(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """key columns, line, stretch, family, probability, confirmed, template_share and the template's pairs held, of every stretch that the classifier takes for a licence."""
-    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.col(text), "\n")).alias("line", "paragraph"))
-    words = lines.select("doc_id", "text_hash", "line", F.regexp_extract_all(F.lower("paragraph"), F.lit(WORD), F.lit(0)).alias("words"))
+    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.col(text), BLANK)).alias("line", "paragraph"))
+    words = lines.select("doc_id", "text_hash", "line", F.regexp_extract_all(F.lower(F.regexp_replace("paragraph", BROKEN, "-")), F.lit(WORD), F.lit(0)).alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - STRETCH) / STEP)).cast("int"))
     parts = words.select("doc_id", "text_hash", "line", F.posexplode(F.transform(starts, lambda k: F.slice("words", k * STEP + 1, STRETCH))).alias("stretch", "words"))
     pairs = parts.select("doc_id", "text_hash", "line", "stretch", F.inline(F.arrays_zip(F.col("words").alias("word"), F.slice("words", F.lit(2), F.size("words")).alias("after"))))

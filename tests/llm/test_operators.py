@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -422,6 +423,22 @@ def test_license_notice_inside_one_long_line(spark, size):
     assert out[2000].families == "AGPL-3.0,MIT" and out[2000].n_confirmed == 2
 
 
+def test_license_wrapped_notices(spark):
+    r = random.Random(14)
+    notices = [(f, t) for f, ts in license.TEMPLATES.items() for t in ts]
+    rows = []
+    for width, lead in ((72, ""), (78, " * "), (72, "# "), (40, "// ")):
+        for f, notice in notices:
+            wrapped = textwrap.wrap(f"{prose(r, 12)}. {notice}", width, initial_indent=lead, subsequent_indent=lead)
+            text = "\n".join([prose(r, 30), "", *wrapped, lead.rstrip(), lead + prose(r, 8), "", prose(r, 30)])
+            rows.append((len(rows), text if len(rows) % 2 else text.replace("\n", "\r\n"), f, "s"))
+    plain = [(1000 + k, "\n".join(textwrap.wrap(prose(r, 200), 72)), "en", "s") for k in range(60)]
+    docs = table(spark, rows + plain)
+    out = {x.doc_id: x for x in license.scan(docs, license.fit(docs)).collect()}
+    assert sum(out[k].families == f and out[k].n_confirmed == 1 for k, _, f, _ in rows) >= 0.98 * len(rows)
+    assert all(out[i].license is None for i, _, _, _ in plain)
+
+
 # --- 9 token store ----------------------------------------------------------------------------
 
 
