@@ -10,9 +10,12 @@ embedding. Texts at small edit distance give embeddings at small Hamming
 distance. Every repetition has a walk of its own and samples a few steps of
 it; windows and items that agree on all of them are candidates. The number of
 repetitions follows from the target recall and from how often items with as
-many random edits as are allowed agree with themselves, which is measured on
-the items. Candidates are verified by exact edit distance of the item to the
-text around the window.
+many edits as are allowed, at random places and evenly spread, agree with
+themselves, which is measured on the items. Where ``MOST_REPETITIONS`` don't
+reach the target, as with long items, the class is searched exactly instead:
+an item with k edits allowed is cut into k + 1 pieces, of which one must be
+intact in a passage within the distance. Candidates are verified by exact edit
+distance of the item to the text around the window.
 
 Windows begin at every word. A window is embedded only if it can be within the
 distance at all: a word that no item of its size has costs an edit, so windows
@@ -108,6 +111,8 @@ class Class:
     keys: list[tuple[np.ndarray, np.ndarray]]  # by repetition: sorted keys, item of each
     vocabulary: np.ndarray  # bitmap over the words' low bits
     known_least: int
+    #: Where the walks don't reach the recall: words of a piece -> sorted hashes of pieces, item of each, its first word in the item.
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
 
 @dataclass
@@ -143,6 +148,39 @@ def _edited(r: np.random.Generator, item: np.ndarray, edits: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def _evenly_edited(r: np.random.Generator, item: np.ndarray, edits: int) -> np.ndarray:
+    """``item`` after so many edits of random kinds at even distances."""
+    out = item.tolist()
+    for at in ((np.arange(edits) + 0.5) * len(out) / max(1, edits)).astype(int)[::-1].tolist():
+        kind, new = r.integers(0, 3), int(r.integers(0, 1 << 62))
+        out[at : at + (kind < 2)] = [] if kind == 1 and len(out) > 1 else [new]
+    return np.array(out, np.uint64)
+
+
+def _runs(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words that begin at ``at``."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out = mix(out * np.uint64(31) + hashes[at + k])
+    return out
+
+
+def _pieces(hashes: list[np.ndarray], members: list[int], edits: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of every member, one more than its edits, by their words."""
+    found: dict[int, list] = {}
+    for k in members:
+        many = int(edits[k]) + 1
+        size = len(hashes[k]) // many
+        at = np.arange(many) * len(hashes[k]) // many
+        found.setdefault(size, []).append((_runs(hashes[k], at, size), np.full(many, k), at))
+    out = {}
+    for size, parts in found.items():
+        keys, items, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        out[size] = keys[order], items[order], at[order]
+    return out
+
+
 def build(ids: list, texts: list[str], recall: float = RECALL, seed: int = 3) -> Index:
     data, offsets = buffers(pa.array([t or "" for t in texts], pa.large_string()))
     found = words(data, offsets, ALNUM)
@@ -160,13 +198,16 @@ def build(ids: list, texts: list[str], recall: float = RECALL, seed: int = 3) ->
         first = np.concatenate([[0], np.cumsum(sizes[members])])
         factors, sampled = walks(r, MOST_REPETITIONS, size)
         # how often members with the edits allowed still agree with themselves on a sample
-        tries = [(k, _edited(r, hashes[members[k]], int(edits[members[k]]))) for k in (list(range(len(members))) * (1 + 256 // len(members)))[:256]]
+        whose = (list(range(len(members))) * (1 + 256 // len(members)))[:256]
+        tries = [(k, edit(r, hashes[members[k]], int(edits[members[k]]))) for edit in (_edited, _evenly_edited) for k in whose]
         starts = np.concatenate([[0], np.cumsum([len(t) for _, t in tries])])
         keys = embed(flat, first[:-1], first[1:], factors, sampled)
         changed = embed(np.concatenate([t for _, t in tries]), starts[:-1], starts[1:], factors, sampled)
         agree = keys[:, [k for k, _ in tries]] == changed
-        found_by = np.maximum.accumulate(agree, axis=0).mean(axis=1)
-        enough = int(np.argmax(found_by >= recall)) + 1 if (found_by >= recall).any() else MOST_REPETITIONS
+        by_kind = np.maximum.accumulate(agree, axis=0)
+        found_by = np.minimum(by_kind[:, : len(whose)].mean(axis=1), by_kind[:, len(whose) :].mean(axis=1))
+        reached = bool((found_by >= recall).any())
+        enough = int(np.argmax(found_by >= recall)) + 1 if reached else 0
         table = []
         for key in keys[:enough]:
             order = np.argsort(key, kind="stable")
@@ -175,7 +216,7 @@ def build(ids: list, texts: list[str], recall: float = RECALL, seed: int = 3) ->
         vocabulary[(flat & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
         # a window of the class's size holds at least this many of an item's words
         known = min(size - int(edits[k]) for k in members)
-        classes.append(Class(size, factors[:enough], sampled[:enough], table, vocabulary, known))
+        classes.append(Class(size, factors[:enough], sampled[:enough], table, vocabulary, known, None if reached else _pieces(hashes, members, edits)))
     members = np.zeros(1 << (BITS + 2), bool)
     for k, h in enumerate(hashes):
         members[_pair_bits(h, np.full(len(h), k))] = True
@@ -202,6 +243,44 @@ def _candidates(index: Index, found, c: Class) -> tuple[np.ndarray, np.ndarray]:
     return pairs // max(1, len(index.ids)), pairs % max(1, len(index.ids))
 
 
+def _intact(found, c: Class) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, items and where the item's first word would be, for every piece of an item in a text."""
+    n = len(found.hash)
+    doc_of, stop_of = found.doc, np.repeat(found.first[1:], found.counts)
+    docs, items, begins = ([np.zeros(0, np.int64)] for _ in range(3))
+    for size, (keys, of, offset) in c.pieces.items():
+        at = np.flatnonzero(np.arange(n) + size <= stop_of)
+        runs = _runs(found.hash, at, size)
+        lo, hi = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
+        hit = np.flatnonzero(hi > lo)
+        many = (hi - lo)[hit]
+        row = np.repeat(lo[hit], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        docs.append(np.repeat(doc_of[at[hit]], many))
+        items.append(of[row])
+        begins.append(np.repeat(at[hit], many) - offset[row])
+    out = np.unique(np.stack([np.concatenate(x) for x in (docs, items, begins)]), axis=1)
+    return out[0], out[1], out[2]
+
+
+#: Words around candidates that are looked at together.
+AROUND = 1 << 22
+
+
+def _holds_enough(index: Index, hashes: np.ndarray, items: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether as many words as ``least`` between ``low`` and ``high`` are words of the item."""
+    many = high - low
+    out, total, at = np.zeros(len(low), bool), np.cumsum(many), 0
+    while at < len(low):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AROUND, "right")))
+        part = many[at:to]
+        before = np.cumsum(part) - part
+        near = np.repeat(low[at:to] - before, part) + np.arange(int(part.sum()))
+        held = index.members[_pair_bits(hashes[near], np.repeat(items[at:to], part))]
+        out[at:to] = np.add.reduceat(held.astype(np.int64), before) >= least[at:to]
+        at = to
+    return out
+
+
 def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(document, item, edits) of all items found in a slice of documents."""
     found = words(data, offsets, ALNUM)
@@ -209,19 +288,33 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[in
         return []
     best: dict[tuple[int, int], int] = {}
     for c in index.classes:
-        begins, items = _candidates(index, found, c)
+        if c.pieces is None:
+            begins, items = _candidates(index, found, c)
+            docs = np.searchsorted(found.first, begins, "right") - 1
+        else:
+            docs, items, begins = _intact(found, c)
         if not len(begins):
             continue
-        docs = np.searchsorted(found.first, begins, "right") - 1
         most, size = index.edits[items], index.sizes[items]
         low, high = np.maximum(found.first[docs], begins - most), np.minimum(found.first[docs + 1], begins + size + 2 * most)
         # all but the edits of an item's words must be around the window
-        many = high - low
-        near = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        held = index.members[_pair_bits(found.hash[near], np.repeat(items, many))]
-        enough = np.add.reduceat(held.astype(np.int64), np.cumsum(many) - many) >= size - most
+        enough = _holds_enough(index, found.hash, items, low, high, size - most)
+        rows = list(zip(*(x[enough].tolist() for x in (docs, items, begins, low, high, most)), strict=True))
+        if c.pieces is not None:
+            # sorted by document, item and place: overlapping texts are verified once
+            spans: list[list[int]] = []
+            for doc, item, _, a, b, e in rows:
+                if spans and spans[-1][:2] == [doc, item] and a <= spans[-1][3]:
+                    spans[-1][3] = max(b, spans[-1][3])
+                else:
+                    spans.append([doc, item, a, b, e])
+            for doc, item, a, b, e in spans:
+                edits = edits_within(index.hashes[item].tolist(), found.hash[a:b].tolist(), e)
+                if edits is not None:
+                    best[doc, item] = min(edits, best.get((doc, item), edits))
+            continue
         seen: dict[tuple[int, int], int] = {}
-        for doc, item, begin, a, b, e in zip(*(x[enough].tolist() for x in (docs, items, begins, low, high, most)), strict=True):
+        for doc, item, begin, a, b, e in rows:
             # windows that begin nearby see nearly the same text
             if best.get((doc, item)) == 0 or seen.get((doc, item), -1) >= begin:
                 continue

@@ -538,6 +538,30 @@ def test_decontamination_recall(spark, edges, nothing):
     assert decontam.clean(edges, bench).count() == len(edge_rows())
 
 
+@pytest.mark.parametrize("even", [False, True])
+def test_decontamination_of_long_items(even):
+    r = random.Random(22)
+    stems = [a + b for a in "bcdfgklmnprst" for b in "aeiou"]
+    say = lambda n: [r.choice(stems) + r.choice(stems) for _ in range(n)]
+    items = [say(n) for n in (150, 200, 300, 400, 600) for _ in range(4)]
+    index = decontam.build(list(range(len(items))), [" ".join(w) for w in items])
+    texts, want = [], set()
+    for k in range(100):
+        w = list(items[k % 20])
+        edits = int(0.2 * len(w))
+        for at in [int((j + 0.5) * len(w) / edits) for j in reversed(range(edits))] if even else [None] * edits:
+            kind, at = r.randrange(3), r.randrange(len(w)) if at is None else at
+            w[at : at + (kind < 2)] = [] if kind == 1 else ["x" + str(r.randrange(10**6))]
+        want.add((k, k % 20))
+        texts.append(" ".join(say(r.randrange(60)) + w + say(r.randrange(60))))
+    texts += [" ".join(say(1500)) for _ in range(40)]
+    found = decontam.search(index, *buffers(pa.array(texts)))
+    assert {(d, i) for d, i, _ in found} == want
+    hashes = lambda t: decontam.words(*buffers(pa.array([t])), decontam.ALNUM).hash.tolist()
+    for d, i, edits in found[::10]:
+        assert edits == decontam.edits_within(hashes(" ".join(items[i])), hashes(texts[d]), 10**6)
+
+
 # --- pipeline ---------------------------------------------------------------------------------------
 
 
