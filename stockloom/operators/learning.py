@@ -100,7 +100,7 @@ def candidates(spark, frame: DataFrame, test_from: int, trials: int = 1) -> Data
     return spark.createDataFrame([(*r, r[0] == chosen) for r in rows], "candidate string, params string, validation_wape double, test_wape double, test_bias double, selected boolean")
 
 
-def learning_curve(spark, frame: DataFrame, test_from: int, shares: tuple[float, ...] = (0.1, 0.5, 1.0)) -> DataFrame:
+def learning_curve(spark, frame: DataFrame, test_from: int, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Test WAPE of the forest by the share of items it learns from, drawn by a hash of the item."""
     train, _, test = split(frame, test_from)
     rows = []

@@ -246,3 +246,11 @@ def test_streaming_weeks(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.sql("select cast(week_start as date), total from weeks")) == [(D(2024, 1, 1), 5.0), (D(2024, 1, 8), 4.0)]
+
+
+def test_learning_curve_has_the_five_shares(spark):
+    zeros = [F.lit(0.0).alias(c) for c in learning.FEATURES if c not in ("h", "s4")]
+    frame = spark.range(400).select(F.concat(F.lit("i"), F.col("id") % 40).alias(learning.ITEM), (F.col("id") / 40).cast("int").alias("t"), F.lit(1.0).alias("h"), (F.col("id") % 7).cast("double").alias("s4"), (F.col("id") % 7).cast("double").alias("target"), *zeros)
+    rows = learning.learning_curve(spark, frame.withColumn("t", F.col("t") * 10), 60).orderBy("share").collect()
+    assert [x.share for x in rows] == [0.1, 0.25, 0.5, 0.75, 1.0]
+    assert [x.training_rows for x in rows] == sorted(x.training_rows for x in rows)
