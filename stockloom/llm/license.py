@@ -13,7 +13,8 @@ family's templates. A stretch whose pairs all belong to the notice that an
 overlapping stretch holds more of is a part of that notice and not reported.
 
 Paragraphs end at blank lines and at lines without a letter or digit, so that
-wrapped notices stay whole. Edge cases: a null or empty text has no paragraph with a
+wrapped notices stay whole. Lines of a paragraph that name a licence are scored
+apart, too, so that neighbouring lines can grant several. Edge cases: a null or empty text has no paragraph with a
 weight and no licence. Repeated rows are each reported. A paragraph counts once
 for every family found in it. Of several licensed paragraphs the surest
 confirmed one names the document's licence, ties go to the first family by
@@ -94,6 +95,10 @@ WORD = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
 BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 #: The end of a line inside a hyphenated word.
 BROKEN = r"(?<=[\p{L}\p{N}])-[ \t\r]*\n[^\p{L}\p{N}\n]*"
+#: Lines that are scored apart, too: every template has one of these words.
+NAMES = r"(?i)licen|redistribut|permission|copyright|public|cc0"
+#: Numbers of stretches begin anew by this for every line that is scored apart.
+APART = 1_000_000_000
 #: Words of a stretch and from one stretch's begin to the next; a notice of up to STRETCH - STEP + 1 words is whole in one of them.
 STRETCH, STEP = 64, 30
 #: Corpus texts and paragraphs for the unknown class (the classifier is fitted on this bounded sample).
@@ -213,9 +218,12 @@ def _table(docs: DataFrame, **columns: list) -> DataFrame:
 def paragraphs(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """key columns, line, stretch, family, probability, confirmed, template_share and the template's pairs held, of every stretch that the classifier takes for a licence."""
     lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.col(text), BLANK)).alias("line", "paragraph"))
-    words = lines.select("doc_id", "text_hash", "line", F.regexp_extract_all(F.lower(F.regexp_replace("paragraph", BROKEN, "-")), F.lit(WORD), F.lit(0)).alias("words"))
+    single = F.filter(F.split("paragraph", "\n"), lambda x: F.col("paragraph").contains("\n") & x.rlike(NAMES))
+    lines = lines.select("doc_id", "text_hash", "line", F.posexplode(F.concat(F.array("paragraph"), single)).alias("unit", "paragraph"))
+    words = lines.select("doc_id", "text_hash", "line", "unit", F.regexp_extract_all(F.lower(F.regexp_replace("paragraph", BROKEN, "-")), F.lit(WORD), F.lit(0)).alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - STRETCH) / STEP)).cast("int"))
-    parts = words.select("doc_id", "text_hash", "line", F.posexplode(F.transform(starts, lambda k: F.slice("words", k * STEP + 1, STRETCH))).alias("stretch", "words"))
+    parts = words.select("doc_id", "text_hash", "line", "unit", F.posexplode(F.transform(starts, lambda k: F.slice("words", k * STEP + 1, STRETCH))).alias("stretch", "words"))
+    parts = parts.withColumn("stretch", F.col("unit") * F.lit(APART).cast("long") + F.col("stretch")).drop("unit")
     pairs = parts.select("doc_id", "text_hash", "line", "stretch", F.inline(F.arrays_zip(F.col("words").alias("word"), F.slice("words", F.lit(2), F.size("words")).alias("after"))))
     # both tables have at most as many rows as templates have n-grams
     firsts = sorted({g.split(" ")[0] for g in model.grams})
@@ -251,6 +259,10 @@ def notices(found: DataFrame) -> DataFrame:
         near = other(F.struct("stretch", "family", "held")).over(along)
         within = (F.size(F.array_except("held", near["held"])) == 0) & (F.size("held") < F.size(near["held"]))
         part = part | F.coalesce((F.abs(near["stretch"] - F.col("stretch")) == 1) & (near["family"] != F.col("family")) & within, F.lit(False))
+    # a line apart counts if it holds a notice, and not if a stretch of the paragraph holds more of the same words
+    whole = F.collect_set(F.when(F.col("stretch") < APART, F.struct("family", "held"))).over(Window.partitionBy("doc_id", "text_hash", "line"))
+    more = F.exists(whole, lambda x: (x["family"] != F.col("family")) & (F.size(F.array_except("held", x["held"])) == 0) & (F.size("held") < F.size(x["held"])))
+    part = part | ((F.col("stretch") >= APART) & (~F.col("confirmed") | more))
     kept = found.withColumn("part", part).where(~F.col("part"))
     best = F.max(F.struct("confirmed", "probability", "template_share"))
     return kept.groupBy("doc_id", "text_hash", "line", "family").agg(best.alias("best")).select("doc_id", "text_hash", "line", "family", "best.*")

@@ -439,6 +439,18 @@ def test_license_wrapped_notices(spark):
     assert all(out[i].license is None for i, _, _, _ in plain)
 
 
+def test_license_notices_on_neighbouring_lines(spark):
+    assert all(re.search(license.NAMES, t) for ts in license.TEMPLATES.values() for t in ts)
+    r = random.Random(15)
+    few = {f: license.TEMPLATES[f][0] for f in ("MIT", "Apache-2.0", "ISC", "MPL-2.0")}
+    rows = [(k, "\n".join([prose(r, 12), *few.values(), prose(r, 12)]), "en", "s") for k in range(5)]
+    plain = [(1000 + k, "\n".join(prose(r, 30) for _ in range(3)), "en", "s") for k in range(60)]
+    docs = table(spark, rows + plain)
+    out = {x.doc_id: x for x in license.scan(docs, license.fit(docs)).collect()}
+    assert {out[k].families for k in range(5)} == {",".join(sorted(few))}
+    assert all(out[i].license is None for i, _, _, _ in plain)
+
+
 # --- 9 token store ----------------------------------------------------------------------------
 
 
