@@ -9,11 +9,15 @@ deleted by adding or subtracting their vectors. As lanes are independent fair
 bits, the inner product of two centred sums estimates how many pieces two
 documents share: likeness is 2<a,b> / (<a,a> + <b,b>), cut to 0..1.
 
+Pieces are summed in runs of ``RUN``, in which no lane can carry into the next,
+and runs are added lane by lane modulo 2**WIDTH, so a text may have any number
+of pieces. Likeness is taken before lanes are reduced.
+
 Edge cases: a null text is an empty one; an empty text has no piece, all lanes
 0, and likeness 1 to another empty text. Documents are ordered by descending
-id, null ids last, equal ids by descending text; equal rows are separate
-documents. The only document of a table is its own next one. An empty table
-gives an empty result.
+id, whole numbers by value and ids of any other type by their text, null ids
+last, equal ids by descending text; equal rows are separate documents. The only
+document of a table is its own next one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,11 @@ PIECE = rf"\s*(?:\S+[^\S\n]*){{1,{PIECE_WORDS}}}\n*|\s+"
 #: Hashes of a piece, and how their bits are packed: LANES lanes of WIDTH bits in a word of 64.
 SEEDS, LANES, WIDTH = (11, 12), 3, 21
 LANE = (1 << WIDTH) - 1
+#: Pieces whose vectors are summed before lanes are reduced; below 2**WIDTH, so none carries.
+RUN = 1 << (WIDTH - 1)
 ROWS_OF_BLOCK, FANOUT, MOST_BLOCKS = 2048, 256, 1 << 16
+#: Keys that are drawn to find where blocks of text ids end, and bits of a key's hash that decide.
+SAMPLED_KEYS, DRAWN = 20_000, 1 << 30
 
 
 def pieces(text: Column) -> Column:
@@ -58,6 +66,11 @@ def subtract(one: Column, other: Column) -> Column:
     return _lanewise(one, other, lambda a, b: a - b)
 
 
+def total(vectors: Column) -> Column:
+    """Sum of an array of vectors, lane by lane modulo 2**WIDTH."""
+    return F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors), F.lit(1))), F.element_at(vectors, 1), add)
+
+
 def _lanewise(one: Column, other: Column, combine) -> Column:
     mask = F.lit(LANE).cast("long")
 
@@ -71,8 +84,13 @@ def _lanewise(one: Column, other: Column, combine) -> Column:
     return F.zip_with(one, other, word)
 
 
-def _centred(vector: Column, count: Column) -> Column:
-    return F.transform(lanes(vector), lambda x: (x * 2 - count).cast("double"))
+def lane_sums(vectors: Column) -> Column:
+    """Every lane of the sum of an array of vectors, not reduced."""
+    return F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors), F.lit(1))), lanes(F.element_at(vectors, 1)), lambda s, x: F.zip_with(s, lanes(x), lambda a, b: a + b))
+
+
+def _centred(sums: Column, count: Column) -> Column:
+    return F.transform(sums, lambda x: (x * 2 - count).cast("double"))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -89,27 +107,34 @@ def text_of(vector: Column, count: Column) -> Column:
     return F.lower(F.concat_ws(".", F.hex(count), F.array_join(F.transform(vector, F.hex), ".")))
 
 
-def _blocks(docs: DataFrame) -> tuple[Column, list[int], list[int | None], int]:
+def _blocks(docs: DataFrame) -> tuple[Column, list, list[int], int]:
     """Block of a row by the range of its key, and of each block its highest key and the block before it.
 
     Only keys are read. Blocks hold about as many rows each, and there are at
     most MOST_BLOCKS of them, so what comes to the driver is bounded.
     """
     keys = docs.select("key")
+    kind = docs.schema["key"].dataType.simpleString()
     rows = keys.count()
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     parts = max(1, min(MOST_BLOCKS, max(rows // ROWS_OF_BLOCK, min(spread, rows // 64))))
-    found = keys.agg(F.percentile_approx("key", [(k + 1) / parts for k in range(parts)], F.lit(max(10_000, 4 * parts))).alias("cuts")).first().cuts or []
+    if kind == "bigint":
+        found = keys.agg(F.percentile_approx("key", [(k + 1) / parts for k in range(parts)], F.lit(max(10_000, 4 * parts))).alias("cuts")).first().cuts or []
+    else:
+        # text has no quantiles: those of a bounded sample of distinct keys
+        drawn = keys.distinct().where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(DRAWN)) < int(min(1.0, SAMPLED_KEYS / max(1, rows)) * DRAWN))
+        some = [r.key for r in drawn.orderBy("key").collect()]
+        found = [some[(k + 1) * len(some) // parts - 1] for k in range(parts) if some]
     cuts = sorted(set(found))[:-1]  # the last block is open
     groups = [cuts[k : k + FANOUT] for k in range(0, len(cuts), FANOUT)] or [[]]
-    typed = lambda values: F.array(*[F.lit(v).cast("long") for v in values]).cast("array<bigint>")
+    typed = lambda values: F.array(*[F.lit(v).cast(kind) for v in values]).cast(f"array<{kind}>")
     below = lambda values: F.size(F.filter(values, lambda x: x < F.col("key")))
     if len(groups) == 1:
         block = below(typed(groups[0]))
     else:
         coarse = F.least(below(typed([g[-1] for g in groups])), F.lit(len(groups) - 1))
         block = coarse * FANOUT + below(F.element_at(F.array(*[typed(g) for g in groups]), coarse + 1))
-    highest: list[int | None] = [None] * (len(cuts) + 1)
+    highest: list = [None] * (len(cuts) + 1)
     for b, key in keys.select(block.alias("block"), "key").groupBy("block").agg(F.max("key")).collect():
         highest[b] = key
     filled = [b for b, key in enumerate(highest) if key is not None]
@@ -126,11 +151,13 @@ def in_order_with_next(docs: DataFrame) -> DataFrame:
     ghost, to the block before, so every document finds the next one beside it
     and no task needs more than its range.
     """
-    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    docs = docs.select("doc_id", key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     block, highest, before, filled = _blocks(docs)
     if not filled:
         return docs.select(F.lit(0).alias("block"), F.lit(0).alias("place"), F.lit(False).alias("ghost"), "doc_id", "text", F.col("text").alias("next_text"))
-    heads = F.array(*[F.lit(h).cast("long") for h in highest])
+    heads = F.array(*[F.lit(h).cast("bigint" if whole else "string") for h in highest])
     to = F.array(*[F.lit(b) for b in before])
     out = docs.withColumn("block", block)
     first = F.col("key") == F.element_at(heads, F.col("block") + 1)
@@ -138,7 +165,7 @@ def in_order_with_next(docs: DataFrame) -> DataFrame:
     ghost = F.struct(F.element_at(to, F.col("block") + 1).alias("block"), F.lit(True).alias("ghost"))
     out = out.withColumn("at", F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))))
     out = out.select("at.block", "at.ghost", "doc_id", "key", "text")
-    order = Window.partitionBy("block").orderBy("ghost", F.desc("key"), F.desc("text"))
+    order = Window.partitionBy("block").orderBy("ghost", F.desc("key"), F.desc_nulls_last("doc_id"), F.desc("text"))
     return out.select("block", "ghost", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
 
 
@@ -160,20 +187,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     real = F.col("piece") != ""
     own, other = real & (F.col("at") <= F.col("n_own")), real & (F.col("at") > F.col("n_own"))
     a, b = packed_bits(F.col("piece"), own), packed_bits(F.col("piece"), other)
-    summed = rows.groupBy("block", "place", "ghost", "doc_id", "n_chars", "edited_sha256").agg(
+    keys = ["block", "place", "ghost", "doc_id", "n_chars", "edited_sha256"]
+    # rows lie by block already, so neither grouping shuffles
+    runs = rows.groupBy(*keys, F.floor(F.col("at") / RUN).alias("run")).agg(
         F.count(F.when(own, 1)).alias("n_a"),
         F.count(F.when(other, 1)).alias("n_b"),
         *[F.sum(x).alias(f"a{k}") for k, x in enumerate(a)],
         *[F.sum(x).alias(f"b{k}") for k, x in enumerate(b)],
     )
-    packed = summed.select(
-        "block", "place", "ghost", "doc_id", "n_chars", "edited_sha256", "n_a", "n_b",
-        F.array(*[F.col(f"a{k}") for k in range(len(a))]).alias("a"),
-        F.array(*[F.col(f"b{k}") for k in range(len(b))]).alias("b"),
-    )
+    vectors = [F.array(*[F.col(f"{side}{k}") for k in range(len(a))]).alias(side) for side in "ab"]
+    summed = runs.select(*keys, "n_a", "n_b", *vectors).groupBy(*keys).agg(
+        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.collect_list("a").alias("a"), F.collect_list("b").alias("b")
+    )
+    packed = summed.select(*keys, "n_a", "n_b", *[total(F.col(side)).alias(side) for side in "ab"], *[lane_sums(F.col(side)).alias(f"l{side}") for side in "ab"])
     order = Window.partitionBy("block").orderBy("place")
-    packed = packed.withColumn("c", F.lead("a").over(order)).withColumn("n_c", F.lead("n_a").over(order)).where(~F.col("ghost"))
-    packed = packed.withColumn("va", _centred(F.col("a"), F.col("n_a"))).withColumn("vb", _centred(F.col("b"), F.col("n_b"))).withColumn("vc", _centred(F.col("c"), F.col("n_c")))
+    packed = packed.withColumn("lc", F.lead("la").over(order)).withColumn("n_c", F.lead("n_a").over(order)).where(~F.col("ghost"))
+    packed = packed.withColumn("va", _centred(F.col("la"), F.col("n_a"))).withColumn("vb", _centred(F.col("lb"), F.col("n_b"))).withColumn("vc", _centred(F.col("lc"), F.col("n_c")))
     for x, y in ("aa", "bb", "cc", "ab", "ac"):
         packed = packed.withColumn(f"p{x}{y}", _dot(F.col(f"v{x}"), F.col(f"v{y}")))
     return packed.select(
