@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 # Notices of public licences, by SPDX identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": (
@@ -201,7 +203,9 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     """Train with paragraphs of about TEXTS of the corpus's documents."""
     share = TEXTS / max(TEXTS, docs.count())
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(23)), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = docs.where(draw & F.col(text).isNotNull() & (F.length(text) <= LONGEST)).select(F.col(text).cast("string").alias("t")).limit(2 * TEXTS).collect()
+    drawn = docs.where(draw & F.col(text).isNotNull() & (F.length(text) <= LONGEST)).select(F.col(text).cast("string").alias("t"))
+    # in order, so that reruns see the same rows where one id stands on very many
+    rows = drawn.orderBy(F.xxhash64("t"), "t").limit(2 * TEXTS).collect()
     # stretches, so that the sample holds as much text whatever the paragraphs' sizes
     found = sorted(" ".join(w) for r in rows for p in _paragraphs(r.t) for w in _stretches(_words(p)) if w)
     return train(found[:: max(1, len(found) // PARAGRAPHS)])
@@ -215,72 +219,79 @@ def _table(docs: DataFrame, **columns: list) -> DataFrame:
     return cells.select(*[(F.col("cells")[k].cast("double") if numbers[name] else F.col("cells")[k]).alias(name) for k, name in enumerate(columns)])
 
 
-def paragraphs(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """key columns, line, stretch, family, probability, confirmed, template_share and the template's pairs held, of every stretch that the classifier takes for a licence."""
-    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.col(text), BLANK)).alias("line", "paragraph"))
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """row, doc_id, line, stretch, family, probability and grams: every stretch that the classifier takes for a licence, and one row of line -1 for every document.
+
+    Rows are numbered here and written, so that repeated rows stay apart and what was found finds its document again.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(F.col(text).cast("string"), BLANK).alias("paragraphs"))
+    lines = rows.select("row", "doc_id", F.posexplode(F.concat(F.array(F.lit("")), F.coalesce("paragraphs", F.array().cast("array<string>")))).alias("line", "paragraph"))
+    lines = lines.withColumn("line", F.col("line") - 1)
     single = F.filter(F.split("paragraph", "\n"), lambda x: F.col("paragraph").contains("\n") & x.rlike(NAMES))
-    lines = lines.select("doc_id", "text_hash", "line", F.posexplode(F.concat(F.array("paragraph"), single)).alias("unit", "paragraph"))
-    words = lines.select("doc_id", "text_hash", "line", "unit", F.regexp_extract_all(F.lower(F.regexp_replace("paragraph", BROKEN, "-")), F.lit(WORD), F.lit(0)).alias("words"))
+    lines = lines.select("row", "doc_id", "line", F.posexplode(F.concat(F.array("paragraph"), single)).alias("unit", "paragraph"))
+    found = F.regexp_extract_all(F.lower(F.regexp_replace("paragraph", BROKEN, "-")), F.lit(WORD), F.lit(0))
+    words = lines.select("row", "doc_id", "line", "unit", F.when(F.col("line") < 0, F.array(F.lit(""))).otherwise(found).alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - STRETCH) / STEP)).cast("int"))
-    parts = words.select("doc_id", "text_hash", "line", "unit", F.posexplode(F.transform(starts, lambda k: F.slice("words", k * STEP + 1, STRETCH))).alias("stretch", "words"))
+    parts = words.select("row", "doc_id", "line", "unit", F.posexplode(F.transform(starts, lambda k: F.slice("words", k * STEP + 1, STRETCH))).alias("stretch", "words"))
     parts = parts.withColumn("stretch", F.col("unit") * F.lit(APART).cast("long") + F.col("stretch")).drop("unit")
-    pairs = parts.select("doc_id", "text_hash", "line", "stretch", F.inline(F.arrays_zip(F.col("words").alias("word"), F.slice("words", F.lit(2), F.size("words")).alias("after"))))
-    # both tables have at most as many rows as templates have n-grams
-    firsts = sorted({g.split(" ")[0] for g in model.grams})
+    pairs = parts.select("row", "doc_id", "line", "stretch", F.inline(F.arrays_zip(F.col("words").alias("word"), F.slice("words", F.lit(2), F.size("words")).alias("after"))))
+    # both tables have at most as many rows as the model has n-grams; the empty word is the document's own row
+    firsts = ["", *sorted({g.split(" ")[0] for g in model.grams})]
     pairs = pairs.join(F.broadcast(_table(docs, word=firsts)), "word")
-    grams = pairs.select("doc_id", "text_hash", "line", "stretch", F.explode(F.array(F.col("word"), F.concat("word", F.lit(" "), "after"))).alias("gram"))
+    grams = pairs.select("row", "doc_id", "line", "stretch", F.explode(F.array(F.col("word"), F.concat("word", F.lit(" "), "after"))).alias("gram"))
     names = [f"w{k}" for k in range(len(FAMILIES))]
-    weights = _table(docs, gram=model.grams, **{n: [float(v) for v in model.weights[:, k]] for k, n in enumerate(names)})
-    summed = grams.join(F.broadcast(weights), "gram").groupBy("doc_id", "text_hash", "line", "stretch").agg(*[F.sum(n).alias(n) for n in names], F.collect_set("gram").alias("grams"))
+    weights = _table(docs, gram=["", *model.grams], **{n: [0.0, *(float(v) for v in model.weights[:, k])] for k, n in enumerate(names)})
+    keys = ["row", "doc_id", "line", "stretch"]
+    summed = grams.join(F.broadcast(weights), "gram").groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names], F.collect_set("gram").alias("grams"))
     scores = F.array(*[(F.col(n) + float(model.bias[k])) / model.temperature for k, n in enumerate(names)])
-    found = summed.select("doc_id", "text_hash", "line", "stretch", "grams", scores.alias("scores")).withColumn("top", F.array_max("scores"))
+    found = summed.select(*keys, "grams", scores.alias("scores")).withColumn("top", F.array_max("scores"))
     # the softmax of the best score, and the first family that has it
     probability = 1 / F.aggregate("scores", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("top")))
     family = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position("scores", F.col("top")).cast("int"))
-    found = found.select("doc_id", "text_hash", "line", "stretch", "grams", family.alias("family"), probability.alias("probability"))
-    found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))
-    # the predicted paragraphs' pairs of words against those of their family's templates
+    found = found.select(*keys, "grams", family.alias("family"), probability.alias("probability"))
+    return materialize(found.where((F.col("line") < 0) | ((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))), "license-stretches")
+
+
+def confirmations(found: DataFrame) -> DataFrame:
+    """Licensed stretches with confirmed, template_share and the template's pairs held: their pairs of words against those of their family's templates."""
     listed = [(f, sorted({g for g in _grams(_words(t)) if " " in g})) for f, ts in TEMPLATES.items() for t in ts]
-    templates = _table(docs, family=[f for f, _ in listed], template=[";".join(g) for _, g in listed])
-    held = found.join(F.broadcast(templates), "family")
+    templates = _table(found, family=[f for f, _ in listed], template=[";".join(g) for _, g in listed])
+    held = found.where("line >= 0").join(F.broadcast(templates), "family")
     both = held.withColumn("held", F.array_sort(F.array_intersect(F.split("template", ";"), "grams")))
     best = F.max(F.struct((F.size("held") / F.size(F.split("template", ";"))).alias("share"), "held"))
-    found = both.groupBy("doc_id", "text_hash", "line", "stretch", "family", "probability").agg(best.alias("best"))
-    return found.select(
-        "doc_id", "text_hash", "line", "stretch", "family", "probability", (F.col("best.share") >= CONFIRMED).alias("confirmed"), F.col("best.share").alias("template_share"), "best.held"
-    )
+    found = both.groupBy("row", "line", "stretch", "family", "probability").agg(best.alias("best"))
+    return found.select("row", "line", "stretch", "family", "probability", (F.col("best.share") >= CONFIRMED).alias("confirmed"), F.col("best.share").alias("template_share"), "best.held")
 
 
 def notices(found: DataFrame) -> DataFrame:
     """One row for every paragraph and family of ``found``, without stretches that hold just a part of what an overlapping one holds."""
-    along = Window.partitionBy("doc_id", "text_hash", "line").orderBy("stretch")
+    along = Window.partitionBy("row", "line").orderBy("stretch")
     part = F.lit(False)
     for other in (F.lag, F.lead):
         near = other(F.struct("stretch", "family", "held")).over(along)
         within = (F.size(F.array_except("held", near["held"])) == 0) & (F.size("held") < F.size(near["held"]))
         part = part | F.coalesce((F.abs(near["stretch"] - F.col("stretch")) == 1) & (near["family"] != F.col("family")) & within, F.lit(False))
     # a line apart counts if it holds a notice, and not if a stretch of the paragraph holds more of the same words
-    whole = F.collect_set(F.when(F.col("stretch") < APART, F.struct("family", "held"))).over(Window.partitionBy("doc_id", "text_hash", "line"))
+    whole = F.collect_set(F.when(F.col("stretch") < APART, F.struct("family", "held"))).over(Window.partitionBy("row", "line"))
     more = F.exists(whole, lambda x: (x["family"] != F.col("family")) & (F.size(F.array_except("held", x["held"])) == 0) & (F.size("held") < F.size(x["held"])))
     part = part | ((F.col("stretch") >= APART) & (~F.col("confirmed") | more))
     kept = found.withColumn("part", part).where(~F.col("part"))
     best = F.max(F.struct("confirmed", "probability", "template_share"))
-    return kept.groupBy("doc_id", "text_hash", "line", "family").agg(best.alias("best")).select("doc_id", "text_hash", "line", "family", "best.*")
+    return kept.groupBy("row", "line", "family").agg(best.alias("best")).select("row", "line", "family", "best.*")
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, license (null: none), probability, n_confirmed, n_unconfirmed and families of every document."""
-    keyed = docs.select("doc_id", F.col(text).cast("string").alias(text), F.xxhash64(text).alias("text_hash"))
-    found = notices(paragraphs(keyed, model, text)).groupBy("doc_id", "text_hash").agg(
+    stretches = scored(docs, model, text)
+    found = notices(confirmations(stretches)).groupBy("row").agg(
         F.max_by(F.struct("family", "probability"), F.when(F.col("confirmed"), F.struct("probability", "template_share", -F.xxhash64("family")))).alias("best"),
         F.count(F.when(F.col("confirmed"), 1)).alias("n_confirmed"),
         F.count(F.when(~F.col("confirmed"), 1)).alias("n_unconfirmed"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
     )
-    rows = keyed.select("doc_id", "text_hash").alias("d")
-    out = rows.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash") == F.col("f.text_hash")), "left")
+    out = stretches.where("line < 0").select("row", "doc_id").join(found, "row", "left")
     zero = F.lit(0).cast("long")
     return out.select(
-        F.col("d.doc_id").alias("doc_id"), F.col("best.family").alias("license"), F.coalesce("best.probability", F.lit(0.0)).alias("probability"),
+        "doc_id", F.col("best.family").alias("license"), F.coalesce("best.probability", F.lit(0.0)).alias("probability"),
         F.coalesce("n_confirmed", zero).alias("n_confirmed"), F.coalesce("n_unconfirmed", zero).alias("n_unconfirmed"), F.coalesce("families", F.lit("")).alias("families"),
     )
