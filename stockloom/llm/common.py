@@ -16,15 +16,19 @@ def fold(k: int, name: str = "doc_id") -> Column:
     return F.crc32(id_text(name)) % k
 
 
-def sample_by(df: DataFrame, label: str, most: int, classes: int = 256) -> DataFrame:
-    """About ``most`` rows of each of the ``classes`` commonest values of ``label``, by a hash of doc_id.
+#: Rows of a sample over all values of a label; where values are many, each has fewer.
+MOST_ROWS, BROADCAST_LABELS = 100_000, 10_000
+
+
+def sample_by(df: DataFrame, label: str, most: int) -> DataFrame:
+    """About ``most`` rows of each value of ``label``, by a hash of doc_id; of each of very many values fewer, but of none less than about one.
 
     One narrow pass counts the labels; the second keeps rows whose hash lies
     below most/count, so no label's rows meet in one task.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    values = counts.count()
+    most = max(1, min(most, MOST_ROWS // max(1, values)))
     draw = F.pmod(F.xxhash64(id_text(), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    rule = F.lit(False)
-    for value, n in counts:
-        rule = rule | ((F.col(label) == F.lit(value)) & (draw < min(1.0, most / n)))
-    return df.where(rule)
+    counts = F.broadcast(counts) if values <= BROADCAST_LABELS else counts
+    return df.join(counts, F.col(label) == F.col("__label")).where(draw < F.lit(float(most)) / F.col("__n")).select(*df.columns)
