@@ -1,16 +1,21 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target says how often a document of it is taken on average. Whole
-copies are certain; what is left of that number is the document's inclusion
-probability p, and for these a sample of fixed size is drawn: documents are
-ranked by (u / (1 - u)) / (p / (1 - p)) with u a uniform hash of the id, and
-the lowest ranks are taken until the source's words are reached. One closing
-document per source, the one whose size comes nearest to what is missing, ends
-the sample where it brings the source closer to its target.
+A source's target says how often a word of it is taken on average. Whole copies
+are certain; what is left of that number is the share of the source's words for
+which a sample of fixed size is drawn. Longer documents are likelier to be in
+it: inclusion probabilities p go by the digits of the size in binary, none is
+above 1, and the words expected are those wanted. Documents are ranked by
+(u / (1 - u)) / (p / (1 - p)) with u a uniform hash of the id, and the lowest
+ranks are taken until the source's words are reached. One closing document per
+source, the one whose size comes nearest to what is missing, ends the sample
+where it brings the source closer to its target.
 
 Ranks are cut without sorting a source: words are summed by rank bucket, and
 only the one bucket where the cut falls is ordered.
 
+Inclusion odds need words by source and digits of the size only, at most 64 rows
+a source.
+
 Edge cases: a null text or one without words has size 0 and is never taken. A
 null source is a source of its own, ordered last. A null id hashes as the
 empty text. Repeated rows are separate documents; which of several equal rows
@@ -41,9 +46,14 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def uniform(name: str = "doc_id") -> Column:
+def uniform(name: str = "doc_id", salt: str = "mix:") -> Column:
     """A number strictly between 0 and 1 that is a hash of the id."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), id_text(name))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(salt), id_text(name))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+
+
+def digits(size: Column) -> Column:
+    """Digits of a positive number in binary: the weight of a document of that size."""
+    return F.length(F.bin(size)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -85,28 +95,59 @@ def _with_sources(rows: DataFrame, sources: DataFrame, count: int) -> DataFrame:
     return rows.join(right, rows["source"].eqNullSafe(right["__source"]), "left").drop("__source")
 
 
-def take(sizes: DataFrame) -> DataFrame:
+def inclusion(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, weight and chance: the inclusion probability of a source's documents of each weight.
+
+    ``chance`` is the least of 1 and a level times the weight, so that the
+    words expected are the share of the source's that whole copies leave open.
+    With heavy weights first, those that stop at 1 come first.
+    """
+    words = sizes.where("size > 0").groupBy("source", digits(F.col("size")).alias("weight")).agg(F.sum("size").alias("words"))
+    right = sources.select(F.col("source").alias("__source"), "source_size", "target")
+    rows = words.join(right, F.col("source").eqNullSafe(F.col("__source")))
+    expected = F.col("target") / F.col("source_size")
+    rows = rows.withColumn("wanted", (expected - F.floor(expected)) * F.col("source_size"))
+    order = Window.partitionBy("source").orderBy(F.desc("weight"))
+    rows = rows.select(
+        "*",
+        F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("full"),
+        F.sum(F.col("weight") * F.col("words")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("weighed"),
+    )
+    rows = rows.withColumn("level", (F.col("wanted") - F.col("full")) / F.col("weighed"))
+    rows = rows.withColumn("stops", F.col("level") * F.col("weight") >= 1)
+    # once a weight doesn't stop, no lighter one does
+    return rows.withColumn("common", F.max(F.when(~F.col("stops"), F.struct("weight", "level"))).over(Window.partitionBy("source"))).select(
+        "source", "weight", F.when(F.col("common.weight").isNull() | (F.col("weight") > F.col("common.weight")), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("common.level") * F.col("weight")))).alias("chance")
+    )
+
+
+def take(sizes: DataFrame, salt: str = "mix:") -> DataFrame:
     """Add source_size, target and copies to rows of row, doc_id, source and size (row: unique)."""
     sources = materialize(targets(sizes), "mix-targets")
     count = sources.count()
+    chances = materialize(inclusion(sizes, sources), "mix-chances").select(F.col("source").alias("__of"), F.col("weight").alias("__weight"), "chance")
     rows = _with_sources(sizes, sources, count)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("whole", F.floor(expected)).withColumn("chance", expected - F.col("whole"))
-    u = uniform()
-    rows = rows.withColumn("rank", F.when(F.col("chance") > 0, (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))))
-    # the bucket grows with the rank, and ranks are spread evenly over buckets where the chance is one half
-    rows = rows.withColumn("bucket", F.floor(u * BUCKETS).cast("int"))
+    rows = rows.withColumn("whole", F.floor(expected)).withColumn("wanted", (expected - F.col("whole")) * F.col("source_size"))
+    # at most 64 rows a source
+    chances = F.broadcast(chances) if count <= BROADCAST_SOURCES // 64 else chances
+    rows = rows.join(chances, F.col("source").eqNullSafe(F.col("__of")) & (F.when(F.col("size") > 0, digits(F.col("size"))) == F.col("__weight")), "left").drop("__of", "__weight")
+    u = uniform(salt=salt)
+    odds = F.when(F.col("chance") < 1, F.col("chance") / (1 - F.col("chance")))
+    rows = rows.withColumn("rank", F.when(F.col("chance") >= 1, 0.0).when(F.col("chance") > 0, (u / (1 - u)) / odds))
+    # the bucket grows with the rank, and ranks are spread over buckets much as u is
+    rows = rows.withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
     drawn = rows.where(F.col("rank").isNotNull() & (F.col("size") > 0))
 
-    summed = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("chance").alias("chance"), F.first("source_size").alias("source_size"))
+    summed = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = summed.withColumn("through", F.sum("words").over(run)).withColumn("wanted", F.col("chance") * F.col("source_size"))
+    summed = summed.withColumn("through", F.sum("words").over(run))
     cut = summed.where(F.col("through") > F.col("wanted")).groupBy("source").agg(
         F.min("bucket").alias("cut"), F.min_by(F.col("through") - F.col("words"), "bucket").alias("before"), F.first("wanted").alias("wanted")
     )
     cut = materialize(cut, "mix-cuts")
 
-    edge = _with_sources(drawn, cut, count).where(F.col("bucket") == F.col("cut"))
+    edge = _with_sources(drawn.drop("wanted"), cut, count).where(F.col("bucket") == F.col("cut"))
     run = Window.partitionBy("source").orderBy("rank", id_text(), "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("reached", F.col("before") + F.sum("size").over(run))
     edge = edge.select("source", "row", "reached", "before", "wanted", (F.col("reached") <= F.col("wanted")).alias("in"))
@@ -145,15 +186,16 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it.
 
-    Copies are counted by id and content, so they are joined back by them and
-    repeated rows get the sum of their copies between them.
+    Rows are numbered and copies are joined back by number. Columns may have any
+    names; while the mix works its own are kept apart from them.
     """
-    columns = docs.columns
-    marked = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    sizes = marked.select(F.col("__row").alias("row"), "doc_id", "source", word_count().alias("size"))
-    taken = take(materialize(sizes, "mix-sizes")).where("copies > 0").select(F.col("row").alias("__row"), "copies")
-    out = marked.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*columns)
+    names = {c: f"own{k}" for k, c in enumerate(docs.columns)}
+    numbered = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("row", F.monotonically_increasing_id())
+    marked = materialize(numbered, "mix-documents")
+    sizes = marked.select("row", *[F.col(names[c]).alias(c) for c in ("doc_id", "source")], word_count(names["text"]).alias("size"))
+    taken = take(materialize(sizes, "mix-sizes")).where("copies > 0").select("row", "copies")
+    out = marked.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 #: The same rows in DuckDB.
@@ -180,9 +222,24 @@ rows_of as (
   select row_number() over () as r, s.doc_id, s.source, s.size, t.source_size, t.target, s.u,
     case when t.source_size > 0 then t.target / t.source_size else 0.0::double end as expected
   from sizes s join targets t on s.source is not distinct from t.source),
-chances as (select *, floor(expected) as whole, expected - floor(expected) as chance from rows_of),
+wholes as (
+  select *, floor(expected) as whole, (expected - floor(expected)) * source_size as wanted, case when size > 0 then length(bin(size))::bigint end as weight
+  from rows_of),
+weights as (select source, weight, sum(size)::bigint as words, max(wanted) as wanted from wholes where size > 0 group by source, weight),
+levels_of as (
+  select source, weight,
+    (wanted - coalesce(sum(words) over (partition by source order by weight desc rows between unbounded preceding and 1 preceding), 0)::double)
+      / (sum(weight * words) over (partition by source order by weight desc rows between current row and unbounded following))::double as level
+  from weights),
+common as (select source, max(weight) as weight, arg_max(level, weight) as level from levels_of where not level * weight >= 1 group by source),
+chances as (
+  select l.source, l.weight,
+    case when c.weight is null or l.weight > c.weight then 1.0::double else least(1.0::double, greatest(0.0::double, c.level * l.weight)) end as chance
+  from levels_of l left join common c on l.source is not distinct from c.source),
 ranked as (
-  select *, case when chance > 0 then (u / (1 - u)) / (chance / (1 - chance)) end as rank, chance * source_size as wanted from chances),
+  select w.*, c.chance,
+    case when c.chance >= 1 then 0.0::double when c.chance > 0 then (u / (1 - u)) / (c.chance / (1 - c.chance)) end as rank
+  from wholes w left join chances c on w.source is not distinct from c.source and w.weight = c.weight),
 summed as (
   select *, sum(case when rank is not null then size else 0 end) over (
     partition by source order by rank nulls last, coalesce(doc_id::varchar, ''), size, r rows between unbounded preceding and current row) as reached
