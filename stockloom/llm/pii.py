@@ -1,12 +1,15 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
-What the base patterns find are the seeds. The words around every mention of
-an identifier-like string (a seed or any other token with a digit or an @) are
-its lexical patterns, and patterns and instances make a graph. In a few rounds
-Spark scores patterns by the share of their distinct instances that are known
-to be of a kind, then unseen instances by the patterns they occur in, and so
-on. Mentions in patterns of high confidence whose form could be of that kind
-are added to the spans.
+What the base patterns find are the seeds, and long hexadecimal strings and
+keys of public formats are those of a fifth kind, secrets. The words around
+every mention of an identifier-like string (a seed or any other token with a
+digit or an @) are its lexical patterns, and patterns and instances make a
+graph. In a few rounds Spark scores patterns by the share of their distinct
+instances that are known or believed to be of a kind, then unseen instances by
+the patterns they occur in; what is believed is a seed of the next round, so
+patterns that hold no seed can enter. Mentions in patterns of high confidence
+whose form could be of that kind are added to the spans. A string is reported
+as a secret only in such a pattern, a seed, too.
 
 Edge cases: a null text is an empty one; a text without spans has counts 0, an
 empty ``spans`` and the hash of the empty string. Matches of different kinds
@@ -17,22 +20,26 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
 ROUNDS = 3
 #: A pattern's least confidence and distinct seeds to spread belief, and to add spans.
 SPREADS, SPREADS_SEEDS, SURE, SURE_SEEDS = 0.5, 3, 0.8, 5
 #: Longest token that counts as identifier-like, and how far its context reaches.
 LONGEST, BEFORE, AFTER = 128, 48, 24
+#: Parts that the mentions of one pattern are dealt to in joins.
+SALTS = 16
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -41,7 +48,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"\S*")
+_TOKEN = re.compile(r"[^\s\"'`<>]*")
+_QUOTES = frozenset("\"'`<>")
+_KEY = re.compile(r"[0-9A-Fa-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]+\.[\w-]+\.[\w-]+")
 _DIGITS = re.compile(r"[^0-9]")
 _EDGE = "\"'()[]{}<>.,;:!?"
 
@@ -89,15 +98,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted((s, kind, e) for kind, found in spans for s, e in found)
 
 
+def _is_key(mention: str) -> bool:
+    return bool(_KEY.fullmatch(mention)) and any(c.isdigit() for c in mention) and any(c.isalpha() for c in mention)
+
+
 def _fits(mention: str) -> int:
     """Kinds, as bits, that a string's form could be of."""
     digits = len(_DIGITS.sub("", mention))
     groups = [g for g in re.split(r"[^0-9]+", mention) if g]
-    return (mention.count("@") == 1) | (len(groups) == 4 and max(map(len, groups)) <= 3 and mention.count(".") >= 3) << 1 | (12 <= digits <= 19) << 2 | (7 <= digits <= 15) << 3
+    key = len(mention) >= 16 and digits >= 2 and any(c.isalpha() for c in mention) and "@" not in mention
+    return (mention.count("@") == 1) | (len(groups) == 4 and max(map(len, groups)) <= 3 and mention.count(".") >= 3) << 1 | (12 <= digits <= 19) << 2 | (7 <= digits <= 15) << 3 | key << SECRET
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
-    left = [w for w in (x.strip(_EDGE).lower() for x in text[max(0, start - BEFORE) : start].split()[-2:]) if w]
+    """The word before, both words before, the word before and the one after, and the nearest label before (a word that ends with a colon or an equals sign)."""
+    before = [x for x in (w.strip("\"'`<>") for w in text[max(0, start - BEFORE) : start].split()) if x]
+    left = [w for w in (x.strip(_EDGE).lower() for x in before[-2:]) if w]
     right = [w for w in (x.strip(_EDGE).lower() for x in text[end : end + AFTER].split()[:1]) if w]
     out = []
     if left:
@@ -106,25 +122,44 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
             out.append(f"lr|{left[-1]}|{right[0]}")
     if len(left) == 2:
         out.append(f"ll|{left[0]}|{left[1]}")
+    for k in range(len(before) - 1, -1, -1):
+        if before[k][-1] in ":=":
+            label = before[k][:-1] or (before[k - 1] if k else "")
+            if label:
+                out.append(f"k|{label.strip(_EDGE).lower()}")
+            break
     return out
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, list[str]]]:
     """(start, end, kind or -1, forms, instance, patterns) of seeds and other identifier-like strings."""
     spans = [(s, e, kind) for s, kind, e in base]
-    taken = sorted((s, e) for s, e, _ in spans)
+    starts, ends = [], []  # of what is taken, as disjoint stretches
+
+    def take(found: list[tuple[int, int]]) -> None:
+        rows = sorted([*zip(starts, ends, strict=True), *found])
+        starts.clear()
+        ends.clear()
+        for s, e in rows:
+            if ends and s < ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                starts.append(s)
+                ends.append(e)
 
     def free(start: int, end: int) -> bool:
-        return not any(s < end and start < e for s, e in taken)
+        k = bisect.bisect_left(starts, end) - 1
+        return k < 0 or ends[k] <= start
 
-    rest = [(s, e) for s, e, d in _chains(text) if len(d) >= 7 and free(s, e)]
-    taken = sorted(taken + rest)
+    take([(s, e) for s, e, _ in spans])
+    rest = [(s, e) for s, e, d in _chains(text) if len(d) >= 7 and free(s, e) and not (e < len(text) and text[e].isalnum()) and not (s and text[s - 1].isalnum())]
+    take(rest)
     done = 0
     for m in _MARK.finditer(text):
         if m.start() < done:
             continue
         start = m.start()
-        while start > done and not text[start - 1].isspace():
+        while start > done and not text[start - 1].isspace() and text[start - 1] not in _QUOTES:
             start -= 1
         done = _TOKEN.match(text, m.start()).end()
         token = text[start:done]
@@ -132,7 +167,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
         stop = begin + len(token.strip(_EDGE))
         if stop - begin <= LONGEST and stop > begin and free(begin, stop):
             rest.append((begin, stop))
-    spans += [(s, e, -1) for s, e in rest]
+    spans += [(s, e, SECRET if _is_key(text[s:e]) else -1) for s, e in rest]
     out = []
     for s, e, kind in sorted(spans):
         found = text[s:e]
@@ -157,27 +192,40 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(found, pa.list_(_MENTION))], ["row", "doc_id", "base", "mentions"])
 
 
+def _of_patterns(rows: DataFrame, patterns: DataFrame, by: str) -> DataFrame:
+    """Join on ``pattern`` by parts of ``by``: a pattern may hold a large share of all mentions."""
+    parts = patterns.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(parts, ["pattern", "part"]).drop("part")
+
+
+def _could_be() -> Column:
+    return F.expr("shiftright(fits, kind)").bitwiseAND(F.lit(1)) == 1
+
+
 def confident_patterns(scanned: DataFrame) -> DataFrame:
     """pattern, kind and confidence of patterns that add spans, from the pattern-instance graph."""
     edges = scanned.select(F.explode("mentions").alias("m")).select("m.kind", "m.fits", "m.instance", F.explode("m.patterns").alias("pattern"))
     edges = materialize(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("fits").alias("fits")), "pii-edges")
-    total = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
-    seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    base = materialize(seeds.join(total, "pattern").where(F.col("seeds") >= SPREADS_SEEDS), "pii-patterns")
+    total = materialize(edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.count(F.when(F.col("kind") >= 0, 1)).alias("seeds")), "pii-totals")
+    seeds = edges.where("kind >= 0").select("pattern", "kind", F.lit(1.0).alias("belief"))
     unseen = edges.where("kind < 0").select("pattern", "instance", "fits")
-    scored = base.withColumn("confidence", F.col("seeds") / (F.col("instances") + 1))
-    for _ in range(ROUNDS):
+    known = seeds
+    for turn in range(ROUNDS + 1):
+        support = known.groupBy("pattern", "kind").agg(F.sum("belief").alias("held"), F.count("*").alias("support")).where(F.col("support") >= SPREADS_SEEDS)
+        scored = support.join(total.select("pattern", "instances"), "pattern").withColumn("confidence", F.col("held") / (F.col("instances") + 1))
+        scored = materialize(scored.select("pattern", "kind", "support", "confidence"), "pii-scores")
+        if turn == ROUNDS:
+            break
         spread = scored.where(F.col("confidence") >= SPREADS).select("pattern", "kind", "confidence")
-        could = F.shiftright("fits", 1).isNotNull() & (F.expr("shiftright(fits, kind)").bitwiseAND(F.lit(1)) == 1)
-        belief = unseen.join(spread, "pattern").where(could).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("belief"))
-        gained = unseen.join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("gained"))
-        scored = base.join(gained, ["pattern", "kind"], "left").withColumn("confidence", (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("instances") + 1))
-        scored = materialize(scored.drop("gained"), "pii-scores")
-    return scored.where((F.col("confidence") >= SURE) & (F.col("seeds") >= SURE_SEEDS)).select("pattern", "kind", "confidence")
+        belief = _of_patterns(unseen, spread, "instance").where(_could_be()).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("belief"))
+        # what is believed counts for every pattern it stands in
+        believed = unseen.join(belief.where(F.col("belief") >= SPREADS), "instance").select("pattern", "kind", "belief")
+        known = seeds.unionByName(believed)
+    return scored.where((F.col("confidence") >= SURE) & (F.col("support") >= SURE_SEEDS)).select("pattern", "kind", "confidence")
 
 
 def _listed(spans):
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in (*KINDS, "secret")])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
@@ -186,24 +234,30 @@ def _is(kind: int):
 
 
 def extract(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, spans and n_added of every document."""
+    """doc_id, counts of base spans by kind, base_sha256, spans and n_added, n_secret and secret_spans, and n_found, all of them, of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(text).cast("string"))
     span = "array<struct<start int, kind int, end int>>"
     mention = "array<struct<start int, end int, kind int, fits int, instance long, patterns array<string>>>"
     scanned = materialize(rows.mapInArrow(_scan, f"row long, doc_id {kind}, base {span}, mentions {mention}"), "pii-scan")
     sure = confident_patterns(scanned)
-    unseen = scanned.select("row", F.explode("mentions").alias("m")).where("m.kind < 0")
-    unseen = unseen.select("row", "m.start", "m.end", "m.fits", F.explode("m.patterns").alias("pattern"))
-    hits = unseen.join(sure, "pattern").where(F.expr("shiftright(fits, kind)").bitwiseAND(F.lit(1)) == 1)
+    # seeds of secrets stand for themselves where their pattern is sure of them
+    unseen = scanned.select("row", F.explode("mentions").alias("m")).where((F.col("m.kind") < 0) | (F.col("m.kind") == SECRET))
+    fits = F.when(F.col("m.kind") == SECRET, F.lit(1 << SECRET)).otherwise(F.col("m.fits"))
+    unseen = unseen.select("row", "m.start", "m.end", fits.alias("fits"), F.explode("m.patterns").alias("pattern"))
+    hits = _of_patterns(unseen, sure, "row").where(_could_be())
     added = hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     added = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     out = scanned.select("row", "doc_id", "base").join(added, "row", "left")
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    extra = F.coalesce("added", F.array().cast(span))
+    every = F.coalesce("added", F.array().cast(span))
+    extra, secrets = F.filter(every, lambda x: x["kind"] != SECRET), F.filter(every, _is(SECRET))
     return out.select(
         "doc_id", *counts,
         F.sha2(F.encode(_listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
         _listed(F.array_sort(F.concat("base", extra))).alias("spans"),
         F.size(extra).cast("long").alias("n_added"),
+        F.size(secrets).cast("long").alias("n_secret"),
+        _listed(F.array_sort(secrets)).alias("secret_spans"),
+        (F.size("base") + F.size(every)).cast("long").alias("n_found"),
     )
