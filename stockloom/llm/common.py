@@ -16,6 +16,27 @@ def fold(k: int, name: str = "doc_id") -> Column:
     return F.crc32(id_text(name)) % k
 
 
+#: Most keys that are broadcast as heavy, and fewest rows of such a key.
+MOST_HEAVY, HEAVY = 10_000, 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, uses: str, total: int, spread: Column) -> DataFrame:
+    """Left join of ``rows`` to ``facts``, which have each key once and say how many of the ``total`` rows use it.
+
+    Keys of more than total / MOST_HEAVY rows are broadcast, and there are fewer
+    than MOST_HEAVY of them; their rows are then dealt by ``spread``. So no key
+    brings its rows together in one task. Both sides should be written tables
+    or cheap, as ``facts`` are read twice.
+    """
+    least = max(HEAVY, total // MOST_HEAVY)
+    others = F.struct(*[c for c in facts.columns if c not in (key, uses)])
+    heavy = F.broadcast(facts.where(F.col(uses) > least).select(key, others.alias("__heavy")))
+    light = facts.where(F.col(uses) <= least).select(key, others.alias("__light"), F.lit(0).cast("long").alias("__salt"))
+    out = rows.join(heavy, key, "left").withColumn("__salt", F.when(F.col("__heavy").isNotNull(), spread.bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long"))
+    out = out.join(light, [key, "__salt"], "left").withColumn("__facts", F.coalesce("__heavy", "__light"))
+    return out.select(*rows.columns, "__facts.*")
+
+
 #: Rows of a sample over all values of a label; where values are many, each has fewer.
 MOST_ROWS, BROADCAST_LABELS = 100_000, 10_000
 

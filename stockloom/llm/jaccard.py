@@ -4,7 +4,8 @@ Texts with the same set of shingles are one class, and only classes are
 compared. Classes that agree on a band of MinHash values share a bucket; of
 buckets with the same members one is kept. Within a bucket pairs are compared
 MinHash value by value, and a pair is dropped as soon as the posterior
-probability that it reaches the threshold falls below TOLERANCE. What is left
+probability that it reaches the threshold falls below TOLERANCE, or at once
+where the sizes of the two sets rule it out. What is left
 links classes to clusters, within which every surviving pair is verified on
 the shingles themselves.
 
@@ -12,6 +13,9 @@ Pairs are never rows: buckets and clusters are cut into blocks, a task
 compares two blocks in memory, and gives for each class its number of links
 and one edge to its component. So a group of n near copies costs n rows a
 block, and its work is split over as many tasks as it has pairs of blocks.
+Blocks of a large group hold more classes, as the square root of its size, as
+far as their texts stay within BLOCK_BYTES. A key that very many rows share is
+never gathered in a join: what is known of it is broadcast.
 
 Edge cases: a null text, an empty one or one without words has no shingle, no
 link and a class of its own; a text of fewer than SIZE words has one shingle.
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
+from .common import join_facts
 from .store import materialize
 from .text import NOT_SPACE, buffers, mix, shingles, slices, words
 
@@ -38,8 +43,8 @@ SIZE, THRESHOLD = 5, 0.8
 #: MinHash values of a class; BANDS bands of ROWS of them make buckets; compared STEP at a time.
 VALUES, BANDS, ROWS, STEP = 128, 25, 4, 32
 TOLERANCE = 1e-9
-#: Classes of a block.
-BLOCK = 512
+#: Classes of a block in groups of up to BLOCK_OF of them, and most bytes of a block's texts, the longest text aside.
+BLOCK, BLOCK_OF, BLOCK_BYTES = 512, 16_384, 16 << 20
 
 _r = np.random.default_rng(20240229)
 _FACTORS = (_r.integers(1, 1 << 63, VALUES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -87,15 +92,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = pa.array(sizes > 0)
         names = pa.array([x.tobytes() for x in name], pa.binary())
         sketches = pa.array([x.tobytes() for x in signatures(values, first)], pa.binary())
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), names, sketches], ["row", "doc_id", "name", "sketch"]).filter(kept)
+        columns = [part.column(0), part.column(1), names, sketches, pa.array(sizes.astype(np.int64)), pa.array(np.diff(offsets))]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "name", "sketch", "size", "bytes"]).filter(kept)
 
 
-def surviving(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of signatures, within ``a`` or between ``a`` and ``b``, that comparing value by value doesn't drop."""
+def surviving(a: np.ndarray, b: np.ndarray | None, sizes_a: np.ndarray, sizes_b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of signatures, within ``a`` or between ``a`` and ``b``, that neither sizes nor comparing value by value drops."""
     left, right = [], []
     for k in range(len(a)):
-        other, shift = (a[k + 1 :], k + 1) if b is None else (b, 0)
-        alive, matches = np.arange(len(other)), np.zeros(len(other), np.int64)
+        other, size, shift = (a[k + 1 :], sizes_a[k + 1 :], k + 1) if b is None else (b, sizes_b, 0)
+        # sets can only be 4 / 5 alike if the smaller one has 4 / 5 of the larger one's members
+        alive = np.flatnonzero((5 * np.minimum(size, sizes_a[k]) >= 4 * np.maximum(size, sizes_a[k])))
+        matches = np.zeros(len(alive), np.int64)
         for at, least in enumerate(_LEAST):
             if not len(alive):
                 break
@@ -182,7 +190,8 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
 def _pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     sketches = _matrix(table["sketch"])
     a, b = _sides(table)
-    left, right = surviving(sketches[a], None if b is None else sketches[b])
+    sizes = np.asarray(table["size"].combine_chunks())
+    left, right = surviving(sketches[a], None if b is None else sketches[b], sizes[a], None if b is None else sizes[b])
     return a[left], (a if b is None else b)[right]
 
 
@@ -219,28 +228,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with key and members, dealt to tasks (key, i, j) that compare blocks i and j of a key's members."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    """Rows with key, members and bytes, dealt to tasks (key, i, j) that compare blocks i and j of a key's members."""
+    many = F.col("members") / (BLOCK * F.greatest(F.lit(1.0), F.sqrt(F.col("members") / BLOCK_OF)))
+    blocks = F.ceil(F.greatest(many, F.col("bytes") / BLOCK_BYTES)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("c", F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o")).drop("o", "blocks", "members")
+    rows = rows.withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o")).drop("o", "blocks", "members", "bytes")
     first = [key, "i", "j", "c"]
     rows = rows.select(*first, *[c for c in rows.columns if c not in first])
     return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def _classes(sketched: DataFrame) -> DataFrame:
-    found = sketched.groupBy("name").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.min("sketch").alias("sketch"))
+    found = sketched.groupBy("name").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.min("sketch").alias("sketch"), F.min("size").alias("size"), F.max("bytes").alias("bytes"))
     return materialize(found.withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """bucket, class and members of buckets with several classes; of buckets with equal members only one."""
+def _buckets(classes: DataFrame, count: int) -> DataFrame:
+    """bucket, class, sketch, size and members of buckets with several classes; of buckets with equal members only one."""
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sketch", b * ROWS * 4 + 1, ROWS * 4)) for b in range(BANDS)])
-    keys = classes.select("class", F.explode(bands).alias("bucket")).repartition("bucket")
+    keys = classes.select("class", F.explode(bands).alias("bucket"))
     found = keys.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
     found = found.where("members > 1").groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket"))
-    return keys.join(found.select("bucket", "members"), "bucket")
+    found = materialize(found.select("bucket", "members", F.col("members").alias("uses")), "jaccard-buckets")
+    shared = join_facts(keys, found, "bucket", "uses", BANDS * count, F.xxhash64("class")).where("members is not null")
+    # signatures are as long as each other, so blocks go by members alone
+    return shared.join(classes.select("class", "sketch", "size"), "class").withColumn("bytes", F.lit(0))
 
 
 def join(marked: DataFrame) -> DataFrame:
@@ -252,13 +265,15 @@ def join(marked: DataFrame) -> DataFrame:
     """
     kind = marked.schema["doc_id"].dataType.simpleString()
     texts = marked.select("row", "doc_id", F.col("text").cast("string").alias("text"))
-    sketched = materialize(texts.mapInArrow(_sketch, f"row long, doc_id {kind}, name binary, sketch binary"), "jaccard-sketches")
+    sketched = materialize(texts.mapInArrow(_sketch, f"row long, doc_id {kind}, name binary, sketch binary, size long, bytes long"), "jaccard-sketches")
+    documents = sketched.count()
     classes = _classes(sketched)
-    members = _buckets(classes).join(classes.select("class", "sketch"), "class")
-    edges = _in_blocks(members, "bucket").mapInArrow(_link, "u long, v long")
-    clusters = materialize(graph.components(edges).select(F.col("node").alias("class"), F.col("root").alias("cluster")), "jaccard-clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    needed = clusters.join(sizes, "cluster").join(classes.select("class", "row", "copies", "sketch"), "class")
+    count = classes.count()
+    edges = _in_blocks(_buckets(classes, count), "bucket").mapInArrow(_link, "u long, v long")
+    clusters = graph.components(edges).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    clusters = materialize(clusters.join(classes.select("class", "row", "copies", "sketch", "size", "bytes"), "class"), "jaccard-clusters")
+    groups = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("bytes").alias("all_bytes"), F.count("*").alias("uses"))
+    needed = join_facts(clusters.drop("bytes"), groups, "cluster", "uses", count, F.xxhash64("class")).withColumnRenamed("all_bytes", "bytes")
     # whole texts of one document of each clustered class
     held = needed.join(texts.select("row", "text"), "row").drop("row")
     checked = _in_blocks(held, "cluster").mapInArrow(_verify, "class long, links long, root long")
@@ -266,10 +281,12 @@ def join(marked: DataFrame) -> DataFrame:
     links = checked.groupBy("class").agg(F.sum("links").alias("links"))
     roots = graph.components(checked.select(F.col("class").alias("u"), F.col("root").alias("v")))
     facts = classes.select("name", "class", "copies").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    facts = facts.select("name", F.coalesce("root", "class").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    found = materialize(sketched.select("row", "doc_id", "name").join(facts, "name").drop("name"), "jaccard-documents")
-    least = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("least"))
-    found = found.join(least, "root").select("row", F.col("least.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("least.row")).alias("first"))
+    facts = facts.select("name", "copies", F.coalesce("root", "class").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    facts = materialize(facts, "jaccard-facts")
+    found = join_facts(sketched.select("row", "doc_id", "name"), facts, "name", "copies", documents, F.xxhash64("row"))
+    found = materialize(found.drop("name"), "jaccard-documents")
+    least = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("uses"))
+    found = join_facts(found, least, "root", "uses", documents, F.xxhash64("row")).select("row", F.col("least.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("least.row")).alias("first"))
     out = texts.select("row", "doc_id").join(found, "row", "left")
     alone = F.col("n_links").isNull()
     return out.select(
