@@ -5,13 +5,14 @@ ids says so, stores every distinct chunk once under its hash, and writes for
 each document, in ascending order of ids, a recipe: the hashes of its chunks
 and a Merkle root over them. Recipes lie in parts; a manifest has each part's
 root over its recipes and the number of ids before it. ``read`` checks every
-chunk against its hash, every recipe against its root and every part against
-the manifest, and gives the ids back.
+chunk against its hash, every recipe against its root and its number of ids,
+every part against the manifest, and gives the ids back.
 
 Layout of a store: ``chunks`` (hash, n_ids, ids: little-endian unsigned 32-bit
-integers, or 16-bit where all fit; the first byte is the width in bytes),
-``recipes`` (part, place, doc_id, start, n_tokens, root, chunks) and
-``manifest`` (part, start, n_documents, n_tokens, root), all Parquet.
+integers, or 16-bit where all fit; the first byte is the width in bytes; uses:
+how often recipes name it), ``recipes`` (part, place, doc_id, start, n_tokens,
+root, chunks) and ``manifest`` (part, start, n_documents, n_tokens, root,
+id_type), all Parquet. Ids of documents are of any type that can be ordered.
 
 Edge cases: a null or empty text is the end id alone. Null ids come first.
 Documents of equal id are ordered by their roots; equal rows are stored twice
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import join_facts
 from .store import drop, materialize, new_path
 from .text import mix, slices, span_hashes
 
@@ -75,7 +77,9 @@ class Encoder:
     characters, so what lies between such spaces are units that can be encoded
     apart. Units are remembered by a 64-bit hash and their length. New ones are
     encoded some to a text, which their bytes tell apart again: a token stands for
-    as many bytes as it has letters.
+    as many bytes as it has letters. Every unit's bytes are compared with those
+    that were encoded; a text with a unit that only has the same hash, and units
+    that the tokenizer has joined, are encoded as they are.
     """
 
     def __init__(self, definition: str):
@@ -95,6 +99,21 @@ class Encoder:
         self.known, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.text, self.text_at, self.text_used = np.zeros(1 << 20, np.uint8), np.zeros(0, np.int64), 0
+
+    def _keep_text(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Where the bytes of new units are kept."""
+        sizes = end - start
+        ends = np.cumsum(sizes)
+        if self.text_used + ends[-1] > len(self.text):
+            self.text = np.concatenate([self.text[: self.text_used], np.zeros(len(self.text) + ends[-1], np.uint8)])
+        self.text[self.text_used : self.text_used + ends[-1]] = data[np.repeat(start - (ends - sizes), sizes) + np.arange(ends[-1])]
+        at = self.text_used + ends - sizes
+        self.text_used += int(ends[-1])
+        return at
+
+    def _plain(self, data: np.ndarray) -> np.ndarray:
+        return np.array(self.tokenizer.encode(data.tobytes().decode("utf-8"), add_special_tokens=False).ids, np.uint32)
 
     def _keep(self, ids: np.ndarray) -> int:
         if self.used + len(ids) > len(self.pool):
@@ -118,14 +137,15 @@ class Encoder:
             ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32)
             reached = np.cumsum(self.bytes[ids])
             stop = np.searchsorted(reached, ends)
-            if not (reached[np.minimum(stop, len(reached) - 1)] == ends).all():
-                raise RuntimeError("the tokenizer has joined units of text")
-            stop += 1
-            begin = np.concatenate([[0], stop[:-1]])
-            at[many], size[many] = self._keep(ids) + begin, stop - begin
+            if len(reached) and (reached[np.minimum(stop, len(reached) - 1)] == ends).all():
+                stop += 1
+                begin = np.concatenate([[0], stop[:-1]])
+                at[many], size[many] = self._keep(ids) + begin, stop - begin
+            else:
+                joinable = np.zeros(len(joinable), bool)
         for k in np.flatnonzero(~joinable).tolist():
-            ids = self.tokenizer.encode(data[start[k] : end[k]].tobytes().decode("utf-8"), add_special_tokens=False).ids
-            at[k], size[k] = self._keep(np.array(ids, np.uint32)), len(ids)
+            ids = self._plain(data[start[k] : end[k]])
+            at[k], size[k] = self._keep(ids), len(ids)
         return at, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +154,8 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(texts + 1, np.int64)
         if not self.units:
-            found = [self.tokenizer.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8"), add_special_tokens=False).ids for k in range(texts)]
-            return np.array([i for ids in found for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            found = [self._plain(data[offsets[k] : offsets[k + 1]]) for k in range(texts)]
+            return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
         if len(self.known) > REMEMBERED:
             self._forget()
         white = _white(data)
@@ -153,8 +173,6 @@ class Encoder:
         length = (end - start)[place]
         inside = np.minimum(at, max(len(self.known) - 1, 0))
         new = np.ones(len(distinct), bool) if not len(self.known) else self.known[inside] != distinct
-        if len(self.known) and (self.length[inside] != length)[~new].any():
-            raise RuntimeError("two units of text have the same hash")
         if new.any():
             where = place[new]
             joinable = apart[start[where]] & ~white[end[where] - 1]
@@ -162,6 +180,7 @@ class Encoder:
             slots = at[new]
             self.known = np.insert(self.known, slots, distinct[new])
             self.length = np.insert(self.length, slots, length[new])
+            self.text_at = np.insert(self.text_at, slots, self._keep_text(data, start[where], end[where]))
             self.start = np.insert(self.start, slots, pool_at)
             self.size = np.insert(self.size, slots, pool_size)
             at = np.searchsorted(self.known, distinct)
@@ -170,6 +189,16 @@ class Encoder:
         ends = np.cumsum(sizes)
         flat = self.pool[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
         first = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
+        # units lie one after another, so their bytes are the data's
+        wide = end - start
+        kept = self.text.take(np.repeat(self.text_at[at] - start, wide) + np.arange(len(data)), mode="clip")
+        other = np.flatnonzero(kept != data)
+        other = np.concatenate([other, start[self.length[at] != wide]])
+        if len(other):
+            parts = [flat[first[k] : first[k + 1]] for k in range(texts)]
+            for k in np.unique(np.searchsorted(offsets, other, "right") - 1).tolist():
+                parts[k] = self._plain(data[offsets[k] : offsets[k + 1]])
+            flat, first = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return flat, first
 
 
@@ -341,7 +370,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, text: str = "text") -
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
     staged = materialize(_encoded(docs, definition, text), "token-staging")
-    chunks = staged.select(F.explode("chunks").alias("chunk")).select("chunk.*").dropDuplicates(["hash"])
+    chunks = staged.select(F.explode("chunks").alias("chunk")).select("chunk.*")
+    chunks = chunks.groupBy("hash").agg(F.first("n_ids").alias("n_ids"), F.first("ids").alias("ids"), F.count("*").alias("uses"))
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.select("doc_id", "n_tokens", "root", F.transform("chunks", lambda c: F.struct(c["hash"].alias("hash"), c["n_ids"].alias("n_ids"))).alias("chunks"))
     parts = max(1, -(-staged.count() // ROWS_OF_PART))
@@ -364,6 +394,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, text: str = "text") -
     stored = spark.read.schema(placed.schema).parquet(f"{path}/recipes")
     roots = stored.groupBy("part").agg(_part_root().alias("root"))
     manifest = totals.select("part", F.col("part_start").alias("start"), "n_documents", "n_tokens").join(roots, "part")
+    manifest = manifest.withColumn("id_type", F.lit(docs.schema["doc_id"].dataType.simpleString()))
     manifest.write.parquet(f"{path}/manifest")
     drop(ordered)
 
@@ -381,7 +412,7 @@ def _require(ok, message: str):
 
 
 def checked_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """hash, n_ids and crc32 of every stored chunk, its ids read and its hash recomputed."""
+    """hash, n_ids, uses and crc32 of every stored chunk, its ids read and its hash recomputed."""
 
     @F.arrow_udf("intact boolean, crc long")
     def look(hashes: pa.Array, packed: pa.Array) -> pa.Array:
@@ -390,21 +421,29 @@ def checked_chunks(spark: SparkSession, path: str) -> DataFrame:
         crc = [zlib.crc32(unpack(p).tobytes()) for p in data]
         return pa.StructArray.from_arrays([pa.array(intact, pa.bool_()), pa.array(crc, pa.int64())], ["intact", "crc"])
 
-    rows = spark.read.schema("hash binary, n_ids int, ids binary").parquet(f"{path}/chunks")
+    rows = spark.read.schema("hash binary, n_ids int, ids binary, uses long").parquet(f"{path}/chunks")
     rows = rows.withColumn("found", look("hash", "ids"))
-    return rows.select("hash", "n_ids", F.col("found.crc").alias("crc"), F.col("found.intact").alias("intact"))
+    return rows.select("hash", "n_ids", "uses", F.col("found.crc").alias("crc"), F.col("found.intact").alias("intact"))
 
 
-def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone, all hashes checked.
 
     Chunks are read and checked once; what is joined to the recipes is each
-    chunk's crc32 and size, from which a document's crc32 follows.
+    chunk's crc32 and size, from which a document's crc32 follows. A chunk that
+    very many recipes name is broadcast to them.
     """
-    recipes = spark.read.schema(_RECIPE.format(id_type)).parquet(f"{path}/recipes")
-    manifest = spark.read.schema("part int, start long, n_documents long, n_tokens long, root string").parquet(f"{path}/manifest")
-    parts = recipes.groupBy("part").agg(_part_root().alias("found")).join(manifest.select("part", "root"), "part", "full")
-    parts = parts.select("part", _require(F.col("found") == F.col("root"), "a part of the store doesn't match its manifest").alias("part_intact"))
+    manifest = spark.read.schema("part int, start long, n_documents long, n_tokens long, root string, id_type string").parquet(f"{path}/manifest")
+    kind = manifest.select("id_type").first()
+    recipes = spark.read.schema(_RECIPE.format(kind[0] if kind else "bigint")).parquet(f"{path}/recipes")
+    found = recipes.groupBy("part").agg(_part_root().alias("root"), F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("start"))
+    facts = ("root", "n_documents", "n_tokens", "start")
+    parts = found.select("part", F.struct(*facts).alias("found")).join(manifest.select("part", F.struct(*facts).alias("told")), "part", "full")
+    same = F.lit(True)
+    for fact in facts:
+        same = same & (F.col(f"found.{fact}") == F.col(f"told.{fact}"))
+    # a part that is missing has no recipe to fail, so all parts speak for the store
+    parts = parts.select(_require(same, "a part of the store doesn't match its manifest").alias("intact")).agg(F.bool_and("intact").alias("store_intact"))
 
     @F.arrow_udf("boolean")
     def root_holds(roots: pa.Array, hashes: pa.Array) -> pa.Array:
@@ -415,12 +454,15 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
         first = np.concatenate([[0], np.cumsum(np.asarray(crcs.value_lengths()))])
         return pa.array(joined_crc(np.asarray(crcs.flatten()), np.asarray(sizes.flatten()).astype(np.int64), first))
 
-    rows = recipes.join(parts, "part")
-    rows = rows.withColumn("recipe_intact", _require(root_holds("root", F.col("chunks.hash")) & F.col("part_intact"), "a recipe doesn't match its root"))
+    ids = F.aggregate("chunks", F.lit(0).cast("long"), lambda total, c: total + c["n_ids"])
+    rows = recipes.withColumn("recipe_intact", _require(root_holds("root", F.col("chunks.hash")) & (ids == F.col("n_tokens")), "a recipe doesn't match its root"))
     pieces = rows.select("part", "place", "doc_id", "start", "n_tokens", "recipe_intact", F.posexplode("chunks").alias("at", "chunk"))
     pieces = pieces.select("*", F.col("chunk.hash").alias("hash"), F.col("chunk.n_ids").alias("recipe_n")).drop("chunk")
-    pieces = pieces.join(checked_chunks(spark, path), "hash", "left")
-    intact = _require(F.col("intact") & F.col("recipe_intact") & (F.col("n_ids") == F.col("recipe_n")), "a chunk is missing or doesn't match its hash")
+    chunks = materialize(checked_chunks(spark, path), "token-chunks")
+    total = chunks.agg(F.sum("uses")).first()[0] or 0
+    pieces = join_facts(pieces, chunks, "hash", "uses", total, F.xxhash64("part", "place", "at"))
+    pieces = pieces.crossJoin(F.broadcast(parts))  # one row
+    intact = _require(F.col("intact") & F.col("recipe_intact") & F.col("store_intact") & (F.col("n_ids") == F.col("recipe_n")), "a chunk is missing or doesn't match its hash")
     pieces = pieces.withColumn("ok", intact).where("ok")
     whole = pieces.groupBy("part", "place", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("at", "crc", "n_ids"))).alias("parts"))
     return whole.select("doc_id", "start", "n_tokens", crc_of(F.col("parts.crc"), F.col("parts.n_ids")).alias("ids_crc32"))
