@@ -7,24 +7,23 @@ before has kept. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stockloom.llm import decontam, jaccard, langid, mixing, tokenstore
 from stockloom.llm.queries import read
-from stockloom.llm.store import materialize, ship
+from stockloom.llm.store import drop, materialize, scratch, ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that language identification rejects: those it can't determine.
+    """Drop documents that language identification rejects.
 
-    The model learns from the labels of this stage's own input.
+    The model learns from the labels of this stage's own input. Documents go
+    that it takes for none of its languages, that it surely takes for another
+    language than their label says, or that have no letter.
     """
     ship(spark)
-    model = langid.fit(langid.training_rows(docs))
-    found = langid.identify(docs, model)
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    return langid.accepted(docs, langid.fit(langid.training_rows(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; what a stage has written for itself goes when it is done."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + "".join(c if c.isalnum() else "-" for c in name))
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + "".join(c if c.isalnum() else "-" for c in name), keep=True)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
