@@ -42,14 +42,16 @@ MOST_ROWS, BROADCAST_LABELS = 100_000, 10_000
 
 
 def sample_by(df: DataFrame, label: str, most: int) -> DataFrame:
-    """About ``most`` rows of each value of ``label``, by a hash of doc_id; of each of very many values fewer, but of none less than about one.
+    """About ``most`` rows of each value of ``label``, by a hash of doc_id; of each of very many values fewer, but of each at least one.
 
     One narrow pass counts the labels; the second keeps rows whose hash lies
-    below most/count, so no label's rows meet in one task.
+    below most/count or is the label's least, so no label's rows meet in one
+    task.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    draw = F.pmod(F.xxhash64(id_text(), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"), F.min(draw).alias("__least"))
     values = counts.count()
     most = max(1, min(most, MOST_ROWS // max(1, values)))
-    draw = F.pmod(F.xxhash64(id_text(), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     counts = F.broadcast(counts) if values <= BROADCAST_LABELS else counts
-    return df.join(counts, F.col(label) == F.col("__label")).where(draw < F.lit(float(most)) / F.col("__n")).select(*df.columns)
+    wanted = (draw < F.lit(float(most)) / F.col("__n")) | (draw == F.col("__least"))
+    return df.join(counts, F.col(label) == F.col("__label")).where(wanted).select(*df.columns)

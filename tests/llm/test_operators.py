@@ -602,3 +602,237 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+# --- large, hot and odd inputs ------------------------------------------------------------------------
+
+
+def test_fingerprint_of_very_many_pieces_and_text_ids(spark, monkeypatch):
+    rows = [("a", "x\n" * 2_100_000), ("b", "hello"), (None, "q w e"), ("", "z"), ("c", None)]
+    out = {x.doc_id: x for x in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    # descending ids, null last: c, b, a, '', null
+    edited = {"c": "", "b": "helx\n"[:5], "a": "x\n" * 1_050_000 + "z", "": "z"[:1], None: "q w"}
+    assert out["a"].n_chars == 4_200_000 and out["a"].near_edited == pytest.approx(0.8, abs=0.01)
+    assert out["a"].fingerprint.startswith(hex(2_100_000)[2:])
+    for k in ("c", "b", "a", ""):
+        assert out[k].edited_sha256 == hashlib.sha256(edited[k].encode()).hexdigest(), k
+    # sums of runs are those of whole texts
+    many = spark.createDataFrame([(k, prose(random.Random(k), 300)) for k in range(6)], "doc_id long, text string")
+    whole = sorted(map(tuple, fingerprint.fingerprints(many).collect()))
+    monkeypatch.setattr(fingerprint, "RUN", 4)
+    assert sorted(map(tuple, fingerprint.fingerprints(many).collect())) == whole
+
+
+def test_likeness_against_shared_pieces(spark):
+    r = random.Random(17)
+    lines = [prose(r, 6) for _ in range(60)]
+    rows = [(10, "\n".join(lines[:40]) + "\n"), (9, "\n".join(lines[20:60]) + "\n"), (8, prose(r, 200).replace(" the ", "\n"))]
+    out = {x.doc_id: x for x in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pieces = lambda t: Counter(re.findall(fingerprint.PIECE, t))
+    texts = dict(rows)
+    for one, other in ((10, 9), (9, 8)):
+        a, b = pieces(texts[one]), pieces(texts[other])
+        shared = 2 * sum(a[p] * b[p] for p in a) / (sum(v * v for v in a.values()) + sum(v * v for v in b.values()))
+        assert out[one].near_next == pytest.approx(shared, abs=0.2)
+
+
+def test_license_repeated_rows_and_whole_headers(spark):
+    r = random.Random(18)
+    plain = [(1000 + k, "\n".join(prose(r, 30) for _ in range(3)), "en", "s") for k in range(60)]
+    one = f"{prose(r, 20)}\n\n{license.TEMPLATES['ISC'][0]}\n\n{prose(r, 20)}"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    wrapped = [(10 + k, "\n".join(["Copyright (C) someone", "", *textwrap.wrap(t, 72), "", prose(r, 40)]), "en", "s") for k, t in enumerate((mit, gpl))]
+    docs = table(spark, plain + [(1, one, "en", "s"), (2, one, "en", "s"), (2, one, "en", "s"), (2, one, "en", "s")] + wrapped)
+    model = license.fit(docs)
+    out = license.scan(docs, model).collect()
+    assert len(out) == len(plain) + 6
+    found = [(x.license, x.probability, x.n_confirmed) for x in out if x.doc_id in (1, 2)]
+    assert len(found) == 4 and {(a, n) for a, _, n in found} == {("ISC", 1)}
+    assert max(p for _, p, _ in found) - min(p for _, p, _ in found) < 1e-12
+    assert {x.doc_id: x.license for x in out if x.doc_id in (10, 11)} == {10: "MIT", 11: "GPL-3.0"}
+
+
+def test_counts_beyond_32_bits():
+    known = np.sort(np.array([5, 9], np.uint64))
+    rows = {"block": [1, 2], "bucket": [0, 0], "data": [known.astype("<u8").tobytes()] * 2, "counts": [np.array([3_000_000_000, 1], "<i8").tobytes()] * 2}
+    out = hmm._returned(pa.table(rows))
+    assert np.frombuffer(out["data"][0].as_py(), "<i8").tolist() == [6_000_000_000, 2]
+
+
+def test_lm_counts_by_groups_of_blocks(spark, monkeypatch):
+    r = random.Random(19)
+    docs = table(spark, [(k, prose(r, r.randint(1, 80)), "en", "s") for k in range(120)] + [(500, prose(r, 3000), "en", "s")])
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score"]
+    plain = sorted(map(tuple, hmm.score(docs, fold(7) == 2).select(*names).collect()))
+    for name, value in (("BLOCK_BYTES", 500), ("BUCKET_DOCS", 3), ("GROUP", 2), ("FACTS", 3), ("MOST_ROWS", 2)):
+        monkeypatch.setattr(hmm, name, value)
+    split = sorted(map(tuple, hmm.score(docs, fold(7) == 2).select(*names).collect()))
+    assert [x[:4] for x in split] == [x[:4] for x in plain] and [x[4] for x in split] == pytest.approx([x[4] for x in plain])
+
+
+def test_forward_of_a_long_text(monkeypatch):
+    r = np.random.default_rng(5)
+    share = lambda x: x / x.sum(axis=1, keepdims=True)
+    m = hmm.Model(share(r.random((2, hmm.STATES))), share(r.random((hmm.STATES, hmm.STATES))), share(r.random((hmm.STATES, hmm.WORDS + hmm.SHAPES))))
+    texts = [r.integers(0, 5000, n) for n in (1, 2, 511, 512, 513, 514, 1025, 5000)]
+    plain = hmm.forward(m, texts)
+    monkeypatch.setattr(hmm, "LONG", 0)
+    assert hmm.forward(m, texts) == pytest.approx(plain)
+
+
+def test_every_language_is_learned_from(spark):
+    rows = [(k, "some text here", f"l{k % 300:03}", "s") for k in range(900)]
+    sampled = langid.sample_by(table(spark, rows), "lang", 2)
+    assert sampled.select("lang").distinct().count() == 300 and sampled.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_language_stage_goes_by_the_model(spark):
+    r = random.Random(20)
+    kinds = {"en": ("the", "ing", "and", "th"), "fr": ("é", "eau", "le", "qu"), "de": ("sch", "ü", "ei", "der")}
+    rows = [(k, prose(r, r.randint(20, 60), kinds[lang]), lang, "s") for k, lang in zip(range(300), itertools.cycle(kinds), strict=False)]
+    strange = [(1000, "это русский текст о погоде и природе " * 8, None, "s"), (1001, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)), None, "s")]
+    wrong = [(1002, prose(r, 80, kinds["de"]), "en", "s")]
+    docs = table(spark, rows + strange + wrong + [(1003, "12 34", "en", "s"), (1004, None, "en", "s")]).withColumn("score", F.lit("own"))
+    model = langid.fit(docs.where("doc_id < 1000"))
+    kept = langid.accepted(docs, model)
+    assert kept.columns == docs.columns and {x.score for x in kept.collect()} == {"own"}
+    assert {x.doc_id for x in kept.collect()} == {k for k, _, _, _ in rows}
+    # nothing but letters can decide where nothing was learned
+    assert langid.accepted(docs, None).count() == len(rows) + 3
+
+
+def test_inclusion_frequencies(spark):
+    r = random.Random(23)
+    sizes = spark.createDataFrame([(k, k, "ab"[k % 2], r.choice([1, 5, 30, 200])) for k in range(120)], "row long, doc_id long, source string, size long")
+    of = {(x.source, x.weight): x.chance for x in mixing.inclusion(sizes, mixing.targets(sizes)).collect()}
+    assert len(set(of.values())) > 3 and all(0 <= p <= 1 for p in of.values())
+    rounds, seen = 24, Counter()
+    for salt in range(rounds):
+        for x in mixing.take(sizes, f"s{salt}:").collect():
+            seen[x.source, len(bin(x.size)) - 2] += x.copies - int(x.target / x.source_size)
+    members = Counter((x.source, len(bin(x.size)) - 2) for x in sizes.collect())
+    for key, p in of.items():
+        assert seen[key] / rounds / members[key] == pytest.approx(p, abs=0.12), key
+
+
+def test_mixed_documents_keep_any_columns(spark, edges):
+    docs = edges.withColumns({"__row": F.lit("mine"), "copies": F.lit(9), "size": F.lit("s"), "source_size": F.lit(0), "own1": F.lit(1)})
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and {x["__row"] for x in out.collect()} == {"mine"}
+
+
+def test_secrets_and_patterns_without_seeds(spark):
+    r = random.Random(24)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(k, f'{prose(r, 10)} token = "{key()}"### {prose(r, 8)}', "en", "s") for k in range(12)]
+    odds = [f"Qw{k}ertZu{k}iopAs{k}9" for k in range(7)]
+    odd = odds[6]
+    rows += [(100, f'{prose(r, 5)} token = "{odd}" {prose(r, 5)}', "en", "s"), (101, f"{prose(r, 5)} commit {key()} {prose(r, 5)}", "en", "s")]
+    # the odd key is believed by its label, and speaks for another label in turn
+    rows += [(200 + k, f"{prose(r, 5)} passphrase: {odds[k]} {prose(r, 5)}", "en", "s") for k in range(6)]
+    rows += [(300 + k, f'{prose(r, 5)} token = "{odds[k]}" {prose(r, 5)}', "en", "s") for k in range(6)]
+    rows += [(400, f"{prose(r, 5)} passphrase: another9secret8value7 {prose(r, 5)}", "en", "s")]
+    out = {x.doc_id: x for x in pii.extract(table(spark, rows)).collect()}
+    assert all(out[k].n_secret == 1 and out[k].n_found == 1 for k in (*range(12), 100, 400))
+    start = rows[12][1].index(odd)
+    assert out[100].secret_spans == f"secret:{start}:{start + len(odd)}" and out[100].spans == ""
+    assert out[101].n_secret == 0
+    long = " ".join(f"{k}.1.2.3" for k in range(60_000))
+    assert pii.extract(table(spark, [(1, long, "en", "s")])).first().n_ip == 256
+
+
+def test_components_of_a_chain_and_a_hub(spark, monkeypatch):
+    from stockloom.llm import common, graph
+
+    monkeypatch.setattr(common, "HEAVY", 50)
+    chain = spark.range(100_000).select(((F.col("id") * 7919) % 100_003).alias("u"), (((F.col("id") + 1) * 7919) % 100_003).alias("v"))
+    hub = spark.range(3000).select(F.lit(200_000).cast("long").alias("u"), (F.col("id") + 200_001).alias("v"))
+    found = graph.components(chain.unionByName(hub))
+    sizes = {x["root"]: x["n"] for x in found.groupBy("root").agg(F.count("*").alias("n")).collect()}
+    assert sizes[200_000] == 3001 and sizes[0] == 100_001 and len(sizes) == 2
+
+
+def test_units_with_equal_hashes_are_encoded_apart(monkeypatch):
+    path = tokenstore.default_tokenizer()
+    with open(path, encoding="utf-8") as f:
+        encoder = tokenstore.Encoder(f.read())
+    monkeypatch.setattr(tokenstore, "span_hashes", lambda data, start, ends, lower: [data[start].astype(np.uint64) for _ in ends])
+    texts = ["one two three four", "one tiny thing flew", "four two three tied", "", "plain"]
+    ids, first = encoder.encode(*buffers(pa.array(texts)))
+    for k, t in enumerate(texts):
+        assert ids[first[k] : first[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_store_notices_changes_and_takes_text_ids(spark, tmp_path):
+    path = tokenstore.default_tokenizer()
+    docs = spark.createDataFrame([(f"d{k:03}", prose(random.Random(k), 50)) for k in range(40)], "doc_id string, text string")
+
+    def change(part, do):
+        where = f"file://{tmp_path}/{part}-{do.__name__}"
+        tokenstore.write(docs, where, path)
+        rows = do(spark.read.parquet(f"{where}/{part}"))
+        schema = rows.schema
+        rows = spark.createDataFrame(rows.collect(), schema)
+        rows.write.mode("overwrite").parquet(f"{where}/{part}")
+        with pytest.raises(Exception, match="doesn't match"):
+            tokenstore.read(spark, where).collect()
+
+    where = f"file://{tmp_path}/whole"
+    tokenstore.write(docs, where, path)
+    out = sorted(tokenstore.read(spark, where).collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in out] == [f"d{k:03}" for k in range(40)]
+
+    def other_count(df):
+        return df.withColumn("n_tokens", F.col("n_tokens") + 1)
+
+    def fewer(df):
+        return df.where("place > 1")
+
+    def none(df):
+        return df.limit(0)
+
+    def swapped(df):
+        return df.withColumn("chunks", F.reverse(F.concat("chunks", "chunks")))
+
+    change("manifest", other_count)
+    for do in (other_count, fewer, swapped):
+        change("recipes", do)
+
+
+def test_decontamination_against_all_windows(spark):
+    r = random.Random(25)
+    stems = [a + b for a in "bcdfgk" for b in "aeiou"]
+    say = lambda n: [r.choice(stems) for _ in range(n)]
+    items = [say(r.randint(4, 30)) for _ in range(25)]
+    rows = []
+    for k in range(120):
+        w = say(r.randint(0, 60))
+        if k % 3 == 0:
+            part = list(r.choice(items))
+            for _ in range(r.randint(0, 8)):
+                part[r.randrange(len(part))] = r.choice(stems)
+            w[10:10] = part
+        rows.append((k, " ".join(w), "en", "s"))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    want = {(d, i): e for d, t, _, _ in rows for i, w in enumerate(items) if (e := _distance_to_passage(w, t.split())) <= int(decontam.EDITS * len(w))}
+    got = {(x.doc_id, x.item_id): x.edits for x in decontam.contaminated(table(spark, rows), bench).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    assert all(e >= want[k] for k, e in got.items())
+
+
+@pytest.mark.parametrize("size", [400, 800])
+def test_decontamination_at_the_full_distance(size):
+    r = random.Random(size)
+    stems = [a + b for a in "bcdfgklmnprst" for b in "aeiou"]
+    say = lambda n: [r.choice(stems) + r.choice(stems) for _ in range(n)]
+    items = [say(size) for _ in range(5)]
+    index = decontam.build(list(range(5)), [" ".join(w) for w in items])
+    texts = []
+    for k in range(50):
+        w = list(items[k % 5])
+        for at in r.sample(range(size), int(0.2 * size)):
+            w[at] = "x" + str(r.randrange(10**6))
+        texts.append(" ".join(say(30) + w + say(30)))
+    found = {(d, i) for d, i, _ in decontam.search(index, *buffers(pa.array(texts)))}
+    assert len(found & {(k, k % 5) for k in range(50)}) >= 49
