@@ -42,21 +42,48 @@ def last_counts(lookups: DataFrame, counts: DataFrame) -> DataFrame:
     return out.withColumn("count_age", F.datediff("day", "counted_on"))
 
 
-def reliability(lookups: DataFrame, ledger: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
-    """reliable: freshly and closely counted, not adjusted chronically; unreliable: never counted or chronic; else uncertain."""
+def reliability(items: DataFrame, ledger: DataFrame, counts: DataFrame, crosswalk: DataFrame, clusters: DataFrame, reviewed: DataFrame, mismatched: DataFrame, conversions: DataFrame, p: Params) -> DataFrame:
+    """Grade and balance of every live record at the start and the end of remediation and at the as-of date.
+
+    unreliable: in a duplicate cluster, bought in another unit without a
+    conversion, or written down chronically outside counts; reliable: counted
+    lately and closely; uncertain: the rest, never counted ones among them.
+    After remediation merged records are cleared, conversions that were added
+    by then count, and the trailing year begins with its end at the earliest.
+    Retired records have no grade then: their stock is their survivor's.
+    """
+    end = F.lit(p.remediation_end).cast("date")
+    days = [(p.remediation_start, False), (p.remediation_end, True), (p.as_of_date, True)]
+    asked = F.explode(F.array(*[F.struct(F.lit(d).cast("date").alias("day"), F.lit(after).alias("after")) for d, after in days]))
+    lookups = items.select("item_number", asked.alias("x")).select("item_number", "x.*")
     down = ledger.where((F.col("txn_type") == "ADJUST") & (F.col("qty") < 0) & ~F.coalesce("reason_code", F.lit("")).isin("COUNT", "CYCLE"))
-    rows = window_count(last_counts(lookups, counts), down, "item_number", "day", "txn_date", p.chronic_days)
-    rows = balances(rows, ledger).withColumn("chronic", F.col("n_events") >= p.chronic_adjustments)
+    rows = window_count(last_counts(lookups, counts), down, "item_number", "day", "txn_date", p.chronic_days, F.when(F.col("after"), end))
+    rows = balances(rows, ledger)
+    merged = reviewed.where(F.col("decision") == "MERGE")
+    retired = merged.select(F.col("retired_item_number").alias("item_number")).distinct()
+    cleared = retired.unionByName(merged.select(F.col("survivor_item_number").alias("item_number"))).distinct()
+    wrong_unit = crosswalk.join(mismatched.select("item_id").distinct(), "item_id").select("item_number").distinct()
+    added = conversions.groupBy("item_number").agg(F.max("added_date").alias("__added"))
+    for name, df in (("__member", clusters.select("item_number").distinct()), ("__retired", retired), ("__cleared", cleared), ("__unit", wrong_unit)):
+        rows = rows.join(df.withColumn(name, F.lit(True)), "item_number", "left")
+    rows = rows.join(added, "item_number", "left")
+    holds = lambda name: F.coalesce(F.col(name), F.lit(False))
+    duplicate = holds("__member") & ~(F.col("after") & holds("__cleared"))
+    unit = holds("__unit") & ~(F.col("after") & F.coalesce(F.col("__added") <= F.col("day"), F.lit(False)))
+    chronic = F.col("n_events") >= p.chronic_adjustments
     close = (F.col("count_age") <= p.fresh_count_days) & (F.col("variance") < p.close_count_share)
-    grade = F.when(F.col("chronic") | F.col("counted_on").isNull(), "unreliable").when(close, "reliable").otherwise("uncertain")
-    return rows.withColumn("reliability", grade)
+    grade = F.when(duplicate | unit | chronic, "unreliable").when(close, "reliable").otherwise("uncertain")
+    return rows.withColumn("reliability", F.when(F.col("after") & holds("__retired"), None).otherwise(grade)).drop("__member", "__retired", "__cleared", "__unit", "__added")
 
 
-def value_by_reliability(graded: DataFrame, costs: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Items and stock value by day and grade, records rolled up to the item they resolve to."""
-    rows = canonical(graded, crosswalk).join(costs.withColumnRenamed("item_number", "__item"), F.col(ITEM) == F.col("__item"), "left")
-    value = F.greatest(F.col("balance"), F.lit(0.0)) * F.coalesce("cost", F.lit(0.0))
-    return rows.groupBy("day", "reliability").agg(F.count("*").alias("records"), F.sum(value).alias("stock_value"))
+def value_by_reliability(graded: DataFrame, costs: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Records and stock value by day and grade; after remediation a retired record's stock is its survivor's."""
+    survivor = reviewed.where(F.col("decision") == "MERGE").groupBy(F.col("retired_item_number").alias("item_number")).agg(F.max("survivor_item_number").alias("__survivor"))
+    rows = graded.join(survivor, "item_number", "left").withColumn("holder", F.when(F.col("after"), F.coalesce("__survivor", "item_number")).otherwise(F.col("item_number")))
+    held = rows.groupBy("holder", "day").agg(F.sum("balance").alias("held"), F.max(F.when(F.col("item_number") == F.col("holder"), F.col("reliability"))).alias("reliability"))
+    value = F.greatest(F.col("held"), F.lit(0.0)) * F.coalesce("cost", F.lit(0.0))
+    out = held.where("reliability is not null").join(costs.withColumnRenamed("item_number", "holder"), "holder", "left")
+    return out.groupBy("day", "reliability").agg(F.count("*").alias("records"), F.sum(value).alias("stock_value"))
 
 
 def imputed_costs(items: DataFrame) -> DataFrame:
@@ -67,21 +94,6 @@ def imputed_costs(items: DataFrame) -> DataFrame:
     return out.select("item_number", F.coalesce("standard_cost", "class_cost", "any_cost").alias("cost"), F.col("standard_cost").isNull().alias("is_imputed"))
 
 
-def error_group(items: DataFrame, groups: list[tuple[str, DataFrame]]) -> DataFrame:
-    """The first group, in order, whose records hold the item; null where none does."""
-    out, pick = items.select("item_number"), None
-    for k, (name, members) in enumerate(groups):
-        out = out.join(members.select("item_number").distinct().withColumn(f"__g{k}", F.lit(True)), "item_number", "left")
-        pick = F.when(F.col(f"__g{k}"), name) if pick is None else pick.when(F.col(f"__g{k}"), name)
-    return out.select("item_number", pick.alias("error_group"))
-
-
-def rush_by_group(orders: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rush lines, freight and spend of each error group."""
-    rows = orders.where("is_rush").join(groups, "item_number", "left")
-    return rows.groupBy(F.coalesce("error_group", F.lit("none")).alias("error_group")).agg(F.count("*").alias("rush_lines"), F.sum("freight").alias("freight"), F.sum(F.col("qty_ordered") * F.col("unit_price")).alias("spend"))
-
-
 def delayed_jobs(jobs: DataFrame) -> DataFrame:
     """Jobs, delayed jobs and lost days by hold reason."""
     return jobs.groupBy(F.coalesce("hold_reason", F.lit("none")).alias("hold_reason")).agg(
@@ -89,17 +101,6 @@ def delayed_jobs(jobs: DataFrame) -> DataFrame:
     )
 
 
-def adjustments_by_group(ledger: DataFrame, groups: DataFrame, costs: DataFrame) -> DataFrame:
-    """Value written off and up by error group, and the share of adjustments with a generic reason."""
-    rows = ledger.where(F.col("txn_type") == "ADJUST").join(groups, "item_number", "left").join(costs, "item_number", "left")
-    value = F.col("qty") * F.coalesce("cost", F.lit(0.0))
-    generic = F.col("reason_code").isNull() | F.col("reason_code").isin("ADJ", "VAR", "MISC", "COUNT")
-    return rows.groupBy(F.coalesce("error_group", F.lit("none")).alias("error_group")).agg(
-        F.count("*").alias("adjustments"), F.sum(F.when(value < 0, -value).otherwise(0.0)).alias("written_off"), F.sum(F.when(value > 0, value).otherwise(0.0)).alias("written_up"),
-        F.count(F.when(generic, 1)).alias("generic_reasons"),
-    )
-
-
 def phantom_on_order(orders: DataFrame, day: str, p: Params) -> DataFrame:
     """Open lines older than the limit: how many, their open units and value."""
     rows = orders.where((F.col("status") == "OPEN") & (F.datediff(F.lit(day).cast("date"), "order_date") > p.phantom_days))
@@ -186,25 +187,3 @@ def weekday_share(rows: DataFrame, day: str) -> DataFrame:
     """Rows by weekday and their share of all."""
     counted = rows.where(F.col(day).isNotNull()).groupBy(F.date_format(day, "EEEE").alias("weekday")).agg(F.count("*").alias("n"))
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
-
-
-def trust_measures(resolved: DataFrame, orders: DataFrame, jobs: DataFrame, ledger: DataFrame, p: Params) -> DataFrame:
-    """Shares by which records can be trusted, one row a measure."""
-    live = resolved.where(~F.col("is_dead"))
-    vague = F.col("reason_code").isNull() | F.col("reason_code").isin("ADJ", "VAR", "MISC", "COUNT")
-    old = (F.col("status") == "OPEN") & (F.datediff(F.lit(p.history_end).cast("date"), "order_date") > p.phantom_days)
-    part = lambda condition: F.avg(F.when(condition, 1.0).otherwise(0.0)).alias("share")
-    measures = {
-        "items without a cost": live.agg(part(F.col("standard_cost").isNull())),
-        "items without a reorder point": live.agg(part(F.col("reorder_point").isNull())),
-        "records that another one replaces": live.agg(part(~F.col("is_survivor"))),
-        "adjustments without a clear reason": ledger.where(F.col("txn_type") == "ADJUST").agg(part(vague)),
-        "order lines open too long": orders.agg(part(old)),
-        "order lines under generic codes": orders.agg(part(F.col("is_generic_item"))),
-        "finished jobs left open": jobs.agg(part((F.col("status") == "OPEN") & F.col("completed_date").isNotNull())),
-    }
-    out = None
-    for name, df in measures.items():
-        row = df.select(F.lit(name).alias("measure"), "share")
-        out = row if out is None else out.unionByName(row)
-    return out

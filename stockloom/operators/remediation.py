@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Params
-from .resolve import canonical
+from .resolve import REPOINTED, REQUANTIFIED, REVERSED, canonical
 
 ITEM = "canonical_item_number"
 
@@ -60,7 +60,7 @@ def lead_times(orders: DataFrame, items: DataFrame, least: int = 3) -> DataFrame
 def chronic_adjustments(ledger: DataFrame, bill: DataFrame, restored: DataFrame, p: Params) -> DataFrame:
     """Items written down often in the year to the history's end outside counts, and the likely cause."""
     end = F.lit(p.history_end).cast("date")
-    down = ledger.where((F.col("txn_type") == "ADJUST") & (F.col("qty") < 0) & F.col("txn_date").between(F.date_sub(end, p.chronic_days - 1), end) & ~F.coalesce("reason_code", F.lit("")).isin("COUNT", "CYCLE"))
+    down = ledger.where((F.col("txn_type") == "ADJUST") & (F.col("qty") < 0) & F.col("txn_date").between(F.date_sub(end, p.chronic_days), end) & ~F.coalesce("reason_code", F.lit("")).isin("COUNT", "CYCLE"))
     facts = down.groupBy("item_number").agg(F.count("*").alias("adj_count_12m"), F.sum("qty").alias("net_qty")).where(F.col("adj_count_12m") >= p.chronic_adjustments)
     listed = bill.select(F.col("component_item").alias("item_number")).distinct().withColumn("__on", F.lit(True))
     omitted = restored.select(F.col("component_item").alias("item_number")).distinct().withColumn("__back", F.lit(True))
@@ -69,19 +69,47 @@ def chronic_adjustments(ledger: DataFrame, bill: DataFrame, restored: DataFrame,
 
 
 def closures(orders: DataFrame, jobs: DataFrame, day: str, p: Params) -> DataFrame:
-    """Documents to close: order lines open beyond the limit, and jobs completed but still open."""
+    """Documents to close: order lines open beyond the limit, and open jobs that have completed units, as line 1."""
     today = F.lit(day).cast("date")
     lines = orders.where((F.col("status") == "OPEN") & (F.datediff(today, "order_date") > p.phantom_days)).select(F.lit("PO").alias("document_type"), F.col("po_id").alias("document_id"), "line")
-    done = jobs.where((F.col("status") == "OPEN") & F.col("completed_date").isNotNull()).select(F.lit("JOB").alias("document_type"), F.col("order_id").alias("document_id"), F.lit(None).cast("int").alias("line"))
+    done = jobs.where((F.col("status") == "OPEN") & (F.col("qty_completed") > 0)).select(F.lit("JOB").alias("document_type"), F.col("order_id").alias("document_id"), F.lit(1).alias("line"))
     return lines.unionByName(done)
 
 
-def spreadsheet_reconciliation(notes: DataFrame, position: DataFrame, crosswalk: DataFrame, near: float = 0.2) -> DataFrame:
-    """The buyer's own figure against the record: agrees, differs, or has no figure."""
-    rows = canonical(notes.withColumnRenamed("item_ref", "item_number"), crosswalk).join(position.select(ITEM, "on_hand_units"), ITEM, "left")
-    off = F.abs(F.col("on_hand_estimate") - F.col("on_hand_units"))
-    verdict = F.when(F.col("on_hand_estimate").isNull() | F.col("on_hand_units").isNull(), "no figure").when(off <= near * F.greatest("on_hand_units", F.lit(1.0)), "agrees").otherwise("differs")
-    return rows.select("item_number", "on_hand_estimate", "on_hand_units", verdict.alias("verdict"))
+def spreadsheet_reconciliation(notes: DataFrame, book: DataFrame, position: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """The buyer's own figure against the books: which is closer to the corrected stock, and what was done.
+
+    ``book`` has item_number and units as the ledger sums them. A note without a figure disagrees with nothing.
+    """
+    rows = canonical(notes.withColumnRenamed("item_ref", "item_number"), crosswalk).join(position.select(ITEM, "on_hand_units"), ITEM, "left").join(book, "item_number", "left")
+    erp = F.greatest(F.coalesce("units", F.lit(0.0)), F.lit(0.0))
+    rows = rows.withColumn("erp_on_hand", erp).withColumn("truth", F.coalesce("on_hand_units", F.lit(0.0)))
+    disagree = F.coalesce(F.col("on_hand_estimate") != F.col("erp_on_hand"), F.lit(False))
+    closer = F.abs(F.col("on_hand_estimate") - F.col("truth")) < F.abs(F.col("erp_on_hand") - F.col("truth"))
+    return rows.select(
+        "item_number", F.col("on_hand_estimate").alias("spreadsheet_on_hand"), "erp_on_hand",
+        F.when(~disagree, "agree").when(closer, "spreadsheet").otherwise("erp").alias("closer_to_truth"),
+        F.when(~disagree, "no change").when(closer, "corrected ERP to counted value").otherwise("kept ERP; spreadsheet updated").alias("action"),
+    )
+
+
+def bill_changes(bill: DataFrame, restored: DataFrame) -> DataFrame:
+    """The change log's edges that the recorded bill lacks, with the bill's own quantity of the component elsewhere beside them."""
+    usual = bill.groupBy("component_item").agg(F.median("qty_per").alias("usual_qty_per"))
+    missing = restored.join(bill.select("product_number", "component_item"), ["product_number", "component_item"], "left_anti")
+    return missing.join(usual, "component_item", "left").select("product_number", "component_item", "qty_per", "usual_qty_per")
+
+
+def posting_corrections(wrong: DataFrame, keyed: DataFrame, doubled: DataFrame) -> DataFrame:
+    """The corrections of three kinds of posting error as one table, with what was and what is in words.
+
+    ``wrong`` has txn_id, posted_item_number and correct_item_number; ``keyed`` txn_id, posted_qty and correct_qty; ``doubled`` txn_id and original_txn_id.
+    """
+    arrow = lambda a, b: F.concat(F.coalesce(F.col(a).cast("string"), F.lit("")), F.lit(" -> "), F.coalesce(F.col(b).cast("string"), F.lit("")))
+    one = lambda df, kind, detail: df.select(F.lit(kind).alias("correction"), "txn_id", detail.alias("detail"))
+    out = one(wrong, REPOINTED, arrow("posted_item_number", "correct_item_number"))
+    out = out.unionByName(one(keyed, REQUANTIFIED, arrow("posted_qty", "correct_qty")))
+    return out.unionByName(one(doubled, REVERSED, F.concat(F.lit("duplicate of "), "original_txn_id")))
 
 
 def attribution_decisions(candidates: DataFrame, sure: float = 0.62) -> DataFrame:

@@ -110,6 +110,12 @@ def _columns(table: str) -> dict[str, Column]:
             return {**_typed("int", "source_no"), **_same("item_number"), **_typed("double", "annual_unrecorded")}
         case "uom_mismatch_items":
             return _typed("int", "item_id")
+        case "rushes":
+            return {**_typed("date", "date"), **_same("item_number", "cause"), **_typed("double", "freight", "premium_usd")}
+        case "shortages":
+            return {**_typed("date", "date"), **_same("item_number", "cause"), **_typed("int", "jobs")}
+        case "unrecorded_events":
+            return {**_typed("date", "date"), **_same("item_number"), **_typed("double", "qty"), **_same("channel")}
         case "batched_receipts":
             return {**_same("po_id"), **_typed("int", "line")}
     raise KeyError(table)

@@ -116,12 +116,21 @@ def running_balance(ledger: DataFrame, change: Column, key: str = ITEM) -> DataF
     return daily.select(key, "txn_date", F.sum("change").over(order).alias("balance"))
 
 
-def window_count(lookups: DataFrame, events: DataFrame, key: str, at: str, when: str, days: int) -> DataFrame:
-    """Look-ups with n_events: their key's events in the ``days`` up to their date."""
-    daily = events.groupBy(key, when).agg(F.count("*").alias("n"))
-    near = lookups.select(key, at).distinct().join(daily, key).where((F.col(when) <= F.col(at)) & (F.col(when) > F.date_sub(F.col(at), days)))
-    counts = near.groupBy(key, at).agg(F.sum("n").alias("n_events"))
-    return lookups.join(counts, [key, at], "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+def window_count(lookups: DataFrame, events: DataFrame, key: str, at: str, when: str, days: int, since: Column | None = None) -> DataFrame:
+    """Look-ups with n_events: their key's events from ``days`` before their date, or ``since`` if that is later, to the date, both days included.
+
+    A count is the difference of two running counts, each looked up as of a
+    day, so no look-up is paired with events.
+    """
+    order = Window.partitionBy(key).orderBy(when).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = events.groupBy(key, when).agg(F.count("*").alias("n")).select(key, F.col(when).alias("__when"), F.sum("n").over(order).alias("__through"))
+    begin = F.date_sub(F.col(at), days)
+    begin = begin if since is None else F.greatest(begin, since)
+    rows = lookups.withColumn("__before", F.date_sub(begin, 1))
+    rows = as_of(rows, running, key, at, "__through", "__when").withColumnRenamed("__through", "__upto").drop("__when")
+    rows = as_of(rows, running, key, "__before", "__through", "__when")
+    n = F.coalesce("__upto", F.lit(0)) - F.coalesce("__through", F.lit(0))
+    return rows.withColumn("n_events", F.greatest(n, F.lit(0)).cast("bigint")).drop("__before", "__upto", "__through", "__when")
 
 
 def abc_classes(values: DataFrame, a: float, b: float, item: str = ITEM, value: str = "value") -> DataFrame:

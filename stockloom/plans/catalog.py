@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from ..functions.measures import periods_of_lead
-from ..operators import forecast, learning, monitoring, policy, quality, reliability, remediation, replay, timeseries
+from ..operators import finance, forecast, learning, monitoring, policy, quality, reliability, remediation, replay, timeseries
 from ..operators.timeseries import ITEM
-from . import oracle
+from ..sources import erp_views
+from . import money, oracle
 from .warehouse import Warehouse
 
 Build = Callable[[Warehouse], DataFrame]
@@ -46,7 +47,7 @@ def sql(name: str) -> str | None:
 
 # --- staging ---------------------------------------------------------------------
 
-for _table in ("item_master", "supplier_master", "bill_of_materials", "purchase_orders", "inventory_transactions", "cycle_counts", "buyer_spreadsheet", "posting_corrections", "production_orders", "service_orders", "lead_time_computation", "true_direct_demand"):
+for _table in erp_views.VIEWS:
     _add(f"stg_{_table}", lambda w, t=_table: w.stg(t), f"select * from stg_{_table}")
 
 # --- resolution --------------------------------------------------------------------
@@ -161,7 +162,7 @@ _add(
 _add(
     "join_range_count",
     lambda w: timeseries.window_count(_lookups(w), w.stg("inventory_transactions").where("txn_type = 'ADJUST' and qty < 0"), "item_number", "day", "txn_date", 365).withColumn("n_events", F.col("n_events").cast("bigint")),
-    "select l.item_number, l.day, (select count(*) from stg_inventory_transactions t where t.item_number = l.item_number and t.txn_type = 'ADJUST' and t.qty < 0 and t.txn_date <= l.day and t.txn_date > l.day - 365) as n_events from lookups l",
+    "select l.item_number, l.day, (select count(*) from stg_inventory_transactions t where t.item_number = l.item_number and t.txn_type = 'ADJUST' and t.qty < 0 and t.txn_date <= l.day and t.txn_date >= l.day - 365) as n_events from lookups l",
 )
 _add(
     "join_bom_requirements",
@@ -217,20 +218,6 @@ _add(
 union all select 'Inventory ledger', count(*) filter (txn_id in (""" + " union ".join(f"select txn_id from dq_{n:02d}" for n in range(9, 14)) + """)), count(*) from stg_inventory_transactions
 union all select 'Purchase orders', count(*) filter ((po_id, line) in (select (po_id, line) from dq_14 union select (po_id, line) from dq_15 union select (document_id, line) from dq_16 where document_type = 'PO')), count(*) from stg_purchase_orders""",
 )
-_add(
-    "fin_trust",
-    lambda w: reliability.trust_measures(w.resolved, w.stg("purchase_orders"), w.stg("production_orders"), w.stg("inventory_transactions"), w.params),
-    f"""
-select 'items without a cost' as measure, count(*) filter (standard_cost is null) / count(*) as share from live
-union all select 'items without a reorder point', count(*) filter (reorder_point is null) / count(*) from live
-union all select 'records that another one replaces', count(*) filter (not is_survivor) / count(*) from live
-union all select 'adjustments without a clear reason', (select count(*) from dq_13) / count(*) from stg_inventory_transactions where txn_type = 'ADJUST'
-union all select 'order lines open too long', count(*) filter (status = 'OPEN' and {oracle._END} - order_date > {oracle.P.phantom_days}) / count(*) from stg_purchase_orders
-union all select 'order lines under generic codes', count(*) filter (is_generic_item) / count(*) from stg_purchase_orders
-union all select 'finished jobs left open', count(*) filter (status = 'OPEN' and completed_date is not null) / count(*) from raw_production_orders""",
-    ("share",),
-)
-
 # --- aggregates ------------------------------------------------------------------------
 
 _add(
@@ -402,54 +389,31 @@ _add("pol_reorder_queue", _queue)
 
 
 def _graded(w: Warehouse) -> DataFrame:
-    day = F.explode(F.array(*[F.lit(d).cast("date") for d in ("1998-12-31", w.params.history_end, w.params.as_of_date)]))
-    return reliability.reliability(w.stg("item_master").select("item_number", day.alias("day")), w.stg("inventory_transactions"), w.stg("cycle_counts"), w.params)
+    live = w.stg("item_master").join(w.stg("dead_item_dispositions").select("item_number").distinct(), "item_number", "left_anti")
+    return reliability.reliability(live, w.stg("inventory_transactions"), w.stg("cycle_counts"), w.crosswalk, w.stg("duplicate_clusters"), w.stg("duplicate_crosswalk"), w.stg("uom_mismatch_items"), w.stg("uom_conversions"), w.params)
 
 
-_GRADED = f"""
-with asked as (select item_number, unnest([date '1998-12-31', {oracle._END}, {oracle._ASOF}]) as day from stg_item_master),
-  facts as (select a.item_number, a.day, c.variance, c.counted_on, (select count(*) from stg_inventory_transactions t where t.item_number = a.item_number and t.txn_type = 'ADJUST' and t.qty < 0
-      and ifnull(t.reason_code, '') not in ('COUNT', 'CYCLE') and t.txn_date <= a.day and t.txn_date > a.day - {oracle.P.chronic_days}) as n_events
-    from asked a asof left join counted c on c.item_number = a.item_number and c.counted_on <= a.day),
-  graded as (select *, case when n_events >= {oracle.P.chronic_adjustments} or counted_on is null then 'unreliable'
-    when day - counted_on <= {oracle.P.fresh_count_days} and variance < {oracle.P.close_count_share} then 'reliable' else 'uncertain' end as reliability from facts)
-"""
-_add("rel_classes", lambda w: _graded(w).select("item_number", "day", "reliability", F.col("n_events").cast("bigint").alias("n_events")), _GRADED + "select item_number, day, reliability, n_events from graded")
+_add("rel_classes", lambda w: _graded(w).select("item_number", "day", "reliability", "n_events"), "select item_number, day, reliability, n_events from graded")
 _add(
     "rel_value",
-    lambda w: reliability.value_by_reliability(_graded(w), reliability.imputed_costs(w.stg("item_master")).select("item_number", "cost"), w.crosswalk),
-    _GRADED + """select g.day, g.reliability, count(*) as records, sum(greatest(ifnull(b.balance, 0), 0) * ifnull(c.cost, 0)) as stock_value
-from graded g asof left join balances b on b.item_number = g.item_number and b.txn_date <= g.day left join crosswalk x on x.item_number = g.item_number left join costs c on c.item_number = ifnull(x.canonical_item_number, g.item_number) group by all""",
+    lambda w: reliability.value_by_reliability(_graded(w), _costs(w), w.stg("duplicate_crosswalk")),
+    "from graded_value",
     ("stock_value",),
 )
-_add("fin_cost_imputed", lambda w: reliability.imputed_costs(w.stg("item_master")), "select * from costs", ("cost",))
 
 
-def _groups(w: Warehouse) -> DataFrame:
-    return reliability.error_group(w.stg("item_master"), [("dead", w.rule(1)), ("duplicate", w.rule(4)), ("lead time", w.rule(2)), ("missing fields", w.rule(6))])
+def _costs(w: Warehouse) -> DataFrame:
+    return reliability.imputed_costs(w.stg("item_master")).select("item_number", "cost")
+
+
+_add("fin_cost_imputed", lambda w: reliability.imputed_costs(w.stg("item_master")), "select * from costs", ("cost",))
 
 
-_add("fin_error_groups", _groups, "select * from item_groups")
-_add(
-    "fin_expedites",
-    lambda w: reliability.rush_by_group(w.stg("purchase_orders"), _groups(w)),
-    "select ifnull(error_group, 'none') as error_group, count(*) as rush_lines, sum(freight) as freight, sum(qty_ordered * unit_price) as spend from stg_purchase_orders left join item_groups using (item_number) where is_rush group by 1",
-    ("freight", "spend"),
-)
 _add(
     "fin_delayed_jobs",
     lambda w: reliability.delayed_jobs(w.stg("production_orders")),
     "select ifnull(hold_reason, 'none') as hold_reason, count(*) as jobs, count(*) filter (delay_days > 0) as delayed_jobs, sum(delay_days)::bigint as delay_days from raw_production_orders group by 1",
 )
-_add(
-    "fin_adjustments",
-    lambda w: reliability.adjustments_by_group(w.stg("inventory_transactions"), _groups(w), reliability.imputed_costs(w.stg("item_master")).select("item_number", "cost")),
-    """
-select ifnull(g.error_group, 'none') as error_group, count(*) as adjustments, sum(greatest(-t.qty * ifnull(c.cost, 0), 0)) as written_off, sum(greatest(t.qty * ifnull(c.cost, 0), 0)) as written_up,
-  count(*) filter (ifnull(reason_code, 'ADJ') in ('ADJ', 'VAR', 'MISC', 'COUNT')) as generic_reasons
-from stg_inventory_transactions t left join item_groups g using (item_number) left join costs c using (item_number) where t.txn_type = 'ADJUST' group by 1""",
-    ("written_off", "written_up"),
-)
 _add(
     "fin_phantom_on_order",
     lambda w: reliability.phantom_on_order(w.stg("purchase_orders"), w.params.history_end, w.params),
@@ -554,7 +518,7 @@ _add(
     f"""
 select item_number, count(*) as adj_count_12m, sum(qty) as net_qty, -sum(qty) / 12 as implied_monthly, item_number in (select component_item from stg_bill_of_materials) as on_bom,
   if(item_number in (select component_item from stg_bom_change_log), 'BOM omission', 'Keying') as root_cause
-from stg_inventory_transactions where txn_type = 'ADJUST' and qty < 0 and txn_date > {oracle._END} - {oracle.P.chronic_days} and txn_date <= {oracle._END} and ifnull(reason_code, '') not in ('COUNT', 'CYCLE')
+from stg_inventory_transactions where txn_type = 'ADJUST' and qty < 0 and txn_date >= {oracle._END} - {oracle.P.chronic_days} and txn_date <= {oracle._END} and ifnull(reason_code, '') not in ('COUNT', 'CYCLE')
 group by 1 having count(*) >= {oracle.P.chronic_adjustments}""",
     ("implied_monthly",),
 )
@@ -562,15 +526,41 @@ _add(
     "rem_closures",
     lambda w: remediation.closures(w.stg("purchase_orders"), w.stg("production_orders"), w.params.history_end, w.params),
     f"""
-select 'PO' as document_type, po_id as document_id, line from stg_purchase_orders where status = 'OPEN' and {oracle._END} - order_date > {oracle.P.phantom_days}
-union all by name select 'JOB' as document_type, order_id as document_id from raw_production_orders where status = 'OPEN' and completed_date is not null""",
+select 'PO' as document_type, po_id as document_id, line from stg_purchase_orders where status = 'OPEN' and order_date < {oracle._END} - {oracle.P.phantom_days}
+union all by name select 'JOB' as document_type, order_id as document_id, 1 as line from raw_production_orders where status = 'OPEN' and qty_completed > 0""",
 )
 _add(
     "rem_spreadsheet",
-    lambda w: remediation.spreadsheet_reconciliation(w.stg("buyer_spreadsheet"), w.position, w.crosswalk),
+    lambda w: remediation.spreadsheet_reconciliation(w.stg("buyer_spreadsheet"), finance.book_stock(w.stg("inventory_transactions")), w.position, w.crosswalk),
+    """
+with rows as (select b.item_ref as item_number, on_hand_estimate as spreadsheet_on_hand, greatest(ifnull(units, 0), 0) as erp_on_hand, ifnull(i.on_hand_units, 0) as truth
+  from stg_buyer_spreadsheet b left join crosswalk x on x.item_number = b.item_ref left join inventory i on i.canonical_item_number = ifnull(x.canonical_item_number, b.item_ref) left join book on book.item_number = b.item_ref),
+marked as (select *, ifnull(spreadsheet_on_hand <> erp_on_hand, false) as disagree, abs(spreadsheet_on_hand - truth) < abs(erp_on_hand - truth) as closer from rows)
+select item_number, spreadsheet_on_hand, erp_on_hand, if(not disagree, 'agree', if(closer, 'spreadsheet', 'erp')) as closer_to_truth,
+  if(not disagree, 'no change', if(closer, 'corrected ERP to counted value', 'kept ERP; spreadsheet updated')) as action from marked""",
+)
+_add(
+    "rem_bill_changes",
+    lambda w: remediation.bill_changes(w.stg("bill_of_materials"), w.stg("bom_change_log")),
+    """
+select l.product_number, l.component_item, l.qty_per, (select median(qty_per) from stg_bill_of_materials b where b.component_item = l.component_item)::double as usual_qty_per
+from stg_bom_change_log l where (l.product_number, l.component_item) not in (select (product_number, component_item) from stg_bill_of_materials)""",
+)
+_add(
+    "rem_posting_corrections",
+    lambda w: remediation.posting_corrections(
+        w.rule(10), w.rule(11).select("txn_id", F.col("posted_qty").cast("bigint").alias("posted_qty"), F.col("correct_qty").cast("bigint").alias("correct_qty")),
+        w.rule(12).where("is_confirmed").select("txn_id", F.regexp_replace("txn_id", "-D$", "").alias("original_txn_id")),
+    ),
     """
-select b.item_ref as item_number, b.on_hand_estimate, i.on_hand_units, case when abs(on_hand_estimate - on_hand_units) is null then 'no figure' when abs(on_hand_estimate - on_hand_units) <= 0.2 * greatest(on_hand_units, 1) then 'agrees' else 'differs' end as verdict
-from stg_buyer_spreadsheet b left join crosswalk x on x.item_number = b.item_ref left join inventory i on i.canonical_item_number = ifnull(x.canonical_item_number, b.item_ref)""",
+select 're-pointed to correct item' as correction, txn_id, concat(posted_item_number, ' -> ', correct_item_number) as detail from dq_10
+union all select 'quantity corrected', txn_id, concat(posted_qty::bigint, ' -> ', correct_qty::bigint) from dq_11
+union all select 'duplicate posting reversed', txn_id, 'duplicate of ' || regexp_replace(txn_id, '-D$', '') from dq_12 where is_confirmed""",
+)
+_add(
+    "rem_attribution_decisions",
+    lambda w: remediation.attribution_decisions(w.stg("free_text_attribution").select("po_id", "confidence")),
+    "select po_id, confidence, if(confidence < 0.62, 'rejected', 'confirmed') as confirmation from raw_free_text_attribution",
 )
 
 # --- replay and learning ---------------------------------------------------------------
@@ -607,6 +597,9 @@ def _tiers(w: Warehouse) -> DataFrame:
 _add("ml_cleaning_tiers", _tiers)
 
 
+money.add_queries(_add, _graded, _costs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, folder, n=name: run(n, spark, folder)) for name in CATALOG}
 

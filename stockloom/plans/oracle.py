@@ -151,9 +151,33 @@ from lines left join stg_supplier_master s using (supplier_id) group by supplier
     "lookups": "select distinct item_number, count_date as day from stg_cycle_counts",
     "counted": "select item_number, count_date as counted_on, max(if(system_qty <= 0 and counted_qty > 0, 1, abs(counted_qty - system_qty) / greatest(system_qty, 1))) as variance from stg_cycle_counts group by all",
     "costs": "select item_number, coalesce(standard_cost, median(standard_cost) over (partition by item_class), (select median(standard_cost) from stg_item_master)) as cost, standard_cost is null as is_imputed from stg_item_master",
+    "duplicate_members": "select distinct item_number from stg_duplicate_clusters",
+    "merges": "select retired_item_number as retired, survivor_item_number as survivor from raw_duplicate_crosswalk where decision = 'MERGE'",
+    "unit_items": "select item_number from crosswalk semi join stg_uom_mismatch_items using (item_id)",
+    "stale_leads": f"select item_number from stg_lead_time_computation where abs(median_actual_lead_days - master_lead_time_days) > {P.stale_lead_gap_days}",
     "item_groups": """
-select item_number, case when item_number in (select item_number from dq_01) then 'dead' when item_number in (select item_number from dq_04) then 'duplicate' when item_number in (select item_number from dq_02) then 'lead time'
-  when item_number in (select item_number from dq_06) then 'missing fields' end as error_group from stg_item_master""",
+select item_number, case when item_number in (from duplicate_members) then 'Duplicate Item Records' when item_number in (from unit_items) then 'UOM Mismatch'
+  when item_number in (select item_number from raw_unrecorded_usage) then 'Unrecorded Consumption' when item_number in (select item_number from dq_03) then 'Stale Reorder Points'
+  when item_number in (from stale_leads) then 'Stale Lead Times' when item_number in (select item_number from dq_11) then 'Quantity and Unit Errors'
+  when item_number in (select posted_item_number from dq_10 union select correct_item_number from dq_10) then 'Wrong References'
+  when item_number in (select item_number from stg_inventory_transactions semi join (select txn_id from stg_posting_corrections where correction like 'duplicate%') using (txn_id)) then 'Duplicate Postings'
+  else 'No master error' end as error_group from stg_item_master""",
+    "graded": f"""
+with asked as (select i.item_number, d.day, d.after from stg_item_master i, (values (date '{P.remediation_start}', false), (date '{P.remediation_end}', true), (date '{P.as_of_date}', true)) d(day, after)
+    where i.item_number not in (select item_number from stg_dead_item_dispositions)),
+  facts as (select a.item_number, a.day, a.after, c.variance, c.counted_on, (select count(*) from stg_inventory_transactions t where t.item_number = a.item_number and t.txn_type = 'ADJUST' and t.qty < 0
+      and coalesce(t.reason_code, '') not in ('COUNT', 'CYCLE') and t.txn_date <= a.day and t.txn_date >= if(a.after, greatest(a.day - 365, date '{P.remediation_end}'), a.day - 365)) as n_events
+    from asked a asof left join counted c on c.item_number = a.item_number and c.counted_on <= a.day),
+  marks as (select f.*, f.item_number in (from duplicate_members) and not (after and f.item_number in (select retired from merges union select survivor from merges)) as dup,
+      f.item_number in (from unit_items) and not (after and f.item_number in (select item_number from raw_uom_conversions u where u.added_date <= f.day)) as unit,
+      after and f.item_number in (select retired from merges) as retired from facts f)
+select item_number, day, after, n_events, case when retired then null when dup or unit or n_events >= 3 then 'unreliable'
+  when day - counted_on <= 90 and variance < 0.05 then 'reliable' else 'uncertain' end as reliability from marks""",
+    "graded_value": """
+with held as (select g.item_number, g.day, g.after, g.reliability, ifnull(b.balance, 0) as balance from graded g asof left join balances b on b.item_number = g.item_number and b.txn_date <= g.day),
+  rolled as (select item_number, day, reliability, balance + if(after, ifnull((select sum(r.balance) from held r join merges m on m.retired = r.item_number where m.survivor = h.item_number and r.day = h.day), 0), 0) as held from held h where reliability is not null)
+select day, reliability, count(*) as records, sum(greatest(held, 0) * ifnull(cost, 0)) as stock_value from rolled left join costs using (item_number) group by all""",
+    "book": "select item_number, sum(change) as units from signed_ledger group by 1",
 }
 
 

@@ -34,6 +34,9 @@ SCHEMAS: dict[str, str] = {
     "unrecorded_usage": "source_no int, item_number string, annual_unrecorded double",
     "uom_mismatch_items": "item_id int",
     "batched_receipts": "po_id string, line int",
+    "rushes": "date date, item_number string, cause string, freight double, premium_usd double",
+    "shortages": "date date, item_number string, cause string, jobs int",
+    "unrecorded_events": "date date, item_number string, qty double, channel string",
 }
 
 
