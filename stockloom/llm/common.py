@@ -31,7 +31,9 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, uses: str, total: in
     least = max(HEAVY, total // MOST_HEAVY)
     others = F.struct(*[c for c in facts.columns if c not in (key, uses)])
     heavy = F.broadcast(facts.where(F.col(uses) > least).select(key, others.alias("__heavy")))
-    light = facts.where(F.col(uses) <= least).select(key, others.alias("__light"), F.lit(0).cast("long").alias("__salt"))
+    # 0, but not a constant: one that the optimizer knows would leave the key alone to deal rows by
+    zero = F.when(F.col(uses) < 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    light = facts.where(F.col(uses) <= least).select(key, others.alias("__light"), zero.alias("__salt"))
     out = rows.join(heavy, key, "left").withColumn("__salt", F.when(F.col("__heavy").isNotNull(), spread.bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long"))
     out = out.join(light, [key, "__salt"], "left").withColumn("__facts", F.coalesce("__heavy", "__light"))
     return out.select(*rows.columns, "__facts.*")
