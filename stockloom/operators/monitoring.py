@@ -22,12 +22,13 @@ def _js(shares: DataFrame, by: list[str]) -> DataFrame:
 def drift(values: DataFrame, bins: int = 20) -> DataFrame:
     """Distance between two samples of each feature, on quantile bins of the reference.
 
-    ``values`` is long: feature, value and is_reference. Values are log1p'd;
+    ``values`` is long: feature, value and is_reference. Values are log1p'd, to
+    nine digits, so that equal ones computed in another order stay equal;
     edges are exact quantiles, equal ones taken together, and the outer bins
     are open. With fewer than three edges bins are of equal width between the
     reference's least and greatest value.
     """
-    scaled = values.where(F.col("value").isNotNull()).select("feature", "is_reference", F.log1p(F.greatest("value", F.lit(0.0))).alias("v"))
+    scaled = values.where(F.col("value").isNotNull()).select("feature", "is_reference", F.round(F.log1p(F.greatest("value", F.lit(0.0))), 9).alias("v"))
     # equal values are counted once, so what meets per feature is its distinct values
     counted = scaled.groupBy("feature", "v").agg(F.count(F.when(F.col("is_reference"), 1)).alias("n_p"), F.count(F.when(~F.col("is_reference"), 1)).alias("n_q"))
     points = F.array(*[F.lit(k / bins) for k in range(bins + 1)])

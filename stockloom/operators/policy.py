@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..params import FILL_TARGET, RECOMPUTED_Z, RULE_Z, Params
 from .resolve import canonical, is_usage
+from .timeseries import numbered
 
 ITEM = "canonical_item_number"
 
@@ -79,7 +81,7 @@ def loss_table(errors: DataFrame, step: float = 0.01, most: float = 6.0) -> Data
     classes = counted.groupBy("abc").agg(F.sum("n").alias("whole"))
     grid = classes.select("abc", "whole", F.explode(F.sequence(F.lit(0), F.lit(cells))).alias("k_cell"))
     # errors above k lie in cells beyond k's own
-    joined = grid.join(counted, (grid["abc"] == counted["abc"]) & (F.col("cell") > F.col("k_cell")), "left").drop(counted["abc"])
+    joined = grid.join(counted.withColumnRenamed("abc", "__abc"), (F.col("abc") == F.col("__abc")) & (F.col("cell") > F.col("k_cell")), "left")
     k = F.col("k_cell") * F.lit(step)
     out = joined.groupBy("abc", "k_cell", "whole").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
     return out.select("abc", F.round(k, 2).alias("k"), ((F.col("s") - F.col("n") * k) / F.col("whole")).alias("loss"))
@@ -129,14 +131,35 @@ def requirements(jobs: DataFrame, bill: DataFrame, crosswalk: DataFrame, day: st
     return canonical(rows, crosswalk).groupBy(ITEM).agg(F.sum(F.col("qty_ordered") * F.col("qty_per")).alias("allocated"))
 
 
-def reorder_queue(position: DataFrame, levels: DataFrame, needed: DataFrame, p: Params) -> DataFrame:
-    """Status, shortfall and lots of every item: ORDER NOW below its level, SOON within days of it.
+def reorder_queue(position: DataFrame, levels: DataFrame, needed: DataFrame, marks: dict[str, DataFrame], p: Params) -> DataFrame:
+    """Status, lots and flags of every item, ranked: ORDER NOW at its level or below, ORDER SOON within days of it, then by gap.
 
-    ``levels`` has level, daily and lot of each item. Ranked by status, then by shortfall.
+    ``levels`` has level, daily and lot of each item; ``marks`` the items that
+    carry each flag. The gap is a share of the level. Places count statuses
+    first and gaps within bands of them, so no task ranks all items.
     """
     rows = position.join(levels, ITEM).join(needed, ITEM, "left")
     free = F.col("on_hand_units") + F.col("on_order_units") - F.coalesce("allocated", F.lit(0.0))
-    rows = rows.withColumn("available", free).withColumn("gap", F.col("available") - F.col("level"))
-    status = F.when(F.col("gap") < 0, "ORDER NOW").when(F.col("gap") < F.col("daily") * p.soon_days, "SOON").otherwise("OK")
-    lots = F.when(F.col("gap") < 0, F.greatest(F.lit(1), F.ceil(-F.col("gap") / F.col("lot")))).otherwise(0).cast("bigint")
-    return rows.select(ITEM, "abc", "available", "level", "gap", status.alias("status"), lots.alias("lots"))
+    rows = rows.withColumn("available", free).withColumn("gap", (F.col("available") - F.col("level")) / F.greatest(F.col("level"), F.lit(1.0)))
+    status = F.when(F.col("available") <= F.col("level"), "ORDER NOW").when(F.col("available") <= F.col("level") + F.col("daily") * p.soon_days, "ORDER SOON").otherwise("OK")
+    rows = rows.withColumn("status", status)
+    lots = F.greatest(F.lit(1), F.ceil((F.col("level") - F.col("available")) / F.col("lot")))
+    names = []
+    for k, (name, items) in enumerate(marks.items()):
+        rows = rows.join(items.distinct().withColumn(f"__m{k}", F.lit(name)), ITEM, "left")
+        names.append(f"__m{k}")
+    rows = rows.withColumn("flags", F.concat_ws(", ", *names)).withColumn("suggested", F.when(F.col("status") != "OK", F.col("lot") * lots).otherwise(0.0))
+    rank = F.when(F.col("status") == "ORDER NOW", 0).when(F.col("status") == "ORDER SOON", 1).otherwise(2)
+    band = F.floor(F.signum("gap") * F.log1p(F.abs("gap")) * 16).cast("int")
+    placed = numbered(rows.withColumn("__rank", rank).withColumn("__band", band), ["__rank", "__band"], ["gap", ITEM])
+    return placed.select(ITEM, "abc", "available", "level", "gap", "status", "suggested", "flags", "place")
+
+
+def top_of_queue(queue: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """The first rows of each status."""
+    most = most or {"ORDER NOW": 16, "ORDER SOON": 4, "OK": 2}
+    first = F.row_number().over(Window.partitionBy("status").orderBy("place"))
+    limit = F.lit(0)
+    for status, n in most.items():
+        limit = F.when(F.col("status") == status, n).otherwise(limit)
+    return queue.withColumn("__n", first).where(F.col("__n") <= limit).select(ITEM, "status", "place")

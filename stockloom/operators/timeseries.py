@@ -51,30 +51,35 @@ def weekly_frame(grid: DataFrame, attributes: DataFrame, period: str = "week", s
     """One row per item and origin: features of the weeks before it, the target from it on.
 
     The horizon is the item's own lead time in weeks. Sums over it, now and a
-    year before, are differences of the item's running totals, looked up by
-    position within the one window partition; a target whose horizon isn't
-    closed is null.
+    year before, are differences of the item's running totals; an item's rows
+    stand in one array for that, which no row carries on. A target whose
+    horizon isn't closed is null.
     """
     horizon = attributes.select(ITEM, periods_of_lead(F.col("corrected_lead_days"), 7).alias("h"))
     rows = grid.join(horizon, ITEM)
     order = Window.partitionBy(ITEM).orderBy("t")
-    rows = rows.select(
-        ITEM, "t", period, "h", "s",
-        F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("through"),
-        *[trailing_sum(k).alias(f"s{k}") for k in (4, 13, 26, 52)],
-        *[trailing_nonzero(k).alias(f"nz{k}") for k in (13, 52)],
-        since_nonzero().alias("since_nz"), trailing_variation(13).alias("cv13"),
-    )
-    # element t of the running totals is the sum before week t
-    totals = F.collect_list("through").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("totals", totals).where(F.col("t") >= start)
-    before = lambda t: F.when(t < 1, 0.0).otherwise(F.try_element_at("totals", F.greatest(t, F.lit(1)).cast("int")))
-    t, h = F.col("t"), F.col("h")
-    return rows.select(
-        ITEM, "t", period, "h", (before(t + h) - before(t)).alias("target"), "s4", "s13", "s26", "s52", "nz13", "nz52", "since_nz", "cv13",
-        (F.col("s4") / 4 - F.col("s13") / 13).alias("trend"), (before(F.least(t - start + h, t)) - before(t - start)).alias("ly"), (before(t) / t).alias("mean_all"),
-        F.weekofyear(period).alias("woy"), F.month(period).alias("month"),
-    )
+    windows = {
+        "through": F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), **{f"s{k}": trailing_sum(k) for k in (4, 13, 26, 52)}, **{f"nz{k}": trailing_nonzero(k) for k in (13, 52)},
+        "since_nz": since_nonzero(), "cv13": trailing_variation(13),
+    }
+    rows = rows.select(ITEM, "t", period, "h", *[c.alias(n) for n, c in windows.items()])
+    # rows lie by item already
+    series = rows.groupBy(ITEM, "h").agg(F.array_sort(F.collect_list(F.struct("t", period, *windows))).alias("series"))
+    h = F.col("h")
+
+    def row(x: Column) -> Column:
+        # element t of the series holds the sum before week t
+        before = lambda t: F.when(t < 1, 0.0).otherwise(F.try_element_at("series", F.greatest(t, F.lit(1)).cast("int"))["through"])
+        t = x["t"]
+        kept = [x[n].alias(n) for n in ("s4", "s13", "s26", "s52", "nz13", "nz52", "since_nz", "cv13")]
+        return F.struct(
+            t.alias("t"), x[period].alias(period), (before(t + h) - before(t)).alias("target"), *kept, (x["s4"] / 4 - x["s13"] / 13).alias("trend"),
+            (before(F.least(t - start + h, t)) - before(t - start)).alias("ly"), (before(t) / t).alias("mean_all"),
+        )
+
+    out = series.select(ITEM, "h", F.inline(F.transform(F.slice("series", start + 1, F.greatest(F.size("series") - start, F.lit(0))), row)))
+    first = [ITEM, "t", period, "h", "target"]
+    return out.select(*first, *[c for c in out.columns if c not in first], F.weekofyear(period).alias("woy"), F.month(period).alias("month"))
 
 
 def lagged_features(grid: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 6, 12), windows: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
@@ -149,28 +154,52 @@ def abc_classes(values: DataFrame, a: float, b: float, item: str = ITEM, value:
     return out.select(item, value, "share", F.when(F.col("share") <= a, "A").when(F.col("share") <= b, "B").otherwise("C").alias("abc"))
 
 
+def numbered(rows: DataFrame, bands: list[str], order: list[str]) -> DataFrame:
+    """Rows with their ``place`` in the order of ``bands`` and, within one, of ``order``.
+
+    Bands must be coarse steps of the order. Their sizes are counted first, so
+    only as many rows as there are bands meet in one task, and rows meet by band.
+    """
+    sizes = rows.groupBy(*bands).agg(F.count("*").alias("__size"))
+    above = F.coalesce(F.sum("__size").over(Window.orderBy(*bands).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(b).alias(f"__b{k}") for k, b in enumerate(bands)], above.alias("__above"))
+    same = [rows[b].eqNullSafe(F.col(f"__b{k}")) for k, b in enumerate(bands)]
+    inside = F.row_number().over(Window.partitionBy(*bands).orderBy(*order))
+    return rows.join(F.broadcast(sizes), same).withColumn("place", F.col("__above") + inside).drop("__above", *[f"__b{k}" for k in range(len(bands))])
+
+
+def _band(value: Column) -> Column:
+    """Coarse steps that grow with the value: 16 to a factor of e, on both sides of 0."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 16).cast("int")
+
+
 def deciles(values: DataFrame, value: str, key: str, bins: int = 10) -> DataFrame:
     """Equal-count bins by rank, ties by key: bin of rank r among n is ceil((r - 1) bins / (n - 1)) - 1, at least 0."""
-    w = Window.orderBy(value, key)
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(w) - 1
-    return values.select(key, value, F.greatest(F.lit(0), F.ceil(F.try_divide(rank * bins, n - 1)) - 1).cast("int").alias("bin"))
+    # equal values, as zeros are often, are split by a prefix of their keys' order
+    rows = numbered(values.withColumn("__band", _band(F.col(value))).withColumn("__zero", F.when(F.col(value) == 0, F.substring(key, 1, 7)).otherwise("")), ["__band", "__zero"], [value, key])
+    rows = rows.crossJoin(F.broadcast(values.agg(F.count("*").alias("__n"))))  # one row
+    rank = F.col("place") - 1
+    return rows.select(key, value, F.greatest(F.lit(0), F.ceil(F.try_divide(rank * bins, F.col("__n") - 1)) - 1).cast("int").alias("bin"))
 
 
 def concentration(values: DataFrame, value: str, key: str, top: float = 0.2) -> DataFrame:
     """Share of the total that the dearest ``top`` share of items holds."""
-    order = Window.orderBy(F.desc(value), key)
-    ranked = values.select(value, F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return ranked.agg(F.try_divide(F.sum(F.when(F.col("place") <= F.ceil(F.col("n") * top), F.col(value)).otherwise(0.0)), F.sum(value)).alias("top_share"))
+    rows = numbered(values.withColumn("__band", -_band(F.col(value))), ["__band"], [F.desc(value), key])
+    rows = rows.crossJoin(F.broadcast(values.agg(F.count("*").alias("__n"))))  # one row
+    return rows.agg(F.try_divide(F.sum(F.when(F.col("place") <= F.ceil(F.col("__n") * top), F.col(value)).otherwise(0.0)), F.sum(value)).alias("top_share"))
 
 
 def spearman(values: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks for ties."""
+    """Rank correlation with average ranks for ties; distinct values are ranked, by bands of them."""
 
-    def ranks(c: str) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
+    def ranks(c: str, name: str) -> DataFrame:
+        counts = values.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(c).agg(F.count("*").alias("__same")).withColumn("__band", _band(F.col(c)))
+        bands = counts.groupBy("__band").agg(F.sum("__same").alias("__size"))
+        bands = bands.select("__band", F.coalesce(F.sum("__size").over(Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__above"))
+        inside = F.coalesce(F.sum("__same").over(Window.partitionBy("__band").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return counts.join(F.broadcast(bands), "__band").select(c, (F.col("__above") + inside + (F.col("__same") + 1) / 2).alias(name))
 
-    return values.select(ranks(a).alias("ra"), ranks(b).alias("rb")).agg(F.corr("ra", "rb").alias("spearman"))
+    return values.join(ranks(a, "__ra"), a).join(ranks(b, "__rb"), b).agg(F.corr("__ra", "__rb").alias("spearman"))
 
 
 def visible_demand(jobs: DataFrame, key: str, qty: str, ahead: int = 30) -> DataFrame:

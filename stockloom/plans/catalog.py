@@ -13,11 +13,11 @@ from ..functions.measures import periods_of_lead
 from ..operators import finance, forecast, learning, monitoring, policy, quality, reliability, remediation, replay, timeseries
 from ..operators.timeseries import ITEM
 from ..sources import erp_views
-from . import money, oracle
+from . import money, oracle, planning
 from .warehouse import Warehouse
 
 Build = Callable[[Warehouse], DataFrame]
-SINCE, UNTIL = "1999-01-01", "2001-01-01"
+SINCE, UNTIL, TEST_FROM = oracle.SINCE, oracle.UNTIL, oracle.TEST
 
 
 @dataclass(frozen=True)
@@ -34,9 +34,24 @@ def _add(name: str, build: Build, sql: str | None = None, doubles: tuple[str, ..
     CATALOG[name] = Query(build, sql, doubles)
 
 
+_open: dict[tuple[str, str], Warehouse] = {}
+
+
+def _warehouse(spark: SparkSession, folder: str) -> Warehouse:
+    """The models over a folder, kept while queries ask for the same one, so that shared models are computed once."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _open:
+        for application, other in list(_open):
+            kept = _open.pop((application, other))
+            if application == key[0]:
+                kept.release()
+        _open[key] = Warehouse.over_star_schema(spark, folder)
+    return _open[key]
+
+
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
     q = CATALOG[name]
-    out = q.build(Warehouse.over_star_schema(spark, folder))
+    out = q.build(_warehouse(spark, folder))
     return out.withColumns({c: F.round(c, 6) for c in q.doubles}) if q.doubles else out
 
 
@@ -110,7 +125,7 @@ from grid g join (select canonical_item_number, greatest(1, round_even(corrected
 join (select canonical_item_number, list(s order by t) as history from grid group by 1) l using (canonical_item_number) where g.t >= 52""",
     ("target", "ly"),
 )
-_add("win_weekly_frame", lambda w: w.weekly_frame)
+_add("win_weekly_frame", lambda w: w.weekly_frame.withColumns({c: F.col(c).cast("bigint") for c in ("nz13", "nz52", "since_nz")}), "from frame", ("target", "s4", "s13", "s26", "s52", "cv13", "trend", "ly", "mean_all"))
 _add(
     "win_monthly_lags",
     lambda w: timeseries.lagged_features(w.monthly_grid).select(ITEM, "t", *[f"lag{k}" for k in (1, 2, 3, 6, 12)], "mean6", "std6", F.col("nz6").cast("bigint").alias("nz6")),
@@ -314,32 +329,24 @@ _add(
 _add(
     "pol_lead_sd",
     lambda w: policy.lead_time_spread(w.attributes, w.stg("purchase_orders"), w.crosswalk, SINCE, UNTIL),
-    f"""
-with rows as (select ifnull(x.canonical_item_number, p.item_number) as canonical_item_number, actual_lead_days as d from stg_purchase_orders p left join crosswalk x using (item_number)
-  where not is_rush and received_date is not null and order_date >= date '{SINCE}' and order_date < date '{UNTIL}')
-select a.canonical_item_number, coalesce(if(o.n >= 4, o.sd, null), c.sd, (select stddev_samp(d) from rows)) as lead_sd from attributes a
-left join (select canonical_item_number, count(*) as n, stddev_samp(d) as sd from rows group by 1) o using (canonical_item_number)
-left join (select item_class, stddev_samp(d) as sd from rows join attributes using (canonical_item_number) group by 1) c using (item_class)""",
+    "from lead_spread",
     ("lead_sd",),
 )
 _add(
     "pol_unscheduled_share",
     lambda w: policy.unscheduled_share(w.stg("inventory_transactions"), w.crosswalk, SINCE, UNTIL),
-    f"select ifnull(x.canonical_item_number, m.item_number) as canonical_item_number, 1 - ifnull(sum(abs(qty)) filter (txn_type = 'BACKFLUSH'), 0) / sum(abs(qty)) as unscheduled from moves m left join crosswalk x using (item_number) where txn_date >= date '{SINCE}' and txn_date < date '{UNTIL}' group by 1",
+    "from unscheduled_shares",
     ("unscheduled",),
 )
 _add(
     "pol_visibility",
     lambda w: policy.visibility(w.stg("production_orders"), SINCE, UNTIL),
-    f"select median(completed_date - release_date)::double as visibility_days, median(release_date - booked_date)::double as order_book_days from raw_production_orders where completed_date is not null and delay_days = 0 and due_date >= date '{SINCE}' and due_date < date '{UNTIL}'",
+    "from seen_days",
 )
 _add(
     "pol_criticality",
     lambda w: policy.criticality(w.attributes, w.stg("bill_of_materials"), w.stg("bom_change_log"), w.stg("inventory_transactions"), w.crosswalk, SINCE, UNTIL),
-    f"""
-with listed as (select distinct ifnull(x.canonical_item_number, c.component_item) as i from (select component_item from stg_bill_of_materials union select component_item from stg_bom_change_log) c left join crosswalk x on x.item_number = c.component_item),
-  served as (select distinct ifnull(x.canonical_item_number, t.item_number) as i from stg_inventory_transactions t left join crosswalk x using (item_number) where job_id like 'SO-%' and txn_date >= date '{SINCE}' and txn_date < date '{UNTIL}')
-select canonical_item_number, case when canonical_item_number in (from listed) then 'line' when canonical_item_number in (from served) then 'service' else 'standard' end as tier from attributes""",
+    "from tiers",
 )
 _add(
     "pol_recomputed_points",
@@ -351,40 +358,6 @@ select a.canonical_item_number, a.abc, round_even(m * l + b, 0) as new_reorder_p
 )
 
 
-def _origin_needs(w: Warehouse) -> DataFrame:
-    """Policy inputs of each item at the last origin whose features are known, with the 13-week rate as forecast."""
-    last = w.weekly_frame.groupBy(ITEM).agg(F.max_by(F.struct("h", "s13", "s52", "cv13"), "t").alias("x")).select(ITEM, "x.*")
-    rows = last.join(w.attributes, ITEM).join(policy.lead_time_spread(w.attributes, w.stg("purchase_orders"), w.crosswalk, SINCE, UNTIL), ITEM)
-    rows = rows.join(policy.unscheduled_share(w.stg("inventory_transactions"), w.crosswalk, SINCE, UNTIL), ITEM, "left")
-    rows = rows.join(policy.criticality(w.attributes, w.stg("bill_of_materials"), w.stg("bom_change_log"), w.stg("inventory_transactions"), w.crosswalk, SINCE, UNTIL), ITEM)
-    rows = rows.withColumn("unscheduled", F.coalesce("unscheduled", F.lit(1.0))).withColumn("daily", F.col("s13") / 91.0)
-    spread = policy.sigma(F.col("s13") / 13 * F.col("cv13"), F.col("daily"), F.col("corrected_lead_days"), F.col("lead_sd"), F.col("h"), F.col("unscheduled"), F.lit(30.0))
-    return rows.withColumn("sigma", spread).withColumn("lot", policy.order_quantity(F.col("daily"), F.col("standard_cost"), w.params))
-
-
-def _errors(w: Warehouse) -> DataFrame:
-    """Standardised errors of the 13-week rate by ABC class."""
-    rows = w.weekly_frame.where("target is not null").select(ITEM, (F.col("target") - F.col("s13") / 13 * F.col("h")).alias("e"))
-    sd = rows.groupBy(ITEM).agg(F.stddev_samp("e").alias("sd"))
-    return rows.join(sd, ITEM).join(w.attributes.select(ITEM, "abc"), ITEM).select("abc", F.try_divide("e", "sd").alias("z"))
-
-
-_add("pol_sigma_lot", lambda w: _origin_needs(w).select(ITEM, "abc", "tier", "daily", "sigma", "lot"), None, ("daily", "sigma", "lot"))
-_add("pol_loss_table", lambda w: policy.loss_table(_errors(w)), None, ("loss",))
-_add("pol_fill_factor", lambda w: policy.fill_factor(_origin_needs(w).select(ITEM, "abc", "tier", "sigma", "lot"), policy.loss_table(_errors(w)), w.params))
-_add("pol_rule_schedule", lambda w: policy.rule_schedule(w.weekly_frame.where("t % 4 = 0"), w.attributes, policy.lead_time_spread(w.attributes, w.stg("purchase_orders"), w.crosswalk, SINCE, UNTIL)), None, ("lead_demand", "safety_stock", "reorder_point"))
-
-
-def _queue(w: Warehouse) -> DataFrame:
-    needs = policy.fill_factor(_origin_needs(w), policy.loss_table(_errors(w)), w.params)
-    lead = F.col("daily") * F.col("corrected_lead_days")
-    level = policy.order_level(lead, F.col("unscheduled"), F.col("corrected_lead_days"), F.col("k_fill") * F.col("sigma"), F.lit(30.0))
-    levels = needs.select(ITEM, level.alias("level"), "daily", "lot")
-    return policy.reorder_queue(w.position, levels, policy.requirements(w.stg("production_orders"), w.effective_bom, w.crosswalk, w.params.as_of_date), w.params)
-
-
-_add("pol_reorder_queue", _queue)
-
 # --- reliability and money -------------------------------------------------------------
 
 
@@ -448,8 +421,6 @@ _add("fin_excess_stock", lambda w: reliability.excess_stock(w.position, policy.r
 
 # --- monitoring ------------------------------------------------------------------------
 
-_FEATURES = ["s4", "s13", "s26", "s52", "nz13", "nz52", "since_nz", "cv13", "ly", "mean_all"]
-_add("mon_feature_drift", lambda w: monitoring.drift_flags(monitoring.drift(monitoring.long_features(w.weekly_frame, _FEATURES, [(F.col("t") < 260).alias("is_reference")])), w.params), None, ("distance",))
 _add(
     "mon_class_drift",
     lambda w: monitoring.category_drift(w.stg("inventory_transactions").where("txn_date < '2000-01-01'"), w.stg("inventory_transactions").where("txn_date >= '2000-01-01'"), "txn_type"),
@@ -470,29 +441,6 @@ from usage_weekly""",
 )
 
 
-def _scored(w: Warehouse) -> DataFrame:
-    return w.weekly_frame.where("target is not null").join(w.attributes.select(ITEM, "segment"), ITEM).select(ITEM, "week", "segment", F.col("target").alias("actual"), (F.col("s13") / 13 * F.col("h")).alias("forecast"), (F.col("s52") / 52 * F.col("h")).alias("base"))
-
-
-_add("mon_monthly_accuracy", lambda w: monitoring.accuracy_by(_scored(w).withColumn("month", F.trunc("week", "month")), ["month"]), None, ("wape", "base_wape", "bias"))
-_add("mon_segment_accuracy", lambda w: monitoring.accuracy_by(_scored(w), ["segment"], 150), None, ("wape", "base_wape", "bias"))
-
-
-def _status(w: Warehouse) -> DataFrame:
-    total = monitoring.accuracy_by(_scored(w), [])
-    checks = total.select(F.inline(F.array(
-        F.struct(F.lit("wape").alias("check"), monitoring.level_of(F.col("wape") - F.col("base_wape"), 0.0, 0.03).alias("level")),
-        F.struct(F.lit("bias").alias("check"), monitoring.level_of(F.abs("bias"), 0.05, 0.10).alias("level")),
-    )))
-    return monitoring.status(checks, F.lit(1.0))
-
-
-_add("mon_status", _status)
-_add(
-    "mon_training_rows",
-    lambda w: monitoring.training_rows_known(w.weekly_frame.where("target is not null"), w.weekly_frame.where("t % 13 = 0").select(F.col("t").alias("origin")).distinct()),
-)
-
 # --- remediation -----------------------------------------------------------------------
 
 _add("rem_dead_dispositions", lambda w: remediation.dead_dispositions(w.stg("item_master"), w.stg("inventory_transactions"), w.params))
@@ -567,15 +515,13 @@ _add(
 
 
 def _replayed(w: Warehouse) -> DataFrame:
-    needs = _origin_needs(w)
-    level = F.col("daily") * F.col("corrected_lead_days") + 2 * F.col("sigma")
-    return replay.replay(w.weekly_grid, needs.select(ITEM, F.col("corrected_lead_days").alias("lead"), level.alias("level"), "lot"))
+    points = planning.points(w).where(F.col("t") == oracle.FORWARD).join(w.attributes.select(ITEM, "corrected_lead_days"), ITEM)
+    return replay.replay(w.weekly_grid, points.select(ITEM, F.col("corrected_lead_days").alias("lead"), F.col("reorder_point").alias("level"), "lot"))
 
 
 _add("sim_replay", lambda w: _replayed(w).groupBy(ITEM).agg(*[F.round(F.sum(c), 6).alias(c) for c in ("demand", "shipped", "ordered")], F.round(F.max("backlog"), 6).alias("worst_backlog")))
 _add("sim_window_metrics", lambda w: replay.window_metrics(_replayed(w), 1800, 2100))
 
-TEST_FROM = 300
 
 
 def _learning_frame(w: Warehouse) -> DataFrame:
@@ -598,6 +544,7 @@ _add("ml_cleaning_tiers", _tiers)
 
 
 money.add_queries(_add, _graded, _costs)
+planning.add_queries(_add, _learning_frame)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

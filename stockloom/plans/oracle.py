@@ -8,6 +8,9 @@ from ..params import Params
 from ..sources import erp_views
 
 P = Params()
+#: Orders that show lead times, and weeks: held-out rows begin, the schedule begins, the last one whose outcome counts.
+SINCE, UNTIL = "1999-01-01", "2001-01-01"
+TEST, FORWARD, LAST = 300, 326, 356
 
 #: Staged tables that differ from their source in more than order.
 STAGED = {
@@ -177,6 +180,64 @@ select item_number, day, after, n_events, case when retired then null when dup o
 with held as (select g.item_number, g.day, g.after, g.reliability, ifnull(b.balance, 0) as balance from graded g asof left join balances b on b.item_number = g.item_number and b.txn_date <= g.day),
   rolled as (select item_number, day, reliability, balance + if(after, ifnull((select sum(r.balance) from held r join merges m on m.retired = r.item_number where m.survivor = h.item_number and r.day = h.day), 0), 0) as held from held h where reliability is not null)
 select day, reliability, count(*) as records, sum(greatest(held, 0) * ifnull(cost, 0)) as stock_value from rolled left join costs using (item_number) group by all""",
+    "frame": """
+select g.canonical_item_number, g.t, g.week, a.h, if(g.t + a.h <= (select max(t) + 1 from calendar), list_sum(l.history[g.t + 1 : g.t + a.h]), null) as target, s4, s13, s26, s52, nz13, nz52, since_nz, cv13,
+  s4 / 4 - s13 / 13 as trend, list_sum(l.history[g.t - 51 : g.t - 52 + least(a.h, 52)]) as ly, list_sum(l.history[1 : g.t]) / g.t as mean_all, weekofyear(g.week)::int as woy, month(g.week)::int as month
+from (select *, sum(s) over (w rows between 4 preceding and 1 preceding) as s4, sum(s) over (w rows between 13 preceding and 1 preceding) as s13, sum(s) over (w rows between 26 preceding and 1 preceding) as s26,
+    sum(s) over (w rows between 52 preceding and 1 preceding) as s52, count(*) filter (s > 0) over (w rows between 13 preceding and 1 preceding) as nz13, count(*) filter (s > 0) over (w rows between 52 preceding and 1 preceding) as nz52,
+    (t - ifnull(max(if(s > 0, t, null)) over (w rows between unbounded preceding and 1 preceding), -1)) as since_nz,
+    if(avg(s) over (w rows between 13 preceding and 1 preceding) > 0, stddev_pop(s) over (w rows between 13 preceding and 1 preceding) / avg(s) over (w rows between 13 preceding and 1 preceding), 0) as cv13
+  from grid window w as (partition by canonical_item_number order by t)) g
+join (select canonical_item_number, greatest(1, round_even(corrected_lead_days / 7, 0))::int as h from attributes) a using (canonical_item_number)
+join (select canonical_item_number, list(s order by t) as history from grid group by 1) l using (canonical_item_number) where g.t >= 52""",
+    "bases": "select *, s4 / 4 * h as ma4, s13 / 13 * h as ma13, s52 / 52 * h as ma52, ly as snaive from frame",
+    "tested": f"select b.*, segment, abc, s13 / 13 * h as pred from bases b join attributes using (canonical_item_number) where target is not null and t >= {TEST} and t + h <= {FORWARD}",
+    "methods": """
+select segment, arg_min(method, (wape, place)) as method, min(wape) as wape from (
+  select segment, method, place, sum(abs(target - f)) / sum(target) as wape from (select segment, target, unnest([{'f': ma4, 'method': 'ma4', 'place': 0}, {'f': ma13, 'method': 'ma13', 'place': 1}, {'f': ma52, 'method': 'ma52', 'place': 2}, {'f': snaive, 'method': 'snaive', 'place': 3}], recursive := true) from tested)
+  group by all having sum(target) <> 0) group by 1""",
+    "fixed": "select *, pred * ifnull(sum(target) over (partition by segment) / nullif(sum(pred) over (partition by segment), 0), 1) as pred_c from tested",
+    "own_spread": "select canonical_item_number, any_value(abc) as abc, any_value(segment) as segment, stddev_samp(target - pred_c) as sd from fixed group by 1",
+    "spread": """
+select a.canonical_item_number, coalesce(o.sd, s.sd, (select median(sd) from own_spread)) as sd from attributes a left join own_spread o using (canonical_item_number)
+left join (select segment, stddev_samp(target - pred_c) as sd from fixed group by 1) s on s.segment = a.segment""",
+    "std_errors": "select f.abc, (target - pred_c) / o.sd as z from fixed f join own_spread o using (canonical_item_number) where o.sd > 0",
+    "losses": "select abc, round(k / 100, 2) as k, avg(greatest(z - round(k / 100, 2), 0)) as loss from std_errors, (select unnest(range(601)) as k) group by all",
+    "lead_spread": f"""
+with rows as (select ifnull(x.canonical_item_number, p.item_number) as canonical_item_number, actual_lead_days as d from stg_purchase_orders p left join crosswalk x using (item_number)
+  where not is_rush and received_date is not null and order_date >= date '{SINCE}' and order_date < date '{UNTIL}')
+select a.canonical_item_number, coalesce(if(o.n >= 4, o.sd, null), c.sd, (select stddev_samp(d) from rows)) as lead_sd from attributes a
+left join (select canonical_item_number, count(*) as n, stddev_samp(d) as sd from rows group by 1) o using (canonical_item_number)
+left join (select item_class, stddev_samp(d) as sd from rows join attributes using (canonical_item_number) group by 1) c using (item_class)""",
+    "unscheduled_shares": f"select ifnull(x.canonical_item_number, m.item_number) as canonical_item_number, 1 - ifnull(sum(abs(qty)) filter (txn_type = 'BACKFLUSH'), 0) / sum(abs(qty)) as unscheduled from moves m left join crosswalk x using (item_number) where txn_date >= date '{SINCE}' and txn_date < date '{UNTIL}' group by 1",
+    "seen_days": f"select median(completed_date - release_date)::double as visibility_days, median(release_date - booked_date)::double as order_book_days from raw_production_orders where completed_date is not null and delay_days = 0 and due_date >= date '{SINCE}' and due_date < date '{UNTIL}'",
+    "tiers": f"""
+with listed as (select distinct ifnull(x.canonical_item_number, c.component_item) as i from (select component_item from stg_bill_of_materials union select component_item from stg_bom_change_log) c left join crosswalk x on x.item_number = c.component_item),
+  served as (select distinct ifnull(x.canonical_item_number, t.item_number) as i from stg_inventory_transactions t left join crosswalk x using (item_number) where job_id like 'SO-%' and txn_date >= date '{SINCE}' and txn_date < date '{UNTIL}')
+select canonical_item_number, case when canonical_item_number in (from listed) then 'line' when canonical_item_number in (from served) then 'service' else 'standard' end as tier from attributes""",
+    "points": f"""
+with facts as (select f.canonical_item_number, f.t, f.h, a.abc, a.corrected_lead_days as l, a.standard_cost as cost, tier, s.sd, ifnull(p.lead_sd, 0) as lead_sd, ifnull(u.unscheduled, 1) as share,
+    s13 / 13 * f.h * ifnull(b.factor, 1) as pc, (select visibility_days + order_book_days from seen_days) as seen
+  from frame f join attributes a using (canonical_item_number) join spread s using (canonical_item_number) join tiers using (canonical_item_number) left join lead_spread p using (canonical_item_number)
+  left join unscheduled_shares u using (canonical_item_number) left join (select segment, sum(target) / nullif(sum(pred), 0) as factor from tested group by 1) b on b.segment = a.segment where f.t >= {FORWARD}),
+  daily as (select *, pc / (7.0::double * h) as d, sd * sqrt(l / (7.0::double * h)) * sqrt(greatest(0.05::double, 1 - (1 - share) * least(l, seen) / greatest(l, 1))) as sd_fc from facts),
+  sized as (select *, sqrt(pow(sd_fc, 2) + pow(d * lead_sd, 2)) as sigma, greatest(1, least(greatest(if(d > 0, sqrt(2 * d * 365 * 35 / (0.25::double * if(cost > 0, cost, 1))), 1), d * 14), d * 120)) as lot from daily),
+  tables as (select abc, list(k order by k) as ks, list(loss order by k) as table_of from losses group by 1),
+  filled as (select z.*, if(sigma > 0, least(4, ifnull(ks[list_position(list_transform(table_of, lambda x: x <= (1 - if(tier = 'line', 0.99::double, 0.985::double)) * lot / sigma), true)], ks[-1])), 0) * sigma as ss from sized z left join tables using (abc))
+select canonical_item_number, t, h, pc as forecast, d * l - (1 - share) * d * l * least(l, seen) / greatest(l, 1) + ss as level, ss as safety_stock, d * l + ss as reorder_point, share, lot from filled""",
+    "schedule": f"""
+with recursive rows as (select canonical_item_number, t, h, forecast, reorder_point as raw, round(level, 2) as level, round(safety_stock, 2) as safety_stock, round(reorder_point, 2) as applied, round(share, 3) as share, round(lot, 1) as lot from points),
+walk as (
+  select * from rows where t = {FORWARD}
+  union all
+  select r.canonical_item_number, r.t, r.h, r.forecast, r.raw, if(w.applied > 0 and abs(r.raw - w.applied) / w.applied <= {P.hysteresis}, w.level, r.level), if(w.applied > 0 and abs(r.raw - w.applied) / w.applied <= {P.hysteresis}, w.safety_stock, r.safety_stock),
+    if(w.applied > 0 and abs(r.raw - w.applied) / w.applied <= {P.hysteresis}, w.applied, r.applied), if(w.applied > 0 and abs(r.raw - w.applied) / w.applied <= {P.hysteresis}, w.share, r.share), if(w.applied > 0 and abs(r.raw - w.applied) / w.applied <= {P.hysteresis}, w.lot, r.lot)
+  from walk w join rows r on r.canonical_item_number = w.canonical_item_number and r.t = w.t + 1)
+select canonical_item_number, t, h, forecast, raw, level, safety_stock, applied as reorder_point, share, lot from walk""",
+    "live_rows": f"""
+select s.canonical_item_number, s.t, s.forecast, s.safety_stock, b.* exclude (canonical_item_number, t), segment, abc, strftime(b.week, '%Y-%m') as period, b.t + b.h <= {LAST} and target is not null as is_scored,
+  case ifnull(m.method, 'ma52') when 'ma4' then ma4 when 'ma13' then ma13 when 'snaive' then snaive else ma52 end as base, target <= s.forecast + s.safety_stock as covered
+from schedule s join bases b on b.canonical_item_number = s.canonical_item_number and b.t = s.t join attributes a on a.canonical_item_number = s.canonical_item_number left join methods m using (segment)""",
     "book": "select item_number, sum(change) as units from signed_ledger group by 1",
 }
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import marts, quality, resolve, staging, timeseries
 from ..params import Params
+from ..shared import removed, written
 from ..sources import erp_views, files
 
 
@@ -19,6 +20,8 @@ class Warehouse:
     def __init__(self, raw: Callable[[str], DataFrame], params: Params | None = None):
         self._raw = raw
         self._staged: dict[str, DataFrame] = {}
+        self._paths: list[tuple[SparkSession, str]] = []
+        self._built: dict[object, DataFrame] = {}
         self.params = params or Params()
 
     @classmethod
@@ -36,6 +39,23 @@ class Warehouse:
         """CSV extracts, one file a table."""
         return cls(lambda name: files.read_csv(spark, f"{folder}/{name}.csv", name), params)
 
+    def _shared(self, df: DataFrame, name: str) -> DataFrame:
+        """A model that many others read, written once."""
+        out, path = written(df, name)
+        self._paths.append((df.sparkSession, path))
+        return out
+
+    def once(self, key: object, build: Callable[[], DataFrame]) -> DataFrame:
+        """A further shared model, by a key of the caller's."""
+        if key not in self._built:
+            self._built[key] = self._shared(build(), "model")
+        return self._built[key]
+
+    def release(self) -> None:
+        """Delete the shared models' tables."""
+        while self._paths:
+            removed(*self._paths.pop())
+
     def stg(self, name: str) -> DataFrame:
         if name not in self._staged:
             self._staged[name] = staging.stage(name, self._raw(name))
@@ -130,7 +150,7 @@ class Warehouse:
 
     @cached_property
     def weekly_clean(self) -> DataFrame:
-        return marts.consumption_clean(self.usage, self.stg("unrecorded_usage"), self.usage_corrections.where("is_usage_posting"), self.crosswalk, "week")
+        return self._shared(marts.consumption_clean(self.usage, self.stg("unrecorded_usage"), self.usage_corrections.where("is_usage_posting"), self.crosswalk, "week"), "weekly_clean")
 
     @cached_property
     def true_demand(self) -> DataFrame:
@@ -138,11 +158,11 @@ class Warehouse:
 
     @cached_property
     def attributes(self) -> DataFrame:
-        return marts.item_attributes(self.stg("item_master"), self.crosswalk, self.true_demand, self.stg("abc_by_item"), self.stg("lead_time_computation"), self.params)
+        return self._shared(marts.item_attributes(self.stg("item_master"), self.crosswalk, self.true_demand, self.stg("abc_by_item"), self.stg("lead_time_computation"), self.params), "attributes")
 
     @cached_property
     def position(self) -> DataFrame:
-        return marts.inventory_position(self.attributes, self.ledger, self.stg("purchase_orders"), self.stg("open_document_closures"), self.crosswalk, self.params)
+        return self._shared(marts.inventory_position(self.attributes, self.ledger, self.stg("purchase_orders"), self.stg("open_document_closures"), self.crosswalk, self.params), "position")
 
     @cached_property
     def suppliers(self) -> DataFrame:
@@ -158,4 +178,4 @@ class Warehouse:
 
     @cached_property
     def weekly_frame(self) -> DataFrame:
-        return timeseries.weekly_frame(self.weekly_grid, self.attributes)
+        return self._shared(timeseries.weekly_frame(self.weekly_grid, self.attributes), "weekly_frame")
