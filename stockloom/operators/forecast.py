@@ -72,15 +72,3 @@ def long_methods(wide: DataFrame, methods: tuple[str, ...], keep: list[str]) ->
     """One row a method, with its place for ties."""
     pairs = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(k).alias("place"), F.col(m).alias("forecast")) for k, m in enumerate(methods)])
     return wide.select(*keep, F.inline(pairs))
-
-
-def live_accuracy(schedule: DataFrame, totals: DataFrame, last: int) -> DataFrame:
-    """Scheduled forecasts whose horizon has closed, with what was then demanded and whether the buffer covered it.
-
-    ``schedule`` has item, t, h, forecast and safety_stock; ``totals`` each item's running total before t.
-    """
-    start = totals.select(ITEM, F.col("t").alias("t"), F.col("total").alias("from_total"))
-    end = totals.select(ITEM, F.col("t").alias("end"), F.col("total").alias("to_total"))
-    rows = schedule.withColumn("end", F.col("t") + F.col("h")).where(F.col("end") <= last)
-    rows = rows.join(start, [ITEM, "t"]).join(end, [ITEM, "end"]).withColumn("actual", F.col("to_total") - F.col("from_total"))
-    return rows.withColumn("covered", F.col("actual") <= F.col("forecast") + F.col("safety_stock"))

@@ -75,18 +75,6 @@ def select(results: dict[str, float], favourite: str = "boosted", slack: float =
     return favourite if favourite in results and results[favourite] <= results[best] + slack else best
 
 
-def segment_bias(scored: DataFrame) -> DataFrame:
-    """What predictions of each segment are multiplied by: sum of targets over sum of predictions."""
-    return scored.groupBy("segment").agg(F.try_divide(F.sum("target"), F.sum("pred")).alias("factor"))
-
-
-def residual_spread(scored: DataFrame) -> DataFrame:
-    """Sample deviation of each item's errors, else of its segment's."""
-    rows = scored.withColumn("e", F.col("target") - F.col("pred"))
-    own = rows.groupBy(ITEM, "segment").agg(F.stddev_samp("e").alias("own"))
-    return own.join(rows.groupBy("segment").agg(F.stddev_samp("e").alias("of_segment")), "segment").select(ITEM, F.coalesce("own", "of_segment").alias("sd"))
-
-
 def candidates(spark, frame: DataFrame, test_from: int, trials: int = 1) -> DataFrame:
     """Validation and test WAPE and bias of every candidate."""
     train, validation, test = (x.cache() for x in split(frame, test_from))

@@ -126,13 +126,17 @@ join (select canonical_item_number, list(s order by t) as history from grid grou
     ("target", "ly"),
 )
 _add("win_weekly_frame", lambda w: w.weekly_frame.withColumns({c: F.col(c).cast("bigint") for c in ("nz13", "nz52", "since_nz")}), "from frame", ("target", "s4", "s13", "s26", "s52", "cv13", "trend", "ly", "mean_all"))
+_WINDOWS = (3, 6, 12)
 _add(
     "win_monthly_lags",
-    lambda w: timeseries.lagged_features(w.monthly_grid).select(ITEM, "t", *[f"lag{k}" for k in (1, 2, 3, 6, 12)], "mean6", "std6", F.col("nz6").cast("bigint").alias("nz6")),
+    lambda w: timeseries.lagged_features(w.monthly_grid).withColumns({c: F.col(c).cast("bigint") for c in (*[f"nz{k}" for k in _WINDOWS], "since_nz")}).drop("month"),
     "select canonical_item_number, t, "
-    + ", ".join(f"lag(s, {k}, 0) over (partition by canonical_item_number order by t) as lag{k}" for k in (1, 2, 3, 6, 12))
-    + ", ifnull(avg(s) over past, 0) as mean6, ifnull(stddev_pop(s) over past, 0) as std6, count(*) filter (s > 0) over past as nz6 from monthly " + _PAST.format(6),
-    ("mean6", "std6"),
+    + ", ".join(f"lag(s, {k}, 0) over w as lag{k}" for k in (1, 2, 3, 6, 12))
+    + "".join(f", ifnull({f} over (w rows between {k} preceding and 1 preceding), 0) as {n}{k}" for k in _WINDOWS for f, n in (("avg(s)", "mean"), ("stddev_pop(s)", "std"), ("count(*) filter (s > 0)", "nz")))
+    + ", t - ifnull(max(if(s > 0, t, null)) over (w rows between unbounded preceding and 1 preceding), -1) as since_nz, ifnull(avg(s) over (w rows between unbounded preceding and 1 preceding), 0) as mean_all"
+    + ", if(avg(s) over (w rows between unbounded preceding and 1 preceding) > 0, stddev_pop(s) over (w rows between unbounded preceding and 1 preceding) / avg(s) over (w rows between unbounded preceding and 1 preceding), 0) as cv_all"
+    + " from monthly window w as (partition by canonical_item_number order by t)",
+    (*[f"{n}{k}" for k in _WINDOWS for n in ("mean", "std")], "mean_all", "cv_all"),
 )
 _add(
     "win_running_balance",
@@ -309,12 +313,13 @@ def _backtest(w: Warehouse) -> DataFrame:
 
 _BACKTEST = """
 with origins as (select canonical_item_number, h, history, unnest(range(greatest(12, len(history) - h - 11), len(history) - h + 1)) as origin from histories join horizons using (canonical_item_number)),
-  scored as (select canonical_item_number, origin, list_sum(history[origin + 1 : origin + h]) as actual, history[origin] * h as naive, list_avg(history[greatest(1, origin - 2) : origin]) * h as ma3 from origins),
-  long as (unpivot scored on naive, ma3 into name method value forecast)
+  scored as (select canonical_item_number, origin, list_sum(history[origin + 1 : origin + h]) as actual, history[origin] * h as naive, list_avg(history[greatest(1, origin - 2) : origin]) * h as ma3,
+    list_avg(history[greatest(1, origin - 5) : origin]) * h as ma6, list_sum(history[origin - 11 : least(origin - 12 + h, origin)]) as snaive, list_reduce(history[1 : origin], lambda l, x: 0.3::double * x + 0.7::double * l) * h as ses from origins),
+  long as (unpivot scored on naive, ma3, ma6, snaive, ses into name method value forecast)
 """
 _add(
     "fc_backtest",
-    lambda w: _backtest(w).where(F.col("method").isin("naive", "ma3")).groupBy(ITEM, "method").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("actual") - F.col("forecast"))).alias("abs_error"), F.sum("actual").alias("actual")),
+    lambda w: _backtest(w).where(F.col("method").isin("naive", "ma3", "ma6", "snaive", "ses")).groupBy(ITEM, "method").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("actual") - F.col("forecast"))).alias("abs_error"), F.sum("actual").alias("actual")),
     _BACKTEST + "select canonical_item_number, method, count(*) as n, sum(abs(actual - forecast)) as abs_error, sum(actual) as actual from long group by all",
     ("abs_error",),
 )

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.functions import folds
-from stockloom.operators import forecast, learning, marts, monitoring, policy, quality, reliability, replay, resolve, staging, timeseries
+from stockloom.operators import finance, forecast, learning, marts, monitoring, policy, quality, reliability, replay, resolve, schedule, staging, timeseries
 from stockloom.params import Params
 from stockloom.sources import files
 
@@ -254,3 +254,56 @@ def test_learning_curve_has_the_five_shares(spark):
     rows = learning.learning_curve(spark, frame.withColumn("t", F.col("t") * 10), 60).orderBy("share").collect()
     assert [x.share for x in rows] == [0.1, 0.25, 0.5, 0.75, 1.0]
     assert [x.training_rows for x in rows] == sorted(x.training_rows for x in rows)
+
+
+def test_reliability_grades(spark):
+    p = Params()
+    start, end = D.fromisoformat(p.remediation_start), D.fromisoformat(p.remediation_end)
+    items = spark.createDataFrame([(f"I-{k}",) for k in range(1, 7)], "item_number string")
+    year_before = start - dt.timedelta(days=365)
+    postings = [(f"I-{k}", d, "ADJUST", -1.0, r) for k, d, r in [(2, year_before, None)] * 3 + [(3, year_before - dt.timedelta(days=1), None)] + [(3, year_before, None)] * 2 + [(4, start, "COUNT")] * 5]
+    ledger = spark.createDataFrame(postings, "item_number string, txn_date date, txn_type string, qty double, reason_code string")
+    counts = spark.createDataFrame([("I-4", start, 100.0, 101.0), ("I-5", start - dt.timedelta(days=91), 100.0, 100.0)], "item_number string, count_date date, system_qty double, counted_qty double")
+    crosswalk = spark.createDataFrame([(f"I-{k}", k, f"I-{k}") for k in range(1, 7)], "item_number string, item_id int, canonical_item_number string")
+    clusters = spark.createDataFrame([("I-5", "I-5"), ("I-6", "I-5")], "item_number string, primary_item_number string")
+    reviewed = spark.createDataFrame([("I-6", "I-5", "MERGE")], "retired_item_number string, survivor_item_number string, decision string")
+    none = spark.createDataFrame([], "item_id int")
+    added = spark.createDataFrame([], "item_number string, added_date date")
+    out = reliability.reliability(items, ledger, counts, crosswalk, clusters, reviewed, none, added, p)
+    found = {(x.item_number, x.day): x.reliability for x in out.collect()}
+    # never counted; three write-downs, the first exactly 365 days before; one a day too early; counts are no write-downs; a duplicate
+    assert [found[f"I-{k}", start] for k in range(1, 7)] == ["uncertain", "unreliable", "uncertain", "reliable", "unreliable", "unreliable"]
+    # after remediation the window begins anew, merged records are cleared and retired ones have no grade
+    assert [found[f"I-{k}", end] for k in (2, 5, 6)] == ["uncertain", "uncertain", None]
+
+
+def test_error_groups_and_reasons(spark):
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "item_number string")
+    group = lambda *n: spark.createDataFrame([(x,) for x in n], "item_number string")
+    assert rows(finance.error_group(items, [("first", group("a")), ("second", group("a", "b"))])) == [("a", "first"), ("b", "second"), ("c", finance.NO_GROUP)]
+    reasons = spark.createDataFrame([("COUNT",), ("VAR",), (None,), ("",), ("SCRAP",)], "reason_code string")
+    assert [r[0] for r in reasons.select(finance.known_reason()).collect()] == [True, False, False, False, True]
+
+
+def test_applied_points_stick_and_churn(spark):
+    raw = [100.0, 110.0, 121.0, 120.0, 0.0, 5.0]
+    points = spark.createDataFrame([("i", t, 2, float(t), x, 1.0, x, 0.5, 7.0) for t, x in enumerate(raw)], f"{ITEM} string, t int, h int, forecast double, level double, safety_stock double, reorder_point double, share double, lot double")
+    out = schedule.applied(points, Params()).orderBy("t").collect()
+    assert [x.reorder_point for x in out] == [100.0, 100.0, 121.0, 121.0, 0.0, 5.0] and [x.forecast for x in out] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+    facts = schedule.churn(schedule.applied(points, Params()), Params()).first()
+    assert facts.applied_changes == pytest.approx(3 / 5) and facts.applied_moves == pytest.approx(2 / 5)
+
+
+def test_queue_order_and_flags(spark):
+    position = spark.createDataFrame([(k, "A", float(x), 0.0) for k, x in (("a", 5), ("b", 1), ("c", 12), ("d", 100))], f"{ITEM} string, abc string, on_hand_units double, on_order_units double")
+    levels = spark.createDataFrame([(k, 10.0, 0.5, 4.0) for k in "abcd"], f"{ITEM} string, level double, daily double, lot double")
+    needed = spark.createDataFrame([("d", 85.0)], f"{ITEM} string, allocated double")
+    marks = {"one": spark.createDataFrame([("b",), ("b",)], f"{ITEM} string"), "two": spark.createDataFrame([("b",), ("a",)], f"{ITEM} string")}
+    out = policy.reorder_queue(position, levels, needed, marks, Params())
+    assert rows(out, "place", ITEM, "status", "suggested", "flags") == [(1, "b", "ORDER NOW", 12.0, "one, two"), (2, "a", "ORDER NOW", 8.0, "two"), (3, "c", "ORDER SOON", 4.0, ""), (4, "d", "ORDER SOON", 4.0, "")]
+
+
+def test_window_count_includes_both_ends(spark):
+    events = spark.createDataFrame([("k", D(2020, 1, d)) for d in (1, 2, 2, 11)], "key string, day date")
+    asked = spark.createDataFrame([("k", D(2020, 1, 11)), ("k", D(2020, 1, 12)), ("x", D(2020, 1, 1))], "key string, at date")
+    assert rows(timeseries.window_count(asked, events, "key", "at", "day", 10)) == [("k", D(2020, 1, 11), 4), ("k", D(2020, 1, 12), 3), ("x", D(2020, 1, 1), 0)]
