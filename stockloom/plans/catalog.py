@@ -38,13 +38,9 @@ _open: dict[tuple[str, str], Warehouse] = {}
 
 
 def _warehouse(spark: SparkSession, folder: str) -> Warehouse:
-    """The models over a folder, kept while queries ask for the same one, so that shared models are computed once."""
+    """The models over a folder, kept for the session, so that shared models are computed once."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _open:
-        for application, other in list(_open):
-            kept = _open.pop((application, other))
-            if application == key[0]:
-                kept.release()
         _open[key] = Warehouse.over_star_schema(spark, folder)
     return _open[key]
 
@@ -422,7 +418,17 @@ _add(
     "select (po_id, line) in (select (po_id, line) from raw_batched_receipts) as is_batched, count(*) as lines, avg(actual_lead_days) as mean_lead_days from stg_purchase_orders where received_date is not null group by 1",
     ("mean_lead_days",),
 )
-_add("fin_excess_stock", lambda w: reliability.excess_stock(w.position, policy.recomputed_points(w.usage, w.attributes, 84).select(ITEM, F.col("new_reorder_point").alias("reorder_point")), w.attributes.select(ITEM, (F.col("annual_consumption") / 365).alias("daily"))), None, ("excess_value", "carrying_cost"))
+_add(
+    "fin_excess_stock",
+    lambda w: reliability.excess_stock(
+        w.position, policy.recomputed_points(w.usage, w.attributes, 84).select(ITEM, F.col("new_reorder_point").alias("reorder_point")), w.attributes.select(ITEM, (F.col("annual_consumption") / 365).alias("daily"))
+    ),
+    """
+select abc, count(*) as items, sum(o) as excess_value, sum(o) * 0.22::double as carrying_cost from (
+  select i.abc, greatest(on_hand_units - round_even(m * l + case i.abc when 'A' then 2.054::double when 'B' then 1.645::double else 1.282::double end * sqrt(greatest(m * l, 0)), 0) - annual_consumption / 365 * 75, 0) * i.standard_cost as o
+  from inventory i join (select a.*, ifnull(u.units, 0) / 84 as m, greatest(0.3::double, corrected_lead_days / 30) as l from attributes a left join (select canonical_item_number, sum(units) as units from usage group by 1) u using (canonical_item_number)) a using (canonical_item_number)) group by 1""",
+    ("excess_value", "carrying_cost"),
+)
 
 # --- monitoring ------------------------------------------------------------------------
 

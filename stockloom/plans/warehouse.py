@@ -15,7 +15,7 @@ from ..sources import erp_views, files
 
 
 class Warehouse:
-    """Staged tables and models of one extract; DataFrames are plans, so nothing runs before an action."""
+    """Staged tables and models of one extract. DataFrames are plans; only models that many others read are written when first asked for."""
 
     def __init__(self, raw: Callable[[str], DataFrame], params: Params | None = None):
         self._raw = raw
