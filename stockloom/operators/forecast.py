@@ -11,6 +11,8 @@ from ..params import Params
 
 ITEM = "canonical_item_number"
 METHODS = ("naive", "ma3", "ma6", "ses", "croston", "snaive")
+#: Compared one period ahead, in the order that decides ties.
+ONE_STEP = ("naive", "ma3", "ses", "croston", "snaive")
 
 
 def history_arrays(grid: DataFrame) -> DataFrame:
@@ -43,9 +45,9 @@ def forecasts(h: Column, horizon: Column, p: Params, season: int = 12) -> dict[s
     }
 
 
-def backtest(series: DataFrame, horizons: DataFrame, p: Params, origins: int = 12, least: int = 12) -> DataFrame:
-    """item, origin, method, forecast and actual of the last ``origins`` origins whose horizon has closed."""
-    rows = series.join(horizons, ITEM)
+def backtest(series: DataFrame, horizons: DataFrame | None, p: Params, origins: int = 12, least: int = 12) -> DataFrame:
+    """item, origin, method, forecast and actual of the last ``origins`` origins whose horizon has closed; it is one period without ``horizons``."""
+    rows = series.withColumn("h", F.lit(1)) if horizons is None else series.join(horizons, ITEM)
     last = F.size("history") - F.col("h")
     first = F.greatest(F.lit(least), last - origins + 1)
     rows = rows.where(first <= last).withColumn("origin", F.explode(F.sequence(first, last)))
@@ -72,3 +74,33 @@ def long_methods(wide: DataFrame, methods: tuple[str, ...], keep: list[str]) ->
     """One row a method, with its place for ties."""
     pairs = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(k).alias("place"), F.col(m).alias("forecast")) for k, m in enumerate(methods)])
     return wide.select(*keep, F.inline(pairs))
+
+
+def one_step(series: DataFrame, p: Params, origins: int = 12) -> DataFrame:
+    """Every method one period ahead, at the last ``origins`` origins."""
+    return backtest(series, None, p, origins).where(F.col("method").isin(*ONE_STEP))
+
+
+def best_one_step(scored: DataFrame) -> DataFrame:
+    """item, method and wape of each item's best method, ties to the earlier one; the first, with a null, where nothing was demanded."""
+    facts = scored.groupBy(ITEM, "method", "place").agg(F.round(wape("actual", "forecast"), 9).alias("wape"))
+    rank = F.struct(F.coalesce("wape", F.lit(float("inf"))), "place")
+    return facts.groupBy(ITEM).agg(F.min_by("method", rank).alias("method"), F.min("wape").alias("wape"))
+
+
+def merge_gain(merged: DataFrame, records: DataFrame, members: DataFrame, p: Params) -> DataFrame:
+    """One-step WAPE of merged items, forecast as their records apart and as one series.
+
+    ``members`` names the records (item_number) of each item. ``records``
+    holds a series for each of them under its own number, over the calendar of
+    ``merged``. Before the merge each record is forecast by its own best
+    method and the forecasts are added up. ``gain`` is the share of the error
+    that the merge removes, null where there was none.
+    """
+    scored = one_step(records, p)
+    apart = scored.join(best_one_step(scored).select(ITEM, "method"), [ITEM, "method"]).withColumnRenamed(ITEM, "item_number")
+    summed = apart.join(members.select("item_number", ITEM), "item_number").groupBy(ITEM, "origin").agg(F.sum("actual").alias("actual"), F.sum("forecast").alias("forecast"))
+    before = summed.groupBy(ITEM).agg(F.round(wape("actual", "forecast"), 9).alias("before"))
+    after = best_one_step(one_step(merged, p)).select(ITEM, F.col("wape").alias("after"))
+    counts = members.groupBy(ITEM).agg(F.count("*").alias("records"))
+    return counts.join(before, ITEM).join(after, ITEM).withColumn("gain", F.try_divide(F.col("before") - F.col("after"), F.col("before")))

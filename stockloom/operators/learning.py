@@ -7,7 +7,7 @@ import random
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import bias, wape
@@ -53,6 +53,17 @@ def predict(model: PipelineModel, cap: float, rows: DataFrame) -> DataFrame:
     return out.drop("raw", "features", "prediction")
 
 
+def save(model: PipelineModel, cap: float, path: str) -> None:
+    """The model and its cap in the folder ``path``, in place of what is there."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame([(float(cap),)], "cap double").write.mode("overwrite").parquet(f"{path}/cap")
+
+
+def load(path: str) -> tuple[PipelineModel, float]:
+    """What ``save`` wrote."""
+    return PipelineModel.load(f"{path}/model"), SparkSession.active().read.parquet(f"{path}/cap").first().cap
+
+
 def score(rows: DataFrame) -> float:
     found = rows.agg(wape("target", "pred").alias("w")).first().w
     return float("inf") if found is None else float(found)

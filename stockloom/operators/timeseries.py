@@ -82,12 +82,12 @@ def weekly_frame(grid: DataFrame, attributes: DataFrame, period: str = "week", s
     return out.select(*first, *[c for c in out.columns if c not in first], F.weekofyear(period).alias("woy"), F.month(period).alias("month"))
 
 
-def lagged_features(grid: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 6, 12), windows: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
-    """Monthly history features: lags, rolling means, deviations and demand counts, and those of all the past."""
+def lagged_features(grid: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 6, 12), windows: tuple[int, ...] = (3, 6, 12), keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Monthly history features: lags, rolling means, deviations and demand counts, and those of all the past; columns of ``keep`` beside them."""
     w = Window.partitionBy(ITEM).orderBy("t")
     mean_all = F.avg("s").over(_before())
     return grid.select(
-        ITEM, "t", "month",
+        ITEM, "t", "month", *keep,
         *[F.coalesce(F.lag("s", k).over(w), F.lit(0.0)).alias(f"lag{k}") for k in lags],
         *[F.coalesce(F.avg("s").over(_before(k)), F.lit(0.0)).alias(f"mean{k}") for k in windows],
         *[F.coalesce(F.stddev_pop("s").over(_before(k)), F.lit(0.0)).alias(f"std{k}") for k in windows],
@@ -97,6 +97,39 @@ def lagged_features(grid: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 6, 12), w
     )
 
 
+def monthly_frame(grid: DataFrame, attributes: DataFrame, start: int = 12, validation: int = 6, test: int = 12) -> DataFrame:
+    """One row per item and origin whose horizon has closed: features of the months before it, the target from it on, and its part.
+
+    The last ``test`` origins of an item are its test rows. Validation rows
+    are those of the ``validation`` origins before that close by the first
+    test origin, train rows close by the first validation origin, and what
+    remains is a gap: no target reaches into the next part. An item with less
+    than ``start`` months and its horizon has no rows.
+    """
+    through = F.sum("s").over(Window.partitionBy(ITEM).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = lagged_features(grid, keep=(through.alias("through"),))
+    names = [c for c in rows.columns if c not in (ITEM, "t", "month", "through", "since_nz")]
+    horizon = attributes.select(ITEM, periods_of_lead(F.col("corrected_lead_days"), 30).alias("h"))
+    series = rows.groupBy(ITEM).agg(F.array_sort(F.collect_list(F.struct("t", "month", "through", "since_nz", *names))).alias("series")).join(horizon, ITEM)
+    h, n = F.col("h"), F.size("series")
+    first_test = n - h - (test - 1)
+    first_validation = first_test - validation
+
+    def row(x: Column) -> Column:
+        t = x["t"]
+        part = F.when(t >= first_test, "test").when((t >= first_validation) & (t + h <= first_test), "validation").when(t + h <= first_validation, "train").otherwise("gap")
+        target = F.try_element_at("series", (t + h).cast("int"))["through"] - F.try_element_at("series", t.cast("int"))["through"]
+        month = F.month(x["month"])
+        return F.struct(
+            t.alias("t"), x["month"].alias("month"), target.alias("target"), part.alias("part"), *[x[c].alias(c) for c in names],
+            (x["since_nz"] - 1).alias("since_nz"), (x["mean3"] - x["mean6"]).alias("trend"), (x["lag1"] / (x["mean6"] + 1)).alias("spike"),
+            F.ceil(month / 3).cast("int").alias("quarter"), (month % 3 == 1).alias("opens_quarter"),
+        )
+
+    known = F.slice("series", start + 1, F.greatest(n - h - start + 1, F.lit(0)))
+    return series.select(ITEM, "h", F.inline(F.transform(known, row)))
+
+
 def as_of(lookups: DataFrame, events: DataFrame, key: str, at: str, value: str, when: str | None = None) -> DataFrame:
     """Each look-up with the latest event of its key on or before its date, null without one.
 

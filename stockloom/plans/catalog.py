@@ -13,7 +13,7 @@ from ..functions.measures import periods_of_lead
 from ..operators import finance, forecast, learning, monitoring, policy, quality, reliability, remediation, replay, timeseries
 from ..operators.timeseries import ITEM
 from ..sources import erp_views
-from . import money, oracle, planning
+from . import money, monthly, oracle, planning
 from .warehouse import Warehouse
 
 Build = Callable[[Warehouse], DataFrame]
@@ -555,6 +555,7 @@ _add("ml_cleaning_tiers", _tiers)
 
 
 money.add_queries(_add, _graded, _costs)
+monthly.add_queries(_add)
 planning.add_queries(_add, _learning_frame)
 
 
