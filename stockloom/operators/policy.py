@@ -124,6 +124,16 @@ def recomputed_points(usage: DataFrame, attributes: DataFrame, months: int = 36)
     return rows.select(ITEM, "abc", F.bround(F.col("monthly") * lead + buffer).alias("new_reorder_point"), F.bround(buffer).alias("new_safety_stock"))
 
 
+def corrected_master(usage: DataFrame, attributes: DataFrame, until: str) -> DataFrame:
+    """Reorder point and safety stock of a corrected master: the last twelve months' usage over the real lead time, at least a buffer for one unit."""
+    end = F.lit(until).cast("date")
+    monthly = usage.where((F.col("month") > F.add_months(end, -12)) & (F.col("month") <= end)).groupBy(ITEM).agg((F.sum("units") / 12).alias("monthly"))
+    demand = F.coalesce("monthly", F.lit(0.0)) * F.col("corrected_lead_days") / 30
+    buffer = _by_class(RECOMPUTED_Z, "abc", RECOMPUTED_Z["C"]) * F.sqrt(F.greatest(F.lit(1.0), demand))
+    rows = attributes.join(monthly, ITEM, "left")
+    return rows.select(ITEM, F.bround(demand + buffer).cast("bigint").alias("reorder_point"), F.bround(buffer).cast("bigint").alias("safety_stock"))
+
+
 def requirements(jobs: DataFrame, bill: DataFrame, crosswalk: DataFrame, day: str) -> DataFrame:
     """Units of each item that released, incomplete jobs still draw."""
     due = jobs.where((F.col("status") == "OPEN") & (F.col("release_date") <= F.lit(day).cast("date")) & F.col("completed_date").isNull())

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import builds, forecast, timeseries
+from ..functions.measures import signed_quantity
+from ..operators import builds, forecast, policy, synthesis, timeseries
 from . import oracle
 from .warehouse import Warehouse
 
@@ -65,6 +66,34 @@ select component_item, count(*) as jobs, sum(taken) as taken, sum(booked) as rec
   where qty_completed > 0 and completed_date is not null) group by 1"""
 
 
+#: An own world, so that the draws and sizes stand beside the query.
+WORLD, ITEMS, MONTHS = synthesis.World(), 2000, 60
+
+_POSTINGS = """
+with stock as (select item_number, txn_date, sum(sum(change)) over (partition by item_number order by txn_date) as balance from signed_ledger
+    where not (txn_type = 'ADJUST' and ifnull(reason_code, '') in ('COUNT', 'CYCLE')) group by item_number, txn_date),
+  seen as (select c.*, ifnull(s.balance, 0) as balance from stg_cycle_counts c asof left join stock s on s.item_number = c.item_number and c.count_date >= s.txn_date),
+  booked as (select *, round_even(balance + ifnull(lag(counted_qty - balance) over (partition by item_number order by count_date, count_id), 0), 0)::bigint as system from seen)
+select count_id, item_number, count_date, counted_qty::bigint as counted, system, counted_qty::bigint - system as correction from booked"""
+
+_CORRECTED = f"""
+select canonical_item_number, round_even(d + b, 0)::bigint as reorder_point, round_even(b, 0)::bigint as safety_stock from (
+  select a.canonical_item_number, ifnull(m, 0) * corrected_lead_days / 30 as d, case abc when 'A' then 2.054::double when 'B' then 1.645::double else 1.282::double end * sqrt(greatest(1, ifnull(m, 0) * corrected_lead_days / 30)) as b
+  from attributes a left join (select canonical_item_number, sum(units) / 12 as m from usage where month > date '{P.history_end}' - interval 12 month and month <= date '{P.history_end}' group by 1) using (canonical_item_number))"""
+
+
+def _postings(w: Warehouse) -> DataFrame:
+    counted = (F.col("txn_type") == "ADJUST") & F.coalesce("reason_code", F.lit("")).isin("COUNT", "CYCLE")
+    rows = synthesis.count_postings(w.stg("cycle_counts").select("count_id", "item_number", "count_date", "counted_qty"), w.stg("inventory_transactions").where(~counted), signed_quantity())
+    return rows.select("count_id", "item_number", "count_date", F.col("counted_qty").cast("bigint").alias("counted"), "system", "correction")
+
+
+def _orders(w: Warehouse) -> DataFrame:
+    lines = w.stg("purchase_orders").where(~F.col("is_rush")).withColumn("line_seq", F.struct("po_id", "line")).withColumnRenamed("line", "po_line")
+    kinds = w.stg("supplier_master").select("supplier_id", F.when(F.col("supplier_type") == "DISTRIBUTOR", 15).otherwise(2).alias("most"))
+    return synthesis.assembled_orders(lines.join(kinds, "supplier_id"), F.col("most")).select("po_id", "po_line", "supplier_id", "order_date", "order_no", "line")
+
+
 def _gain(w: Warehouse) -> DataFrame:
     several = w.crosswalk.groupBy(ITEM).agg(F.count("*").alias("n")).where("n > 1").select(ITEM)
     members = w.crosswalk.join(several, ITEM).select("item_number", ITEM)
@@ -100,3 +129,8 @@ def add_queries(add: Callable[..., None]) -> None:
         ("qty",),
     )
     add("bom_backflush_gaps", _gaps, _GAPS, ("taken", "recorded", "unrecorded"))
+    add("gen_item_plan", lambda w: synthesis.item_plan(w.stg("item_master").sparkSession, ITEMS, WORLD))
+    add("gen_demand", lambda w: synthesis.monthly_demand(synthesis.item_plan(w.stg("item_master").sparkSession, ITEMS, WORLD), "1996-01-01", MONTHS, WORLD))
+    add("gen_order_assembly", _orders)
+    add("gen_count_postings", _postings, _POSTINGS)
+    add("pol_corrected_master", lambda w: policy.corrected_master(w.usage, w.attributes, w.params.history_end), _CORRECTED)
