@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import signed_quantity
-from ..operators import builds, forecast, policy, synthesis, timeseries
+from ..operators import builds, forecast, policy, shopfloor, synthesis, timeseries
 from . import oracle
 from .warehouse import Warehouse
 
@@ -94,6 +95,53 @@ def _orders(w: Warehouse) -> DataFrame:
     return synthesis.assembled_orders(lines.join(kinds, "supplier_id"), F.col("most")).select("po_id", "po_line", "supplier_id", "order_date", "order_no", "line")
 
 
+#: First day of the replay, and spans of its days: the half-years before the corrected master, and after it.
+REPLAY_FROM = "1998-01-01"
+
+
+def _moves(w: Warehouse) -> DataFrame:
+    """Recorded usage and what incomplete bills leave unrecorded, by day of the replay; a job's usage is seen from its release."""
+    day = lambda c: F.datediff(F.col(c), F.lit(REPLAY_FROM).cast("date"))
+    released = w.stg("production_orders").groupBy(F.col("order_id").alias("job_id")).agg(F.min("release_date").alias("release_date"))
+    used = w.stg("inventory_transactions").where(F.col("txn_type").isin("ISSUE", "BACKFLUSH")).join(released, "job_id", "left")
+    used = used.select("item_number", day("txn_date").alias("day"), F.abs("qty").cast("double").alias("qty"), F.lit(True).alias("recorded"), day("release_date").alias("seen"))
+    gaps = builds.backflush_gaps(w.stg("production_orders"), w.stg("bill_of_materials"), w.stg("bom_change_log"), w.params.remediation_end).where("unrecorded > 0")
+    hidden = gaps.select(F.col("component_item").alias("item_number"), day("completed_date").alias("day"), F.col("unrecorded").alias("qty"), F.lit(False).alias("recorded"), F.lit(None).cast("int").alias("seen"))
+    names = w.crosswalk.select("item_number", ITEM)
+    return used.unionByName(hidden).join(names, "item_number").where(F.col("day").between(0, shopfloor.Shop.days - 1)).drop("item_number")
+
+
+def _shop(w: Warehouse, corrected: bool) -> DataFrame:
+    """Days of every item on the recorded master, or on the corrected one from the end of remediation."""
+    switch = F.datediff(F.lit(w.params.remediation_end).cast("date"), F.lit(REPLAY_FROM).cast("date"))
+    points = policy.corrected_master(w.usage, w.attributes, w.params.history_end).select(ITEM, F.col("reorder_point").cast("double").alias("new_level"))
+    master = w.stg("item_master").groupBy(F.col("item_number").alias(ITEM)).agg(F.max("master_lead_time_days").cast("double").alias("lead"), F.coalesce(F.max("reorder_point"), F.lit(0.0)).alias("level"))
+    rules = w.attributes.join(points, ITEM).join(master, ITEM)
+    drift = F.greatest(F.col("corrected_lead_days") - F.col("lead"), F.lit(0.0))
+    rules = rules.select(ITEM, "lead", "level", drift.alias("drift"), (switch if corrected else F.lit(None).cast("int")).alias("switch_day"), F.col("corrected_lead_days").alias("new_lead"), "new_level")
+    variant = "corrected" if corrected else "recorded"
+    return w.once(("shop", variant), lambda: shopfloor.replay(_moves(w), rules, shopfloor.Shop()))
+
+
+def _spans(w: Warehouse) -> list[tuple[str, int, int]]:
+    first, end = dt.date.fromisoformat(REPLAY_FROM), dt.date.fromisoformat(w.params.remediation_end)
+    half = dt.date(end.year, 7, 1)
+    bounds = {"first_half": (dt.date(end.year, 1, 1), half), "second_half": (half, end), "forward": (end, end + dt.timedelta(181)), "forward_1_3": (end, end + dt.timedelta(90)), "forward_4_6": (end + dt.timedelta(90), end + dt.timedelta(181))}
+    return [(n, (a - first).days, (b - first).days - 1) for n, (a, b) in bounds.items()]
+
+
+def _shop_windows(w: Warehouse) -> DataFrame:
+    costs = w.attributes.select(ITEM, F.col("standard_cost").alias("cost"))
+    parts = [shopfloor.window_metrics(_shop(w, c), _spans(w), costs).withColumn("variant", F.lit("corrected" if c else "recorded")) for c in (False, True)]
+    out = parts[0].unionByName(parts[1])
+    return out.select("variant", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c != "variant"])
+
+
+def _shop_items(w: Warehouse) -> DataFrame:
+    sums = [F.round(F.sum(c), 6).alias(c) for c in ("demand", "short", "ordered", "rushed", "received", "written_off")]
+    return _shop(w, True).groupBy(ITEM).agg(*sums, *[F.count(F.when(F.col("cause") == c, 1)).alias(c) for c in shopfloor.CAUSES])
+
+
 def _gain(w: Warehouse) -> DataFrame:
     several = w.crosswalk.groupBy(ITEM).agg(F.count("*").alias("n")).where("n > 1").select(ITEM)
     members = w.crosswalk.join(several, ITEM).select("item_number", ITEM)
@@ -134,3 +182,5 @@ def add_queries(add: Callable[..., None]) -> None:
     add("gen_order_assembly", _orders)
     add("gen_count_postings", _postings, _POSTINGS)
     add("pol_corrected_master", lambda w: policy.corrected_master(w.usage, w.attributes, w.params.history_end), _CORRECTED)
+    add("sim_shop_items", _shop_items)
+    add("sim_shop_windows", _shop_windows)

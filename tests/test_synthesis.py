@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.functions.measures import signed_quantity
-from stockloom.operators import builds, forecast, learning, synthesis, timeseries
+from stockloom.operators import builds, forecast, learning, shopfloor, synthesis, timeseries
 from stockloom.params import Params
 
 D = dt.date
@@ -154,3 +154,64 @@ def test_models_are_saved_and_read(spark, tmp_path):
     again, same = learning.load(str(tmp_path / "m"))
     assert same == cap
     assert learning.predict(again, same, rows).select("pred").collect() == learning.predict(model, cap, rows).select("pred").collect()
+
+
+QUIET = shopfloor.Shop(days=120, partial=0.0, write_off=0.0, count_reach=0.0, rush=0.0, lead_noise=0.0, full_shelf_days=1e9)
+RULE = f"{ITEM} string, lead double, level double, drift double, switch_day int, new_lead double, new_level double"
+MOVE = f"{ITEM} string, day int, qty double, recorded boolean, seen int"
+
+
+def _run(spark, moves, rules, shop):
+    return shopfloor.replay(spark.createDataFrame(moves, MOVE), spark.createDataFrame(rules, RULE), shop).orderBy(ITEM, "day").collect()
+
+
+def test_replay_keeps_every_unit(spark):
+    r = random.Random(3)
+    moves = [(i, r.randrange(700), float(r.randrange(1, 9)), r.random() < 0.8, None) for i in "ab" for _ in range(300)]
+    rules = [("a", 20.0, 25.0, 15.0, None, None, None), ("b", 20.0, 25.0, 15.0, 400, 30.0, 60.0)]
+    out = _run(spark, moves, rules, shopfloor.Shop(days=700))
+    for i in "ab":
+        days = [x for x in out if x[ITEM] == i]
+        assert [x.day for x in days] == list(range(700))
+        first = days[0]
+        stock = first.physical + first.demand - first.short - first.received
+        for x in days:
+            stock += x.received - x.demand
+            assert x.physical - x.backlog == pytest.approx(stock, abs=1e-6)
+            assert x.physical >= -1e-9 and (x.cause is None or x.short > 0)
+        assert sum(x.received for x in days) <= sum(x.ordered + x.rushed for x in days)
+        assert {x.cause for x in days} - {None} <= set(shopfloor.CAUSES)
+    moved = _run(spark, moves, [("b", 20.0, 25.0, 15.0, None, None, None)], shopfloor.Shop(days=700))
+    assert [tuple(x) for x in out if x[ITEM] == "b" and x.day < 400] == [tuple(x) for x in moved if x.day < 400]
+
+
+def test_replay_of_a_quiet_item_by_hand(spark):
+    # opens with 10 + half of 30 days at 0.02 a day
+    out = _run(spark, [("a", 5, 3.0, True, None)], [("a", 10.0, 10.0, 0.0, None, None, None)], QUIET)
+    opening = 10 + 30 * max(3 / 90, 0.02) / 2
+    assert out[4].physical == pytest.approx(opening) and out[5].physical == pytest.approx(opening - 3)
+    # at or below the point on day 5: lots of one, three units short of the point
+    assert out[5].ordered == 3.0 and out[14].on_order == 3.0 and out[15].received == 3.0
+    assert out[15].physical == pytest.approx(opening) and sum(x.ordered for x in out) == 3.0
+
+
+def test_replay_sees_released_jobs_and_names_causes(spark):
+    rule = [("a", 10.0, 2.0, 0.0, None, None, None)]
+    blind = _run(spark, [("a", 40, 8.0, True, None)], rule, QUIET)
+    seen = _run(spark, [("a", 40, 8.0, True, 20)], rule, QUIET)
+    assert blind[40].cause == "other" and blind[40].short > 0
+    assert next(x.day for x in seen if x.ordered > 0) == 30
+    # usage that is never recorded leaves the books full
+    hidden = _run(spark, [("a", d, 1.0, False, None) for d in range(10, 60)], rule, QUIET)
+    assert next(x.cause for x in hidden if x.cause) == "unrecorded_consumption"
+    assert all(x.ordered == 0 for x in hidden)
+    corrected = _run(spark, [("a", d, 1.0, False, None) for d in range(10, 60)], [("a", 10.0, 2.0, 0.0, 50, 5.0, 20.0)], QUIET)
+    assert next(x.day for x in corrected if x.ordered > 0) == 50 and corrected[49].book > corrected[50].book == 0
+
+
+def test_replay_windows(spark):
+    schema = f"{ITEM} string, {shopfloor.DAILY}"
+    rows = [("a", d, 2.0, 1.0 if d == 3 else 0.0, 4.0, 4.0, 0.0, 1.0 if d == 3 else 0.0, 5.0 if d == 2 else 0.0, 0.0, 0.0, 0.0, "other" if d == 3 else None, None) for d in range(6)]
+    found = {r.span: r for r in shopfloor.window_metrics(spark.createDataFrame(rows, schema), [("x", 0, 2), ("y", 3, 4)], spark.createDataFrame([("a", 10.0)], f"{ITEM} string, cost double")).collect()}
+    assert (found["x"].fill_rate, found["x"].episodes, found["x"].order_lines, found["x"].mean_value, found["x"].days_of_supply) == (1.0, 0, 1, 40.0, 2.0)
+    assert (found["y"].fill_rate, found["y"].episodes, found["y"].other, found["y"].short_days, found["y"].excess_items) == (0.75, 1, 1, 1, 0)
