@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, hmm, jaccard, langid, license, mixing, pii, tokenstore, toxicity
+from . import band, decontam, fim, fingerprint, hmm, jaccard, langid, license, mixing, pii, sharding, tokenstore, toxicity
 from .common import fold
 from .store import ship
 
@@ -70,6 +71,21 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(docs, license.fit(docs))
 
 
+def op11_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, rows = band.priced(read(spark, sf_dir, "items")), band.unit_prices(read(spark, sf_dir, "sale_lines"))
+    found = band.band_join(points, rows)
+    ids = [F.col(c).cast("long").alias(name) for c, name in (("sale_id", "sale_id"), ("line_no", "line_no"), ("row_key", "line_item_id"))]
+    return found.select(F.col("key").alias("item_id"), "rank", "gap", "u", *ids, "n_pairs", "gap_sum", F.col("checksum").alias("lines_crc"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
@@ -81,8 +97,14 @@ QUERIES: dict[str, Query] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_lm_score": op7_lm_score,
     "op8_license_scan": op8_license_scan,
+    "op11_band_join": op11_band_join,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
+    "op11_band_join": band.SQL,
+    "op12_fill_in_middle": fim.SQL,
+    "op13_sharding": sharding.SQL,
 }
