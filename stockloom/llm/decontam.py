@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_type
 from .text import ALNUM, buffers, mix, slices, words
 
 #: Edits allowed, as a share of an item's words.
@@ -347,13 +348,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_id
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"{key} {kind}, {item_id} {item_kind}, item_words int, edits int"
+    id_type = arrow_type(items, item_id)
     out = None
     for index in _index_blocks(items, item_id, text):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
-            id_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
             for part, data, offsets in slices(batches, text):
                 hits = search(index, data, offsets)
                 columns = [

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import arrow_type, id_text
 from .store import materialize
 from .text import NOT_SPACE, mix, slices, words
 
@@ -299,7 +299,7 @@ def encode(docs: DataFrame, held_out, text: str = "text") -> tuple[DataFrame, Vo
     """Encoded documents (written) and the vocabulary of those that aren't held out."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    id_type = arrow_type(docs, "doc_id")
     buckets = max(8, docs.count() // BUCKET_DOCS)
     rows = docs.select("doc_id", F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
     scanned = materialize(rows.mapInArrow(_scanner(buckets, id_type), _SCAN.format(kind)), "hmm-words")

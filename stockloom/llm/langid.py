@@ -28,8 +28,8 @@ from . import gru
 from .common import fold, id_text, sample_by
 from .text import buffers
 
-#: Training rows per language (the classifier is fitted on this bounded sample), windows of each, and the longest text that is sampled.
-PER_LANGUAGE, WINDOWS_OF_TEXT, LONGEST = 400, 64, 200_000
+#: Training rows per language (the classifier is fitted on this bounded sample) and windows of each, spread over its text.
+PER_LANGUAGE, WINDOWS_OF_TEXT = 400, 16
 TRAIN_WINDOW, HIDDEN, STEPS, ROWS = 64, 8, 300, 128
 WINDOW, WINDOWS_AT_ONCE = 96, 2048
 UNDETERMINED = "und"
@@ -59,9 +59,9 @@ def _windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return out, lengths, doc
 
 
-def _foreign(r: np.random.Generator, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows in none of the languages: even letters, and scripts that ``texts`` don't use."""
-    sample = np.frombuffer("".join(t[:2000] for t in texts).encode("utf-32-le", "replace"), "<u4")
+def _foreign(r: np.random.Generator, sampled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in none of the languages: even letters, and scripts that the ``sampled`` windows don't use."""
+    sample = np.frombuffer(b"".join(sampled).decode("utf-8", "ignore").encode("utf-32-le", "replace"), "<u4")
     unused = [(a, b) for a, b in SCRIPTS if ((sample >= a) & (sample <= b)).mean() < SCRIPT_SHARE] if len(sample) else list(SCRIPTS)
     alphabets = [(97, 122), (97, 122)] + unused
     made = []
@@ -78,27 +78,34 @@ def _foreign(r: np.random.Generator, texts: list[str]) -> tuple[np.ndarray, np.n
     return out, lengths
 
 
+def _sampled_windows(text):
+    """WINDOWS_OF_TEXT windows of TRAIN_WINDOW bytes spread evenly over a text, or all where it has fewer."""
+    data = F.encode(F.col(text), "UTF-8")
+    many = F.ceil(F.octet_length(data) / F.lit(TRAIN_WINDOW)).cast("int")
+    n = F.least(many, F.lit(WINDOWS_OF_TEXT))
+    at = lambda k: F.floor(k.cast("long") * many / F.greatest(n, F.lit(1))).cast("int") * TRAIN_WINDOW + 1
+    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.substring(data, at(k), F.lit(TRAIN_WINDOW)))
+
+
 def fit(docs: DataFrame, seed: int = 7) -> Model | None:
-    """Learn from ``text`` and non-null ``lang`` of ``docs``, on a sample of about PER_LANGUAGE rows a language."""
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text", "lang")
-    found = sorted(sample_by(rows, "lang", PER_LANGUAGE).select(id_text().alias("id"), "text", "lang").collect())
-    languages = sorted({r.lang for r in found})
+    """Learn from ``text`` and non-null ``lang`` of ``docs``, on windows of at most PER_LANGUAGE rows a language.
+
+    Windows are cut where the texts are; the driver gets at most WINDOWS_OF_TEXT of TRAIN_WINDOW bytes a row.
+    """
+    rows = docs.where(F.length("text") > 0).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
+    found = sample_by(rows, "lang", PER_LANGUAGE).select("lang", _sampled_windows("text").alias("windows")).collect()
+    rows = sorted((r.lang, bytes(w)) for r in found for w in r.windows)
+    languages = sorted({lang for lang, _ in rows})
     if not languages:
         return None
-    data, offsets = buffers(pa.array([r.text for r in found], pa.string()))
+    data, offsets = buffers(pa.array([w for _, w in rows], pa.binary()))
     windows, lengths, doc = _windows(data, offsets, TRAIN_WINDOW)
-    pick = np.random.default_rng(seed).permutation(len(windows))
-    pick = pick[np.argsort(doc[pick], kind="stable")]
-    rank = np.arange(len(pick)) - np.searchsorted(doc[pick], doc[pick])
-    pick = pick[rank < WINDOWS_OF_TEXT]
-    if not len(pick):
-        return None
-    label = np.array([languages.index(r.lang) for r in found])[doc[pick]]
+    label = np.array([languages.index(lang) for lang, _ in rows])[doc]
     # every language gets as many windows
     draws = np.random.default_rng(seed + 1)
-    pick, label = zip(*[(w := pick[label == k][draws.integers(0, n, 4000)], np.full(len(w), k)) for k in range(len(languages)) if (n := int((label == k).sum()))], strict=True)
+    pick, label = zip(*[(w := np.flatnonzero(label == k)[draws.integers(0, n, 4000)], np.full(len(w), k)) for k in range(len(languages)) if (n := int((label == k).sum()))], strict=True)
     pick, label = np.concatenate(pick), np.concatenate(label)
-    made, made_lengths = _foreign(np.random.default_rng(seed + 2), [r.text for r in found])
+    made, made_lengths = _foreign(np.random.default_rng(seed + 2), [w for _, w in rows])
     windows, lengths = np.concatenate([windows[pick], made]), np.concatenate([lengths[pick], made_lengths])
     label = np.concatenate([label, np.full(len(made), len(languages))])
     return Model(languages, gru.prepare(gru.train(windows, lengths, label, len(languages) + 1, HIDDEN, STEPS, ROWS, seed)))

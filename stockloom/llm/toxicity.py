@@ -88,8 +88,10 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model | None:
     rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text", "lang")
     # the few labelled ids first, so that only sampled texts travel
     marked = sample_by(docs.select("doc_id").join(marks, "doc_id"), "__toxic", PER_LABEL).select("doc_id", "__toxic").distinct()
-    marked = F.broadcast(marked)  # about PER_LABEL rows for each of the labels
-    found = sorted(rows.join(marked, "doc_id").select(id_text().alias("id"), "text", F.coalesce("lang", F.lit("")).alias("lang"), "__toxic").collect())
+    marked = F.broadcast(marked)  # at most PER_LABEL ids for each of the labels
+    # an id may stand on many rows
+    rows = sample_by(rows.join(marked, "doc_id"), "__toxic", PER_LABEL)
+    found = sorted(rows.select(id_text().alias("id"), "text", F.coalesce("lang", F.lit("")).alias("lang"), "__toxic").collect())
     toxic = np.array([int(r["__toxic"] > 0) for r in found])
     if not len(found) or toxic.min() == toxic.max():
         return None
