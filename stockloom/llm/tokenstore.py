@@ -43,8 +43,10 @@ from .text import mix, slices, span_hashes
 END = 2
 #: Ids that the rolling hash sees, the mean distance of cuts (a power of two), and a chunk's least and most ids.
 SEEN, MEAN, LEAST, MOST = 8, 512, 128, 4096
-#: Units whose ids a worker remembers before it starts afresh.
-REMEMBERED = 1_500_000
+#: Bytes that a worker remembers of units, their ids and their places before it starts afresh, and the longest unit that it remembers.
+REMEMBERED_BYTES, LONGEST_UNIT = 64 << 20, 64
+#: Bytes of a unit's hash, length and places.
+UNIT_BYTES = 40
 #: Units of one text that goes to the tokenizer; it is fastest on short ones.
 JOINED = 100
 ROWS_OF_PART = 20_000
@@ -75,11 +77,12 @@ class Encoder:
 
     The tokenizer's rules always cut before a single space between two other
     characters, so what lies between such spaces are units that can be encoded
-    apart. Units are remembered by a 64-bit hash and their length. New ones are
-    encoded some to a text, which their bytes tell apart again: a token stands for
-    as many bytes as it has letters. Every unit's bytes are compared with those
-    that were encoded; a text with a unit that only has the same hash, and units
-    that the tokenizer has joined, are encoded as they are.
+    apart. Units are remembered by a 64-bit hash and their length, up to a bound
+    in bytes. New ones are encoded some to a text, which their bytes tell apart
+    again: a token stands for as many bytes as it has letters. Every unit's bytes
+    are compared with those that were encoded; a text with a unit that only has
+    the same hash, and units that the tokenizer has joined, are encoded as they
+    are. So are long units, as texts without spaces are; they are not remembered.
     """
 
     def __init__(self, definition: str):
@@ -95,6 +98,11 @@ class Encoder:
         self.bytes = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(size)], np.int64)
         self._forget()
 
+    @property
+    def remembered(self) -> int:
+        """Bytes that are remembered."""
+        return self.text_used + 4 * self.used + UNIT_BYTES * len(self.known)
+
     def _forget(self) -> None:
         self.known, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -156,7 +164,7 @@ class Encoder:
         if not self.units:
             found = [self._plain(data[offsets[k] : offsets[k + 1]]) for k in range(texts)]
             return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        if len(self.known) > REMEMBERED:
+        if self.remembered > REMEMBERED_BYTES:
             self._forget()
         white = _white(data)
         border = np.zeros(len(data) + 1, bool)
@@ -167,8 +175,39 @@ class Encoder:
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
-        hashed = span_hashes(data, start, [end], lower=False)[0]
+        wide = end - start
+        short, long = np.flatnonzero(wide <= LONGEST_UNIT), np.flatnonzero(wide > LONGEST_UNIT)
+        own = [self._plain(data[start[k] : end[k]]) for k in long.tolist()]
+        at = self._known_units(data, start, end, apart, white, short)
+        sizes = np.zeros(len(start), np.int64)
+        sizes[short], sizes[long] = self.size[at], [len(ids) for ids in own]
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        flat = np.empty(ends[-1], np.uint32)
+        within = _counted_up(sizes[short])
+        flat[np.repeat(begins[short], sizes[short]) + within] = self.pool[np.repeat(self.start[at], sizes[short]) + within]
+        for k, ids in zip(long.tolist(), own, strict=True):
+            flat[begins[k] : ends[k]] = ids
+        first = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
+        # every remembered unit's bytes against the data's
+        within = _counted_up(wide[short])
+        places = np.repeat(start[short], wide[short]) + within
+        kept = self.text.take(np.repeat(self.text_at[at], wide[short]) + within, mode="clip")
+        other = np.concatenate([places[kept != data[places]], start[short][self.length[at] != wide[short]]])
+        if len(other):
+            parts = [flat[first[k] : first[k + 1]] for k in range(texts)]
+            for k in np.unique(np.searchsorted(offsets, other, "right") - 1).tolist():
+                parts[k] = self._plain(data[offsets[k] : offsets[k + 1]])
+            flat, first = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return flat, first
+
+    def _known_units(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, apart: np.ndarray, white: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """Where among what is remembered the units ``short`` are, after the new ones of them are encoded."""
+        if not len(short):
+            return np.zeros(0, np.int64)
+        hashed = span_hashes(data, start[short], [end[short]], lower=False)[0]
         distinct, place, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        place = short[place]
         at = np.searchsorted(self.known, distinct)
         length = (end - start)[place]
         inside = np.minimum(at, max(len(self.known) - 1, 0))
@@ -184,22 +223,13 @@ class Encoder:
             self.start = np.insert(self.start, slots, pool_at)
             self.size = np.insert(self.size, slots, pool_size)
             at = np.searchsorted(self.known, distinct)
-        at = at[inverse]
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        flat = self.pool[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        first = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
-        # units lie one after another, so their bytes are the data's
-        wide = end - start
-        kept = self.text.take(np.repeat(self.text_at[at] - start, wide) + np.arange(len(data)), mode="clip")
-        other = np.flatnonzero(kept != data)
-        other = np.concatenate([other, start[self.length[at] != wide]])
-        if len(other):
-            parts = [flat[first[k] : first[k + 1]] for k in range(texts)]
-            for k in np.unique(np.searchsorted(offsets, other, "right") - 1).tolist():
-                parts[k] = self._plain(data[offsets[k] : offsets[k + 1]])
-            flat, first = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-        return flat, first
+        return at[inverse]
+
+
+def _counted_up(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of runs of ``sizes``, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
 _encoders: dict[int, Encoder] = {}
