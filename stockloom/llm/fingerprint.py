@@ -1,7 +1,10 @@
 """Homomorphic multiset fingerprints of documents, in DataFrame functions only.
 
-A text is cut into pieces: paragraphs (lines), of which one longer than
-``PIECE_WORDS`` words makes a piece for every so many. Each piece's hashes are
+A text is cut into pieces: after every line, and within a line after words whose
+hash says so, every ``PIECE_WORDS`` words in the mean. So cuts move along with
+the words, and a word put in or taken out anywhere changes the piece it stands
+in and no other. Each character of a script without spaces is a word. Each
+piece's hashes are
 spread over a wide vector of 0/1 lanes, and a document's fingerprint is the
 sum of its pieces' vectors modulo powers of two. So equal texts have equal
 fingerprints, the order of pieces doesn't matter, and pieces are inserted or
@@ -26,9 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIECE_WORDS = 8
-#: Whole text in pieces: up to PIECE_WORDS words of a line with the white space around them, or white space alone.
-PIECE = rf"\s*(?:\S+[^\S\n]*){{1,{PIECE_WORDS}}}\n*|\s+"
+#: One word in so many ends a piece, by a hash of seed CUT_SEED.
+PIECE_WORDS, CUT_SEED = 8, 29
+#: Han, kana and Hangul, where words have no spaces between them.
+UNSPACED = r"\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+#: Whole text in words with the white space behind them (and before the first), or white space alone.
+WORD = rf"\s*(?:[{UNSPACED}]|[^\s{UNSPACED}]+)[^\S\n]*\n*|\s+"
+#: Stands at cuts while a text is cut; where a text has it, two others stand for it, and two for the one that begins those.
+MARK, ESCAPE = "\ue000", "\ue001"
 #: Hashes of a piece, and how their bits are packed: LANES lanes of WIDTH bits in a word of 64.
 SEEDS, LANES, WIDTH = (11, 12), 3, 21
 LANE = (1 << WIDTH) - 1
@@ -40,7 +48,11 @@ SAMPLED_KEYS, DRAWN = 20_000, 1 << 30
 
 
 def pieces(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    """The pieces of a text, in order; different texts have different ones."""
+    text = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "\ue003")), F.lit(MARK), F.lit(ESCAPE + "\ue002"))
+    ends = lambda word: word.contains("\n") | (F.pmod(F.xxhash64(word, F.lit(CUT_SEED)), F.lit(PIECE_WORDS)) == 0)
+    marked = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda word: F.when(ends(word), F.concat(word, F.lit(MARK))).otherwise(word))
+    return F.array_remove(F.split(F.array_join(marked, ""), MARK), "")
 
 
 def packed_bits(piece: Column, which: Column) -> list[Column]:
