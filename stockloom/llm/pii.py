@@ -12,7 +12,7 @@ whose form could be of that kind are added to the spans. A string is reported
 as a secret only in such a pattern, a seed, too.
 
 Edge cases: a null text is an empty one; a text without spans has counts 0, an
-empty ``spans`` and the hash of the empty string. Matches of different kinds
+empty ``spans`` and the hash of the empty string. A token of any length counts. Matches of different kinds
 may overlap; matches of one kind do not, and added spans overlap none. Digits
 and letters are ASCII. Repeated rows and ids are separate documents. An empty
 table gives an empty result.
@@ -36,9 +36,9 @@ SECRET = len(KINDS)
 ROUNDS = 3
 #: A pattern's least confidence and distinct seeds to spread belief, and to add spans.
 SPREADS, SPREADS_SEEDS, SURE, SURE_SEEDS = 0.5, 3, 0.8, 5
-#: Longest token that counts as identifier-like, and how far its context reaches.
-LONGEST, BEFORE, AFTER = 128, 48, 24
-#: Parts that the mentions of one pattern are dealt to in joins.
+#: How far a mention's context reaches, in characters; words that it doesn't hold whole are left out.
+BEFORE, AFTER = 48, 24
+#: Parts that the mentions of one pattern, or the patterns of one instance, are dealt to in joins: as many as shuffle partitions, and so many at least.
 SALTS = 16
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -50,7 +50,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\s\"'`<>]*")
 _QUOTES = frozenset("\"'`<>")
-_KEY = re.compile(r"[0-9A-Fa-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]+\.[\w-]+\.[\w-]+")
+_KEY = re.compile(r"[0-9A-Fa-f]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]+\.[\w-]+\.[\w-]+")
 _DIGITS = re.compile(r"[^0-9]")
 _EDGE = "\"'()[]{}<>.,;:!?"
 
@@ -112,9 +112,16 @@ def _fits(mention: str) -> int:
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
     """The word before, both words before, the word before and the one after, and the nearest label before (a word that ends with a colon or an equals sign)."""
-    before = [x for x in (w.strip("\"'`<>") for w in text[max(0, start - BEFORE) : start].split()) if x]
+    near, far = max(0, start - BEFORE), end + AFTER
+    words = text[near:start].split()
+    if near and words and not text[near - 1].isspace() and not text[near].isspace():
+        del words[0]
+    before = [x for x in (w.strip("\"'`<>") for w in words) if x]
     left = [w for w in (x.strip(_EDGE).lower() for x in before[-2:]) if w]
-    right = [w for w in (x.strip(_EDGE).lower() for x in text[end : end + AFTER].split()[:1]) if w]
+    after = text[end:far].split(None, 1)
+    if len(after) == 1 and far < len(text) and not text[far - 1].isspace() and not text[far].isspace():
+        after = []
+    right = [w for w in (x.strip(_EDGE).lower() for x in after[:1]) if w]
     out = []
     if left:
         out.append(f"l|{left[-1]}")
@@ -165,15 +172,16 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
         token = text[start:done]
         begin = start + len(token) - len(token.lstrip(_EDGE))
         stop = begin + len(token.strip(_EDGE))
-        if stop - begin <= LONGEST and stop > begin and free(begin, stop):
+        if stop > begin and free(begin, stop):
             rest.append((begin, stop))
     spans += [(s, e, SECRET if _is_key(text[s:e]) else -1) for s, e in rest]
     out = []
     for s, e, kind in sorted(spans):
         found = text[s:e]
         instance = int.from_bytes(hashlib.blake2b(found.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        if (kind >= 0 or (fits := _fits(found))) and (patterns := _patterns(text, s, e)):
-            out.append((s, e, kind, 0 if kind >= 0 else fits, instance, patterns))
+        fits = _fits(found)
+        if (kind >= 0 or fits) and (patterns := _patterns(text, s, e)):
+            out.append((s, e, kind, fits, instance, patterns))
     return out
 
 
@@ -192,10 +200,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(found, pa.list_(_MENTION))], ["row", "doc_id", "base", "mentions"])
 
 
-def _of_patterns(rows: DataFrame, patterns: DataFrame, by: str) -> DataFrame:
-    """Join on ``pattern`` by parts of ``by``: a pattern may hold a large share of all mentions."""
-    parts = patterns.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(parts, ["pattern", "part"]).drop("part")
+def _dealt(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """Join on ``key`` by parts of ``by``: a pattern may hold a large share of all mentions, an instance stand in very many patterns."""
+    salts = max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(parts, [key, "part"]).drop("part")
+
+
+_SPANS = "array<struct<start int, kind int, end int>>"
 
 
 def _could_be() -> Column:
@@ -217,9 +229,9 @@ def confident_patterns(scanned: DataFrame) -> DataFrame:
         if turn == ROUNDS:
             break
         spread = scored.where(F.col("confidence") >= SPREADS).select("pattern", "kind", "confidence")
-        belief = _of_patterns(unseen, spread, "instance").where(_could_be()).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("belief"))
+        belief = _dealt(unseen, spread, "pattern", "instance").where(_could_be()).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("belief"))
         # what is believed counts for every pattern it stands in
-        believed = unseen.join(belief.where(F.col("belief") >= SPREADS), "instance").select("pattern", "kind", "belief")
+        believed = _dealt(unseen.drop("fits"), belief.where(F.col("belief") >= SPREADS), "instance", "pattern").select("pattern", "kind", "belief")
         known = seeds.unionByName(believed)
     return scored.where((F.col("confidence") >= SURE) & (F.col("support") >= SURE_SEEDS)).select("pattern", "kind", "confidence")
 
@@ -233,31 +245,58 @@ def _is(kind: int):
     return lambda span: span["kind"] == kind
 
 
-def extract(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, spans and n_added, n_secret and secret_spans, and n_found, all of them, of every document."""
+def _scanned(docs: DataFrame, text: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(text).cast("string"))
-    span = "array<struct<start int, kind int, end int>>"
     mention = "array<struct<start int, end int, kind int, fits int, instance long, patterns array<string>>>"
-    scanned = materialize(rows.mapInArrow(_scan, f"row long, doc_id {kind}, base {span}, mentions {mention}"), "pii-scan")
+    return materialize(rows.mapInArrow(_scan, f"row long, doc_id {kind}, base {_SPANS}, mentions {mention}"), "pii-scan")
+
+
+def _added(scanned: DataFrame) -> DataFrame:
+    """row, start, end and kind of mentions that confident patterns are sure of."""
     sure = confident_patterns(scanned)
     # seeds of secrets stand for themselves where their pattern is sure of them
     unseen = scanned.select("row", F.explode("mentions").alias("m")).where((F.col("m.kind") < 0) | (F.col("m.kind") == SECRET))
     fits = F.when(F.col("m.kind") == SECRET, F.lit(1 << SECRET)).otherwise(F.col("m.fits"))
     unseen = unseen.select("row", "m.start", "m.end", fits.alias("fits"), F.explode("m.patterns").alias("pattern"))
-    hits = _of_patterns(unseen, sure, "row").where(_could_be())
-    added = hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    added = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    hits = _dealt(unseen, sure, "pattern", "row").where(_could_be())
+    return hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+
+
+def extract(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, counts of base spans by kind, base_sha256, spans (base and added ones, secrets too), n_added of the four kinds, n_secret and secret_spans, and n_found, all of them, of every document."""
+    scanned = _scanned(docs, text)
+    added = _added(scanned).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     out = scanned.select("row", "doc_id", "base").join(added, "row", "left")
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    every = F.coalesce("added", F.array().cast(span))
+    every = F.coalesce("added", F.array().cast(_SPANS))
     extra, secrets = F.filter(every, lambda x: x["kind"] != SECRET), F.filter(every, _is(SECRET))
     return out.select(
         "doc_id", *counts,
         F.sha2(F.encode(_listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
-        _listed(F.array_sort(F.concat("base", extra))).alias("spans"),
+        _listed(F.array_sort(F.concat("base", every))).alias("spans"),
         F.size(extra).cast("long").alias("n_added"),
         F.size(secrets).cast("long").alias("n_secret"),
         _listed(F.array_sort(secrets)).alias("secret_spans"),
         (F.size("base") + F.size(every)).cast("long").alias("n_found"),
     )
+
+
+def held_out(docs: DataFrame, share: int = 3, text: str = "text") -> DataFrame:
+    """How well contexts alone find identifiers: kind, hidden, found and wrong.
+
+    One in ``share`` seeds, by a hash of the instance, is hidden, so that the
+    graph sees only its form and contexts. ``hidden`` counts their mentions with
+    a context, ``found`` those that confident patterns give their own kind, and
+    ``wrong`` those that they give another.
+    """
+    scanned = _scanned(docs, text)
+    hide = lambda m: (m["kind"] >= 0) & (F.pmod(F.xxhash64(m["instance"], F.lit(3)), F.lit(share)) == 0)
+    masked = scanned.withColumn("mentions", F.transform("mentions", lambda m: m.withField("kind", F.when(hide(m), -1).otherwise(m["kind"]))))
+    truth = scanned.select("row", F.explode(F.filter("mentions", hide)).alias("m")).select("row", "m.start", "m.end", F.col("m.kind").alias("kind"))
+    found = _added(masked).withColumnRenamed("kind", "told")
+    both = truth.join(found, ["row", "start", "end"], "left")
+    names = F.array(*[F.lit(k) for k in (*KINDS, "secret")])
+    return both.groupBy(F.element_at(names, F.col("kind") + 1).alias("kind")).agg(
+        F.count("*").alias("hidden"), F.count(F.when(F.col("told") == F.col("kind"), 1)).alias("found"), F.count(F.when(F.col("told") != F.col("kind"), 1)).alias("wrong")
+    )
