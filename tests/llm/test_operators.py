@@ -628,7 +628,9 @@ def test_likeness_against_shared_pieces(spark):
     lines = [prose(r, 6) for _ in range(60)]
     rows = [(10, "\n".join(lines[:40]) + "\n"), (9, "\n".join(lines[20:60]) + "\n"), (8, prose(r, 200).replace(" the ", "\n"))]
     out = {x.doc_id: x for x in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    pieces = lambda t: Counter(re.findall(fingerprint.PIECE, t))
+    cut = spark.createDataFrame(rows, "doc_id long, text string").select("text", fingerprint.pieces(F.col("text")).alias("pieces")).collect()
+    assert all("".join(x.pieces) == x.text for x in cut)
+    pieces = lambda t: next(Counter(x.pieces) for x in cut if x.text == t)
     texts = dict(rows)
     for one, other in ((10, 9), (9, 8)):
         a, b = pieces(texts[one]), pieces(texts[other])
