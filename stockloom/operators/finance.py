@@ -135,7 +135,7 @@ def _measure(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def trust(t: dict[str, DataFrame], p: Params) -> DataFrame:
-    """Thirteen measures of how far the system can be trusted, before and after remediation.
+    """Fourteen measures of how far the system can be trusted, before and after remediation.
 
     ``t`` names the tables: items, live, dead, lead, recommended, stale, orders,
     clusters, reviewed, attribution, aliases, bill, restored, ledger, counts,
@@ -143,7 +143,7 @@ def trust(t: dict[str, DataFrame], p: Params) -> DataFrame:
     """
     start, end = _day(p.remediation_start), _day(p.remediation_end)
     spark = t["items"].sparkSession
-    number = lambda x: spark.range(1).select(F.lit(float(x)))
+    number = lambda x: spark.range(1).select(F.lit(x).cast("double"))
     share = lambda df, condition: df.agg(F.avg(F.when(condition, 1.0).otherwise(0.0)))
     counted = lambda df: df.agg(F.count("*").cast("double").alias("n"))
 
@@ -180,7 +180,7 @@ def trust(t: dict[str, DataFrame], p: Params) -> DataFrame:
     cycle = t["counts"].where(F.col("program") == "CYCLE").withColumn("variance", count_variance())
     first = cycle.where(F.col("count_date") <= end).select("item_number").distinct()
     second = cycle.where(F.col("count_date") > end).join(first, "item_number", "left_semi").groupBy("item_number").agg(F.max_by("variance", F.struct("count_date", "count_id")).alias("variance"))
-    within = second.agg(F.avg(F.when(F.col("variance") < p.close_count_share, 1.0).otherwise(0.0)))
+    within = lambda most: second.agg(F.avg(F.when(F.col("variance") < most, 1.0).otherwise(0.0)))
     rows = [
         _measure("records in use", ratio(counted(t["live"]), counted(t["items"])), ratio(counted(t["live"]), left)),
         _measure("lead times that match delivery", share(lead, near("master_lead_time_days")), share(lead, near("recommended_lead_days"))),
@@ -193,7 +193,9 @@ def trust(t: dict[str, DataFrame], p: Params) -> DataFrame:
         _measure("on order that will arrive", genuine, number(1)),
         _measure("postings by an identifiable user", share(t["ledger"].where((day >= F.date_sub(start, 90)) & (day < start)), person), share(t["ledger"].where((day > _day(p.login_from)) & (day <= end)), person)),
         _measure("stock value on reliable records", value_at(start), value_at(end)),
-        _measure("recounts within five percent", number(0), within),
+        # the second round of counts has no before
+        _measure("recounts within five percent", number(None), within(p.close_count_share)),
+        _measure("recounts within ten percent", number(None), within(2 * p.close_count_share)),
         _measure("critical notes brought into the system", number(0), ratio(counted(t["notes"]), counted(t["notes"]))),
     ]
     out = rows[0]

@@ -135,8 +135,9 @@ def corrected_master(usage: DataFrame, attributes: DataFrame, until: str) -> Dat
 
 
 def requirements(jobs: DataFrame, bill: DataFrame, crosswalk: DataFrame, day: str) -> DataFrame:
-    """Units of each item that released, incomplete jobs still draw."""
-    due = jobs.where((F.col("status") == "OPEN") & (F.col("release_date") <= F.lit(day).cast("date")) & F.col("completed_date").isNull())
+    """Units of each item that jobs draw that are released on ``day`` and not completed by then, whatever their status."""
+    as_of = F.lit(day).cast("date")
+    due = jobs.where((F.col("release_date") <= as_of) & (F.col("completed_date").isNull() | (F.col("completed_date") > as_of)))
     rows = due.join(bill.select("product_number", "component_item", "qty_per"), "product_number").withColumnRenamed("component_item", "item_number")
     return canonical(rows, crosswalk).groupBy(ITEM).agg(F.sum(F.col("qty_ordered") * F.col("qty_per")).alias("allocated"))
 

@@ -21,9 +21,9 @@ def _draw(*keys: str) -> Column:
 
 
 def dead_dispositions(items: DataFrame, ledger: DataFrame, p: Params, kept: float = 0.10) -> DataFrame:
-    """Obsolete records (numbers from 100000) and whether the review kept them; one with a stray movement may be kept."""
+    """Obsolete records (numbers from ``p.obsolete_from``) and whether the review kept them; one with a stray movement may be kept."""
     token = F.split_part("item_number", F.lit("-"), F.lit(2))
-    dead = items.where(F.when(token.rlike("^[0-9]+$"), token.try_cast("int")) >= 100_000).select("item_number")
+    dead = items.where(F.when(token.rlike("^[0-9]+$"), token.try_cast("int")) >= p.obsolete_from).select("item_number")
     moved = ledger.where(F.col("txn_date") >= F.add_months(F.lit(p.history_end).cast("date"), -p.dead_lookback_months)).select("item_number").distinct().withColumn("__moved", F.lit(True))
     keep = F.coalesce("__moved", F.lit(False)) & (_draw("item_number") < kept)
     return dead.join(moved, "item_number", "left").select("item_number", F.when(keep, "KEPT").otherwise("DEACTIVATED").alias("disposition"))

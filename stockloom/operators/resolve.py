@@ -17,12 +17,12 @@ def is_usage(kind: str = "txn_type") -> Column:
     return F.col(kind).isin(*USAGE)
 
 
-def item_crosswalk(item_master: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Live records (a number below 100000 after the first hyphen) with the record they resolve to."""
+def item_crosswalk(item_master: DataFrame, clusters: DataFrame, obsolete_from: int = 100_000) -> DataFrame:
+    """Live records (a number below ``obsolete_from`` after the first hyphen) with the record they resolve to."""
     token = F.split_part("item_number", F.lit("-"), F.lit(2))
     # a token of other than digits gives null, which no comparison keeps
     number = F.when(token.rlike("^[0-9]+$"), token.try_cast("int"))
-    live = item_master.select("item_number", number.alias("item_id")).where(F.col("item_id") < 100_000)
+    live = item_master.select("item_number", number.alias("item_id")).where(F.col("item_id") < obsolete_from)
     return live.join(clusters, "item_number", "left").select("item_number", "item_id", F.coalesce("primary_item_number", "item_number").alias("canonical_item_number"))
 
 

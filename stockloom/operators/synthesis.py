@@ -1,130 +1,13 @@
-"""Made-up ERP histories: item plans, demand, drifting lead times, orders, counts and typed descriptions.
-
-Every draw is a hash of the seed, the row's key and the draw's name, so a row
-is the same however the data are partitioned, and no row waits for another.
-"""
+"""Orders put together from lines, and what counts post, as windows and folds over whole tables."""
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .timeseries import as_of, running_balance
 
-ITEM = "item_id"
-
-
-@dataclass(frozen=True)
-class World:
-    """What histories look like: shares of classes and patterns, how they lean, and sizes."""
-
-    seed: int = 42
-    class_shares: dict[str, float] = field(default_factory=lambda: {"fastener": 0.4, "bearing": 0.25, "motor": 0.15, "material": 0.2})
-    pattern_shares: dict[str, float] = field(default_factory=lambda: {"smooth": 0.25, "erratic": 0.3, "lumpy": 0.25, "intermittent": 0.2})
-    #: Odds of (class, pattern) beyond what the shares give; 1 where absent.
-    leaning: dict[tuple[str, str], float] = field(default_factory=lambda: {("fastener", "smooth"): 2.0, ("motor", "intermittent"): 2.0, ("bearing", "erratic"): 1.5})
-    cost_scale: dict[str, float] = field(default_factory=lambda: {"fastener": 0.2, "bearing": 1.0, "motor": 8.0, "material": 2.0})
-    #: Of each pattern: persistence from month to month, its weight, noise, and share of months with demand.
-    patterns: dict[str, tuple[float, float, float, float]] = field(
-        default_factory=lambda: {"smooth": (0.8, 0.15, 0.15, 1.0), "erratic": (0.5, 0.7, 0.5, 0.9), "lumpy": (0.3, 0.1, 0.3, 0.35), "intermittent": (0.3, 0.1, 0.5, 0.35)}
-    )
-    cost: tuple[float, float] = (2.5, 1.0)
-    level: tuple[float, float] = (3.0, 1.0)
-    seasonal_share: float = 0.3
-    lead_days: tuple[int, int] = (10, 60)
-    families: int = 5
-    family_weight: float = 0.3
-    spike: float = 2.5
-    calm: float = 0.1
-
-
-def uniform(seed: int, draw: str, *keys: Column) -> Column:
-    """A number in (0, 1) that the keys and the draw's name fix."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(draw), *keys), F.lit(1 << 48)) + 0.5) / float(1 << 48)
-
-
-def normal(seed: int, draw: str, *keys: Column) -> Column:
-    """A standard normal number from two uniform ones."""
-    return F.sqrt(-2 * F.log(uniform(seed, draw + "/r", *keys))) * F.cos(2 * math.pi * uniform(seed, draw + "/a", *keys))
-
-
-def pick(u: Column, shares: dict[str, float]) -> Column:
-    """The label whose part of (0, 1) holds ``u``; parts are in proportion to the shares."""
-    whole, upto, out = sum(shares.values()), 0.0, F.lit(None).cast("string")
-    for label, share in shares.items():
-        upto += share / whole
-        out = F.coalesce(out, F.when(u <= upto, label))
-    return F.coalesce(out, F.lit(list(shares)[-1]))
-
-
-def fitted_shares(rows: dict[str, float], columns: dict[str, float], leaning: dict[tuple[str, str], float], rounds: int = 200) -> dict[str, dict[str, float]]:
-    """Joint shares with the given totals that keep the odds ratios of ``leaning``, by proportional fitting."""
-    r, c = (np.array(list(x.values())) / sum(x.values()) for x in (rows, columns))
-    joint = np.array([[leaning.get((a, b), 1.0) for b in columns] for a in rows])
-    for _ in range(rounds):
-        joint = joint * (r / joint.sum(1))[:, None]
-        joint = joint * (c / joint.sum(0))
-    return {a: dict(zip(columns, map(float, line), strict=True)) for a, line in zip(rows, joint, strict=True)}
-
-
-def item_plan(spark: SparkSession, items: int, world: World) -> DataFrame:
-    """Class, pattern, cost, level, season, family and lead time of each of ``items`` items."""
-    joint = fitted_shares(world.class_shares, world.pattern_shares, world.leaning)
-    key = F.col(ITEM)
-    u = lambda draw: uniform(world.seed, draw, key)
-    rows = spark.range(items).withColumnRenamed("id", ITEM).withColumn("item_class", pick(u("class"), world.class_shares))
-    pattern = F.coalesce(*[F.when(F.col("item_class") == c, pick(u("pattern"), shares)) for c, shares in joint.items()])
-    scale = F.coalesce(*[F.when(F.col("item_class") == c, F.lit(x)) for c, x in world.cost_scale.items()], F.lit(1.0))
-    (cost, cost_spread), (level, level_spread), (least, most) = world.cost, world.level, world.lead_days
-    return rows.select(
-        ITEM, "item_class", pattern.alias("pattern"), F.greatest(F.round(F.exp(cost + cost_spread * normal(world.seed, "cost", key)) * scale, 2), F.lit(0.05)).alias("unit_cost"),
-        F.exp(level + level_spread * normal(world.seed, "level", key)).alias("level"), F.when(u("seasonal") < world.seasonal_share, 0.2 + 0.4 * u("season")).otherwise(0.0).alias("season"),
-        (12 * u("phase")).alias("phase"), F.floor(3 * u("spike")).cast("int").alias("spike_month"), F.floor(world.families * u("family")).cast("int").alias("family"),
-        (least + F.floor((most - least + 1) * u("lead"))).cast("int").alias("lead_days"),
-    )
-
-
-def _persistent(world: World, draw: str, months: int, phi: Column, *keys: Column) -> Column:
-    """A first-order autoregressive series of unit variance, as an array."""
-    steps = F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda t: normal(world.seed, draw, *keys, t))
-    first = F.slice(steps, 1, 1)
-
-    def grow(done: Column, x: Column) -> Column:
-        return F.concat(done, F.array(phi * F.element_at(done, -1) + F.sqrt(1 - phi * phi) * x))
-
-    return F.aggregate(F.slice(steps, 2, months), first, grow)
-
-
-def monthly_demand(plan: DataFrame, first_month: str, months: int, world: World) -> DataFrame:
-    """item_id, t, month and whole units demanded, for every item and month.
-
-    Level times a persistent part, a season, a factor that the family shares,
-    and noise. Lumpy items spike every third month; where an item has no
-    demand in a month, it is 0.
-    """
-    of = lambda k: F.coalesce(*[F.when(F.col("pattern") == p, F.lit(float(x[k]))) for p, x in world.patterns.items()])
-    rows = plan.withColumn("own", _persistent(world, "own", months, of(0), F.col(ITEM))).withColumn("shared", _persistent(world, "family", months, F.lit(0.6), F.col("family")))
-    rows = rows.select("*", F.posexplode(F.arrays_zip("own", "shared")).alias("t", "z"))
-    t, key = F.col("t"), (F.col(ITEM), F.col("t"))
-    season = F.exp(F.col("season") * F.sin(2 * math.pi * (t - F.col("phase")) / 12))
-    size = F.col("level") * F.exp(of(1) * F.col("z.own") + world.family_weight * F.col("z.shared") + of(2) * normal(world.seed, "noise", *key)) * season
-    spikes = (F.col("pattern") == "lumpy") & (F.pmod(t - F.col("spike_month"), F.lit(3)) == 0)
-    size = F.when(F.col("pattern") != "lumpy", size).when(spikes, size * world.spike).otherwise(size * world.calm)
-    occurs = spikes | (uniform(world.seed, "occurs", *key) < of(3))
-    return rows.select(ITEM, "t", F.add_months(F.lit(first_month).cast("date"), t).alias("month"), F.when(occurs, F.rint(size)).otherwise(0.0).cast("bigint").alias("units"))
-
-
-def drifted_lead(master: Column, drift: Column, day: Column, first: str, last: str, seed: int, *keys: Column, spread: float = 1.5) -> Column:
-    """Actual lead days of an order: the recorded ones, what they have drifted by the day, and noise; at least 2."""
-    span = F.datediff(F.lit(last).cast("date"), F.lit(first).cast("date"))
-    share = F.datediff(day, F.lit(first).cast("date")) / F.greatest(span, F.lit(1))
-    return F.greatest(F.bround(master + drift * share + spread * normal(seed, "lead", *keys)), F.lit(2)).cast("int")
-
 
 def assembled_orders(lines: DataFrame, most: Column, days: int = 5, key: str = "supplier_id", day: str = "order_date", seq: str = "line_seq") -> DataFrame:
     """Lines with order_no (from 1 within the supplier) and line (from 1 within the order).
@@ -155,18 +38,6 @@ def assembled_orders(lines: DataFrame, most: Column, days: int = 5, key: str = "
     return out.withColumn("order_no", F.col("__base") + F.floor(place / F.col("__most"))).withColumn("line", F.when(F.col("__base").isNotNull(), F.pmod(place, F.col("__most")) + 1)).drop("__base", "__used", "__most")
 
 
-def typed_text(description: Column, short: dict[str, str], seed: int, *keys: Column, share: float = 0.7, slips: float = 0.2) -> Column:
-    """A description as a buyer types it: lower case, some words shortened, at times a letter lost. Null stays null."""
-    out = F.lower(description)
-    for k, (word, brief) in enumerate(short.items()):
-        out = F.when(uniform(seed, f"short{k}", *keys) < share, F.replace(out, F.lit(word), F.lit(brief))).otherwise(out)
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
-    n = F.length(out)
-    at = (2 + F.floor(uniform(seed, "at", *keys) * (n - 2))).cast("int")
-    lost = F.concat(F.substr(out, F.lit(1), at - 1), F.substr(out, at + 1, n))
-    return F.when((uniform(seed, "slip", *keys) < slips) & (n > 6), F.trim(lost)).otherwise(out)
-
-
 def count_postings(counts: DataFrame, ledger: DataFrame, change: Column, key: str = "item_number") -> DataFrame:
     """Counts with the stock the books show (system) and the correction they post (correction), 0 where they agree.
 

@@ -14,6 +14,8 @@ class Params:
     """
 
     history_end: str = "2000-12-31"
+    #: Item numbers from here on are obsolete records.
+    obsolete_from: int = 100_000
     forward_start: str = "2001-01-01"
     as_of_date: str = "2001-06-30"
     dead_lookback_months: int = 24

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from ..functions.measures import periods_of_lead
-from ..operators import finance, forecast, learning, monitoring, policy, quality, reliability, remediation, replay, timeseries
+from ..operators import finance, forecast, learning, monitoring, policy, quality, reliability, remediation, timeseries
 from ..operators.timeseries import ITEM
 from ..sources import erp_views
 from . import money, monthly, oracle, planning
@@ -34,15 +34,33 @@ def _add(name: str, build: Build, sql: str | None = None, doubles: tuple[str, ..
     CATALOG[name] = Query(build, sql, doubles)
 
 
-_open: dict[tuple[str, str], Warehouse] = {}
+_open: dict[tuple[str, str], tuple[tuple, Warehouse]] = {}
+
+
+def _version(spark: SparkSession, folder: str) -> tuple:
+    """Sizes and times of the tables' files; they change when a folder is rewritten."""
+    out = []
+    for table in sorted({t for tables, _ in erp_views.VIEWS.values() for t in tables}):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = files.listStatus(path) if files.exists(path) else []
+        out.append((table, tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)))
+    return tuple(out)
 
 
 def _warehouse(spark: SparkSession, folder: str) -> Warehouse:
-    """The models over a folder, kept for the session, so that shared models are computed once."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _open:
-        _open[key] = Warehouse.over_star_schema(spark, folder)
-    return _open[key]
+    """The models over a folder, kept for the session while its files stay the same, so that shared models are computed once."""
+    key, version = (spark.sparkContext.applicationId, folder), _version(spark, folder)
+    if key not in _open or _open[key][0] != version:
+        clear(folder)
+        _open[key] = version, Warehouse.over_star_schema(spark, folder)
+    return _open[key][1]
+
+
+def clear(folder: str | None = None) -> None:
+    """Forget the models over a folder, or all, and delete their tables."""
+    for key in [k for k in _open if folder in (None, k[1])]:
+        _open.pop(key)[1].release()
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
@@ -185,7 +203,7 @@ _add(
     f"""
 select ifnull(x.canonical_item_number, b.component_item) as canonical_item_number, sum(j.qty_ordered * b.qty_per) as allocated
 from raw_production_orders j join effective_bom b using (product_number) left join crosswalk x on x.item_number = b.component_item
-where j.status = 'OPEN' and j.release_date <= date '{oracle.P.as_of_date}' and j.completed_date is null group by 1""",
+where j.release_date <= date '{oracle.P.as_of_date}' and ifnull(j.completed_date > date '{oracle.P.as_of_date}', true) group by 1""",
 )
 _add(
     "join_sibling_stock",
@@ -522,17 +540,7 @@ _add(
     "select po_id, confidence, if(confidence < 0.62, 'rejected', 'confirmed') as confirmation from raw_free_text_attribution",
 )
 
-# --- replay and learning ---------------------------------------------------------------
-
-
-def _replayed(w: Warehouse) -> DataFrame:
-    points = planning.points(w).where(F.col("t") == oracle.FORWARD).join(w.attributes.select(ITEM, "corrected_lead_days"), ITEM)
-    return replay.replay(w.weekly_grid, points.select(ITEM, F.col("corrected_lead_days").alias("lead"), F.col("reorder_point").alias("level"), "lot"))
-
-
-_add("sim_replay", lambda w: _replayed(w).groupBy(ITEM).agg(*[F.round(F.sum(c), 6).alias(c) for c in ("demand", "shipped", "ordered")], F.round(F.max("backlog"), 6).alias("worst_backlog")))
-_add("sim_window_metrics", lambda w: replay.window_metrics(_replayed(w), 1800, 2100))
-
+# --- learning --------------------------------------------------------------------------
 
 
 def _learning_frame(w: Warehouse) -> DataFrame:

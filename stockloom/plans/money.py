@@ -94,7 +94,8 @@ select measure, before::double as before, after::double as after from (
   union all select 'on order that will arrive', sum(if(fresh, v, 0)) / sum(v), 1 from open_lines
   union all select 'postings by an identifiable user', (select avg(if(person, 1, 0)) from users where txn_date >= {_START} - 90 and txn_date < {_START}), (select avg(if(person, 1, 0)) from users where txn_date > date '{P.login_from}' and txn_date <= {_END})
   union all select 'stock value on reliable records', (select sum(stock_value) filter (reliability = 'reliable') / sum(stock_value) from graded_value where day = {_START}), (select sum(stock_value) filter (reliability = 'reliable') / sum(stock_value) from graded_value where day = {_END})
-  union all select 'recounts within five percent', 0, (select avg(if(variance < 0.05, 1, 0)) from second)
+  union all select 'recounts within five percent', null, (select avg(if(variance < 0.05, 1, 0)) from second)
+  union all select 'recounts within ten percent', null, (select avg(if(variance < 0.1, 1, 0)) from second)
   union all select 'critical notes brought into the system', 0, 1)"""
 _HEADLINE = f"""
 select figure, ifnull(value, 0)::double as value from (

@@ -7,7 +7,7 @@ import re
 from ..params import Params
 from ..sources import erp_views
 
-P = Params()
+P = Params(obsolete_from=erp_views.OBSOLETE_FROM)
 #: Orders that show lead times, and weeks: held-out rows begin, the schedule begins, the last one whose outcome counts.
 SINCE, UNTIL = "1999-01-01", "2001-01-01"
 TEST, FORWARD, LAST = 300, 326, 356
@@ -36,10 +36,10 @@ _ASOF = f"date '{P.as_of_date}'"
 
 VIEWS: dict[str, str] = {
     # --- resolution
-    "crosswalk": """
+    "crosswalk": f"""
 select i.item_number, i.item_id, ifnull(c.primary_item_number, i.item_number) as canonical_item_number
 from (select item_number, try_cast(regexp_extract(item_number, '^[^-]*-([0-9]+)(-|$)', 1) as int) as item_id from stg_item_master) i
-left join stg_duplicate_clusters c on c.item_number = i.item_number where i.item_id < 100000""",
+left join stg_duplicate_clusters c on c.item_number = i.item_number where i.item_id < {P.obsolete_from}""",
     "resolved": """
 select i.*, ifnull(x.canonical_item_number, i.item_number) as canonical_item_number,
   x.canonical_item_number is null or x.canonical_item_number = i.item_number as is_survivor,

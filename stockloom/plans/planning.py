@@ -77,7 +77,7 @@ def queue(w: Warehouse, predict: Predict = rate) -> DataFrame:
     stale = w.stg("lead_time_computation").where(F.abs(F.col("median_actual_lead_days") - F.col("master_lead_time_days")) > w.params.stale_lead_gap_days)
     marks = {
         "Merged record": w.crosswalk.where(F.col("item_number") != F.col(ITEM)).select(ITEM), "Lead time corrected": canonical(stale.select("item_number"), w.crosswalk).select(ITEM),
-        "BOM corrected": canonical(w.stg("bom_change_log").select(F.col("component_item").alias("item_number")), w.crosswalk).select(ITEM), "History restored": canonical(attributed, w.crosswalk).select(ITEM),
+        "BOM corrected": canonical(w.stg("bill_of_materials").select(F.col("component_item").alias("item_number")), w.crosswalk).select(ITEM), "History restored": canonical(attributed, w.crosswalk).select(ITEM),
     }
     return policy.reorder_queue(w.position, last, jobs, marks, w.params)
 
@@ -142,10 +142,10 @@ select *, case when greatest(wape_level, bias_level, pattern_wape_level, pattern
 _QUEUE = f"""
 with needs as (select ifnull(x.canonical_item_number, b.component_item) as canonical_item_number, sum(j.qty_ordered * b.qty_per) as need
     from raw_production_orders j join stg_bill_of_materials b using (product_number) left join crosswalk x on x.item_number = b.component_item
-    where j.status = 'OPEN' and j.release_date <= {oracle._ASOF} and j.completed_date is null group by 1),
+    where j.release_date <= {oracle._ASOF} and ifnull(j.completed_date > {oracle._ASOF}, true) group by 1),
   merged as (select canonical_item_number from crosswalk where item_number <> canonical_item_number),
   leads as (select ifnull(x.canonical_item_number, l.item_number) as i from stale_leads l left join crosswalk x using (item_number)),
-  bills as (select ifnull(x.canonical_item_number, l.component_item) as i from stg_bom_change_log l left join crosswalk x on x.item_number = l.component_item),
+  bills as (select ifnull(x.canonical_item_number, l.component_item) as i from stg_bill_of_materials l left join crosswalk x on x.item_number = l.component_item),
   history as (select ifnull(x.canonical_item_number, f.probable_item_number) as i from raw_free_text_attribution f left join crosswalk x on x.item_number = f.probable_item_number where confirmation = 'confirmed'),
   rows as (select i.canonical_item_number, i.abc, on_hand_units + on_order_units - ifnull(need, 0) as available, s.level, s.lot, s.forecast / greatest(1, 7.0::double * s.h) as daily
     from inventory i join schedule s on s.canonical_item_number = i.canonical_item_number and s.t = {LAST} left join needs n on n.canonical_item_number = i.canonical_item_number),

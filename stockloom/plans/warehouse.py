@@ -32,7 +32,7 @@ class Warehouse:
             tables, query = erp_views.VIEWS[name]
             return spark.sql(query, **{t: spark.read.parquet(f"{folder}/{t}.parquet") for t in tables})
 
-        return cls(raw, params)
+        return cls(raw, params or Params(obsolete_from=erp_views.OBSOLETE_FROM))
 
     @classmethod
     def over_extracts(cls, spark: SparkSession, folder: str, params: Params | None = None) -> Warehouse:
@@ -63,7 +63,7 @@ class Warehouse:
 
     @cached_property
     def crosswalk(self) -> DataFrame:
-        return resolve.item_crosswalk(self.stg("item_master"), self.stg("duplicate_clusters"))
+        return resolve.item_crosswalk(self.stg("item_master"), self.stg("duplicate_clusters"), self.params.obsolete_from)
 
     @cached_property
     def resolved(self) -> DataFrame:

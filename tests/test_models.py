@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stockloom.functions import folds
-from stockloom.operators import finance, forecast, learning, marts, monitoring, policy, quality, reliability, replay, resolve, schedule, staging, timeseries
+from stockloom.operators import finance, forecast, learning, marts, monitoring, policy, quality, reliability, resolve, schedule, staging, timeseries
 from stockloom.params import Params
-from stockloom.sources import files
+from stockloom.plans import catalog
+from stockloom.sources import erp_views, files
 
 D = dt.date
 ITEM = "canonical_item_number"
@@ -212,15 +214,6 @@ def test_counts_and_reliability(spark):
     assert [r.v for r in counts.collect()] == [1.0, pytest.approx(0.04), 3.0]
 
 
-def test_replay_balances(spark):
-    grid = spark.createDataFrame([("A", t, 14.0) for t in range(8)], f"{ITEM} string, t int, s double")
-    rule = spark.createDataFrame([("A", 3.0, 10.0, 7.0)], f"{ITEM} string, lead double, level double, lot double")
-    out = replay.replay(grid, rule).orderBy("day").collect()
-    assert len(out) == 56 and all(x.on_hand >= 0 for x in out)
-    assert sum(x.demand for x in out) == pytest.approx(sum(x.shipped for x in out) + out[-1].backlog)
-    assert 10.0 + sum(x.ordered for x in out) == pytest.approx(sum(x.shipped for x in out) + out[-1].on_hand + out[-1].on_order)
-
-
 def test_selection_prefers_the_favourite_within_slack():
     assert learning.select({"linear": 0.30, "boosted": 0.304}) == "boosted"
     assert learning.select({"linear": 0.30, "boosted": 0.306}) == "linear"
@@ -307,3 +300,39 @@ def test_window_count_includes_both_ends(spark):
     events = spark.createDataFrame([("k", D(2020, 1, d)) for d in (1, 2, 2, 11)], "key string, day date")
     asked = spark.createDataFrame([("k", D(2020, 1, 11)), ("k", D(2020, 1, 12)), ("x", D(2020, 1, 1))], "key string, at date")
     assert rows(timeseries.window_count(asked, events, "key", "at", "day", 10)) == [("k", D(2020, 1, 11), 4), ("k", D(2020, 1, 12), 3), ("x", D(2020, 1, 1), 0)]
+
+
+def test_keys_of_any_length_stay_apart(spark):
+    keys = [1, 42, 9998, 9999, 10000, 99998, 99999, 100000, 100002, 1000001, 1234567]
+    rows = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    found = rows.selectExpr("k", f"{erp_views.item_no('k')} as item", f"{erp_views.supplier_no('k')} as supplier").collect()
+    assert len({r.item for r in found}) == len({r.supplier for r in found}) == len(keys)
+    assert {r.k: (r.item, r.supplier) for r in found if r.k in (42, 1234567)} == {42: ("ITM-00042", "SUP-0042"), 1234567: ("ITM-1234567", "SUP-1234567")}
+    master = rows.selectExpr(f"{erp_views.item_no('k')} as item_number")
+    none = spark.createDataFrame([], "item_number string, primary_item_number string")
+    live = resolve.item_crosswalk(master, none, erp_views.OBSOLETE_FROM)
+    assert {r.item_id for r in live.collect()} == {k for k in keys if k % 50 != 49}
+
+
+def test_jobs_draw_until_they_are_completed(spark):
+    day = D(2001, 6, 30)
+    jobs = [("p", D(2001, 6, 30), None, 1, "OPEN"), ("p", D(2001, 6, 1), D(2001, 7, 1), 10, "CLOSED"), ("p", D(2001, 6, 1), day, 100, "OPEN"), ("p", D(2001, 7, 1), None, 1000, "OPEN"), ("p", None, None, 10000, "OPEN")]
+    jobs = spark.createDataFrame(jobs, "product_number string, release_date date, completed_date date, qty_ordered int, status string")
+    bill = spark.createDataFrame([("p", "c", 2.0), ("p", "old", 1.0)], "product_number string, component_item string, qty_per double")
+    names = spark.createDataFrame([("old", "new")], f"item_number string, {ITEM} string")
+    assert {r[ITEM]: r.allocated for r in policy.requirements(jobs, bill, names, "2001-06-30").collect()} == {"c": 22.0, "new": 11.0}
+
+
+def test_models_of_a_folder_are_built_anew_when_it_changes(spark, tmp_path):
+    def put(n):
+        for table in ("part", "supplier", "lineitem", "orders"):
+            spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(n).write.mode("overwrite").parquet(f"{tmp_path}/{table}.parquet")
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no driver tables here")
+    put(20)
+    one = catalog._warehouse(spark, str(tmp_path))
+    assert catalog._warehouse(spark, str(tmp_path)) is one
+    put(10)
+    assert catalog._warehouse(spark, str(tmp_path)) is not one
+    catalog.clear(str(tmp_path))
