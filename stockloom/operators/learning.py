@@ -1,33 +1,59 @@
-"""Learned demand models on the weekly frame, with pyspark.ml: candidates, tuning, selection, curves and importance."""
+"""Learned demand models on a leak-free frame: preparation, search, selection, test report, curves and explanation.
+
+Preparation (medians of missing numbers, indices or indicators of categories)
+is a pipeline fitted on training rows alone. The linear model is pyspark.ml's;
+trees are grown by tasks, a forest's one by one and every trial of boosting in
+one, on a bounded sample of training rows that all of them see (``SEARCH_ROWS``
+while searching, ``FIT_ROWS`` at the end). A fitted ensemble is a table of
+nodes. Targets are learned as log1p; predictions are cut to 0 and four times
+the largest target.
+"""
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.measures import bias, wape
+from ..shared import written
+from ..shipping import ship
+from . import trees
+from .search import Params, Real, Space, Whole, search
 
 ITEM = "canonical_item_number"
-FEATURES = ["h", "s4", "s13", "s26", "s52", "nz13", "nz52", "since_nz", "cv13", "trend", "ly", "mean_all", "woy", "month", "corrected_lead_days", "annual_consumption", "standard_cost"]
-#: Search space of each candidate: parameter -> values.
-SPACE: dict[str, dict[str, tuple]] = {
-    "linear": {"regParam": (0.01, 0.1, 1.0)},
-    "forest": {"numTrees": (20, 40), "maxDepth": (6, 8), "minInstancesPerNode": (5, 20)},
-    "boosted": {"maxIter": (15, 30), "maxDepth": (3, 5), "stepSize": (0.1, 0.2)},
+NUMBERS = ["s4", "s13", "s26", "s52", "nz13", "nz52", "since_nz", "cv13", "trend", "ly", "mean_all", "woy", "month", "standard_cost", "corrected_lead_days", "annual_consumption", "h"]
+CATEGORIES = ["segment", "abc", "item_class"]
+FEATURES = [*NUMBERS, *CATEGORIES]
+#: Ranges of the search, and its trials.
+SPACE: dict[str, Space] = {
+    "linear": {"alpha": Real(0.01, 100.0, log=True)},
+    "forest": {"trees": Whole(150, 400, 50), "depth": Whole(5, 16), "least": Whole(1, 8)},
+    "boosted": {"trees": Whole(250, 600, 50), "depth": Whole(3, 8), "rate": Real(0.02, 0.15, log=True), "rows": Real(0.7, 1.0), "columns": Real(0.6, 1.0), "least": Whole(1, 8), "ridge": Real(0.5, 4.0)},
 }
-_MAKE = {"linear": LinearRegression, "forest": RandomForestRegressor, "boosted": GBTRegressor}
+TRIALS = 12
+#: Rows, drawn by a hash of item and origin, of each part that a search sees, that the chosen model is fitted on, and that are explained.
+SEARCH_ROWS, FIT_ROWS, EXPLAINED_ROWS = 4000, 12_000, 1500
+NODES = "trial int, tree int, node int, " + ", ".join(f"{name} {'double' if kind is np.float64 else 'int'}" for name, kind in trees.NODE)
 
 
 def with_attributes(frame: DataFrame, attributes: DataFrame) -> DataFrame:
-    """The frame with item attributes; what is not a number becomes 0."""
-    out = frame.join(attributes.select(ITEM, "segment", "abc", "corrected_lead_days", "annual_consumption", "standard_cost"), ITEM)
-    clean = {c: F.when(F.isnan(F.col(c).cast("double")) | F.col(c).isNull(), 0.0).otherwise(F.col(c).cast("double")) for c in FEATURES if c != "h"}
-    return out.withColumns(clean).withColumn("h", F.col("h").cast("double"))
+    """The frame with item attributes; numbers that are none are null, and a category that is missing is the text ``none``."""
+    out = frame.join(attributes.select(ITEM, *CATEGORIES, "corrected_lead_days", "annual_consumption", "standard_cost"), ITEM)
+    value = lambda c: F.col(c).cast("double")
+    finite = {c: F.when(~F.isnan(value(c)) & (F.abs(value(c)) < float("inf")), value(c)) for c in NUMBERS}
+    return out.withColumns(finite).withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in CATEGORIES})
 
 
 def split(frame: DataFrame, test_from: int, validation_weeks: int = 26) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -38,30 +64,177 @@ def split(frame: DataFrame, test_from: int, validation_weeks: int = 26) -> tuple
     return known.where(closed <= start), known.where((F.col("t") >= start) & (closed <= test_from)), known.where(F.col("t") >= test_from)
 
 
-def fit(kind: str, params: dict, rows: DataFrame) -> tuple[PipelineModel, float]:
-    """A model of log1p of the target, and the cap on what it predicts."""
-    stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw")]
-    stages += [StandardScaler(inputCol="raw", outputCol="features", withMean=True)] if kind == "linear" else [VectorAssembler(inputCols=["raw"], outputCol="features")]
-    extra = {} if kind == "linear" else {"seed": 42}
-    stages.append(_MAKE[kind](labelCol="label", **extra, **params))
-    cap = 4 * (rows.agg(F.max("target")).first()[0] or 0.0)
-    return Pipeline(stages=stages).fit(rows.withColumn("label", F.log1p("target"))), cap
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows by a hash of item and origin; all where there are fewer."""
+    n = rows.count()
+    draw = F.pmod(F.xxhash64(ITEM, F.col("t").cast("long"), F.lit(23)), F.lit(1 << 40)) / float(1 << 40)
+    return rows if n <= most else rows.where(draw < most / n)
+
+
+# --- preparation --------------------------------------------------------------
+
+
+def preparation(linear: bool) -> Pipeline:
+    """Stages that take their medians and categories from the rows they are fitted on; a category that those lack has a place of its own."""
+    numbers, codes = [f"{c}__n" for c in NUMBERS], [f"{c}__c" for c in CATEGORIES]
+    stages = [Imputer(inputCols=NUMBERS, outputCols=numbers, strategy="median", relativeError=1e-4), StringIndexer(inputCols=CATEGORIES, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc")]
+    if not linear:
+        return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*numbers, *codes], outputCol="features")])
+    marks = [f"{c}__o" for c in CATEGORIES]
+    return Pipeline(stages=[*stages, OneHotEncoder(inputCols=codes, outputCols=marks, handleInvalid="keep"), VectorAssembler(inputCols=[*numbers, *marks], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)])
+
+
+def _prepared(preparing: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
+    return preparing.transform(rows).select(*keep, "features")
+
+
+def _arrays(preparing: PipelineModel, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and targets of a bounded sample."""
+    # in one order, whatever the partitions
+    found = _prepared(preparing, rows, [ITEM, "t", "target"]).orderBy(ITEM, "t").select(vector_to_array("features").alias("x"), F.col("target").cast("double").alias("y")).toPandas()
+    return np.stack(found.x.to_numpy()) if len(found) else np.zeros((0, len(FEATURES))), found.y.to_numpy(float)
+
+
+# --- models ---------------------------------------------------------------------
+
+
+@dataclass
+class Model:
+    """``kind`` with its parameters, preparation and cap, and either pyspark.ml's stages or edges of bins and the table of nodes."""
+
+    kind: str
+    params: Params
+    preparing: PipelineModel
+    cap: float
+    linear: PipelineModel | None = None
+    edges: list[np.ndarray] | None = None
+    nodes: DataFrame | None = None
+
+
+def _ridge(alpha: float, label: DataFrame) -> LinearRegression:
+    """Least squares with ``alpha`` times the squared weights added to the sum of squared errors; pyspark.ml counts in rows and deviations of the label."""
+    n, deviation = label.agg(F.count("*"), F.coalesce(F.stddev_pop("label"), F.lit(0.0))).first()
+    return LinearRegression(labelCol="label", regParam=alpha * deviation / max(n, 1), elasticNetParam=0.0, standardization=False, solver="normal")
+
+
+def _tasks(spark: SparkSession, kind: str, tried: list[Params], seed: int) -> DataFrame:
+    """One row a tree of a forest, and one a boosted model, dealt to as many tasks as the cluster runs at once."""
+    rows = [(trial, tree, seed + 1000 * trial + tree) for trial, p in enumerate(tried) for tree in range(p["trees"] if kind == "forest" else 1)]
+    parts = min(len(rows), max(2, spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame(rows, "trial int, tree int, seed long").repartition(parts)
+
+
+def _grown(kind: str, x: np.ndarray, y: np.ndarray, p: Params, seed: int):
+    if kind == "forest":
+        yield trees.bag(x, y, p, seed)
+    else:
+        yield from trees.boost(x, y, p, seed)
+
+
+def grown(spark: SparkSession, kind: str, tried: list[Params], x: np.ndarray, y: np.ndarray, seed: int = 42) -> DataFrame:
+    """NODES of every tree of every parameter set."""
+    sent = spark.sparkContext.broadcast((x, y, tried))  # of bounded rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y, tried = sent.value
+        for batch in batches:
+            for trial, place, own in batch.itertuples(index=False):
+                for k, tree in enumerate(_grown(kind, x, y, tried[trial], own)):
+                    yield pd.DataFrame({"trial": trial, "tree": place + k, "node": np.arange(len(tree["left"]))} | tree)
+
+    ship(spark)
+    return _tasks(spark, kind, tried, seed).mapInPandas(run, NODES)
+
+
+def trial_losses(spark: SparkSession, kind: str, tried: list[Params], train: tuple, validation: tuple, cap: float, seed: int = 42) -> list[float]:
+    """Validation WAPE of every parameter set; a task gives its trees' share of each prediction, and shares are added up."""
+    sent = spark.sparkContext.broadcast((*train, *validation, tried))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y, to, target, tried = sent.value
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for trial, _, own in batch.itertuples(index=False):
+                part = sum(trees.predict(tree, to) for tree in _grown(kind, x, y, tried[trial], own))
+                held[trial] = held.get(trial, 0) + part
+        for trial, part in held.items():
+            yield pd.DataFrame({"trial": trial, "row": np.arange(len(part)), "target": target, "part": part})
+
+    ship(spark)
+    parts = _tasks(spark, kind, tried, seed).mapInPandas(run, "trial int, row int, target double, part double")
+    rows = parts.groupBy("trial", "row").agg(F.first("target").alias("target"), F.sum("part").alias("log"))
+    rows = rows.withColumn("pred", F.least(F.greatest(F.expm1("log"), F.lit(0.0)), F.lit(float(cap))))
+    found = {r.trial: r.w for r in rows.groupBy("trial").agg(wape("target", "pred").alias("w")).collect()}
+    return [float("inf") if found.get(k) is None else float(found[k]) for k in range(len(tried))]
+
+
+def cap_of(rows: DataFrame) -> float:
+    return 4 * (rows.agg(F.max("target")).first()[0] or 0.0)
+
+
+def fit(kind: str, params: Params, rows: DataFrame, preparing: PipelineModel | None = None, cap: float | None = None, most: int = FIT_ROWS) -> Model:
+    """A model of log1p of the target; trees are grown on about ``most`` of the rows."""
+    spark = rows.sparkSession
+    preparing = preparing or preparation(kind == "linear").fit(rows)
+    cap = cap_of(rows) if cap is None else cap
+    if kind == "linear":
+        label = _prepared(preparing, rows.withColumn("label", F.log1p("target")), ["label"])
+        return Model(kind, params, preparing, cap, Pipeline(stages=[_ridge(params["alpha"], label)]).fit(label))
+    x, y = _arrays(preparing, sampled(rows, most))
+    edges = trees.edges_of(x)
+    nodes, _ = written(grown(spark, kind, [params], trees.binned(x, edges), np.log1p(y)), "nodes")
+    return Model(kind, params, preparing, cap, None, edges, nodes)
+
+
+def ensemble(model: Model) -> list[trees.Tree]:
+    """A model's trees; how many nodes they have is bounded by FIT_ROWS and the number of trees."""
+    found = model.nodes.toPandas().sort_values(["tree", "node"])
+    return [{name: part[name].to_numpy(kind) for name, kind in trees.NODE} for _, part in found.groupby("tree")]
+
 
+def predict(model: Model, rows: DataFrame) -> DataFrame:
+    """``rows`` with pred."""
+    keep = [c for c in rows.columns if c != "pred"]
+    if model.kind == "linear":
+        out = model.linear.transform(_prepared(model.preparing, rows, keep)).withColumnRenamed("prediction", "__log")
+    else:
+        ship(rows.sparkSession)
+        sent = rows.sparkSession.sparkContext.broadcast((ensemble(model), model.edges))
 
-def predict(model: PipelineModel, cap: float, rows: DataFrame) -> DataFrame:
-    out = model.transform(rows).withColumn("pred", F.least(F.greatest(F.expm1("prediction"), F.lit(0.0)), F.lit(float(cap))))
-    return out.drop("raw", "features", "prediction")
+        @F.pandas_udf("double")
+        def value(features: pd.Series) -> pd.Series:
+            found, edges = sent.value
+            x = trees.binned(np.stack(features.to_numpy()), edges) if len(features) else np.zeros((0, 1), np.int16)
+            return pd.Series(sum(trees.predict(tree, x) for tree in found) if len(features) else np.zeros(0))
 
+        out = _prepared(model.preparing, rows, keep).withColumn("__log", value(vector_to_array("features")))
+    return out.withColumn("pred", F.least(F.greatest(F.expm1("__log"), F.lit(0.0)), F.lit(float(model.cap)))).drop("features", "__log")
 
-def save(model: PipelineModel, cap: float, path: str) -> None:
-    """The model and its cap in the folder ``path``, in place of what is there."""
-    model.write().overwrite().save(f"{path}/model")
-    SparkSession.active().createDataFrame([(float(cap),)], "cap double").write.mode("overwrite").parquet(f"{path}/cap")
 
+def save(model: Model, path: str) -> None:
+    """The model in the folder ``path``, in place of what is there."""
+    spark = SparkSession.active()
+    model.preparing.write().overwrite().save(f"{path}/preparing")
+    facts = [(model.kind, list(model.params), [float(v) for v in model.params.values()], float(model.cap), [e.tolist() for e in model.edges or []])]
+    spark.createDataFrame(facts, "kind string, names array<string>, values array<double>, cap double, edges array<array<double>>").write.mode("overwrite").parquet(f"{path}/facts")
+    if model.linear:
+        model.linear.write().overwrite().save(f"{path}/linear")
+    else:
+        model.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
 
-def load(path: str) -> tuple[PipelineModel, float]:
+
+def load(path: str) -> Model:
     """What ``save`` wrote."""
-    return PipelineModel.load(f"{path}/model"), SparkSession.active().read.parquet(f"{path}/cap").first().cap
+    spark = SparkSession.active()
+    facts = spark.read.parquet(f"{path}/facts").first()
+    linear = facts.kind == "linear"
+    return Model(
+        facts.kind, dict(zip(facts.names, facts["values"], strict=True)), PipelineModel.load(f"{path}/preparing"), facts.cap, PipelineModel.load(f"{path}/linear") if linear else None,
+        None if linear else [np.array(e) for e in facts.edges], None if linear else spark.read.schema(NODES).parquet(f"{path}/nodes"),
+    )
+
+
+# --- search and selection ------------------------------------------------------------
 
 
 def score(rows: DataFrame) -> float:
@@ -69,15 +242,39 @@ def score(rows: DataFrame) -> float:
     return float("inf") if found is None else float(found)
 
 
-def tune(kind: str, train: DataFrame, validation: DataFrame, trials: int = 3, seed: int = 42) -> tuple[dict, float]:
-    """Best of some drawn parameter sets by validation WAPE."""
-    r = random.Random(seed)
-    tried: list[dict] = []
-    while len(tried) < trials:
-        drawn = {k: r.choice(v) for k, v in SPACE[kind].items()}
-        if drawn not in tried:
-            tried.append(drawn)
-    return min(((p, score(predict(*fit(kind, p, train), validation))) for p in tried), key=lambda x: x[1])
+def tune(kind: str, train: DataFrame, validation: DataFrame, trials: int = TRIALS, seed: int = 42, space: Space | None = None) -> list[tuple[Params, float]]:
+    """Every trial of a search with its validation WAPE. ``train`` and ``validation`` are the bounded samples."""
+    spark = train.sparkSession
+    preparing = preparation(kind == "linear").fit(train)
+    cap = cap_of(train.select("target").unionByName(validation.select("target")))
+    if kind == "linear":
+
+        def one(p: Params) -> float:
+            return score(predict(fit(kind, p, train, preparing, cap), validation))
+
+        def evaluate(tried: list[Params]) -> list[float]:
+            with ThreadPool(len(tried)) as pool:
+                return pool.map(inheritable_thread_target(spark)(one), tried)
+    else:
+        x, y = _arrays(preparing, train)
+        to, target = _arrays(preparing, validation)
+        edges = trees.edges_of(x)
+        sides = (trees.binned(x, edges), np.log1p(y)), (trees.binned(to, edges), target)
+
+        def evaluate(tried: list[Params]) -> list[float]:
+            return trial_losses(spark, kind, tried, *sides, cap, seed)
+
+    return search(space or SPACE[kind], evaluate, trials, seed)
+
+
+def trial_table(frame: DataFrame, test_from: int, trials: int = TRIALS, most: int = SEARCH_ROWS) -> DataFrame:
+    """candidate, trial, params and validation_wape of every trial of every candidate, all on one written sample of the frame's train and validation rows."""
+    train, validation, _ = split(frame, test_from)
+    parts = [sampled(rows, most).withColumn("part", F.lit(name)) for name, rows in (("train", train), ("validation", validation))]
+    sample, _ = written(parts[0].unionByName(parts[1]), "search")
+    train, validation = (sample.where(F.col("part") == name).drop("part") for name in ("train", "validation"))
+    rows = [(kind, k, list(p), [float(v) for v in p.values()], loss) for kind in SPACE for k, (p, loss) in enumerate(tune(kind, train, validation, trials))]
+    return frame.sparkSession.createDataFrame(rows, "candidate string, trial int, names array<string>, values array<double>, validation_wape double")
 
 
 def select(results: dict[str, float], favourite: str = "boosted", slack: float = 0.005) -> str:
@@ -86,43 +283,144 @@ def select(results: dict[str, float], favourite: str = "boosted", slack: float =
     return favourite if favourite in results and results[favourite] <= results[best] + slack else best
 
 
-def candidates(spark, frame: DataFrame, test_from: int, trials: int = 1) -> DataFrame:
-    """Validation and test WAPE and bias of every candidate."""
-    train, validation, test = (x.cache() for x in split(frame, test_from))
-    rows = []
-    for kind in SPACE:
-        params, error = tune(kind, train, validation, trials)
-        model, cap = fit(kind, params, train.unionByName(validation))
-        facts = predict(model, cap, test).agg(wape("target", "pred").alias("w"), bias("target", "pred").alias("b")).first()
-        rows.append((kind, str(params), float(error), facts.w, facts.b))
-    chosen = select({r[0]: r[2] for r in rows})
-    return spark.createDataFrame([(*r, r[0] == chosen) for r in rows], "candidate string, params string, validation_wape double, test_wape double, test_bias double, selected boolean")
-
-
-def learning_curve(spark, frame: DataFrame, test_from: int, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """Test WAPE of the forest by the share of items it learns from, drawn by a hash of the item."""
-    train, _, test = split(frame, test_from)
-    rows = []
-    for share in shares:
-        part = train.where(F.pmod(F.xxhash64(ITEM), F.lit(1000)) < int(1000 * share))
-        model, cap = fit("forest", {"numTrees": 20, "maxDepth": 6}, part)
-        rows.append((share, part.count(), score(predict(model, cap, test))))
-    return spark.createDataFrame(rows, "share double, training_rows long, test_wape double")
+def best_trials(trials: DataFrame) -> dict[str, tuple[Params, float]]:
+    """Each candidate's parameters of least error, the first of equal ones."""
+    out: dict[str, tuple[Params, float]] = {}
+    for r in sorted(trials.collect(), key=lambda r: (r.candidate, r.validation_wape, r.trial)):
+        kinds = SPACE[r.candidate]
+        out.setdefault(r.candidate, ({n: int(v) if isinstance(kinds[n], Whole) else v for n, v in zip(r.names, r["values"], strict=True)}, r.validation_wape))
+    return out
+
+
+def candidates(frame: DataFrame, trials: DataFrame, test_from: int) -> DataFrame:
+    """Best validation WAPE of every candidate, and test WAPE and bias when fitted anew on train and validation rows."""
+    train, validation, test = split(frame, test_from)
+    both, best = train.unionByName(validation), best_trials(trials)
+    cap, rows = cap_of(both), []
+    chosen = select({kind: error for kind, (_, error) in best.items()})
+    for kind, (params, error) in best.items():
+        facts = predict(fit(kind, params, both, cap=cap), test).agg(wape("target", "pred").alias("w"), bias("target", "pred").alias("b")).first()
+        rows.append((kind, ", ".join(f"{k}={v:.6g}" for k, v in params.items()), error, facts.w, facts.b, kind == chosen))
+    return frame.sparkSession.createDataFrame(rows, "candidate string, params string, validation_wape double, test_wape double, test_bias double, selected boolean")
+
+
+def selected(frame: DataFrame, trials: DataFrame, test_from: int) -> Model:
+    """The selected candidate, fitted on train and validation rows."""
+    train, validation, _ = split(frame, test_from)
+    best = best_trials(trials)
+    kind = select({k: error for k, (_, error) in best.items()})
+    return fit(kind, best[kind][0], train.unionByName(validation))
+
+
+# --- what the model does ----------------------------------------------------------------
 
 
-def importance(spark, frame: DataFrame, test_from: int) -> DataFrame:
-    """Impurity importance of every feature in the forest."""
-    train, _, _ = split(frame, test_from)
-    model, _ = fit("forest", {"numTrees": 20, "maxDepth": 6}, train)
-    weights = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(f, float(w)) for f, w in zip(FEATURES, weights, strict=True)], "feature string, importance double")
+def lift(tested: DataFrame, bases: tuple[str, ...], scales: DataFrame) -> DataFrame:
+    """level (segment, abc, all), value, n, model and baseline WAPE, lift, mase, bias and baseline method of held-out rows.
+
+    ``tested`` has target, pred, h, segment, abc and a column for each simple
+    method. A segment's baseline is the one of least pooled WAPE in it (the
+    first of equal ones); class and whole take each row's own segment's. The
+    scale of an error is the item's mean one-step error while training
+    (``scales``: item and scale), times the periods of the horizon.
+    """
+    pooled = tested.groupBy("segment").agg(*[wape("target", b).alias(b) for b in bases])
+    pairs = F.array(*[F.struct(F.col(b).alias("wape"), F.lit(k).alias("place"), F.lit(b).alias("method")) for k, b in enumerate(bases)])
+    methods = pooled.select("segment", F.coalesce(F.array_min(F.filter(pairs, lambda x: x["wape"].isNotNull()))["method"], F.lit(bases[0])).alias("method"))
+    rows = tested.join(F.broadcast(methods), "segment").join(scales, ITEM, "left")  # one row a segment
+    base = F.coalesce(*[F.when(F.col("method") == b, F.col(b)) for b in bases])
+    rows = rows.withColumns({"base": base, "unit": F.col("scale") * F.col("h")})
+    levels = F.array(*[F.struct(F.lit(level).alias("level"), value.alias("value")) for level, value in (("segment", F.col("segment")), ("abc", F.col("abc")), ("all", F.lit("all")))])
+    rows = rows.withColumn("of", F.explode(levels)).groupBy("of.level", "of.value").agg(
+        F.count("*").alias("n"), wape("target", "pred").alias("model_wape"), wape("target", "base").alias("base_wape"), bias("target", "pred").alias("bias"),
+        F.try_divide(F.avg(F.when(F.col("unit") > 0, F.abs(F.col("target") - F.col("pred")))), F.avg(F.when(F.col("unit") > 0, F.col("unit")))).alias("mase"), F.max(F.when(F.col("of.level") == "segment", F.col("method"))).alias("method"),
+    )
+    return rows.select("level", "value", "n", "model_wape", "base_wape", F.try_divide(F.col("base_wape") - F.col("model_wape"), F.col("base_wape")).alias("lift"), "mase", "bias", "method")
+
+
+def one_step_scales(grid: DataFrame, until: int) -> DataFrame:
+    """item and scale: the mean absolute change from one period to the next, of periods before ``until``."""
+    change = F.abs(F.col("s") - F.lag("s").over(Window.partitionBy(ITEM).orderBy("t")))
+    return grid.where(F.col("t") < until).withColumn("change", change).groupBy(ITEM).agg(F.avg("change").alias("scale"))
+
+
+def explained(model: Model, rows: DataFrame, most: int = EXPLAINED_ROWS) -> DataFrame:
+    """item, t, mean, logged (the model's log1p prediction) and each feature's Shapley value of at most ``most`` rows.
+
+    The values and the mean sum to the prediction. Exact under the trees' own
+    path-dependent expectation; the linear model's are weights times what
+    differs from the mean.
+    """
+    few = sampled(rows, most).orderBy(F.xxhash64(ITEM, F.col("t").cast("long"), F.lit(23))).limit(most)
+    few = _prepared(model.preparing, few, [ITEM, "t"])
+    if model.kind == "linear":
+        line = model.linear.stages[0]
+        names = [*NUMBERS, *[c for c, n in zip(CATEGORIES, _widths(model.preparing), strict=True) for _ in range(n)]]
+        weights = F.array(*[F.lit(float(v)) for v in line.coefficients])
+        parts = few.withColumn("x", F.zip_with(vector_to_array("features"), weights, lambda a, b: a * b))
+        sums = {c: sum((F.element_at("x", k + 1) for k, n in enumerate(names) if n == c), F.lit(0.0)) for c in FEATURES}
+        # features are centred, so a weight times a feature is what differs from the mean
+        return parts.select(ITEM, "t", F.lit(float(line.intercept)).alias("mean"), (F.aggregate("x", F.lit(0.0), lambda a, b: a + b) + float(line.intercept)).alias("logged"), *[v.alias(c) for c, v in sums.items()])
+    ship(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast((ensemble(model), model.edges))
+    kind = rows.schema[ITEM].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, edges = sent.value
+        mean = sum(map(trees.mean, found))
+        for batch in batches:
+            if len(batch):
+                x = trees.binned(np.stack(batch["x"].to_numpy()), edges)
+                values = sum(trees.shapley(tree, x) for tree in found)
+                logged = sum(trees.predict(tree, x) for tree in found)
+                yield pd.DataFrame({ITEM: batch[ITEM], "t": batch["t"], "mean": mean, "logged": logged} | {c: values[:, k] for k, c in enumerate(FEATURES)})
+
+    dealt = few.select(ITEM, "t", vector_to_array("features").alias("x")).repartition(4 * max(2, rows.sparkSession.sparkContext.defaultParallelism), ITEM, "t")
+    return dealt.mapInPandas(run, f"{ITEM} {kind}, t {rows.schema['t'].dataType.simpleString()}, mean double, logged double, " + ", ".join(f"{c} double" for c in FEATURES))
+
+
+def _widths(preparing: PipelineModel) -> list[int]:
+    """How many columns each category has among the linear model's features."""
+    encoder = next(s for s in preparing.stages if s.__class__.__name__ == "OneHotEncoderModel")
+    return [n + (1 if encoder.getHandleInvalid() == "keep" else 0) - (1 if encoder.getDropLast() else 0) for n in encoder.categorySizes]
+
+
+def mean_absolute(values: DataFrame) -> DataFrame:
+    """feature and mean_abs, the mean absolute Shapley value."""
+    sums = values.agg(*[F.avg(F.abs(F.col(c))).alias(c) for c in FEATURES])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean_abs")) for c in FEATURES])))
+
+
+def importance(model: Model) -> DataFrame:
+    """Share of each feature in the fall of squared error, from the table of nodes."""
+    whole = model.nodes.select("trial", "tree", "node", "feature", "left", (F.col("cover") * F.col("value") * F.col("value")).alias("held"))
+    parents = whole.where("left > 0").select("trial", "tree", "node", "feature", F.col("held").alias("before"), F.explode(F.array(F.col("left"), F.col("left") + 1)).alias("child"))
+    children = whole.select("trial", "tree", F.col("node").alias("child"), "held")
+    gains = parents.join(children, ["trial", "tree", "child"]).groupBy("trial", "tree", "node", "feature").agg((F.sum("held") - F.first("before")).alias("gain"))
+    names = F.array(*[F.lit(c) for c in FEATURES])
+    gains = gains.groupBy(F.element_at(names, F.col("feature") + 1).alias("feature")).agg(F.sum("gain").alias("gain"))
+    return gains.crossJoin(F.broadcast(gains.agg(F.sum("gain").alias("total")))).select("feature", F.try_divide("gain", "total").alias("importance"))  # one row
+
+
+def learning_curve(frame: DataFrame, trials: DataFrame, test_from: int, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 1.0), most: int = FIT_ROWS) -> DataFrame:
+    """Train and test WAPE of the selected model by the share of rows it learns from."""
+    train, validation, test = split(frame, test_from)
+    both, best = train.unionByName(validation), best_trials(trials)
+    kind = select({k: error for k, (_, error) in best.items()})
+    rows, cap = [], cap_of(both)
+    sample, _ = written(sampled(both, most), "curve")
+    draw = F.pmod(F.xxhash64(ITEM, F.col("t").cast("long"), F.lit(31)), F.lit(1 << 40)) / float(1 << 40)
+    for share in shares:
+        part = sample.where(draw < share)
+        model = fit(kind, best[kind][0], part, cap=cap, most=most)
+        rows.append((share, part.count(), score(predict(model, part)), score(predict(model, test))))
+    return frame.sparkSession.createDataFrame(rows, "share double, training_rows long, train_wape double, test_wape double")
 
 
-def cleaning_tiers(spark, tiers: dict[str, DataFrame], test_from: int) -> DataFrame:
+def cleaning_tiers(tiers: dict[str, DataFrame], kind: str, params: Params, test_from: int) -> DataFrame:
     """Test WAPE of one model on series of different cleaning, each against its own target."""
     rows = []
     for name, frame in tiers.items():
         train, validation, test = split(frame, test_from)
-        model, cap = fit("forest", {"numTrees": 20, "maxDepth": 6}, train.unionByName(validation))
-        rows.append((name, score(predict(model, cap, test))))
-    return spark.createDataFrame(rows, "tier string, test_wape double")
+        rows.append((name, score(predict(fit(kind, params, train.unionByName(validation)), test))))
+    return SparkSession.active().createDataFrame(rows, "tier string, test_wape double")

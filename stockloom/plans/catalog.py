@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from ..functions.measures import periods_of_lead
-from ..operators import finance, forecast, learning, monitoring, policy, quality, reliability, remediation, timeseries
+from ..operators import finance, forecast, monitoring, policy, quality, reliability, remediation, timeseries
 from ..operators.timeseries import ITEM
 from ..sources import erp_views
-from . import money, monthly, oracle, planning
+from . import learned, money, monthly, oracle, planning
 from .warehouse import Warehouse
 
 Build = Callable[[Warehouse], DataFrame]
@@ -540,31 +540,10 @@ _add(
     "select po_id, confidence, if(confidence < 0.62, 'rejected', 'confirmed') as confirmation from raw_free_text_attribution",
 )
 
-# --- learning --------------------------------------------------------------------------
-
-
-def _learning_frame(w: Warehouse) -> DataFrame:
-    return learning.with_attributes(w.weekly_frame, w.attributes)
-
-
-_add("ml_candidates", lambda w: learning.candidates(w.attributes.sparkSession, _learning_frame(w), TEST_FROM))
-_add("ml_learning_curve", lambda w: learning.learning_curve(w.attributes.sparkSession, _learning_frame(w), TEST_FROM))
-_add("ml_importance", lambda w: learning.importance(w.attributes.sparkSession, _learning_frame(w), TEST_FROM))
-
-
-def _tiers(w: Warehouse) -> DataFrame:
-    series = {"recorded": w.usage.where(F.col("item_number") == F.col(ITEM)), "merged": w.usage}
-    grids = {k: timeseries.dense(u.groupBy(ITEM, "week").agg(F.sum("units").alias("consumption")), w.attributes, "week") for k, u in series.items()} | {"clean": w.weekly_grid}
-    frames = {k: learning.with_attributes(timeseries.weekly_frame(g, w.attributes), w.attributes) for k, g in grids.items()}
-    return learning.cleaning_tiers(w.attributes.sparkSession, frames, TEST_FROM)
-
-
-_add("ml_cleaning_tiers", _tiers)
-
-
 money.add_queries(_add, _graded, _costs)
 monthly.add_queries(_add)
-planning.add_queries(_add, _learning_frame)
+planning.add_queries(_add, learned.predictions)
+learned.add_queries(_add)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

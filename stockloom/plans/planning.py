@@ -82,20 +82,6 @@ def queue(w: Warehouse, predict: Predict = rate) -> DataFrame:
     return policy.reorder_queue(w.position, last, jobs, marks, w.params)
 
 
-def learned(frame_of: Predict, kind: str = "linear", params: dict | None = None) -> Predict:
-    """Predictions of a model that learned from rows closed before the held-out ones."""
-
-    def predict(w: Warehouse) -> DataFrame:
-        return w.once(("learned", kind), lambda: fitted(w))
-
-    def fitted(w: Warehouse) -> DataFrame:
-        frame = frame_of(w)
-        model, cap = learning.fit(kind, params or {"regParam": 0.1}, frame.where(F.col("target").isNotNull() & (F.col("t") + F.col("h") <= TEST)))
-        return learning.predict(model, cap, frame.where(F.col("t") >= TEST)).select(ITEM, F.col("t").cast("int").alias("t"), "pred")
-
-    return predict
-
-
 def _drift(w: Warehouse) -> DataFrame:
     """Distance of the forward window's inputs from the training rows', of every feature but those of the calendar."""
     rows = w.weekly_frame.join(w.attributes.select(ITEM, "standard_cost", "corrected_lead_days", "annual_consumption", *CATEGORIES), ITEM)
@@ -155,8 +141,8 @@ select canonical_item_number, abc, available, level, gap, status, if(status = 'O
   row_number() over (order by if(status = 'OK', 2, if(status = 'ORDER SOON', 1, 0)), gap, canonical_item_number) as place from marked"""
 
 
-def add_queries(add: Callable, frame_of: Predict) -> None:
-    """Register this module's queries."""
+def add_queries(add: Callable, model: Predict) -> None:
+    """Register this module's queries; ``model`` gives the learned model's predictions."""
     fixed = lambda w: schedule.corrected(tested(w))
     errors = lambda w: schedule.standard_errors(fixed(w))
     add("pol_base_methods", lambda w: schedule.base_methods(tested(w)), "from methods", ("wape",))
@@ -191,7 +177,6 @@ select canonical_item_number, t, d as lead_demand, b as safety_stock, d + b as r
         lambda w: policy.top_of_queue(queue(w)),
         f"select canonical_item_number, status, place from ({_QUEUE}) qualify row_number() over (partition by status order by place) <= case status when 'ORDER NOW' then 16 when 'ORDER SOON' then 4 else 2 end",
     )
-    model = learned(frame_of)
     add("pol_schedule_learned", lambda w: planned(w, model), None, ("forecast", "raw", "level", "safety_stock", "reorder_point", "share", "lot"))
     add("mon_monthly_accuracy", lambda w: schedule.accuracy(live(w), ["period"]), f"select period, {_ACCURACY} from live_rows group by 1", ("wape", "base_wape", "bias", "coverage"))
     add("mon_segment_accuracy", lambda w: schedule.accuracy(live(w), ["segment"], 150), f"select segment, {_ACCURACY} from live_rows group by 1 having count(*) filter (is_scored) >= 150", ("wape", "base_wape", "bias", "coverage"))

@@ -51,6 +51,10 @@ class Warehouse:
             self._built[key] = self._shared(build(), "model")
         return self._built[key]
 
+    def keep(self, spark: SparkSession, path: str) -> None:
+        """A folder that goes with the shared models."""
+        self._paths.append((spark, path))
+
     def release(self) -> None:
         """Delete the shared models' tables."""
         while self._paths:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.functions import folds
-from stockloom.operators import finance, forecast, learning, marts, monitoring, policy, quality, reliability, resolve, schedule, staging, timeseries
+from stockloom.operators import finance, forecast, marts, monitoring, policy, quality, reliability, resolve, schedule, staging, timeseries
 from stockloom.params import Params
 from stockloom.plans import catalog
 from stockloom.sources import erp_views, files
@@ -214,11 +214,6 @@ def test_counts_and_reliability(spark):
     assert [r.v for r in counts.collect()] == [1.0, pytest.approx(0.04), 3.0]
 
 
-def test_selection_prefers_the_favourite_within_slack():
-    assert learning.select({"linear": 0.30, "boosted": 0.304}) == "boosted"
-    assert learning.select({"linear": 0.30, "boosted": 0.306}) == "linear"
-
-
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "supplier_master.csv").write_text('supplier_id,supplier_name,supplier_type,payment_terms,status\nS1,"A, B and C",X,,ACTIVE\n')
     df = files.read_csv(spark, str(tmp_path / "supplier_master.csv"), "supplier_master")
@@ -241,14 +236,6 @@ def test_streaming_weeks(spark, tmp_path):
     assert rows(spark.sql("select cast(week_start as date), total from weeks")) == [(D(2024, 1, 1), 5.0), (D(2024, 1, 8), 4.0)]
 
 
-def test_learning_curve_has_the_five_shares(spark):
-    zeros = [F.lit(0.0).alias(c) for c in learning.FEATURES if c not in ("h", "s4")]
-    frame = spark.range(400).select(F.concat(F.lit("i"), F.col("id") % 40).alias(learning.ITEM), (F.col("id") / 40).cast("int").alias("t"), F.lit(1.0).alias("h"), (F.col("id") % 7).cast("double").alias("s4"), (F.col("id") % 7).cast("double").alias("target"), *zeros)
-    rows = learning.learning_curve(spark, frame.withColumn("t", F.col("t") * 10), 60).orderBy("share").collect()
-    assert [x.share for x in rows] == [0.1, 0.25, 0.5, 0.75, 1.0]
-    assert [x.training_rows for x in rows] == sorted(x.training_rows for x in rows)
-
-
 def test_reliability_grades(spark):
     p = Params()
     start, end = D.fromisoformat(p.remediation_start), D.fromisoformat(p.remediation_end)

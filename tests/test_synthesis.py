@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.functions.measures import signed_quantity
-from stockloom.operators import builds, forecast, learning, synthesis, timeseries
+from stockloom.operators import builds, forecast, synthesis, timeseries
 from stockloom.params import Params
 
 D = dt.date
@@ -93,13 +93,3 @@ def test_merging_alternating_records_helps(spark):
     # seasonal naive is right for both records
     assert (found["a"].before, found["a"].gain) == (0.0, None)
     assert (found["z"].before, found["z"].after, found["z"].gain) == (None, None, None)
-
-
-def test_models_are_saved_and_read(spark, tmp_path):
-    rows = spark.createDataFrame([tuple(float((k * j) % 7) for j in range(1, len(learning.FEATURES) + 2)) for k in range(60)], ", ".join(f"{c} double" for c in [*learning.FEATURES, "target"]))
-    model, cap = learning.fit("forest", {"numTrees": 3, "maxDepth": 3}, rows)
-    for _ in range(2):
-        learning.save(model, cap, str(tmp_path / "m"))
-    again, same = learning.load(str(tmp_path / "m"))
-    assert same == cap
-    assert learning.predict(again, same, rows).select("pred").collect() == learning.predict(model, cap, rows).select("pred").collect()
