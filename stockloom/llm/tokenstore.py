@@ -44,7 +44,7 @@ END = 2
 #: Ids that the rolling hash sees, the mean distance of cuts (a power of two), and a chunk's least and most ids.
 SEEN, MEAN, LEAST, MOST = 8, 512, 128, 4096
 #: Bytes that a worker remembers of units, their ids and their places before it starts afresh, and the longest unit that it remembers.
-REMEMBERED_BYTES, LONGEST_UNIT = 64 << 20, 64
+REMEMBERED_BYTES, LONGEST_UNIT = 64 << 20, 256
 #: Bytes of a unit's hash, length and places.
 UNIT_BYTES = 40
 #: Units of one text that goes to the tokenizer; it is fastest on short ones.
@@ -177,7 +177,8 @@ class Encoder:
         end = np.append(start[1:], len(data))
         wide = end - start
         short, long = np.flatnonzero(wide <= LONGEST_UNIT), np.flatnonzero(wide > LONGEST_UNIT)
-        own = [self._plain(data[start[k] : end[k]]) for k in long.tolist()]
+        own = self.tokenizer.encode_batch_fast([data[start[k] : end[k]].tobytes().decode("utf-8") for k in long.tolist()], add_special_tokens=False) if len(long) else []
+        own = [e.ids for e in own]
         at = self._known_units(data, start, end, apart, white, short)
         sizes = np.zeros(len(start), np.int64)
         sizes[short], sizes[long] = self.size[at], [len(ids) for ids in own]
@@ -191,9 +192,11 @@ class Encoder:
         first = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
         # every remembered unit's bytes against the data's
         within = _counted_up(wide[short])
-        places = np.repeat(start[short], wide[short]) + within
         kept = self.text.take(np.repeat(self.text_at[at], wide[short]) + within, mode="clip")
-        other = np.concatenate([places[kept != data[places]], start[short][self.length[at] != wide[short]]])
+        # units lie one after another, so without long ones their bytes are the data's
+        places = np.repeat(start[short], wide[short]) + within if len(long) else None
+        differ = np.flatnonzero(kept != (data if places is None else data[places]))
+        other = np.concatenate([differ if places is None else places[differ], start[short][self.length[at] != wide[short]]])
         if len(other):
             parts = [flat[first[k] : first[k + 1]] for k in range(texts)]
             for k in np.unique(np.searchsorted(offsets, other, "right") - 1).tolist():
