@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..params import FILL_TARGET, RECOMPUTED_Z, RULE_Z, Params
 from .resolve import canonical, is_usage
-from .timeseries import numbered
+from .timeseries import placed
 
 ITEM = "canonical_item_number"
 
@@ -146,8 +146,7 @@ def reorder_queue(position: DataFrame, levels: DataFrame, needed: DataFrame, mar
     """Status, lots and flags of every item, ranked: ORDER NOW at its level or below, ORDER SOON within days of it, then by gap.
 
     ``levels`` has level, daily and lot of each item; ``marks`` the items that
-    carry each flag. The gap is a share of the level. Places count statuses
-    first and gaps within bands of them, so no task ranks all items.
+    carry each flag. The gap is a share of the level.
     """
     rows = position.join(levels, ITEM).join(needed, ITEM, "left")
     free = F.col("on_hand_units") + F.col("on_order_units") - F.coalesce("allocated", F.lit(0.0))
@@ -161,9 +160,7 @@ def reorder_queue(position: DataFrame, levels: DataFrame, needed: DataFrame, mar
         names.append(f"__m{k}")
     rows = rows.withColumn("flags", F.concat_ws(", ", *names)).withColumn("suggested", F.when(F.col("status") != "OK", F.col("lot") * lots).otherwise(0.0))
     rank = F.when(F.col("status") == "ORDER NOW", 0).when(F.col("status") == "ORDER SOON", 1).otherwise(2)
-    band = F.floor(F.signum("gap") * F.log1p(F.abs("gap")) * 16).cast("int")
-    placed = numbered(rows.withColumn("__rank", rank).withColumn("__band", band), ["__rank", "__band"], ["gap", ITEM])
-    return placed.select(ITEM, "abc", "available", "level", "gap", "status", "suggested", "flags", "place")
+    return placed(rows.withColumn("__rank", rank), ["__rank", "gap", ITEM]).select(ITEM, "abc", "available", "level", "gap", "status", "suggested", "flags", "place")
 
 
 def top_of_queue(queue: DataFrame, most: dict[str, int] | None = None) -> DataFrame:

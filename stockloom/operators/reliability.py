@@ -161,28 +161,6 @@ def products_with_stale_parts(bill: DataFrame, stale: DataFrame) -> DataFrame:
     return bill.join(marks, "component_item", "left").groupBy("product_number").agg((F.coalesce(F.max("__stale"), F.lit(0)) == 1).alias("has_stale_part"), F.count("__stale").alias("stale_parts"))
 
 
-def expect_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that are null or repeat: none in a sound table."""
-    counted = df.groupBy(*keys).agg(F.count("*").alias("rows"))
-    missing = F.lit(False)
-    for k in keys:
-        missing = missing | F.col(k).isNull()
-    return counted.where((F.col("rows") > 1) | missing)
-
-
-def expect_values(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
-    return df.where(~F.col(column).isin(*values))
-
-
-def expect_reference(df: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)).distinct(), column, "left_anti")
-
-
-def within(df: DataFrame, name: str, value: Column, low: float, high: float) -> DataFrame:
-    """A check of one number against a range, as (check, value, status)."""
-    return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("check"), "value", F.when(F.col("value").between(low, high), "PASS").otherwise("FAIL").alias("status"))
-
-
 def weekday_share(rows: DataFrame, day: str) -> DataFrame:
     """Rows by weekday and their share of all."""
     counted = rows.where(F.col(day).isNotNull()).groupBy(F.date_format(day, "EEEE").alias("weekday")).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.measures import periods_of_lead
+from ..shared import written
 
 ITEM = "canonical_item_number"
 
@@ -82,6 +83,22 @@ def weekly_frame(grid: DataFrame, attributes: DataFrame, period: str = "week", s
     return out.select(*first, *[c for c in out.columns if c not in first], F.weekofyear(period).alias("woy"), F.month(period).alias("month"))
 
 
+def forward_sums(grid: DataFrame, attributes: DataFrame, start: int = 52) -> DataFrame:
+    """item, t, h, target and ly as in ``weekly_frame``, without the other features.
+
+    One running total an item; sums over the horizon are looked up by place.
+    """
+    horizon = attributes.select(ITEM, periods_of_lead(F.col("corrected_lead_days"), 7).alias("h"))
+    through = F.sum("s").over(Window.partitionBy(ITEM).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = F.transform(F.array_sort(F.collect_list(F.struct("t", "through"))), lambda x: x["through"])
+    series = grid.select(ITEM, "t", through.alias("through")).groupBy(ITEM).agg(totals.alias("totals")).join(horizon, ITEM)
+    h, n = F.col("h"), F.size("totals")
+    before = lambda t: F.when(t < 1, 0.0).otherwise(F.try_element_at("totals", F.greatest(t, F.lit(1)).cast("int")))
+    row = lambda t: F.struct(t.alias("t"), (before(t + h) - before(t)).alias("target"), (before(F.least(t - start + h, t)) - before(t - start)).alias("ly"))
+    rows = F.when(n > start, F.transform(F.sequence(F.lit(start), F.greatest(n - 1, F.lit(start))), row))
+    return series.select(ITEM, "h", F.inline(rows)).select(ITEM, "t", "h", "target", "ly")
+
+
 def lagged_features(grid: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 6, 12), windows: tuple[int, ...] = (3, 6, 12), keep: tuple[Column, ...] = ()) -> DataFrame:
     """Monthly history features: lags, rolling means, deviations and demand counts, and those of all the past; columns of ``keep`` beside them."""
     w = Window.partitionBy(ITEM).orderBy("t")
@@ -175,64 +192,109 @@ def abc_classes(values: DataFrame, a: float, b: float, item: str = ITEM, value:
     """A, B or C by cumulative share of value, dearest first; ties by item.
 
     Running sums over all items are taken per value band first, so only as
-    many rows as there are bands meet in one task.
+    many rows as there are bands meet in one task. Items without value come
+    last, and all have the whole share, so they need no order.
     """
-    banded = values.withColumn("band", F.floor(F.log2(F.greatest(F.col(value), F.lit(1e-9))) * 8).cast("int"))
-    bands = banded.groupBy("band").agg(F.sum(value).alias("in_band"))
+    banded = values.withColumn("band", F.when(F.col(value) != 0, F.floor(F.log2(F.greatest(F.col(value), F.lit(1e-9))) * 32).cast("int")))
+    bands = banded.where("band is not null").groupBy("band").agg(F.sum(value).alias("in_band"))
     above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.select("band", F.coalesce(F.sum("in_band").over(above), F.lit(0.0)).alias("above"), F.sum("in_band").over(Window.partitionBy()).alias("whole"))
     inside = Window.partitionBy("band").orderBy(F.desc(value), item).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # bands are at most a few hundred
-    out = banded.join(F.broadcast(bands), "band").withColumn("share", F.when(F.col("whole") > 0, (F.col("above") + F.sum(value).over(inside)) / F.col("whole")).otherwise(1.0))
+    # bands are at most some hundreds
+    out = banded.where("band is not null").join(F.broadcast(bands), "band").select(item, value, ((F.col("above") + F.sum(value).over(inside)) / F.col("whole")).alias("share"))
+    out = out.unionByName(banded.where("band is null").select(item, value, F.lit(1.0).alias("share")))
     return out.select(item, value, "share", F.when(F.col("share") <= a, "A").when(F.col("share") <= b, "B").otherwise("C").alias("abc"))
 
 
-def numbered(rows: DataFrame, bands: list[str], order: list[str]) -> DataFrame:
-    """Rows with their ``place`` in the order of ``bands`` and, within one, of ``order``.
-
-    Bands must be coarse steps of the order. Their sizes are counted first, so
-    only as many rows as there are bands meet in one task, and rows meet by band.
-    """
-    sizes = rows.groupBy(*bands).agg(F.count("*").alias("__size"))
-    above = F.coalesce(F.sum("__size").over(Window.orderBy(*bands).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*[F.col(b).alias(f"__b{k}") for k, b in enumerate(bands)], above.alias("__above"))
-    same = [rows[b].eqNullSafe(F.col(f"__b{k}")) for k, b in enumerate(bands)]
-    inside = F.row_number().over(Window.partitionBy(*bands).orderBy(*order))
-    return rows.join(F.broadcast(sizes), same).withColumn("place", F.col("__above") + inside).drop("__above", *[f"__b{k}" for k in range(len(bands))])
-
-
 def _band(value: Column) -> Column:
     """Coarse steps that grow with the value: 16 to a factor of e, on both sides of 0."""
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 16).cast("int")
 
 
+def placed(rows: DataFrame, order: list, groups: list[str] | None = None) -> DataFrame:
+    """Rows with ``place``, from 1, in an order that tells all rows apart, within each of some groups.
+
+    Ranges of groups and order are dealt out and written; their counts are
+    added up, and rows are numbered within a range. A range is cut anywhere, so
+    neither a group nor a run of equal values meets in one task.
+    """
+    groups = groups or []
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged, _ = written(rows.repartitionByRange(parts, *groups, *order).withColumn("__range", F.spark_partition_id()), "placed")
+    counts = ranged.groupBy("__range", *groups).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range, and for each group that begins in it
+    counts = counts.select(F.col("__range").alias("__r"), *[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = [F.col("__range") == F.col("__r"), *[F.col(g).eqNullSafe(F.col(f"__g{k}")) for k, g in enumerate(groups)]]
+    inside = F.row_number().over(Window.partitionBy("__range", *groups).orderBy(*order))
+    return ranged.withColumn("__inside", inside).join(F.broadcast(counts), same).withColumn("place", F.col("__before") + F.col("__inside")).select(*rows.columns, "place")
+
+
 def deciles(values: DataFrame, value: str, key: str, bins: int = 10) -> DataFrame:
     """Equal-count bins by rank, ties by key: bin of rank r among n is ceil((r - 1) bins / (n - 1)) - 1, at least 0."""
-    # equal values, as zeros are often, are split by a prefix of their keys' order
-    rows = numbered(values.withColumn("__band", _band(F.col(value))).withColumn("__zero", F.when(F.col(value) == 0, F.substring(key, 1, 7)).otherwise("")), ["__band", "__zero"], [value, key])
+    rows = placed(values.select(key, value), [value, key])
     rows = rows.crossJoin(F.broadcast(values.agg(F.count("*").alias("__n"))))  # one row
     rank = F.col("place") - 1
     return rows.select(key, value, F.greatest(F.lit(0), F.ceil(F.try_divide(rank * bins, F.col("__n") - 1)) - 1).cast("int").alias("bin"))
 
 
-def concentration(values: DataFrame, value: str, key: str, top: float = 0.2) -> DataFrame:
+def _distinct_ranks(values: DataFrame, value: str, by: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """value, n and above: of each different value (of each of ``by``) its rows, and how many rows come before it. Values are counted first, so equal ones are one row."""
+    by = by or []
+    counts = values.groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("__band", (-_band(F.col(value)) if descending else _band(F.col(value))))
+    bands = counts.groupBy(*by, "__band").agg(F.sum("n").alias("__size"))
+    bands = bands.withColumn("__above", F.coalesce(F.sum("__size").over(Window.partitionBy(*by).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
+    order = F.desc(value) if descending else F.asc(value)
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "__band").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("__inside", inside).join(F.broadcast(bands), [*by, "__band"]).select(*by, value, "n", (F.col("__above") + F.col("__inside")).alias("above"))
+
+
+def concentration(values: DataFrame, value: str, key: str, top: float = 0.2, rounded_up: bool = True) -> DataFrame:
     """Share of the total that the dearest ``top`` share of items holds."""
-    rows = numbered(values.withColumn("__band", -_band(F.col(value))), ["__band"], [F.desc(value), key])
-    rows = rows.crossJoin(F.broadcast(values.agg(F.count("*").alias("__n"))))  # one row
-    return rows.agg(F.try_divide(F.sum(F.when(F.col("place") <= F.ceil(F.col("__n") * top), F.col(value)).otherwise(0.0)), F.sum(value)).alias("top_share"))
+    ranks = _distinct_ranks(values, value, descending=True)
+    k = F.ceil(F.col("__n") * top) if rounded_up else F.floor(F.col("__n") * top)
+    rows = ranks.crossJoin(F.broadcast(values.agg(F.count("*").alias("__n"))))  # one row
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), k - F.col("above")))
+    return rows.agg(F.try_divide(F.sum(F.col(value) * taken), F.sum(F.col(value) * F.col("n"))).alias("top_share"))
+
+
+def positional(values: DataFrame, value: str, key: str, share: float, by: str) -> DataFrame:
+    """Of each ``by`` the row at place int(n * share), from 0, in ascending order of value and key.
+
+    Different values are counted until one holds the place; only rows of that
+    value are then put in order.
+    """
+    sizes = values.groupBy(by).agg(F.count("*").alias("__n"))
+    wanted = _distinct_ranks(values, value, [by]).join(F.broadcast(sizes), by).withColumn("__k", F.floor(F.col("__n") * share))
+    # one value of each group
+    wanted = wanted.where((F.col("above") <= F.col("__k")) & (F.col("__k") < F.col("above") + F.col("n"))).select(by, value, (F.col("__k") - F.col("above") + 1).alias("__place"))
+    rows = placed(values.select(by, key, value).join(F.broadcast(wanted), [by, value]), [key], [by])
+    return rows.where(F.col("place") == F.col("__place")).select(by, key, value)
 
 
 def spearman(values: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks for ties; distinct values are ranked, by bands of them."""
+    """Rank correlation of two columns; rows with a null in either are left out."""
+    return rank_matrix(values.where(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b]).select("spearman")
 
-    def ranks(c: str, name: str) -> DataFrame:
-        counts = values.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(c).agg(F.count("*").alias("__same")).withColumn("__band", _band(F.col(c)))
-        bands = counts.groupBy("__band").agg(F.sum("__same").alias("__size"))
-        bands = bands.select("__band", F.coalesce(F.sum("__size").over(Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__above"))
-        inside = F.coalesce(F.sum("__same").over(Window.partitionBy("__band").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.join(F.broadcast(bands), "__band").select(c, (F.col("__above") + inside + (F.col("__same") + 1) / 2).alias(name))
 
-    return values.join(ranks(a, "__ra"), a).join(ranks(b, "__rb"), b).agg(F.corr("__ra", "__rb").alias("spearman"))
+def rank_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b and their rank correlation, ties by average rank, of every pair of columns (a before b in ``columns``); nulls rank nowhere, and drop out of their pairs.
+
+    All columns' values are counted and ranked at once; rows look the ranks of
+    their values up column by column, and one aggregate takes all pairs.
+    """
+    pairs = F.array(*[F.struct(F.lit(k).alias("column"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns)])
+    melted = rows.select(F.explode(pairs).alias("x")).select("x.*").where("value is not null")
+    ranks, _ = written(_distinct_ranks(melted, "value", ["column"]).select("column", "value", (F.col("above") + (F.col("n") + 1) / 2).alias("rank")), "ranks")
+    out = rows.select(*[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(columns)])
+    for k in range(len(columns)):
+        # 0 and -0 are one value, as in grouping
+        own = ranks.where(F.col("column") == k).select((F.col("value") + 0.0).alias(f"v{k}"), F.col("rank").alias(f"r{k}"))
+        out = out.join(own, f"v{k}", "left").drop(f"v{k}")
+    both = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    found = out.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in both])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"c{i}_{j}").alias("spearman")) for i, j in both])))
 
 
 def visible_demand(jobs: DataFrame, key: str, qty: str, ahead: int = 30) -> DataFrame:
@@ -249,6 +311,30 @@ def visible_demand(jobs: DataFrame, key: str, qty: str, ahead: int = 30) -> Data
     return rows.groupBy(key, "origin").agg(F.sum(qty).cast("bigint").alias("visible"))
 
 
+def visible_within_lead(demand: DataFrame, origins: DataFrame, lead: DataFrame, key: str = ITEM) -> DataFrame:
+    """key, origin and visible: demand due after an origin and within the key's own lead time, released by the origin.
+
+    ``demand`` has key, release, due and qty; ``origins`` days; ``lead`` key and
+    lead in days. A line is visible from its release, or from its lead time
+    before it is due if that is later, until the day before it is due. So what
+    is visible on a day is what has begun less what has ended, one running sum
+    over the key's begins, ends and origins in order; nothing is joined by
+    range. Days of a key are summed first, so a key's stream is bounded by the
+    calendar. A line without a release is visible throughout; one without a due
+    day never is. Origins on which nothing is visible are left out.
+    """
+    lines = demand.where(F.col("due").isNotNull()).join(lead, key)
+    begin = F.greatest(F.coalesce("release", F.date_sub("due", F.col("lead"))), F.date_sub("due", F.col("lead")))
+    lines = lines.withColumn("begin", begin).where(F.col("begin") < F.col("due"))
+    steps = lines.select(key, F.explode(F.array(F.struct(F.col("begin").alias("day"), F.col("qty").alias("change")), F.struct(F.col("due").alias("day"), (-F.col("qty")).alias("change")))).alias("step"))
+    steps = steps.groupBy(key, F.col("step.day").alias("day")).agg(F.sum("step.change").alias("change"))
+    asked = steps.select(key).distinct().crossJoin(F.broadcast(origins.select(F.col("origin").alias("day"))))  # a calendar's days
+    stream = steps.withColumn("is_origin", F.lit(False)).unionByName(asked.withColumn("change", F.lit(0.0)).withColumn("is_origin", F.lit(True)))
+    running = F.sum("change").over(Window.partitionBy(key).orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # sums of floating numbers that have come and gone leave dust
+    return stream.withColumn("visible", F.round(running, 9)).where("is_origin and visible > 0").select(key, F.col("day").alias("origin"), "visible")
+
+
 def trailing_mean(k: int, least: int) -> Column:
     """Mean of the k periods before the origin, null until ``least`` have passed."""
     return F.when(F.col("t") >= least, F.avg("s").over(_before(k)))

@@ -13,7 +13,7 @@ from ..functions.measures import periods_of_lead
 from ..operators import finance, forecast, monitoring, policy, quality, reliability, remediation, timeseries
 from ..operators.timeseries import ITEM
 from ..sources import erp_views
-from . import learned, money, monthly, oracle, planning
+from . import audit, learned, money, monthly, oracle, planning
 from .warehouse import Warehouse
 
 Build = Callable[[Warehouse], DataFrame]
@@ -132,7 +132,7 @@ _add(
 )
 _add(
     "win_forward_target",
-    lambda w: w.weekly_frame.select(ITEM, "t", F.col("h").cast("int").alias("h"), "target", "ly"),
+    lambda w: timeseries.forward_sums(w.weekly_grid, w.attributes).select(ITEM, "t", F.col("h").cast("int").alias("h"), "target", "ly"),
     """
 select g.canonical_item_number, g.t, a.h, if(g.t + a.h <= (select max(t) + 1 from calendar), list_sum(l.history[g.t + 1 : g.t + a.h]), null) as target, list_sum(l.history[g.t - 51 : g.t - 52 + a.h]) as ly
 from grid g join (select canonical_item_number, greatest(1, round_even(corrected_lead_days / 7, 0))::int as h from attributes) a using (canonical_item_number)
@@ -328,19 +328,36 @@ def _backtest(w: Warehouse) -> DataFrame:
 _BACKTEST = """
 with origins as (select canonical_item_number, h, history, unnest(range(greatest(12, len(history) - h - 11), len(history) - h + 1)) as origin from histories join horizons using (canonical_item_number)),
   scored as (select canonical_item_number, origin, list_sum(history[origin + 1 : origin + h]) as actual, history[origin] * h as naive, list_avg(history[greatest(1, origin - 2) : origin]) * h as ma3,
-    list_avg(history[greatest(1, origin - 5) : origin]) * h as ma6, list_sum(history[origin - 11 : least(origin - 12 + h, origin)]) as snaive, list_reduce(history[1 : origin], lambda l, x: 0.3::double * x + 0.7::double * l) * h as ses from origins),
-  long as (unpivot scored on naive, ma3, ma6, snaive, ses into name method value forecast)
+    list_avg(history[greatest(1, origin - 5) : origin]) * h as ma6, list_sum(history[origin - 11 : least(origin - 12 + h, origin)]) as snaive, list_reduce(history[1 : origin], lambda l, x: 0.3::double * x + 0.7::double * l) * h as ses,
+      ifnull(list_reduce(case when len(sold) > 0 then sold end, lambda a, x: a + 0.1::double * (x - a)) / list_reduce(case when len(spots) > 0 then list_transform(range(1, len(spots) + 1), lambda i: (spots[i] - ifnull(spots[i - 1], 0))::double) end, lambda a, x: a + 0.1::double * (x - a)) * 0.95::double, 0) * h as croston
+    from (select *, list_filter(history[1 : origin], lambda x: x > 0) as sold, list_filter(range(1, origin + 1), lambda i: history[i] > 0) as spots from origins)),
+  long as (unpivot scored on naive, ma3, ma6, ses, croston, snaive into name method value forecast)
 """
+
+
+def _accuracy(rows: str, by: str, methods: tuple[str, ...]) -> str:
+    """SQL of every method's errors by group, and the best method, over ``rows`` (by, method, actual, forecast)."""
+    return f"""
+facts as (select {by}, method, sum(abs(actual - forecast)) / nullif(sum(actual), 0) as wape, sum(forecast - actual) / nullif(sum(actual), 0) as bias, count(*) as n from ({rows}) group by all),
+  best as (select {by}, arg_min(method, (wape, list_position([{", ".join(f"'{m}'" for m in methods)}], method))) as best_method, min(wape) as best_wape from facts where wape is not null group by 1)
+select {by}, method, wape, bias, n, best_method, best_wape from facts left join best using ({by})"""
 _add(
     "fc_backtest",
-    lambda w: _backtest(w).where(F.col("method").isin("naive", "ma3", "ma6", "snaive", "ses")).groupBy(ITEM, "method").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("actual") - F.col("forecast"))).alias("abs_error"), F.sum("actual").alias("actual")),
+    lambda w: _backtest(w).groupBy(ITEM, "method").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("actual") - F.col("forecast"))).alias("abs_error"), F.sum("actual").alias("actual")),
     _BACKTEST + "select canonical_item_number, method, count(*) as n, sum(abs(actual - forecast)) as abs_error, sum(actual) as actual from long group by all",
     ("abs_error",),
 )
-_add("fc_accuracy_by_segment", lambda w: forecast.accuracy(_backtest(w).join(w.attributes.select(ITEM, "segment"), ITEM), ["segment"]))
+_add(
+    "fc_accuracy_by_segment",
+    lambda w: forecast.accuracy(_backtest(w).join(w.attributes.select(ITEM, "segment"), ITEM), ["segment"]),
+    _BACKTEST.rstrip() + "," + _accuracy("select segment, method, actual, forecast from long join attributes using (canonical_item_number)", "segment", ("naive", "ma3", "ma6", "ses", "croston", "snaive")),
+    ("wape", "bias", "best_wape"),
+)
 _add(
     "fc_best_method",
     lambda w: forecast.accuracy(forecast.long_methods(forecast.horizon_baselines(w.weekly_frame).where("target is not null").withColumnRenamed("target", "actual"), ("ma4", "ma13", "ma52", "snaive"), [ITEM, "actual"]).join(w.attributes.select(ITEM, "abc"), ITEM), ["abc"]),
+    "with " + _accuracy("select abc, method, target as actual, forecast from (unpivot (select abc, target, ma4, ma13, ma52, snaive from bases join (select canonical_item_number, abc from attributes) using (canonical_item_number) where target is not null) on ma4, ma13, ma52, snaive into name method value forecast)", "abc", ("ma4", "ma13", "ma52", "snaive")).lstrip(),
+    ("wape", "bias", "best_wape"),
 )
 
 # --- policy ----------------------------------------------------------------------------
@@ -544,6 +561,7 @@ money.add_queries(_add, _graded, _costs)
 monthly.add_queries(_add)
 planning.add_queries(_add, learned.predictions)
 learned.add_queries(_add)
+audit.add_queries(_add)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -43,9 +43,14 @@ def predictions(w: Warehouse) -> DataFrame:
     return w.once("predictions", lambda: learning.predict(_model(w), frame(w).where(F.col("t") >= TEST)).select(ITEM, F.col("t").cast("int").alias("t"), "pred"))
 
 
+def scales(w: Warehouse) -> DataFrame:
+    """Mean one-step error of every item before the held-out weeks."""
+    return learning.one_step_scales(w.weekly_grid, TEST)
+
+
 def _lift(w: Warehouse) -> DataFrame:
     tested = schedule.backtest(w.weekly_frame, predictions(w), w.attributes, TEST, FORWARD)
-    return learning.lift(tested, schedule.BASES, learning.one_step_scales(w.weekly_grid, TEST))
+    return learning.lift(tested, schedule.BASES, scales(w))
 
 
 def _tiers(w: Warehouse) -> DataFrame:

@@ -36,7 +36,8 @@ def points(w: Warehouse, predict: Predict = rate) -> DataFrame:
     return w.once(("points", predict), lambda: _points(w, predict))
 
 
-def _points(w: Warehouse, predict: Predict) -> DataFrame:
+def _points(w: Warehouse, predict: Predict, at: int | None = None) -> DataFrame:
+    """Points of all origins of the forward window, or of one."""
     held = tested(w, predict)
     fixed = schedule.corrected(held)
     factors = held.groupBy("segment").agg(F.coalesce(F.try_divide(F.sum("target"), F.sum("pred")), F.lit(1.0)).alias("factor"))
@@ -44,7 +45,7 @@ def _points(w: Warehouse, predict: Predict) -> DataFrame:
     facts = w.attributes.select(ITEM, "abc", "corrected_lead_days", "standard_cost", "segment")
     facts = facts.join(policy.criticality(w.attributes, bill, w.stg("bom_change_log"), ledger, w.crosswalk, SINCE, UNTIL), ITEM).join(policy.lead_time_spread(w.attributes, orders, w.crosswalk, SINCE, UNTIL), ITEM)
     facts = facts.join(policy.unscheduled_share(ledger, w.crosswalk, SINCE, UNTIL), ITEM, "left").join(schedule.error_spread(fixed, w.attributes), ITEM)
-    rows = w.weekly_frame.where(F.col("t") >= FORWARD).select(ITEM, "t", "h").join(predict(w), [ITEM, "t"])
+    rows = w.weekly_frame.where(F.col("t") >= FORWARD if at is None else F.col("t") == at).select(ITEM, "t", "h").join(predict(w), [ITEM, "t"])
     rows = rows.join(w.attributes.select(ITEM, F.col("segment").alias("__segment")), ITEM).join(F.broadcast(factors.withColumnRenamed("segment", "__segment")), "__segment", "left")
     rows = rows.select(ITEM, "t", "h", (F.col("pred") * F.coalesce("factor", F.lit(1.0))).alias("pred_c"))
     seen = policy.visibility(w.stg("production_orders"), SINCE, UNTIL).select((F.col("visibility_days") + F.col("order_book_days")).alias("seen"))
@@ -151,7 +152,7 @@ def add_queries(add: Callable, model: Predict) -> None:
     levels = ((0.98, "A"), (0.95, "B"), (0.9, "C"))
     add("pol_safety_factors", lambda w: schedule.safety_factors(errors(w)), " union all ".join(f"select '{a}' as abc, quantile_cont(z, {q}) as factor from std_errors where abc = '{a}' having count(*) > 0" for q, a in levels), ("factor",))
     add("pol_loss_table", losses, "from losses", ("loss",))
-    add("pol_sigma_lot", lambda w: points(w).where(F.col("t") == FORWARD).select(ITEM, "forecast", "safety_stock", "reorder_point", "lot"), f"select canonical_item_number, forecast, safety_stock, reorder_point, lot from points where t = {FORWARD}", ("forecast", "safety_stock", "reorder_point", "lot"))
+    add("pol_sigma_lot", lambda w: _points(w, rate, FORWARD).select(ITEM, "forecast", "safety_stock", "reorder_point", "lot"), f"select canonical_item_number, forecast, safety_stock, reorder_point, lot from points where t = {FORWARD}", ("forecast", "safety_stock", "reorder_point", "lot"))
     add("pol_points", points, "from points", ("forecast", "level", "safety_stock", "reorder_point", "share", "lot"))
     add("pol_schedule", planned, "from schedule", ("forecast", "raw", "level", "safety_stock", "reorder_point", "share", "lot"))
     add(

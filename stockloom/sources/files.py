@@ -64,11 +64,6 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def sorted_series(df: DataFrame, item: str, period: str, value: Column, kind: str = "bigint") -> DataFrame:
-    """A typed long series in order of item and period, for hand-off."""
-    return df.select(item, period, value.cast(kind).alias("consumption")).orderBy(item, period)
-
-
-def head(df: DataFrame, order: list[str], n: int = 200) -> DataFrame:
-    """The first rows in a stated order."""
-    return df.orderBy(*order).limit(n)
+def write_sorted(df: DataFrame, path: str, order: list[str]) -> None:
+    """Rows in one order over all files: ranges of it are dealt out, and each is sorted."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
