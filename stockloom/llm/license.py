@@ -284,7 +284,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, license (null: none), probability, n_confirmed, n_unconfirmed and families of every document."""
     stretches = scored(docs, model, text)
     found = notices(confirmations(stretches)).groupBy("row").agg(
-        F.max_by(F.struct("family", "probability"), F.when(F.col("confirmed"), F.struct("probability", "template_share", -F.xxhash64("family")))).alias("best"),
+        F.max_by(F.struct("family", "probability"), F.when(F.col("confirmed"), F.struct("probability", "template_share", -F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family"))))).alias("best"),
         F.count(F.when(F.col("confirmed"), 1)).alias("n_confirmed"),
         F.count(F.when(~F.col("confirmed"), 1)).alias("n_unconfirmed"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
