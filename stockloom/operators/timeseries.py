@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,8 @@ from ..functions.measures import periods_of_lead
 from ..shared import written
 
 ITEM = "canonical_item_number"
+#: Different values of a column up to which their ranks are broadcast.
+BROADCAST_RANKS = 250_000
 
 
 def dense(series: DataFrame, items: DataFrame, period: str, step: str = "7 days") -> DataFrame:
@@ -282,19 +286,32 @@ def rank_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
     """a, b and their rank correlation, ties by average rank, of every pair of columns (a before b in ``columns``); nulls rank nowhere, and drop out of their pairs.
 
     All columns' values are counted and ranked at once; rows look the ranks of
-    their values up column by column, and one aggregate takes all pairs.
+    their values up column by column, in memory where a column has few different
+    ones, and one Gram matrix of the ranks has all pairs.
     """
     pairs = F.array(*[F.struct(F.lit(k).alias("column"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns)])
     melted = rows.select(F.explode(pairs).alias("x")).select("x.*").where("value is not null")
-    ranks, _ = written(_distinct_ranks(melted, "value", ["column"]).select("column", "value", (F.col("above") + (F.col("n") + 1) / 2).alias("rank")), "ranks")
+    ranks, _ = written(_distinct_ranks(melted, "value", ["column"]).select("column", "value", "n", (F.col("above") + (F.col("n") + 1) / 2).alias("rank")), "ranks")
+    sizes = {r["column"]: r for r in ranks.groupBy("column").agg(F.count("*").alias("values"), F.sum("n").alias("rows")).collect()}  # one row a column
     out = rows.select(*[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(columns)])
     for k in range(len(columns)):
-        # 0 and -0 are one value, as in grouping
-        own = ranks.where(F.col("column") == k).select((F.col("value") + 0.0).alias(f"v{k}"), F.col("rank").alias(f"r{k}"))
-        out = out.join(own, f"v{k}", "left").drop(f"v{k}")
-    both = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    found = out.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in both])
-    return found.select(F.inline(F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"c{i}_{j}").alias("spearman")) for i, j in both])))
+        own = ranks.where(F.col("column") == k).select(F.col("value").alias(f"v{k}"), F.col("rank").alias(f"r{k}"))
+        out = out.join(F.broadcast(own) if k not in sizes or sizes[k]["values"] <= BROADCAST_RANKS else own, f"v{k}", "left").drop(f"v{k}")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    total = rows.count()
+    whole = [k for k in sizes if sizes[k]["rows"] == total]
+    found: dict[tuple[int, int], float | None] = {}
+    if len(whole) > 1:
+        # columns without nulls take one product of ranks with themselves
+        vectors = VectorAssembler(inputCols=[f"r{k}" for k in whole], outputCol="ranks").transform(out).select("ranks")
+        matrix = Correlation.corr(vectors, "ranks").first()[0].toArray()
+        found = {(i, j): float(matrix[whole.index(i), whole.index(j)]) for i, j in pairs if i in whole and j in whole}
+    rest = [p for p in pairs if p not in found]
+    if rest:
+        row = out.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in rest]).first()
+        found |= {(i, j): row[f"c{i}_{j}"] for i, j in rest}
+    # one row a pair of columns
+    return rows.sparkSession.createDataFrame([(columns[i], columns[j], found[i, j]) for i, j in pairs], "a string, b string, spearman double")
 
 
 def visible_demand(jobs: DataFrame, key: str, qty: str, ahead: int = 30) -> DataFrame:
