@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import fold, id_text, sample_by
+from .common import fold, sample_by
 from .text import buffers
 
 #: Training rows per language (the classifier is fitted on this bounded sample) and windows of each, spread over its text.
