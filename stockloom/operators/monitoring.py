@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import bias, wape
 from ..params import Params
 
 
@@ -58,12 +57,6 @@ def long_features(frame: DataFrame, features: list[str], keep: list[Column]) ->
     return frame.select(*keep, F.inline(pairs))
 
 
-def accuracy_by(scored: DataFrame, by: list[str], least: int = 0) -> DataFrame:
-    """WAPE of the forecast and of the baseline, and bias, of groups with at least ``least`` rows."""
-    out = scored.groupBy(*by).agg(F.count("*").alias("n"), wape("actual", "forecast").alias("wape"), wape("actual", "base").alias("base_wape"), bias("actual", "forecast").alias("bias"))
-    return out.where(F.col("n") >= least)
-
-
 def input_quality(series: DataFrame, attributes: DataFrame, item: str = "canonical_item_number", period: str = "week") -> DataFrame:
     """One row: null share, negative usage, items without attributes, and the last period's total over the mean of those before."""
     known = series.join(attributes.select(item).distinct().withColumn("__known", F.lit(True)), item, "left")
@@ -78,17 +71,6 @@ def input_quality(series: DataFrame, attributes: DataFrame, item: str = "canonic
     return facts.crossJoin(F.broadcast(ratio))
 
 
-def level_of(value: Column, watch: float, act: float) -> Column:
-    """0 within ``watch``, 1 beyond it, 2 beyond ``act``."""
-    return F.when(value > act, 2).when(value > watch, 1).otherwise(0)
-
-
-def status(checks: DataFrame, matured_share: Column, least: float = 0.8) -> DataFrame:
-    """One row from long checks of (check, level): RETRAIN with any level 2 once matured, INVESTIGATE with any level, else HEALTHY."""
-    out = checks.agg(F.max("level").alias("worst"), F.count(F.when(F.col("level") > 0, 1)).alias("raised"))
-    return out.select("worst", "raised", F.when((F.col("worst") >= 2) & (matured_share >= least), "RETRAIN").when(F.col("worst") >= 1, "INVESTIGATE").otherwise("HEALTHY").alias("status"))
-
-
 def drift_flags(distances: DataFrame, p: Params) -> DataFrame:
     return distances.withColumn("drifted", F.col("distance") >= p.drift_threshold)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..params import POSTING_SIGN, Params
-from .resolve import canonical, supplier_canonical
+from .resolve import supplier_canonical
 from .timeseries import as_of, running_balance, window_count
 
 ITEM = "canonical_item_number"

@@ -17,7 +17,7 @@ from . import audit, learned, money, monthly, oracle, planning
 from .warehouse import Warehouse
 
 Build = Callable[[Warehouse], DataFrame]
-SINCE, UNTIL, TEST_FROM = oracle.SINCE, oracle.UNTIL, oracle.TEST
+SINCE, UNTIL = oracle.SINCE, oracle.UNTIL
 
 
 @dataclass(frozen=True)
