@@ -52,8 +52,12 @@ class Warehouse:
         return self._built[key]
 
     def keep(self, spark: SparkSession, path: str) -> None:
-        """A folder that goes with the shared models."""
+        """A folder that goes with the shared models, at the latest when the driver ends."""
         self._paths.append((spark, path))
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(at)  # only what exists can be marked
+        store.deleteOnExit(at)
 
     def release(self) -> None:
         """Delete the shared models' tables."""
