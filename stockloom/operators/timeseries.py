@@ -19,12 +19,20 @@ BROADCAST_RANKS = 250_000
 def dense(series: DataFrame, items: DataFrame, period: str, step: str = "7 days") -> DataFrame:
     """item, t, period and s for every item and every period between the series' first and last; gaps are 0.
 
-    The calendar is one row that is exploded, so its size doesn't depend on the items.
+    ``series`` has one row an item and period; rows without a period are left
+    out. An item's values are gathered in one map, at most one entry a period,
+    before its calendar is exploded beside it: only items and their own values
+    are shuffled, never the grid. The number of partitions is stated, as adaptive
+    plans would size them by the items alone, before each becomes a calendar.
     """
-    bounds = series.agg(F.min(period).alias("first"), F.max(period).alias("last"))
-    calendar = bounds.select(F.posexplode(F.expr(f"sequence(first, last, interval {step})")).alias("t", period))
-    grid = items.select(ITEM).distinct().crossJoin(F.broadcast(calendar))
-    return grid.join(series, [ITEM, period], "left").select(ITEM, "t", period, F.coalesce("consumption", F.lit(0.0)).cast("double").alias("s"))
+    calendar = series.agg(F.min(period).alias("first"), F.max(period).alias("last")).select(F.expr(f"sequence(first, last, interval {step})").alias("calendar"))
+    entry = F.struct(period, F.coalesce("consumption", F.lit(0.0)).cast("double"))
+    known = series.where(F.col(period).isNotNull()).groupBy(ITEM).agg(F.map_from_entries(F.collect_list(entry)).alias("known"))
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the shuffle comes before ``distinct``: a stated one after it would be taken for the same and dropped
+    rows = items.select(ITEM).repartition(parts, ITEM).distinct().join(known, ITEM, "left").crossJoin(F.broadcast(calendar))  # one row
+    rows = rows.select(ITEM, "known", F.posexplode("calendar").alias("t", period))
+    return rows.select(ITEM, "t", period, F.coalesce(F.try_element_at("known", F.col(period)), F.lit(0.0)).alias("s"))
 
 
 def _before(k: int | None = None):
@@ -56,51 +64,51 @@ def weekly_frame(grid: DataFrame, attributes: DataFrame, period: str = "week", s
     """One row per item and origin: features of the weeks before it, the target from it on.
 
     The horizon is the item's own lead time in weeks. Sums over it, now and a
-    year before, are differences of the item's running totals; an item's rows
-    stand in one array for that, which no row carries on. A target whose
-    horizon isn't closed is null.
+    year before, are differences of the item's running totals, which a window
+    over all its rows holds beside each row while the row is formed; no row
+    carries them on. A target whose horizon isn't closed is null.
     """
-    horizon = attributes.select(ITEM, periods_of_lead(F.col("corrected_lead_days"), 7).alias("h"))
-    rows = grid.join(horizon, ITEM)
-    order = Window.partitionBy(ITEM).orderBy("t")
+    rows = grid.join(_horizon(attributes), ITEM)
     windows = {
-        "through": F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), **{f"s{k}": trailing_sum(k) for k in (4, 13, 26, 52)}, **{f"nz{k}": trailing_nonzero(k) for k in (13, 52)},
+        **{f"s{k}": trailing_sum(k) for k in (4, 13, 26, 52)}, **{f"nz{k}": trailing_nonzero(k) for k in (13, 52)},
         "since_nz": since_nonzero(), "cv13": trailing_variation(13),
     }
-    rows = rows.select(ITEM, "t", period, "h", *[c.alias(n) for n, c in windows.items()])
-    # rows lie by item already
-    series = rows.groupBy(ITEM, "h").agg(F.array_sort(F.collect_list(F.struct("t", period, *windows))).alias("series"))
-    h = F.col("h")
+    rows = rows.select(ITEM, "t", period, "h", _through().alias("through"), *[c.alias(n) for n, c in windows.items()])
+    rows = rows.withColumn("totals", _totals()).where(F.col("t") >= start)
+    before = _before_week
+    t, h = F.col("t"), F.col("h")
+    derived = {
+        "trend": F.col("s4") / 4 - F.col("s13") / 13, "ly": before(F.least(t - start + h, t)) - before(t - start), "mean_all": before(t) / t,
+        "woy": F.weekofyear(period), "month": F.month(period),
+    }
+    return rows.select(ITEM, "t", period, "h", (before(t + h) - before(t)).alias("target"), *windows, *[c.alias(n) for n, c in derived.items()])
 
-    def row(x: Column) -> Column:
-        # element t of the series holds the sum before week t
-        before = lambda t: F.when(t < 1, 0.0).otherwise(F.try_element_at("series", F.greatest(t, F.lit(1)).cast("int"))["through"])
-        t = x["t"]
-        kept = [x[n].alias(n) for n in ("s4", "s13", "s26", "s52", "nz13", "nz52", "since_nz", "cv13")]
-        return F.struct(
-            t.alias("t"), x[period].alias(period), (before(t + h) - before(t)).alias("target"), *kept, (x["s4"] / 4 - x["s13"] / 13).alias("trend"),
-            (before(F.least(t - start + h, t)) - before(t - start)).alias("ly"), (before(t) / t).alias("mean_all"),
-        )
 
-    out = series.select(ITEM, "h", F.inline(F.transform(F.slice("series", start + 1, F.greatest(F.size("series") - start, F.lit(0))), row)))
-    first = [ITEM, "t", period, "h", "target"]
-    return out.select(*first, *[c for c in out.columns if c not in first], F.weekofyear(period).alias("woy"), F.month(period).alias("month"))
+def _horizon(attributes: DataFrame) -> DataFrame:
+    return attributes.select(ITEM, periods_of_lead(F.col("corrected_lead_days"), 7).alias("h"))
 
 
-def forward_sums(grid: DataFrame, attributes: DataFrame, start: int = 52) -> DataFrame:
-    """item, t, h, target and ly as in ``weekly_frame``, without the other features.
+def _through() -> Column:
+    """Running total through the period."""
+    return F.sum("s").over(Window.partitionBy(ITEM).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
-    One running total an item; sums over the horizon are looked up by place.
-    """
-    horizon = attributes.select(ITEM, periods_of_lead(F.col("corrected_lead_days"), 7).alias("h"))
-    through = F.sum("s").over(Window.partitionBy(ITEM).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    totals = F.transform(F.array_sort(F.collect_list(F.struct("t", "through"))), lambda x: x["through"])
-    series = grid.select(ITEM, "t", through.alias("through")).groupBy(ITEM).agg(totals.alias("totals")).join(horizon, ITEM)
-    h, n = F.col("h"), F.size("totals")
-    before = lambda t: F.when(t < 1, 0.0).otherwise(F.try_element_at("totals", F.greatest(t, F.lit(1)).cast("int")))
-    row = lambda t: F.struct(t.alias("t"), (before(t + h) - before(t)).alias("target"), (before(F.least(t - start + h, t)) - before(t - start)).alias("ly"))
-    rows = F.when(n > start, F.transform(F.sequence(F.lit(start), F.greatest(n - 1, F.lit(start))), row))
-    return series.select(ITEM, "h", F.inline(rows)).select(ITEM, "t", "h", "target", "ly")
+
+def _totals() -> Column:
+    """All running totals of the item, in order of its periods; they are as many as the calendar has."""
+    return F.collect_list("through").over(Window.partitionBy(ITEM).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
+def _before_week(t: Column) -> Column:
+    """Sum before period t by place in ``totals``; null beyond the last."""
+    return F.when(t < 1, 0.0).otherwise(F.try_element_at("totals", F.greatest(t, F.lit(1)).cast("int")))
+
+
+def forward_sums(grid: DataFrame, attributes: DataFrame, start: int = 52) -> DataFrame:
+    """item, t, h, target and ly as in ``weekly_frame``, without the other features."""
+    rows = grid.select(ITEM, "t", _through().alias("through")).withColumn("totals", _totals()).where(F.col("t") >= start).join(_horizon(attributes), ITEM)
+    before = _before_week
+    t, h = F.col("t"), F.col("h")
+    return rows.select(ITEM, "t", "h", (before(t + h) - before(t)).alias("target"), (before(F.least(t - start + h, t)) - before(t - start)).alias("ly"))
 
 
 def lagged_features(grid: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 6, 12), windows: tuple[int, ...] = (3, 6, 12), keep: tuple[Column, ...] = ()) -> DataFrame:

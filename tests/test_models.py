@@ -142,6 +142,21 @@ def _series(spark, values):
     return spark.createDataFrame(data, f"{ITEM} string, week date, consumption double"), spark.createDataFrame([("A", 10.5), ("B", 40.0)], f"{ITEM} string, corrected_lead_days double")
 
 
+def test_grid_partitions_and_gaps(spark):
+    week = dt.date(2024, 1, 1)
+    series = spark.createDataFrame([("A", week, 2.0), ("A", week + dt.timedelta(14), None), ("B", week + dt.timedelta(21), 4.5), ("C", None, 9.0), (None, week, 1.0)], f"{ITEM} string, week date, consumption double")
+    items = spark.createDataFrame([("A", 1), ("A", 2), ("B", 1), ("C", 1)], f"{ITEM} string, other int")
+    grid = timeseries.dense(series, items, "week")
+    assert rows(grid, ITEM, "t", "s") == [("A", 0, 2.0), ("A", 1, 0.0), ("A", 2, 0.0), ("A", 3, 0.0), ("B", 0, 0.0), ("B", 1, 0.0), ("B", 2, 0.0), ("B", 3, 4.5), ("C", 0, 0.0), ("C", 1, 0.0), ("C", 2, 0.0), ("C", 3, 0.0)]
+    # adaptive plans don't fold a grid of few items into one task, and windows on items don't shuffle it again
+    grid.collect()
+    assert grid.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = timeseries.weekly_frame(grid, items.select(ITEM).distinct().withColumn("corrected_lead_days", F.lit(7.0)))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate posexplode")]
+    assert "Window" in above and "Exchange hashpartitioning" not in above.split("Join")[0]
+    assert timeseries.dense(series.limit(0), items, "week").count() == 0
+
+
 def test_weekly_frame_against_numpy(spark):
     r = np.random.default_rng(1)
     s = r.poisson(1.2, 80) * r.integers(0, 2, 80)
