@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from stockloom.operators import histories, timeseries
+from stockloom.operators import histories, schedule, timeseries
 
 ITEM = "canonical_item_number"
 
@@ -42,3 +42,14 @@ def test_frame_takes_no_shuffle_of_rows(spark, usage):
     plan = histories.periods(whole, histories.FRAME, [ITEM, "h"], 52)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
     assert histories.periods(histories.histories(series.limit(0), items), ["s"]).count() == 0
+
+
+def test_split_summary_counts_values(spark):
+    rows = [("a", dt.date(2020, 1, 6), 0.0), ("a", dt.date(2020, 1, 13), 3.0), ("b", dt.date(2020, 1, 6), 3.0), ("b", dt.date(2020, 1, 20), None), ("c", dt.date(2020, 1, 13), 8.5)]
+    df = spark.createDataFrame(rows, f"{ITEM} string, week date, target double")
+    out = schedule.split_summary({"some": df, "none": df.limit(0)})
+    found = {x.part: tuple(x)[1:] for x in out.collect()}
+    assert found["some"] == (dt.date(2020, 1, 6), dt.date(2020, 1, 20), 5, 3, 14.5 / 4, 3.0, 0.2)
+    assert found["none"] == (None, None, 0, 0, None, None, None)
+    # a median beside a distinct count would gather values by item
+    assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
