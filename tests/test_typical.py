@@ -66,3 +66,23 @@ def test_rows_walk_trees_in_blocks(monkeypatch):
 
     monkeypatch.setattr(trees, "BLOCK", 64)
     assert np.allclose(trees.summed([trees.routed(t) for t in found], x), [sum(one(t, row) for t in found) for row in x])
+
+
+def test_linear_model_is_that_of_the_rows(spark):
+    _, df = _rows(spark, 800)
+    alpha = 3.0
+    model = learning.fit("linear", {"alpha": alpha}, df)
+    found = learning._prepared(model.preparing, df, ["target"]).collect()
+    x, y = np.array([r.features.toArray() for r in found]), np.log1p([r.target for r in found])
+    assert np.allclose(x.mean(axis=0), 0, atol=1e-9) and np.allclose(x.std(axis=0, ddof=1)[x.std(axis=0) > 0], 1)
+    expected = np.linalg.solve(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ (y - y.mean()))
+    line = model.linear.stages[0]
+    assert np.allclose(line.coefficients.toArray(), expected, atol=1e-9) and abs(line.intercept - y.mean()) < 1e-9
+
+
+def test_moments_of_parts_add_up(spark):
+    _, df = _rows(spark, 800)
+    raw = learning.preparation(True)
+    fixed = learning.Pipeline(stages=raw.getStages()[:-1]).fit(learning.typical(df)).transform(df.withColumn("label", F.log1p("target")))
+    one, many = learning.moments_of(fixed.coalesce(1)), learning.moments_of(fixed)
+    assert one.n == many.n == 800 and np.allclose(one.mean, many.mean) and np.allclose(one.cross, many.cross, rtol=1e-9)
