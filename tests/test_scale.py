@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
-from stockloom.operators import marts, resolve
+import pytest
+
+from stockloom.operators import forecast, histories, marts, resolve
+from stockloom.plans import catalog
 
 ITEM = "canonical_item_number"
+FOLDER = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
@@ -40,3 +45,34 @@ def test_only_periods_with_more_than_usage_are_gathered(spark):
     # recorded usage is grouped by hash alone; before, each of its rows was gathered in an array as well
     gathered = [line for line in plan(out).splitlines() if "collect_list" in line and "units" in line]
     assert not gathered and "FullOuter" in plan(out)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
+def test_rule_points_form_weeks_after_their_last_shuffle(spark):
+    above = plan(catalog.run("pol_rule_schedule", spark, FOLDER)).split("MapInArrow")[0]
+    assert "Exchange" not in above and "Join" not in above
+
+
+def test_weeks_are_counted_without_being_formed(spark):
+    rows = [("A", 1), ("B", 2), ("C", 2), ("D", None)]
+    items = spark.createDataFrame(rows, f"{ITEM} string, h int")
+    usage = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0), ("B", dt.date(2024, 2, 12), 1.0)], f"{ITEM} string, week date, consumption double")
+    whole = histories.histories(usage, items)
+    out = histories.counted(whole, ["h"], 3)
+    formed = histories.periods(whole, ["week"], ["h"], 3).groupBy("h", "t", "week").count()
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, formed.collect()), key=repr)
+    assert "MapInArrow" not in plan(out) and not histories.counted(whole, ["h"], 7).take(1)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
+@pytest.mark.parametrize(("name", "readings"), [("mon_training_rows", 0), ("fc_best_method", 1)])
+def test_weeks_are_formed_no_more_often_than_needed(spark, name, readings):
+    assert plan(catalog.run(name, spark, FOLDER)).count("MapInArrow") == readings
+
+
+def test_wide_accuracy_is_that_of_long_rows(spark):
+    rows = [("A", 1.0, 2.0, 0.0), ("A", 3.0, 2.0, 4.0), ("B", 0.0, 1.0, 1.0), ("C", 5.0, 5.0, None)]
+    wide = spark.createDataFrame(rows, "abc string, actual double, p double, q double")
+    long = forecast.accuracy(forecast.long_methods(wide, ("p", "q"), ["abc", "actual"]), ["abc"])
+    out = forecast.wide_accuracy(wide, ("p", "q"), ["abc"]).select(*long.columns)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, long.collect()), key=repr)
