@@ -27,6 +27,7 @@ import functools
 import hashlib
 import itertools
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -86,6 +87,8 @@ class Encoder:
     """
 
     def __init__(self, definition: str):
+        # Spark runs a task a core; threads of the tokenizer's own would only wait beside them
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
