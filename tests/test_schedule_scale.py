@@ -6,10 +6,12 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from stockloom.operators import schedule
-from stockloom.params import Params
+from stockloom.operators import marts, schedule
+from stockloom.params import SERVICE_LEVEL, Params
 from stockloom.plans import catalog
+from stockloom.plans.warehouse import Warehouse
 
 ITEM = "canonical_item_number"
 FOLDER = "/root/testdata/sf0.001"
@@ -54,3 +56,20 @@ def test_points_hold_across_batches(spark, together):
             assert (found.raw, found.level, found.own) == (x, float(origin), f"{i}-{t}") and (found.raw_before, found.before) == (raw_before, before)
             assert found.reorder_point == (None if last is None else pytest.approx(last, abs=0.011))
             last, raw_before, before = found.reorder_point, x, found.reorder_point
+
+
+def test_safety_factors_are_exact_without_a_class_in_one_task(spark):
+    r = random.Random(5)
+    rows = [("A", r.gauss(0, 1)) for _ in range(1001)] + [("B", float(r.randrange(-3, 4))) for _ in range(500)] + [("C", -2.5), ("D", 1.0)]
+    errors = spark.createDataFrame(rows, "abc string, z double")
+    out = schedule.safety_factors(errors)
+    want = {abc: errors.where(f"abc = '{abc}'").agg(F.percentile("z", level)).first()[0] for abc, level in SERVICE_LEVEL.items()}
+    assert {x.abc: x.factor for x in out.collect()} == want
+    assert "percentile(" not in plan(out)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
+def test_demand_is_summed_once_more_than_its_sources(spark):
+    w = Warehouse.over_star_schema(spark, FOLDER)
+    found = plan(marts.true_demand(w.stg("true_direct_demand"), w.stg("true_backflush"), w.crosswalk))
+    assert not [line for line in found.splitlines() if "Aggregate(keys=[item_id" in line and "sum(" in line]
