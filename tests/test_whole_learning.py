@@ -112,3 +112,26 @@ def test_search_with_trees_of_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(growing, "HELD", 500)
     out = learning.trial_table(frame, 56, trials=2).collect()
     assert len(out) == 4 and all(0 < r.validation_wape < 0.8 for r in out)
+
+
+@pytest.mark.parametrize("kept", [0, 3, 1024])
+def test_heavier_children_have_what_lighter_ones_lack(monkeypatch, kept):
+    r = np.random.default_rng(8)
+    x = r.integers(0, 30, (3000, 5)).astype(np.int8)
+    y = x[:, 0] * 0.3 + (x[:, 1] > 9) * x[:, 2] + r.normal(size=3000)
+    monkeypatch.setattr(trees, "KEPT", kept)
+    summed, bincount = [], np.bincount
+    monkeypatch.setattr(trees.np, "bincount", lambda key, *rest: summed.append(len(key)) or bincount(key, *rest))
+    tree = trees.grow(x, y, np.ones(3000), np.arange(5), 7, 3, 0.5)
+    monkeypatch.undo()
+    # before, every level summed all of its rows for each feature, and for its nodes
+    assert (sum(summed) < 0.75 * 7 * 13 * 3000) == (kept == 1024)
+    plan, told = trees.planned(np.arange(5), 7, 3, 0.5), None
+    try:
+        while True:
+            told = plan.send(None if told is None else trees.sums(np.ascontiguousarray(x.T), y, np.ones(3000), *told, np.arange(5)))
+    except StopIteration as end:
+        other = end.value[0]
+    assert tree["left"].tolist() == other["left"].tolist() and all(np.allclose(tree[k], other[k]) for k in tree)
+    left = np.flatnonzero(tree["left"])
+    assert np.allclose(tree["cover"][left], tree["cover"][tree["left"][left]] + tree["cover"][tree["left"][left] + 1])
