@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +83,23 @@ def test_boosted_trees_of_all_tasks_are_those_of_one(spark, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-9)
 
 
+def test_no_more_than_two_checkpoints_of_blocks_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(growing, "LINEAGE", 2)
+    rows = growing.Rows(spark.createDataFrame([(k, [k % 7], float(k)) for k in range(50)], growing.CODED), 1, 1)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(growing.folder(spark))
+    top = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    tree = {name: np.array([{"feature": -1, "value": 0.5, "cover": 50}.get(name, 0)]).astype(kind) for name, kind in trees.NODE}
+    total = lambda number, x, y, held: held.sum(axis=1)
+    seen = []
+    for _ in range(9):
+        rows.update({0: tree})
+        assert rows.added_up([total])[0] == pytest.approx([0.5 * 50 * rows.updates])
+        seen.append(len(list(top.glob("rdd-*"))))
+    rows.released()
+    assert max(seen) == 2 and not list(top.glob("rdd-*"))
+
+
 def test_forest_is_grown_to_its_ends_in_rounds(spark, monkeypatch):
     rows = rows_of(spark, 5000)
     params = {"trees": 5, "depth": 9, "least": 3}
