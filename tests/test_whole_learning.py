@@ -154,3 +154,13 @@ def test_heavier_children_have_what_lighter_ones_lack(monkeypatch, kept):
     assert tree["left"].tolist() == other["left"].tolist() and all(np.allclose(tree[k], other[k]) for k in tree)
     left = np.flatnonzero(tree["left"])
     assert np.allclose(tree["cover"][left], tree["cover"][tree["left"][left]] + tree["cover"][tree["left"][left] + 1])
+
+
+def test_search_leaves_no_tables(spark, monkeypatch):
+    frame = rows_of(spark, 3000)
+    monkeypatch.setattr(learning, "SPACE", {"forest": {"trees": Whole(2, 3), "depth": Whole(3, 4), "least": Whole(1, 4)}})
+    monkeypatch.setattr(growing, "HELD", 500)
+    top = Path(growing.folder(spark).removeprefix("file://"))
+    before = set(top.iterdir())
+    learning.trial_table(frame, 56, trials=2)
+    assert {p.name for p in set(top.iterdir()) - before} == set()
